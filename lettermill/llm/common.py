@@ -121,6 +121,11 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return mix(out)
 
 
+def prefix_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lengths: tuple[int, ...]) -> list[np.ndarray]:
+    """span_hashes of the spans' first bytes, for each length; shorter spans are left as they are."""
+    return [span_hashes(data, starts, np.minimum(ends, starts + n)) for n in lengths]
+
+
 def byte_table(separators: bytes) -> np.ndarray:
     """True for each byte value that belongs to a word."""
     t = np.ones(256, bool)
