@@ -241,8 +241,11 @@ def repeated_runs(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group
         got = materialise(got.unionByName(hit), "found-in-runs")
         up = runs.select("key", "uh", "ah", "sh", "off").join(got, ["key", "uh"]).select("ah", "sh", (F.col("off") + F.col("o")).alias("o"), "n")
         found = materialise(found.unionByName(up), "found-all")
+    # a piece's runs travel as one row, at most as many as it has strings
+    found = materialise(found.groupBy("ah", "sh").agg(F.collect_list(F.struct("o", "n")).alias("runs")), "found-by-piece")
     spans = own.select("t1", "t2", "start", "ah", "sh").join(found, ["ah", "sh"])
-    spans = spans.groupBy("t1", "t2").agg(F.collect_list(F.struct((F.col("start") + F.col("o")).alias("a"), "n")).alias("spans"))
+    spans = spans.select("t1", "t2", F.transform("runs", lambda r: F.struct((F.col("start") + r["o"]).alias("a"), r["n"].alias("n"))).alias("runs"))
+    spans = spans.groupBy("t1", "t2").agg(F.flatten(F.collect_list("runs")).alias("spans"))
     return texts, materialise(spans, "spans")
 
 
