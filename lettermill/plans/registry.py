@@ -1,14 +1,26 @@
 """Queries by name, with SQL that gives the same rows."""
 from __future__ import annotations
 
+import importlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .base import ORACLES, QUERIES
+
+MODULES = ("correspondence",)
+
+
+def _load() -> None:
+    for name in MODULES:
+        importlib.import_module(f"{__package__}.{name}")
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    _load()
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    _load()
+    return dict(ORACLES)
