@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .base import ORACLES, QUERIES
 
-MODULES = ("correspondence",)
+MODULES = ("correspondence", "files", "documents")
 
 
 def _load() -> None:

@@ -221,6 +221,8 @@ def with_tables(body: str, *names: str) -> str:
         order += [x for x in (*_NEEDS.get(n, ()), n) if x not in order]
     head = ",\n".join(f"{n} AS ({SQL[n]})" for n in order)
     body = body.strip()
+    if body.upper().startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {head},\n{body[15:]}" if head else body
     if body.upper().startswith("WITH "):
         return f"WITH {head},\n{body[5:]}" if head else body
     return f"WITH {head}\n{body}" if head else body
