@@ -28,7 +28,7 @@ from .common import SPACE_TABLE, blocks, byte_rows, held_out, local_path, mix, s
 
 BUCKET_BYTES = 12 << 20  # training text of a bucket
 HOT_SHARE = 2_000  # a left word with a 2000th of the sampled words is spread
-COUNT_BYTES = 48 << 20  # text whose bigrams are counted together
+COUNT_BYTES = 16 << 20  # text whose bigrams are counted together
 BEGIN = np.uint64(0x0B0B0B0B0B0B0B0B)
 END = np.uint64(0x0E0E0E0E0E0E0E0E)
 
@@ -382,7 +382,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         m = shared.value
         for batch in batches:
             rows = byte_rows(batch.column(1))
-            for i, j in blocks(np.array([len(r) for r in rows]), 4 * (4 << 20)):
+            for i, j in blocks(np.array([len(r) for r in rows])):
                 left, right, row = sequences(rows[i:j])
                 _, first, back = np.unique(pair_hash(left, right), return_index=True, return_inverse=True)
                 p, seen = scorer.log10(left[first], right[first])
