@@ -8,6 +8,7 @@ import regex
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 CACHE_ENTRIES = 400_000  # words kept by a worker; a full cache is emptied
+TAIL = ".,!?;:*$%&#|"  # after a letter these always start a token of their own
 _cut = regex.compile(r"(?<=\S)(?= \S)").split
 
 
@@ -38,6 +39,11 @@ class WordIds(dict):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.words, self.entries = words, entries
+        self.joined: dict[str, tuple[str, str]] = {}  # words of the current call that end in TAIL
+
+    def __missing__(self, word: str) -> bytes:
+        head, tail = self.joined[word]
+        return self[head] + self[tail]
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
         rows = [self.words(t) for t in texts]
@@ -46,13 +52,26 @@ class WordIds(dict):
         new = set()
         for row in rows:
             new.update(row)
-        new = list(new.difference(self))
-        for i in range(0, len(new), 20_000):
-            part = new[i : i + 20_000]
-            for w, got in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self[w] = np.array(got.ids, "<u4").tobytes()
+        need, self.joined = set(), {}
+        for w in new.difference(self):
+            head = w.rstrip(TAIL)
+            if len(head) < len(w) and head and head[-1].isalpha():
+                tail = w[len(head) :]
+                self.joined[w] = head, tail
+                need.add(head)
+                need.add(tail)
+            else:
+                need.add(w)
+        need = list(need.difference(self))
+        # many words per call, each a sequence of its own: a call's fixed cost is far above a word's
+        groups = [need[i : i + 1_000] for i in range(0, len(need), 1_000)]
+        for part, got in zip(groups, self.tokenizer.encode_batch(groups, is_pretokenized=True, add_special_tokens=False), strict=True):
+            ids = np.array(got.ids, "<u4").tobytes()
+            cuts = np.searchsorted(np.array(got.word_ids, np.int64), np.arange(len(part) + 1)).tolist()
+            for w, a, b in zip(part, cuts, cuts[1:], strict=False):
+                self[w] = ids[4 * a : 4 * b]
         out = [b"".join(map(self.__getitem__, row)) for row in rows]
-        for w in new:
+        for w in need:
             if len(w) > 64:
                 del self[w]
         return out
