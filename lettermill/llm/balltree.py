@@ -128,7 +128,8 @@ def _searcher(k: int, final: bool):
     def run(key, queries: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
         names = ["query_id", "q", "floor"] if not final else ["query_id", "vec_id", "score"]
         if not len(queries):
-            return pd.DataFrame({n: [] for n in names})
+            kinds = {"q": object}
+            return pd.DataFrame({n: pd.Series(dtype=kinds.get(n, np.int64)) for n in names})
         x = _matrix(rows["v"]) if len(rows) else np.zeros((0, len(queries["q"].iloc[0])), np.int64)
         qid, q = queries["query_id"].to_numpy(np.int64), _matrix(queries["q"])
         floor = queries["floor"].to_numpy(np.int64)
