@@ -26,7 +26,7 @@ VOCABULARY = "byte_bpe_50k.json"
 TIERS = (1024, 512, 256, 128)  # context sizes, powers of two, longest first
 STEP_TOKENS = 16_384  # tokens of a step group
 END_ID = 0
-PACK_BYTES = 16 << 20
+PACK_BYTES = 4 << 20
 
 
 @dataclass

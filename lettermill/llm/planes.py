@@ -30,7 +30,7 @@ from .wordids import bare_words, word_ids
 VOCABULARY = "word_bpe_49k.json"
 MAGIC = b"LMPLANE1"
 CHUNK = 65_536  # integers of a chunk
-FILE_BYTES = 32 << 20  # text bytes of a file, at least one document
+FILE_BYTES = 8 << 20  # text bytes of a file, at least one document
 TARGET_BYTES = 24 << 20  # text bytes of a range partition
 END_ID = 1
 _ENTRY = struct.Struct("<BBIQ8I")  # section, width, count, offset, plane lengths

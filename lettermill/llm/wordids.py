@@ -7,7 +7,7 @@ import numpy as np
 import regex
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-CACHE_ENTRIES = 400_000  # words kept by a worker; a full cache is emptied
+CACHE_ENTRIES = 250_000  # words kept by a worker; a full cache is emptied
 TAIL = ".,!?;:*$%&#|"  # after a letter these always start a token of their own
 _cut = regex.compile(r"(?<=\S)(?= \S)").split
 
