@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import blocks, byte_rows, scratch, text_bytes
-from .wordids import bare_words, word_ids
+from .wordids import apart, bare_words, word_ids
 
 VOCABULARY = "word_bpe_49k.json"
 MAGIC = b"LMPLANE1"
@@ -97,7 +97,7 @@ def _writer(path: str, chunk: int):
             rows, keys = byte_rows(batch.column(1)), batch.column(0)
             for i, j in blocks(np.array([len(r) for r in rows]), FILE_BYTES):
                 # the tokenizer folds case; doing so for ASCII first makes fewer different words
-                packed = ids.encode_all([r.lower().decode("utf-8", "replace") for r in rows[i:j]])
+                packed = ids.encode_all([r.decode("utf-8", "replace") for r in apart([r.lower() for r in rows[i:j]])])
                 lengths = np.array([len(p) // 4 + 1 for p in packed])
                 own = keys.slice(i, j - i)
                 nulls = np.packbits(own.is_null().to_numpy(zero_copy_only=False))

@@ -6,6 +6,8 @@ import os
 import numpy as np
 import regex
 
+from .common import joined
+
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 CACHE_ENTRIES = 250_000  # words kept by a worker; a full cache is emptied
 TAIL = ".,!?;:*$%&#|"  # after a letter these always start a token of their own
@@ -29,6 +31,23 @@ def bare_words(text: str) -> list[str]:
     return text.replace("\n", " ").split(" ")
 
 
+_TAIL = np.isin(np.arange(256), list(TAIL.encode()))
+_ALNUM = np.array([chr(b).isalnum() and b < 128 for b in range(256)])
+
+
+def apart(rows: list[bytes]) -> list[bytes]:
+    """The rows with a blank between an ASCII letter or digit and a TAIL sign after it.
+
+    For tokenizers that drop white space and end a token there in any case: words
+    and the signs after them are then looked up apart.
+    """
+    data, at = joined(rows)
+    cut = np.flatnonzero(_TAIL[data[1:]] & _ALNUM[data[:-1]]) + 1
+    out = np.insert(data, cut, ord(" ")).tobytes()
+    at = (at + np.searchsorted(cut, at)).tolist()
+    return [out[a : b - 1] for a, b in zip(at, at[1:], strict=False)]
+
+
 class WordIds(dict):
     """Words to their ids as little-endian unsigned 32-bit integers."""
 
