@@ -32,8 +32,8 @@ LENGTH = 400
 GRAM = 64
 GROUP = 500  # distinct pieces of a key that are sorted in one task, at most
 RUN = 16  # strings of a refined piece
-SORT_BYTES = 4 << 20  # piece bytes sorted together
-SEGMENT = 4 << 20  # strings of a text that are anchored together
+SORT_BYTES = 1 << 20  # piece bytes sorted together
+SEGMENT = 1 << 20  # strings of a text that are anchored together
 _LOW = np.uint64((1 << 24) - 1)
 
 
