@@ -4,16 +4,22 @@ Texts with equal sets of word five-grams form a class. A class's set is embedded
 as SLOTS min-hash tokens (slot, value). A run sends every set down a random tree:
 at each node a few slots, picked by a hash of the path so far, split the sets by
 their tokens, and sets that agree share a child. Buckets of up to LIMIT sets are
-compared pair by pair; larger ones first compare all sets with one hub, end
-there if all are clearly like the hub, and are split again otherwise. Runs are
-repeated until the chance to miss a pair at the threshold is below 1 - RECALL.
-Every pair found is verified on the whole sets, exactly.
+compared pair by pair. A larger one is split again, or ends there if its sets are
+on average like one of them, so that splitting would not lessen the pairs to
+compare. Runs are repeated until the chance to miss a pair at the threshold is
+below 1 - RECALL. Every pair found is verified on the whole sets, exactly.
+
+The large buckets that end are compared whole, but no pair twice: each set has
+one home, the largest such bucket that it is in, and homes that meet in a bucket
+are compared with one another, block against block. Their links are counted in
+the tasks, one number a set and block, and only a spanning forest is listed.
 
 No bucket is gathered into one task unless it is small: counts, hubs and joins
 by path are aggregates and joins that Spark can combine early and split.
 """
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 
@@ -32,7 +38,7 @@ LIMIT = 24
 ROOT_SLOTS = 2  # slots that a run's root splits by
 DEPTH = 8  # levels of a run at most; by then sets in a bucket agree in 8 tokens
 MARGIN = 0.15  # an estimate from SLOTS tokens is off by less (three standard deviations)
-SURE = 0.9  # an estimate that leaves no doubt
+BLOCK, BLOCK_SIZE = 256, 1 << 19  # sets, and n-grams of sets, that a block of a home has on average at most
 _C = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -199,8 +205,8 @@ def _with_hub(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(like)], ["path", "c", "sketch", "hub", "like"])
 
 
-def candidates(classes: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, limit: int = LIMIT) -> DataFrame:
-    """Pairs (a < b) of class keys that may reach the threshold."""
+def candidates(classes: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, limit: int = LIMIT) -> tuple[DataFrame, DataFrame]:
+    """(pairs (a < b) of class keys that may reach the threshold, buckets to compare whole as rows of path, c, n)."""
     spark = classes.sparkSession
     least = threshold - MARGIN
     runs = runs_needed(threshold, recall)
@@ -208,8 +214,8 @@ def candidates(classes: DataFrame, threshold: float = THRESHOLD, recall: float =
     shared = materialise(rows.groupBy("path").count().filter("count > 1"), "paths")
     rows = materialise(rows, "rows").join(shared, "path").select("path", "c", F.col("count").alias("n"))
     level = materialise(rows.join(classes.select("c", "sketch"), "c").select("path", "c", "sketch", "n"), "level")
-    found = []
-    hub = F.min(F.struct(F.xxhash64("c").alias("o"), "c", "sketch")).alias("h")
+    found, whole = [], [spark.createDataFrame([], "path long, c binary, n long")]
+    hub = F.min(F.struct(F.xxhash64("path", "c").alias("o"), "c", "sketch")).alias("h")
     small, large = level.filter(F.col("n") <= limit), level.filter(F.col("n") > limit)
     hubs = materialise(large.groupBy("path").agg(hub).select("path", F.col("h.c").alias("hub"), F.col("h.sketch").alias("hub_sketch")), "hubs")
     for _ in range(DEPTH):
@@ -219,10 +225,10 @@ def candidates(classes: DataFrame, threshold: float = THRESHOLD, recall: float =
             break
         like = large.join(hubs, "path").select("path", "c", "sketch", "hub", "hub_sketch")
         like = materialise(like.mapInArrow(_with_hub, "path long, c binary, sketch binary, hub binary, like double"), "like")
-        star = like.filter((F.col("like") >= least) & (F.col("c") != F.col("hub")))
-        found.append(materialise(star.select(F.least("c", "hub").alias("a"), F.greatest("c", "hub").alias("b")).distinct(), "stars"))
-        mixed = materialise(like.groupBy("path").agg(F.min("like").alias("low")).filter(F.col("low") < SURE).select("path"), "mixed")
-        next_rows = like.join(mixed, "path").select("path", "c", "sketch").mapInArrow(_children(threshold), "path long, c binary, sketch binary")
+        ends = F.avg("like") >= least
+        kinds = materialise(like.groupBy("path").agg(F.count("*").alias("n"), ends.alias("ends")), "kinds")
+        whole.append(like.join(kinds.filter("ends"), "path").select("path", "c", "n"))
+        next_rows = like.join(kinds.filter("not ends").select("path"), "path").select("path", "c", "sketch").mapInArrow(_children(threshold), "path long, c binary, sketch binary")
         large = materialise(next_rows, "children")
         # sizes and hubs from one aggregate, so that every set is joined with its bucket once
         shared = large.groupBy("path").agg(F.count("*").alias("n"), hub).filter("n > 1")
@@ -230,10 +236,94 @@ def candidates(classes: DataFrame, threshold: float = THRESHOLD, recall: float =
         shared = materialise(shared.select("path", "n", *of_large), "paths")
         hubs = shared.filter(F.col("n") > limit).select("path", "hub", "hub_sketch")
         small = large.join(shared.filter(F.col("n") <= limit).select("path"), "path")
-    out = found[0]
-    for f in found[1:]:
-        out = out.unionByName(f)
-    return out.distinct() if found else spark.createDataFrame([], "a binary, b binary")
+    return functools.reduce(DataFrame.unionByName, found).distinct(), materialise(functools.reduce(DataFrame.unionByName, whole), "whole")
+
+
+def homes(whole: DataFrame, classes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(c, home, block and number of blocks of each set in buckets to compare whole; pairs home <= other that meet)."""
+    own = whole.groupBy("c").agg(F.max(F.struct("n", "path")).alias("h")).select("c", F.col("h.path").alias("home"))
+    own = materialise(own.join(classes.select("c", "size"), "c"), "homes")
+    parts = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("size") / BLOCK_SIZE)).cast("int")
+    sizes = own.groupBy("home").agg(parts.alias("blocks"))
+    dealt = materialise(own.join(sizes, "home").select("c", "home", "blocks", F.pmod(F.xxhash64("home", "c"), "blocks").cast("int").alias("block")), "blocks")
+    at = materialise(whole.join(own, "c").select("path", "home").distinct(), "meetings")
+    meet = at.join(at.withColumnRenamed("home", "other"), "path").filter("home <= other").select("home", "other").distinct()
+    return dealt, materialise(meet, "met")
+
+
+def _set_rows(gram: int):
+    """Texts to their sets, as bytes of sorted hashes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = byte_rows(batch.column(0))
+            for i, j in blocks(np.array([len(r) for r in rows])):
+                sets, first = shingle_sets(rows[i:j], gram)
+                got = [sets[a:b].tobytes() for a, b in zip(first[:-1], first[1:], strict=True)]
+                part = batch.slice(i, j - i)
+                yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(got, pa.binary())], [*part.schema.names[1:], "s"])
+
+    return run
+
+
+def linked(sets: list[np.ndarray], split: int, threshold: float) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """(links of each set, spanning forest): sets before `split` against those after, or all against all if it is 0."""
+    n = len(sets)
+    size = np.array([len(x) for x in sets])
+    first = np.append(0, np.cumsum(size))
+    kinds, at = np.unique(np.concatenate(sets), return_inverse=True)
+    mark, degree, label, forest = np.zeros(len(kinds), np.int32), np.zeros(n, np.int64), np.arange(n), []
+    for k in range(split or n):
+        lo = split or k + 1
+        if lo == n:
+            break
+        own = at[first[k] : first[k + 1]]
+        mark[own] = 1
+        both = np.add.reduceat(mark[at[first[lo] :]], first[lo:-1] - first[lo])
+        mark[own] = 0
+        hits = np.flatnonzero((both > 0) & (both / (size[k] + size[lo:] - both) >= threshold)) + lo
+        degree[k] += len(hits)
+        degree[hits] += 1
+        new, one = np.unique(label[hits], return_index=True)
+        apart = new != label[k]
+        if apart.any():
+            forest += [(k, int(hits[m])) for m in one[apart]]
+            label[np.isin(label, new)] = label[k]
+    return degree, forest
+
+
+def _cell(threshold: float):
+    """Links between two blocks, or within one: (a, null, number of its links) and (a, b, null) of a spanning forest."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("side")
+        side, c = table["side"].to_numpy(), table["c"].to_pylist()
+        within = table["home"][0] == table["other"][0] and table["i"][0] == table["j"][0]
+        split = 0 if within else int(np.searchsorted(side, 1))
+        out = [[], [], []]
+        if within or 0 < split < len(c):
+            degree, forest = linked([np.frombuffer(x, np.uint64) for x in table["s"].to_pylist()], split, threshold)
+            own = np.flatnonzero(degree).tolist()
+            ends = [sorted((c[k], c[m])) for k, m in forest]
+            out = [[c[k] for k in own] + [a for a, _ in ends], [None] * len(own) + [b for _, b in ends], [int(degree[k]) for k in own] + [None] * len(ends)]
+        return pa.table({"a": pa.array(out[0], pa.binary()), "b": pa.array(out[1], pa.binary()), "n": pa.array(out[2], pa.int64())})
+
+    return run
+
+
+def block_links(dealt: DataFrame, meet: DataFrame, texts: DataFrame, threshold: float = THRESHOLD, gram: int = GRAM) -> DataFrame:
+    """Links of all sets of homes that meet, each found in one pair of blocks; rows as from _cell."""
+    sets = texts.join(dealt, "c").select("t", "c", "home", "block")
+    sets = materialise(sets.mapInArrow(_set_rows(gram), "c binary, home long, block int, s binary"), "sets")
+    count = dealt.select("home", "blocks").distinct()
+    cells = meet.join(count, "home").join(count.withColumnsRenamed({"home": "other", "blocks": "others"}), "other")
+    upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    cells = cells.withColumn("i", upto("blocks")).withColumn("j", upto("others")).filter("home < other or i <= j").select("home", "other", "i", "j")
+    left = cells.select("*", F.lit(0).alias("side"), F.col("home").alias("h"), F.col("i").alias("block"))
+    right = cells.filter("home < other or i < j").select("*", F.lit(1).alias("side"), F.col("other").alias("h"), F.col("j").alias("block"))
+    members = materialise(left.union(right), "members")
+    rows = sets.withColumnRenamed("home", "h").join(members, ["h", "block"]).select("home", "other", "i", "j", "side", "c", "s")
+    return materialise(rows.groupBy("home", "other", "i", "j").applyInArrow(_cell(threshold), "a binary, b binary, n long"), "block-links")
 
 
 def _verified(threshold: float, gram: int):
@@ -259,15 +349,18 @@ def _verified(threshold: float, gram: int):
     return run
 
 
-def verify(pairs: DataFrame, docs: DataFrame, table: DataFrame, threshold: float = THRESHOLD, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Pairs whose whole sets reach the threshold, with their Jaccard similarity."""
-    needed = pairs.select(F.col("a").alias("c")).union(pairs.select(F.col("b").alias("c"))).distinct()
+def class_texts(needed: DataFrame, docs: DataFrame, table: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """c and a text t of each class of `needed`."""
     reps = table.groupBy("c").agg(F.min(F.struct("doc_id", "t1", "t2")).alias("r")).join(needed, "c")
     reps = reps.select("c", "r.doc_id", "r.t1", "r.t2")
     rows = docs.select(F.col(id_col).alias("d"), text_bytes(text_col).alias("t"))
     rows = rows.select("d", "t", F.xxhash64("t").alias("x1"), F.xxhash64(F.lit(1), "t").alias("x2"))
     own = F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("x1") == F.col("t1")) & (F.col("x2") == F.col("t2"))
-    texts = materialise(rows.join(reps, own).groupBy("c").agg(F.first("t").alias("t")), "texts")
+    return materialise(rows.join(reps, own).groupBy("c").agg(F.first("t").alias("t")), "texts")
+
+
+def verify(pairs: DataFrame, texts: DataFrame, threshold: float = THRESHOLD, gram: int = GRAM) -> DataFrame:
+    """Pairs whose whole sets reach the threshold, with their Jaccard similarity."""
     both = pairs.join(texts.withColumnsRenamed({"c": "a", "t": "ta"}), "a").join(texts.withColumnsRenamed({"c": "b", "t": "tb"}), "b")
     return materialise(both.select("a", "b", "ta", "tb").mapInArrow(_verified(threshold, gram), "a binary, b binary, jaccard double"), "links")
 
@@ -288,13 +381,25 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def join(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, gram: int = GRAM, limit: int = LIMIT, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(table with the group key `g` of each document row, verified links between classes)."""
+    """(table with the group key `g` of each document row; number of links n_links of each class c that has any)."""
     table = sketch_table(docs, id_col, text_col, gram)
-    classes = materialise(table.filter("size > 0").groupBy("c").agg(F.first("sketch").alias("sketch")), "classes")
-    links = verify(candidates(classes, threshold, recall, limit), docs, table, threshold, gram, id_col, text_col)
-    labels = components(links).withColumnsRenamed({"node": "c", "label": "g"})
+    classes = materialise(table.filter("size > 0").groupBy("c").agg(F.first("sketch").alias("sketch"), F.first("size").alias("size")), "classes")
+    pairs, whole = candidates(classes, threshold, recall, limit)
+    dealt, meet = homes(whole, classes)
+    # pairs of homes that meet are counted block by block
+    of = lambda end: dealt.select(F.col("c").alias(end), F.col("home").alias(f"h{end}"))
+    pairs = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left")
+    same = (F.least("ha", "hb") == F.col("home")) & (F.greatest("ha", "hb") == F.col("other")) & F.col("ha").isNotNull() & F.col("hb").isNotNull()
+    pairs = materialise(pairs.join(meet, same, "left_anti").select("a", "b"), "candidates")
+    needed = pairs.select(F.col("a").alias("c")).union(pairs.select("b")).union(dealt.select("c")).distinct()
+    texts = class_texts(needed, docs, table, id_col, text_col)
+    links, more = verify(pairs, texts, threshold, gram), block_links(dealt, meet, texts, threshold, gram)
+    labels = components(links.select("a", "b").union(more.filter("b is not null").select("a", "b"))).withColumnsRenamed({"node": "c", "label": "g"})
+    one = F.lit(1).cast("long").alias("n")
+    ends = links.select(F.col("a").alias("c"), one).unionAll(links.select("b", one)).unionAll(more.filter("b is null").select("a", "n"))
+    degree = materialise(ends.groupBy("c").agg(F.sum("n").alias("n_links")), "degrees")
     rows = table.drop("sketch").join(labels, "c", "left")
-    return materialise(rows.withColumn("g", F.coalesce("g", "c")), "groups"), links
+    return materialise(rows.withColumn("g", F.coalesce("g", "c")), "groups"), degree
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -302,15 +407,12 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float
 
     class_id: the least id among texts of the same set of n-grams; group_id: the
     least id among all texts linked to it, directly or through others; n_links:
-    links that its class has to other classes. In a bucket of sets that are all
-    like its hub, links are kept as the star around the hub, so no group of
-    near copies grows quadratically. Texts without words equal only the very
+    links that its class has to other classes, counted without listing those of
+    large groups. Texts without words equal only the very
     same text; repeated rows share a class; null ids are ignored in minima (a
     group of null ids alone has null); other columns are ignored.
     """
-    rows, links = join(docs, threshold, recall, id_col=id_col, text_col=text_col)
-    ends = links.select(F.col("a").alias("c")).unionAll(links.select(F.col("b").alias("c")))
-    degree = materialise(ends.groupBy("c").agg(F.count("*").alias("n_links")), "degrees")
+    rows, degree = join(docs, threshold, recall, id_col=id_col, text_col=text_col)
     classes = materialise(rows.groupBy("c").agg(F.min("doc_id").alias("class_id")), "class-ids")
     groups = materialise(rows.groupBy("g").agg(F.min("doc_id").alias("group_id")), "group-ids")
     out = rows.join(classes, "c").join(groups, "g").join(degree, "c", "left")

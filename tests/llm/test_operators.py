@@ -175,6 +175,33 @@ def test_near_duplicates(spark, docs, none):
     assert chosenpath.near_duplicates(none).count() == 0 and chosenpath.one_of_each(none).count() == 0
 
 
+def variants(n, edits, seed=7):
+    """Copies of one text of 400 words with some words changed each, and their true links and groups."""
+    rng = random.Random(seed)
+    base, rows = ["w" + str(rng.randrange(10**6)) for _ in range(400)], []
+    for i in range(n):
+        w = list(base)
+        for k in rng.sample(range(400), edits[i % len(edits)]):
+            w[k] = "zz" + str(rng.randrange(10**9))
+        rows.append((i, " ".join(w), "en", "s", 1, "c", "c", "c"))
+    sets, first = chosenpath.shingle_sets([raw(r[1]) for r in rows])
+    s = [frozenset(sets[a:b].tolist()) for a, b in zip(first[:-1], first[1:], strict=True)]
+    near = np.array([[i != j and len(x & y) >= 0.8 * len(x | y) for j, y in enumerate(s)] for i, x in enumerate(s)])
+    group = np.arange(n)
+    while True:
+        least = np.minimum(group, np.where(near, group, n).min(1))
+        if (least == group).all():
+            return rows, near.sum(1), group.tolist()
+        group = least
+
+
+def test_links_of_a_large_group(spark):
+    rows, degree, group = variants(300, (1,))
+    got = {r.doc_id: r for r in chosenpath.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert [got[i].n_links for i in range(300)] == degree.tolist()
+    assert [got[i].group_id for i in range(300)] == group
+
+
 def test_kneser_ney(docs, none):
     rows = [(r[0], raw(r[1]).decode()) for r in awkward()]
     cut = lambda t: re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m.group().lower(), t)) + ["</s>"]
