@@ -36,7 +36,7 @@ RECALL = 0.99
 SLOTS = 64
 LIMIT = 24
 ROOT_SLOTS = 2  # slots that a run's root splits by
-DEPTH = 8  # levels of a run at most; by then sets in a bucket agree in 8 tokens
+DEPTH = 8  # levels of a run at most; by then sets in a bucket agree in 8 tokens, and all large ones are compared whole
 MARGIN = 0.15  # an estimate from SLOTS tokens is off by less (three standard deviations)
 BLOCK, BLOCK_SIZE = 256, 1 << 19  # sets, and n-grams of sets, that a block of a home has on average at most
 _C = np.uint64(0x9E3779B97F4A7C15)
@@ -218,16 +218,18 @@ def candidates(classes: DataFrame, threshold: float = THRESHOLD, recall: float =
     hub = F.min(F.struct(F.xxhash64("path", "c").alias("o"), "c", "sketch")).alias("h")
     small, large = level.filter(F.col("n") <= limit), level.filter(F.col("n") > limit)
     hubs = materialise(large.groupBy("path").agg(hub).select("path", F.col("h.c").alias("hub"), F.col("h.sketch").alias("hub_sketch")), "hubs")
-    for _ in range(DEPTH):
+    for depth in range(DEPTH):
         small = small.select("path", "c", "sketch").repartition("path").sortWithinPartitions("path")
         found.append(materialise(small.mapInArrow(_brute_force(least), "a binary, b binary").distinct(), "pairs"))
         if hubs.isEmpty():
             break
         like = large.join(hubs, "path").select("path", "c", "sketch", "hub", "hub_sketch")
         like = materialise(like.mapInArrow(_with_hub, "path long, c binary, sketch binary, hub binary, like double"), "like")
-        ends = F.avg("like") >= least
+        ends = F.lit(True) if depth == DEPTH - 1 else F.avg("like") >= least
         kinds = materialise(like.groupBy("path").agg(F.count("*").alias("n"), ends.alias("ends")), "kinds")
         whole.append(like.join(kinds.filter("ends"), "path").select("path", "c", "n"))
+        if depth == DEPTH - 1:
+            break
         next_rows = like.join(kinds.filter("not ends").select("path"), "path").select("path", "c", "sketch").mapInArrow(_children(threshold), "path long, c binary, sketch binary")
         large = materialise(next_rows, "children")
         # sizes and hubs from one aggregate, so that every set is joined with its bucket once

@@ -202,6 +202,22 @@ def test_links_of_a_large_group(spark):
     assert [got[i].group_id for i in range(300)] == group
 
 
+def test_links_of_a_group_around_the_threshold(spark):
+    rows, degree, group = variants(400, (4, 5, 5, 6))
+    got = {r.doc_id: r for r in chosenpath.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert all(got[i].n_links <= degree[i] for i in range(400)) and sum(r.n_links for r in got.values()) >= 0.99 * degree.sum()
+    assert [got[i].group_id for i in range(400)] == group
+
+
+def test_large_mixed_buckets(spark, monkeypatch):
+    """Buckets that are still large and mixed at the last level lose no link."""
+    monkeypatch.setattr(chosenpath, "MARGIN", -1.0)  # no bucket counts as alike
+    monkeypatch.setattr(chosenpath, "_brute_force", lambda least, f=chosenpath._brute_force: f(0.65))
+    rows, degree, group = variants(120, (1,))
+    got = {r.doc_id: r for r in chosenpath.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert [got[i].n_links for i in range(120)] == degree.tolist() and [got[i].group_id for i in range(120)] == group
+
+
 def test_kneser_ney(docs, none):
     rows = [(r[0], raw(r[1]).decode()) for r in awkward()]
     cut = lambda t: re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m.group().lower(), t)) + ["</s>"]
