@@ -135,8 +135,9 @@ def collision_free(new: DataFrame, existing: DataFrame, order: str, name: str =
     """Adds `target`: the name, or its first free "stem (k)" from k = 2, in order of the rows.
 
     The k-th free number is found from the sorted taken numbers alone. Past 999
-    the stem gets `stamp`. Rows that ask for a name already of the form
-    "stem (k)" are held against existing names only.
+    the stem gets `stamp`, and from the second such row on `stamp` and its first
+    free number from 2; names that exist or are asked for are passed over. Rows that
+    ask for a name already of the form "stem (k)" are held against existing names only.
     """
     stem, ext = split_path(F.col(name))
     taken = existing.select(name).distinct()
@@ -148,8 +149,18 @@ def collision_free(new: DataFrame, existing: DataFrame, order: str, name: str =
     nth = F.col("__n") - F.when(F.col("__there"), 0).otherwise(1)  # 0: the plain name is free
     slot = F.aggregate(F.filter(F.coalesce("__taken", F.array().cast("array<int>")), lambda x: x >= 2), nth + 1, lambda s, t: F.when(t <= s, s + 1).otherwise(s))
     numbered = F.concat(stem, F.lit(" ("), slot.cast("string"), F.lit(")"), ext)
-    late = F.concat(stem, F.lit("."), F.lit(stamp), ext)
-    return rows.withColumn("target", F.when(nth == 0, F.col(name)).when(slot <= 999, numbered).otherwise(late)).drop("__n", "__there", "__base", "__taken")
+    # names that look stamped, read with and without a suffix; the bare stamp counts as 1
+    known = taken.union(new.select(name)).distinct()
+    parts = [rf"^(.*)\.{re.escape(stamp)}(?:-([2-9]|[1-9]\d{{1,8}}))?({suffix})$" for suffix in (r"\.[^.]+", "")]
+    stamped = [known.filter(F.col(name).rlike(p)).select(F.concat(*[F.regexp_extract(name, p, g) for g in (1, 3)]).alias("__of"), F.regexp_extract(name, p, 2).alias("__m")) for p in parts]
+    number = F.when(F.col("__m") == "", 1).otherwise(F.expr("try_cast(__m AS int)"))
+    used = stamped[0].union(stamped[1]).groupBy("__of").agg(F.array_sort(F.collect_set(number)).alias("__used"))
+    rows = rows.join(used, F.col(name) == F.col("__of"), "left")
+    past = nth - 998 + F.size(F.filter(F.coalesce("__taken", F.array().cast("array<int>")), lambda x: x >= 2))
+    m = F.aggregate(F.coalesce("__used", F.array().cast("array<int>")), past, lambda s, t: F.when(t <= s, s + 1).otherwise(s))
+    late = F.concat(stem, F.lit("."), F.lit(stamp), F.when(m == 1, "").otherwise(F.concat(F.lit("-"), m.cast("string"))), ext)
+    target = F.when(nth == 0, F.col(name)).when(slot <= 999, numbered).otherwise(late)
+    return rows.withColumn("target", target).drop("__n", "__there", "__base", "__taken", "__of", "__used")
 
 
 def suggest(files: DataFrame, only: str = "", as_roc: bool = True) -> DataFrame:

@@ -48,6 +48,17 @@ def test_collisions(spark):
     assert [r.target for r in names.collision_free(new, old, "i").orderBy("i").collect()] == ["x (3).pdf", "x (4).pdf", "y", "y (3)"]
 
 
+def test_collisions_past_999(spark):
+    new = spark.range(1, 2501).select("id", F.lit("x.pdf").alias("name")).union(spark.createDataFrame([(2501, "x.0-3.pdf"), (2502, "y")], "id long, name string"))
+    old = spark.createDataFrame([("x.pdf",), ("x (7).pdf",), ("x.0.pdf",), ("x.0-2.pdf",), ("x.0-5.pdf",)], "name string")
+    got = {r.id: r.target for r in names.collision_free(new, old, "id").collect()}
+    assert len(got) == len(set(got.values())) == 2502 and not set(got.values()) & {r.name for r in old.collect()}
+    assert got[997] == "x (999).pdf" and got[998] == "x.0-4.pdf" and got[999] == "x.0-6.pdf" and got[2501] == "x.0-3.pdf"
+    plan = spark.range(3000).select("id", F.concat(F.lit("f"), F.col("id").cast("string")).alias("name"), F.lit("new.pdf").alias("wanted"))
+    moved = [r.target for r in names.apply_plan(plan, plan.select("name"), "id").collect()]
+    assert len(set(moved)) == 3000 and {"new.pdf", "new (999).pdf", "new.0.pdf", "new.0-2.pdf"} <= set(moved)
+
+
 def test_page_orders(spark):
     a = F.array(F.lit("a"), F.lit("b"))
     for order, want in (([1, 0], ["b", "a"]), ([0, 0], None), ([0], None), ([0, 2], None)):
