@@ -1,8 +1,6 @@
 """Queries over responses, chat texts, page arrays, document blocks, sessions and streams."""
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..functions import arrays as A
@@ -11,15 +9,11 @@ from ..functions import responses as R
 from ..operators import contacts as C
 from ..sources import catalog as S
 from ..sources import tables as T
+from ..sources.shared import scratch
 from ..streaming import sessions as I
 from .base import query
 
 
-def _folder(spark, what: str) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/spark-streams"
-    return f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
-
-
 def _responses(spark, d):
     i = F.col("doc_id")
     full = F.format_string('{"doc_type": "report", "subject": "S %s", "body": "a, }b", "filename": "f%s.pdf", "confidence": 0.%s}', i, i, i % 9)
@@ -193,19 +187,19 @@ def _stream(spark, d, name):
 @query("i1_session_stream", "SELECT event_id FROM events")
 def _(spark, d):
     e = _stream(spark, d, "events").select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"), F.lit("awaiting_contact").alias("target_state"))
-    return I.run_to_table(I.fold_stream(e), _folder(spark, "sessions")).select("event_id")
+    return I.run_to_table(I.fold_stream(e), scratch(spark, "sessions")).select("event_id")
 
 
 @query("i6_stream_counts", "SELECT CAST(event_type AS VARCHAR) AS event_type, count(*) AS n FROM events GROUP BY 1")
 def _(spark, d):
-    return I.merge_counts(_stream(spark, d, "events").select("event_type"), "event_type", _folder(spark, "counts"))
+    return I.merge_counts(_stream(spark, d, "events").select("event_type"), "event_type", scratch(spark, "counts"))
 
 
 @query("i9_stream_usage", "SELECT c.id, c.frequency + coalesce(n, 0) AS frequency FROM contacts c LEFT JOIN (SELECT contact_id, count(*) AS n FROM usage_events GROUP BY 1) u ON u.contact_id = c.id", "contacts", "usage_events")
 def _(spark, d):
     total = T.table(spark, d, "customer").count()
     e = _stream(spark, d, "events").filter("event_type = 'purchase'").select((F.col("event_id") % total).alias("contact_id"))
-    n = I.merge_counts(e, "contact_id", _folder(spark, "usage"))
+    n = I.merge_counts(e, "contact_id", scratch(spark, "usage"))
     out = T.contacts(spark, d).join(n, F.col("id") == F.col("contact_id"), "left")
     return out.select("id", (F.col("frequency") + F.coalesce("n", F.lit(0))).alias("frequency"))
 
@@ -235,7 +229,7 @@ def _(spark, d):
 
 @query("a4_history_sink", "SELECT user_id, count(*) AS n FROM send_history WHERE id % 3 <> 0 GROUP BY 1", "send_history")
 def _(spark, d):
-    path = _folder(spark, "history")
+    path = scratch(spark, "history")
     S.append_history(T.send_history(spark, d).select("id", "user_id", (F.col("id") % 3 != 0).alias("success")), path)
     return spark.read.parquet(path).groupBy("user_id").agg(F.count("*").alias("n"))
 
