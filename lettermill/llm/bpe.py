@@ -19,15 +19,17 @@ import public_tokenizers
 import regex
 from pyspark.sql import DataFrame
 
-from .common import blocks, byte_rows, text_bytes
+from .common import blocks, row_blocks, task, text_bytes
+from .wordids import KNOWN_UNITS, UnitIds
 
-CACHE_ENTRIES = 400_000  # words kept by a worker; a full cache is emptied
-ENCODE_BYTES = 32 << 20  # texts encoded together
+ENCODE_BYTES = 4 << 20  # texts encoded together
+MERGE_BYTES = 1 << 20  # bytes of new pre-tokens that share a queue; a longer one has its own
+LOOKUP = 1 << 18  # pairs looked up at once
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 _LEAF = 8  # bits of a rank that select within a leaf of the bitmap
 
 
-@lru_cache(maxsize=4)
+@lru_cache(maxsize=1)
 def load_ranks(path: str) -> dict[bytes, int]:
     with open(path, "rb") as f:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
@@ -129,7 +131,7 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
-@lru_cache(maxsize=4)
+@lru_cache(maxsize=1)
 def pair_table(path: str) -> tuple[np.ndarray, np.ndarray]:
     """Sorted keys (left id * 2^32 + right id) of all pairs that merge, and the merged ids."""
     ranks = load_ranks(path)
@@ -157,14 +159,15 @@ def merge_many(pieces: list[bytes], path: str) -> list[np.ndarray]:
     keys, merged = pair_table(path)
     data = np.frombuffer(b"".join(pieces), np.uint8)
     n = len(data)
+    at_kind = np.int32 if n < 1 << 30 else np.int64
     lengths = np.array([len(p) for p in pieces], np.int64)
     stop = np.cumsum(lengths)
-    byte_id = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
-    tok = np.append(byte_id[data], -1)  # the id of the symbol that starts here, -1: none
-    owner = np.repeat(np.arange(len(pieces)), lengths)
-    limit = np.append(stop[owner], 0) if n else np.zeros(1, np.int64)
-    nxt = np.arange(1, n + 2)
-    prv = np.arange(-1, n)
+    byte_id = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
+    tok = np.append(byte_id[data], np.int32(-1))  # the id of the symbol that starts here, -1: none
+    owner = np.repeat(np.arange(len(pieces), dtype=np.int32), lengths)
+    limit = np.append(stop.astype(at_kind)[owner], at_kind(0)) if n else np.zeros(1, at_kind)
+    nxt = np.arange(1, n + 2, dtype=at_kind)
+    prv = np.arange(-1, n, dtype=at_kind)
     first = np.zeros(n + 1, bool)
     first[stop - lengths] = True
 
@@ -172,11 +175,12 @@ def merge_many(pieces: list[bytes], path: str) -> list[np.ndarray]:
         """The rank of the pair that starts at each position, -1: none."""
         right = nxt[at]
         ok = right < limit[at]
-        key = tok[at] << 32 | tok[np.where(ok, right, n)]
+        key = tok[at].astype(np.int64) << 32 | tok[np.where(ok, right, n)]
         i = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
-        return np.where(ok & (keys[i] == key), merged[i], -1)
+        return np.where(ok & (keys[i] == key), merged[i], np.int32(-1))
 
-    pair = np.append(pairs(np.arange(n)), -1)
+    # in pieces, so that what a lookup needs besides stays small
+    pair = np.concatenate([np.full(0, -1, np.int32), *(pairs(np.arange(a, min(a + LOOKUP, n))) for a in range(0, n, LOOKUP)), np.full(1, -1, np.int32)])
     queue = RankQueue()
     live = np.flatnonzero(pair[:-1] >= 0)
     order = live[np.argsort(pair[live], kind="stable")]
@@ -222,114 +226,74 @@ def merge_many(pieces: list[bytes], path: str) -> list[np.ndarray]:
     return out
 
 
-class Encoder(dict):
-    """Words to packed ids. A word is a run without blanks, with the blank before it.
+class Encoder(UnitIds):
+    """Texts to packed ids and back; units are split by the pattern, and each distinct pre-token is merged once in a block."""
 
-    A token never crosses the blank before a character that is no white space,
-    so such words can be encoded, and remembered, one by one.
-    """
-
-    def __init__(self, path: str, pattern: str = public_tokenizers.PATTERN, entries: int = CACHE_ENTRIES) -> None:
-        super().__init__()
-        self.path, self.entries = path, entries
+    def __init__(self, path: str, pattern: str = public_tokenizers.PATTERN, most: int = KNOWN_UNITS) -> None:
+        super().__init__(self._merged, most=most, block=ENCODE_BYTES)
+        self.path = path
         self.split = regex.compile(pattern).findall
-        self.cut = regex.compile(r"(?<=\S)(?= \S)").split
-        ranks = load_ranks(path)
-        self.table = [b""] * (max(ranks.values()) + 1)
-        for k, v in ranks.items():
+        self.ranks = load_ranks(path)
+        size = max(self.ranks.values()) + 1
+        self.table = [b""] * size
+        for k, v in self.ranks.items():
             self.table[v] = k
 
-    def words(self, text: str) -> list[str]:
-        if not text:
-            return []
-        parts = text.split(" ")
-        if all(map(_plain, parts)):
-            return parts[:1] + [" " + p for p in parts[1:]]
-        return self.cut(text)
-
-    def encode_all(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers."""
-        rows = [self.words(t) for t in texts]
-        if len(self) >= self.entries:
-            self.clear()
-        new = set()
-        for row in rows:
-            new.update(row)
-        new = list(new.difference(self))
-        pieces = [self.split(w) for w in new]
+    def _merged(self, units: list[bytes]) -> list[np.ndarray]:
+        rows = [self.split(u.decode("utf-8", "replace")) for u in units]
         index: dict[str, int] = {}
-        for row in pieces:
-            for p in row:
-                index.setdefault(p, len(index))
-        packed = [x.tobytes() for x in merge_many([p.encode() for p in index], self.path)] if index else []
-        for w, row in zip(new, pieces, strict=True):
-            self[w] = packed[index[row[0]]] if len(row) == 1 else b"".join([packed[index[p]] for p in row])
-        out = [b"".join(map(self.__getitem__, row)) for row in rows]
-        for w in new:
-            if len(w) > 64:
-                del self[w]
-        return out
-
-    def encode(self, text: str) -> bytes:
-        return self.encode_all([text])[0]
+        for row in rows:
+            for piece in row:
+                index.setdefault(piece, len(index))
+        pieces = [p.encode() for p in index]
+        ids: list[np.ndarray] = []
+        for i, j in blocks(np.array([len(p) for p in pieces], np.int64), MERGE_BYTES):
+            ids += merge_many(pieces[i:j], self.path)
+        return [ids[index[row[0]]] if len(row) == 1 else np.concatenate([ids[index[p]] for p in row]) for row in rows]
 
     def decode(self, packed: bytes) -> bytes:
         return b"".join(map(self.table.__getitem__, np.frombuffer(packed, "<u4").tolist()))
 
 
-def _plain(part: str) -> bool:
-    return bool(part) and not part[0].isspace() and not part[-1].isspace()
-
-
-_encoders: dict[str, Encoder] = {}
-
-
-def encoder(path: str) -> Encoder:
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
-
-
-def _packed(path: str, batch: pa.RecordBatch) -> Iterator[tuple[int, list[bytes]]]:
-    """The batch's rows from an index on, encoded in blocks of bounded bytes."""
-    rows = byte_rows(batch.column(1))
-    for i, j in blocks(np.array([len(r) for r in rows]), ENCODE_BYTES):
-        yield i, encoder(path).encode_all([r.decode("utf-8", "replace") for r in rows[i:j]])
-
-
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The id and `ids` (array<int>): the tokens of every whole text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Encoder(path)
         for batch in batches:
-            for i, packed in _packed(path, batch):
+            for i, j, rows in row_blocks(batch.column(1), ENCODE_BYTES):
+                packed = own.encode_all(rows)
                 ids = pa.array([np.frombuffer(p, "<i4") for p in packed], pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, len(packed)), ids], ["doc_id", "ids"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), ids], ["doc_id", "ids"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(docs[id_col].alias("doc_id"), text_bytes(text_col).alias("t")).mapInArrow(run, f"doc_id {kind}, ids array<int>")
+    return docs.select(docs[id_col].alias("doc_id"), text_bytes(text_col).alias("t")).mapInArrow(task(run), f"doc_id {kind}, ids array<int>")
 
 
 def _digests(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Encoder(path)
         for batch in batches:
-            for i, packed in _packed(path, batch):
+            for i, j, rows in row_blocks(batch.column(1), ENCODE_BYTES):
+                packed = own.encode_all(rows)
                 n = [len(p) // 4 for p in packed]
                 ids = [hashlib.sha256(p).hexdigest() for p in packed]
-                back = [hashlib.sha256(encoder(path).decode(p)).hexdigest() for p in packed]
+                back = [hashlib.sha256(own.decode(p)).hexdigest() for p in packed]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(i, len(packed)), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(back, pa.string())],
+                    [batch.column(0).slice(i, j - i), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(back, pa.string())],
                     ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
                 )
 
-    return run
+    return task(run)
 
 
 def digests(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encodes and decodes every whole text; one row per input row.
 
-    Null and empty texts have no tokens (digests of the empty string); repeated
-    rows give repeated results; a null id stays null; other columns are ignored.
+    Null and empty texts have no tokens (digests of the empty string); a very
+    long text is encoded whole, in a block of its own; repeated rows give
+    repeated results; a null id stays null; other columns are ignored; an empty
+    table gives no rows.
     """
     path = path or public_tokenizers.path(VOCABULARY)
     kind = docs.schema[id_col].dataType.simpleString()

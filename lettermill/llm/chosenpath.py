@@ -90,13 +90,12 @@ def _class_keys(rows: list[bytes], sets: np.ndarray, first: np.ndarray) -> list[
 def _sketched(gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = byte_rows(batch.column(0))
-            for i, j in blocks(np.array([len(r) for r in rows])):
-                sets, first = shingle_sets(rows[i:j], gram)
+            for i, j, rows in row_blocks(batch.column(0)):
+                sets, first = shingle_sets(rows, gram)
                 part = batch.slice(i, j - i)
                 tokens = [x.tobytes() for x in sketches(sets, first)]
                 yield pa.RecordBatch.from_arrays(
-                    [*part.columns[1:], pa.array(_class_keys(rows[i:j], sets, first), pa.binary()), pa.array(np.diff(first), pa.int64()), pa.array(tokens, pa.binary())],
+                    [*part.columns[1:], pa.array(_class_keys(rows, sets, first), pa.binary()), pa.array(np.diff(first), pa.int64()), pa.array(tokens, pa.binary())],
                     [*part.schema.names[1:], "c", "size", "sketch"],
                 )
 

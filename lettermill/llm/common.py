@@ -1,15 +1,21 @@
 """Shared helpers: batch text access, vectorised word hashing, shared folders."""
 from __future__ import annotations
 
-import uuid
+import contextlib
+import ctypes
+import functools
+import gc
 from collections.abc import Iterator
 from urllib.parse import urlparse
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import scratch  # noqa: F401
+
 BLOCK_BYTES = 1 << 20
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 _MIX1 = np.uint64(0xBF58476D1CE4E5B9)
@@ -35,19 +41,6 @@ def held_out(doc_id: str = "doc_id", modulus: int = 5, remainder: int = 0) -> Co
     return F.coalesce(F.pmod(crc, F.lit(modulus)) == remainder, F.lit(False))
 
 
-def scratch(spark: SparkSession, what: str) -> str:
-    """A new folder that driver and executors share, below spark.checkpoint.dir."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = spark.sparkContext._conf.get("spark.checkpoint.dir", None)
-    if not base:  # tests on one machine
-        import tempfile
-
-        base = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
-
-
 def local_path(uri: str) -> str:
     """The path of a mounted shared folder; workers write plain files below it."""
     got = urlparse(uri)
@@ -81,21 +74,47 @@ def byte_rows(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.to_pylist()]
 
 
-_powers = np.ones(1, np.uint64), np.ones(1, np.uint64)
+def row_blocks(column: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[tuple[int, int, list[bytes]]]:
+    """(i, j, rows i to j as bytes) of at most `limit` bytes each; a longer row comes alone."""
+    lengths = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    for i, j in blocks(lengths, limit):
+        yield i, j, byte_rows(column.slice(i, j - i))
+
+
+def task(run):
+    """A function of batches that returns the memory it used to the system when its task ends.
+
+    Spark reuses Python workers, also for later stages of other operators.
+    """
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # where the C library has it
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return wrapped
+
+
+def _accumulated(base: int, n: int) -> np.ndarray:
+    p = np.full(n, base, np.uint64)
+    p[0] = 1
+    return np.multiply.accumulate(p)
+
+
+@functools.lru_cache(maxsize=1)
+def _kept_powers() -> tuple[np.ndarray, np.ndarray]:
+    return _accumulated(_BASE, BLOCK_BYTES // 4), _accumulated(_BASE_INV, BLOCK_BYTES // 4)
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The hash base's powers and inverse powers modulo 2^64, at least n of each."""
-    global _powers
-    if len(_powers[0]) < n:
-        n = max(n, 2 * len(_powers[0]))
-        out = []
-        for b in (_BASE, _BASE_INV):
-            p = np.full(n, b, np.uint64)
-            p[0] = 1
-            out.append(np.multiply.accumulate(p))
-        _powers = out[0], out[1]
-    return _powers
+    """The hash base's powers and inverse powers modulo 2^64, at least n of each; 4 MB of them are kept."""
+    if n <= BLOCK_BYTES // 4:
+        return _kept_powers()
+    return _accumulated(_BASE, n), _accumulated(_BASE_INV, n)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -109,7 +128,7 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     out = np.empty(len(starts), np.uint64)
     i = 0
     while i < len(starts):  # in bounded pieces, cut between spans
-        j = max(i + 1, int(np.searchsorted(ends, starts[i] + BLOCK_BYTES, "right")))
+        j = max(i + 1, int(np.searchsorted(ends, starts[i] + BLOCK_BYTES // 4 - 1, "right")))
         lo, hi = int(starts[i]), int(ends[j - 1])
         p, q = powers(hi - lo + 1)
         pre = np.empty(hi - lo + 1, np.uint64)
@@ -146,11 +165,11 @@ def spans(data: np.ndarray, is_word: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return np.flatnonzero(d == 1), np.flatnonzero(d == -1)
 
 
-def joined(rows: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """The rows with a blank after each, and where each row starts (one more entry: the end)."""
+def joined(rows: list[bytes], separator: bytes = b" ") -> tuple[np.ndarray, np.ndarray]:
+    """The rows with a separator after each, and where each row starts (one more entry: the end)."""
     at = np.zeros(len(rows) + 1, np.int64)
     np.cumsum([len(r) + 1 for r in rows], out=at[1:])
-    return np.frombuffer(b" ".join(rows) + b" ", np.uint8), at
+    return np.frombuffer(separator.join(rows) + separator, np.uint8), at
 
 
 def words(rows: list[bytes], is_word: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:

@@ -24,7 +24,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_TABLE, blocks, byte_rows, held_out, local_path, mix, scratch, text_bytes, words
+from .common import SPACE_TABLE, byte_rows, held_out, local_path, mix, row_blocks, scratch, task, text_bytes, words
 
 BUCKET_BYTES = 12 << 20  # training text of a bucket
 HOT_SHARE = 2_000  # a left word with a 2000th of the sampled words is spread
@@ -192,10 +192,9 @@ def _count(buckets: int, hot: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, size = [], 0
         for batch in batches:
-            rows = byte_rows(batch.column(0))
-            for i, j in blocks(np.array([len(r) for r in rows])):
-                parts.append(sequences(rows[i:j])[:2])
-                size += sum(map(len, rows[i:j]))
+            for _, _, rows in row_blocks(batch.column(0)):
+                parts.append(sequences(rows)[:2])
+                size += sum(map(len, rows))
                 if size >= COUNT_BYTES:
                     yield from flush(parts)
                     parts, size = [], 0
@@ -280,7 +279,7 @@ def train(texts: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> Model:
     size = texts.agg(F.sum(F.length("t") + 1)).first()[0] or 0
     buckets = max(1, -(-size // bucket_bytes))
     hot = np.unique(hot_words(texts))
-    blobs = texts.mapInArrow(_count(buckets, hot), "bucket int, blob binary")
+    blobs = texts.mapInArrow(task(_count(buckets, hot)), "bucket int, blob binary")
     rows = blobs.groupBy("bucket").applyInPandas(_reduce(folder, buckets, hot), META)
     meta = rows.groupBy("bucket").applyInPandas(_gather(folder), META).drop("blob").collect()  # a few lines per bucket
     high = [sum(r.n[k] for r in meta if r.kind == 0) for k in range(5)]
@@ -381,9 +380,8 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         scorer = Scorer(shared.value)
         m = shared.value
         for batch in batches:
-            rows = byte_rows(batch.column(1))
-            for i, j in blocks(np.array([len(r) for r in rows])):
-                left, right, row = sequences(rows[i:j])
+            for i, j, rows in row_blocks(batch.column(1)):
+                left, right, row = sequences(rows)
                 _, first, back = np.unique(pair_hash(left, right), return_index=True, return_inverse=True)
                 p, seen = scorer.log10(left[first], right[first])
                 base = np.log10((seen + 1) / (m.tokens + m.distinct + 1))
@@ -396,7 +394,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("doc_id"), text_bytes(text_col).alias("t"))
-    return rows.mapInArrow(run, f"doc_id {kind}, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return rows.mapInArrow(task(run), f"doc_id {kind}, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def perplexities(docs: DataFrame, modulus: int = 7, remainder: int = 2) -> DataFrame:

@@ -19,8 +19,8 @@ import public_tokenizers
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import blocks, byte_rows, text_bytes
-from .wordids import word_ids
+from .common import row_blocks, task, text_bytes
+from .wordids import TokenizerIds
 
 VOCABULARY = "byte_bpe_50k.json"
 TIERS = (1024, 512, 256, 128)  # context sizes, powers of two, longest first
@@ -121,7 +121,7 @@ SCHEMA = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id
 
 def _run(path: str, tiers: tuple[int, ...], step_tokens: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = word_ids(path)
+        ids = TokenizerIds(path)
         base = TaskContext.get().partitionId() << 33
         count, filled = 0, dict.fromkeys(tiers, 0)
         rest: dict[int, tuple[object, bytes]] = {}  # documents of which a part is carried
@@ -148,9 +148,9 @@ def _run(path: str, tiers: tuple[int, ...], step_tokens: int):
 
         for batch in batches:
             kind = batch.schema.field(0).type
-            rows, keys = byte_rows(batch.column(1)), batch.column(0).to_pylist()
-            for i, j in blocks(np.array([len(r) for r in rows]), PACK_BYTES):
-                packed = ids.encode_all([r.decode("utf-8", "replace") for r in rows[i:j]])
+            keys = batch.column(0).to_pylist()
+            for i, _, rows in row_blocks(batch.column(1), PACK_BYTES):
+                packed = ids.encode_all(rows)
                 docs = {k: v for k, v in enumerate(rest.values())}
                 moved = {old: k for k, old in enumerate(rest)}
                 first = len(docs)
@@ -165,7 +165,7 @@ def _run(path: str, tiers: tuple[int, ...], step_tokens: int):
             windows, _ = pack([(p.doc, p.start, p.length) for p in carried], tiers)
             yield emit(windows, rest)
 
-    return run
+    return task(run)
 
 
 def pack_documents(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", tiers: tuple[int, ...] = TIERS, step_tokens: int = STEP_TOKENS) -> DataFrame:

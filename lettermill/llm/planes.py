@@ -24,13 +24,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, byte_rows, scratch, text_bytes
-from .wordids import apart, bare_words, word_ids
+from .common import row_blocks, scratch, task, text_bytes
+from .wordids import TokenizerIds
 
 VOCABULARY = "word_bpe_49k.json"
 MAGIC = b"LMPLANE1"
 CHUNK = 65_536  # integers of a chunk
-FILE_BYTES = 8 << 20  # text bytes of a file, at least one document
+FILE_BYTES = 4 << 20  # text bytes of a file, at least one document
 TARGET_BYTES = 24 << 20  # text bytes of a range partition
 END_ID = 1
 _ENTRY = struct.Struct("<BBIQ8I")  # section, width, count, offset, plane lengths
@@ -91,13 +91,12 @@ FILES = "part int, number int, n_docs long, n_ids long, nulls binary, data binar
 
 def _writer(path: str, chunk: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, part, number = word_ids(path, bare_words), TaskContext.get().partitionId(), 0
+        ids, part, number = TokenizerIds(path, lower=True), TaskContext.get().partitionId(), 0
         end = np.array([END_ID], "<u4").tobytes()
         for batch in batches:
-            rows, keys = byte_rows(batch.column(1)), batch.column(0)
-            for i, j in blocks(np.array([len(r) for r in rows]), FILE_BYTES):
-                # the tokenizer folds case; doing so for ASCII first makes fewer different words
-                packed = ids.encode_all([r.decode("utf-8", "replace") for r in apart([r.lower() for r in rows[i:j]])])
+            keys = batch.column(0)
+            for i, j, rows in row_blocks(batch.column(1), FILE_BYTES):
+                packed = ids.encode_all(rows)  # the tokenizer folds case; doing so for ASCII first makes fewer units
                 lengths = np.array([len(p) // 4 + 1 for p in packed])
                 own = keys.slice(i, j - i)
                 nulls = np.packbits(own.is_null().to_numpy(zero_copy_only=False))
@@ -109,7 +108,7 @@ def _writer(path: str, chunk: int):
                 )
                 number += 1
 
-    return run
+    return task(run)
 
 
 def write_ids(docs: DataFrame, folder: str, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", partitions: int | None = None, chunk: int = CHUNK) -> None:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, byte_rows, held_out, text_bytes
+from .common import blocks, byte_rows, held_out, row_blocks, task, text_bytes
 from .features import bucketed, labelled_sample, shape_counts, style, term_counts  # noqa: F401
 
 SAMPLE_ROWS = 6_000  # labelled rows whose vectors vote, at most
@@ -107,7 +107,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     import pickle
 
     sample = labelled_sample(docs, labels, "quality", sample_rows).repartition(1)
-    got = sample.mapInArrow(run, "space binary").collect()
+    got = sample.mapInArrow(task(run), "space binary").collect()
     return pickle.loads(got[0].space) if got else fit([], np.zeros(0))
 
 
@@ -117,16 +117,15 @@ def score(docs: DataFrame, space: Space, id_col: str = "doc_id", text_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = byte_rows(batch.column(0))
-            for i, j in blocks(np.array([len(r) for r in rows])):
+            for i, j, rows in row_blocks(batch.column(0)):
                 for a in range(i, j, BLOCK_ROWS):
                     b = min(j, a + BLOCK_ROWS)
                     part = batch.slice(a, b - a)
-                    yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(model.value.vote(rows[a:b]), pa.float64())], [*part.schema.names[1:], name])
+                    yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(model.value.vote(rows[a - i : b - i]), pa.float64())], [*part.schema.names[1:], name])
 
     rows = docs.select(text_bytes(text_col).alias("__bytes"), F.col(id_col).alias("doc_id"), *[c for c in keep if c != "doc_id"])
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[1:])
-    return rows.mapInArrow(run, f"{schema}, `{name}` double")
+    return rows.mapInArrow(task(run), f"{schema}, `{name}` double")
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, sample_rows: int = SAMPLE_ROWS) -> DataFrame:

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_rows, materialise, mix, powers, text_bytes
+from .common import byte_rows, materialise, mix, powers, task, text_bytes
 from .suffixes import repeated
 
 LENGTH = 400
@@ -199,7 +199,7 @@ def _sorted(length: int):
 
 def _sort(units: DataFrame, length: int, what: str) -> DataFrame:
     own = units.select("key", "uh", "weight", "body").repartition("key").sortWithinPartitions("key")
-    return materialise(own.mapInArrow(_sorted(length), "key long, uh long, o long, n long"), what)
+    return materialise(own.mapInArrow(task(_sorted(length)), "key long, uh long, o long, n long"), what)
 
 
 def _distinct_units(units: DataFrame) -> DataFrame:
@@ -212,7 +212,7 @@ def repeated_runs(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group
     rows = docs.select(text_bytes(text_col).alias("t"), F.col(id_col).alias("d"), *text_key(text_col))
     kind = rows.schema["d"].dataType.simpleString()
     long_enough = rows.filter(F.length("t") >= length)
-    cut = long_enough.mapInArrow(_cut(length, gram), f"d {kind}, t1 long, t2 long, start long, n long, far long, ah long, sh long")
+    cut = long_enough.mapInArrow(task(_cut(length, gram)), f"d {kind}, t1 long, t2 long, start long, n long, far long, ah long, sh long")
     # counts per piece of a distinct text: copies of a text collapse before anything else
     all_pieces = materialise(cut.groupBy("t1", "t2", "start", "n", "far", "ah", "sh").agg(F.count("*").alias("c"), F.min("d").alias("d")), "pieces")
     twice = materialise(all_pieces.groupBy("ah").agg(F.sum("c").alias("w")).filter("w > 1").select("ah"), "anchors")
@@ -225,7 +225,7 @@ def repeated_runs(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group
     holders = own.groupBy("t1", "t2").agg(F.min("d").alias("hd")).withColumnsRenamed({"t1": "h1", "t2": "h2"})
     mine = (F.col("t1") == F.col("h1")) & (F.col("t2") == F.col("h2")) & F.col("d").eqNullSafe(F.col("hd"))
     texts = materialise(long_enough.join(holders, mine).select("t1", "t2", "t"), "texts")
-    units = materialise(texts.join(lists, ["t1", "t2"]).select("t", "p").mapInArrow(_units(length), UNITS), "units")
+    units = materialise(texts.join(lists, ["t1", "t2"]).select("t", "p").mapInArrow(task(_units(length)), UNITS), "units")
     found = _sort(units.filter("level = 0"), length, "found").select(F.col("key").alias("ah"), F.col("uh").alias("sh"), "o", "n")
     runs = units.filter("level = 1").select("key", "uh", "weight", "ah", "sh", "off", "body")
     if not runs.isEmpty():
@@ -234,7 +234,7 @@ def repeated_runs(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group
         sized = materialise(single.join(sizes, "key"), "sized-runs")
         got = _sort(sized.filter(F.col("m") <= group), length, "found-runs")
         large = sized.filter(F.col("m") > group).select("key", "uh", "weight", "body")
-        strings = large.mapInArrow(_strings(length), "key long, uh long, weight long, rk long, ru long, off long, body binary")
+        strings = large.mapInArrow(task(_strings(length)), "key long, uh long, weight long, rk long, ru long, off long, body binary")
         strings = materialise(strings, "strings")
         hit = _sort(_distinct_units(strings), length, "found-strings").select("key", "uh")
         hit = strings.join(hit, ["key", "uh"]).select(F.col("rk").alias("key"), F.col("ru").alias("uh"), F.col("off").alias("o"), F.lit(1).cast("long").alias("n"))
@@ -292,7 +292,7 @@ def removals(docs: DataFrame, length: int = LENGTH, group: int = GROUP, id_col:
     """
     texts, spans = repeated_runs(docs, length, group=group, id_col=id_col, text_col=text_col)
     cut = texts.join(spans, ["t1", "t2"]).select("t1", "t2", "t", "spans")
-    cut = cut.mapInArrow(_digest(length), "t1 long, t2 long, n_removed long, n_spans long, kept string").dropDuplicates(["t1", "t2"])
+    cut = cut.mapInArrow(task(_digest(length)), "t1 long, t2 long, n_removed long, n_spans long, kept string").dropDuplicates(["t1", "t2"])
     cut = materialise(cut, "removals")
     rows = docs.select(F.col(id_col).alias("doc_id"), F.length(text_bytes(text_col)).cast("long").alias("n_bytes"), F.sha2(text_bytes(text_col), 256).alias("whole"), *text_key(text_col))
     out = rows.join(cut, ["t1", "t2"], "left")
@@ -321,4 +321,4 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, group: int = GROUP, i
     spans = spans.select(F.col("t1").alias("__0"), F.col("t2").alias("__1"), F.col("spans").alias("__spans"))
     rows = rows.join(spans, ["__0", "__1"], "left").select(*[F.col(f"`{n}`") for n in names], "__spans")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return rows.mapInArrow(_apply(names, length), schema)
+    return rows.mapInArrow(task(_apply(names, length)), schema)

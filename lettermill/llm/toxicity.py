@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, byte_rows, held_out, text_bytes
+from .common import held_out, row_blocks, task, text_bytes
 from .features import LEVELS, labelled_sample, stem_terms
 
 SAMPLE_ROWS = 6_000  # labelled rows fitted on, at most
@@ -103,9 +103,8 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, bu
 
     def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = byte_rows(batch.column(2))
-            for i, j in blocks(np.array([len(r) for r in rows])):
-                row, bucket = stem_terms(rows[i:j], buckets)
+            for i, j, rows in row_blocks(batch.column(2)):
+                row, bucket = stem_terms(rows, buckets)
                 first = np.searchsorted(row, np.arange(j - i + 1))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(bucket, pa.int32()))],
@@ -114,7 +113,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, bu
 
     sample = labelled_sample(docs, labels, "toxic", sample_rows)
     kind = sample.schema["i"].dataType.simpleString()
-    got = sample.mapInArrow(terms, f"i {kind}, y int, terms array<int>").toArrow().sort_by([("i", "ascending")]).combine_chunks()
+    got = sample.mapInArrow(task(terms), f"i {kind}, y int, terms array<int>").toArrow().sort_by([("i", "ascending")]).combine_chunks()
     lists = got.column("terms").combine_chunks()
     bucket = lists.flatten().to_numpy().astype(np.int64)
     row = np.repeat(np.arange(len(lists)), np.asarray(lists.value_lengths()))
@@ -129,16 +128,15 @@ def score(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: s
         wanted = np.zeros(buckets, bool)
         wanted[model.value.buckets % buckets] = True
         for batch in batches:
-            rows = byte_rows(batch.column(0))
-            for i, j in blocks(np.array([len(r) for r in rows])):
-                row, bucket = stem_terms(rows[i:j], buckets, wanted)
+            for i, j, rows in row_blocks(batch.column(0)):
+                row, bucket = stem_terms(rows, buckets, wanted)
                 p = model.value.score(row, bucket, j - i)
                 part = batch.slice(i, j - i)
                 yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(p)], [*part.schema.names[1:], name])
 
     rows = docs.select(text_bytes(text_col).alias("__bytes"), F.col(id_col).alias("doc_id"), *[c for c in keep if c != "doc_id"])
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[1:])
-    return rows.mapInArrow(run, f"{schema}, `{name}` double")
+    return rows.mapInArrow(task(run), f"{schema}, `{name}` double")
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, sample_rows: int = SAMPLE_ROWS) -> DataFrame:

@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import blocks, byte_rows, scratch, text_bytes
+from .common import row_blocks, scratch, task, text_bytes
 
 ROW = 64  # payload bytes of an image row: 16 RGBA pixels
 MAX_ROWS = 256  # longer payloads become several images
@@ -547,25 +547,23 @@ def feature_of(payload: bytes) -> str:
 
 def _stored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = byte_rows(batch.column(1))
-        for i, j in blocks(np.array([len(r) for r in rows]), LOCKSTEP_BYTES):
-            media = encode_payloads([pad(r) for r in rows[i:j]])
-            n = [len(r) for r in rows[i:j]]
+        for i, j, rows in row_blocks(batch.column(1), LOCKSTEP_BYTES):
+            media = encode_payloads([pad(r) for r in rows])
+            n = [len(r) for r in rows]
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(n, pa.int64()), pa.array(media, pa.binary())], ["doc_id", "n_bytes", "media"])
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
     for batch in batches:
-        rows = batch.column(2).to_pylist()
-        for i, j in blocks(np.array([len(r) for r in rows]), LOCKSTEP_BYTES // 2):
-            payloads = decode_payloads(rows[i:j])
+        for i, j, rows in row_blocks(batch.column(2), LOCKSTEP_BYTES // 2):
+            payloads = decode_payloads(rows)
             cols = [
                 pa.array([len(p) for p in payloads], pa.int64()),
                 pa.array([hashlib.sha256(p).hexdigest() for p in payloads]),
                 pa.array([zlib.crc32(p[-ROW:]) for p in payloads], pa.int64()),
-                pa.array([len(m) for m in rows[i:j]], pa.int64()),
-                pa.array([hashlib.sha256(m).hexdigest() for m in rows[i:j]]),
+                pa.array([len(m) for m in rows], pa.int64()),
+                pa.array([hashlib.sha256(m).hexdigest() for m in rows]),
                 pa.array([feature_of(p) for p in payloads]),
             ]
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), *cols], names)
@@ -575,7 +573,7 @@ def store(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str =
     """Writes each text's payload as lossless WebP in a binary media column."""
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(docs[id_col].alias("doc_id"), text_bytes(text_col).alias("t"))
-    rows.mapInArrow(_stored, f"doc_id {kind}, n_bytes long, media binary").write.option("compression", "uncompressed").parquet(folder)
+    rows.mapInArrow(task(_stored), f"doc_id {kind}, n_bytes long, media binary").write.option("compression", "uncompressed").parquet(folder)
 
 
 def features(spark: SparkSession, folder: str) -> DataFrame:
@@ -583,7 +581,7 @@ def features(spark: SparkSession, folder: str) -> DataFrame:
     media = spark.read.parquet(folder)
     kind = media.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    return media.mapInArrow(_read, schema)
+    return media.mapInArrow(task(_read), schema)
 
 
 def media_round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -1,105 +1,241 @@
-"""Ids of whole texts by the tokenizers library, remembered word by word."""
+"""Ids of whole texts by a tokenizer that works unit by unit.
+
+A text is cut where no token can cross and where what follows cannot change how
+the part before is split: such units are encoded once and looked up afterwards.
+Cutting, comparing and gathering are array operations over a block of texts;
+only units that are new to the task reach the tokenizer. A hash finds a unit's
+entry and its bytes confirm it, so the ids are exactly the tokenizer's own.
+"""
 from __future__ import annotations
 
 import os
+from collections.abc import Callable
 
 import numpy as np
-import regex
 
-from .common import joined
+from .common import LOWER, blocks, joined, span_hashes
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-CACHE_ENTRIES = 250_000  # words kept by a worker; a full cache is emptied
-TAIL = ".,!?;:*$%&#|"  # after a letter these always start a token of their own
-_cut = regex.compile(r"(?<=\S)(?= \S)").split
-
-
-def _plain(part: str) -> bool:
-    return bool(part) and not part[0].isspace() and not part[-1].isspace()
-
-
-def spaced_words(text: str) -> list[str]:
-    """Words with the blank before each, where no token crosses that place."""
-    parts = text.split(" ")
-    if all(map(_plain, parts)):
-        return parts[:1] + [" " + p for p in parts[1:]]
-    return _cut(text) if text else []
-
-
-def bare_words(text: str) -> list[str]:
-    """Words without blanks, for tokenizers that drop white space before merging."""
-    return text.replace("\n", " ").split(" ")
-
-
-_TAIL = np.isin(np.arange(256), list(TAIL.encode()))
-_ALNUM = np.array([chr(b).isalnum() and b < 128 for b in range(256)])
-
-
-def apart(rows: list[bytes]) -> list[bytes]:
-    """The rows with a blank between an ASCII letter or digit and a TAIL sign after it.
-
-    For tokenizers that drop white space and end a token there in any case: words
-    and the signs after them are then looked up apart.
+KNOWN_UNITS = 200_000  # units that a task remembers; beyond, the more used half stays
+LONG_UNIT = 64  # bytes; longer units are not remembered
+CALL_UNITS = 2_000  # units of a call of the tokenizer
+UNIT_BYTES = 1 << 20  # text bytes looked up together
+
+_UNSURE, _LETTER, _DIGIT, _SIGN, _APOSTROPHE, _BLANK, _SPACE, _LEAD = range(8)
+
+
+def _classes() -> np.ndarray:
+    """Class of each byte. _LEAD: begins a character that is no white space; other bytes from 128 on are unsure."""
+    out = np.full(256, _UNSURE, np.uint8)
+    for b in range(128):
+        c = chr(b)
+        if c.isalpha():
+            out[b] = _LETTER
+        elif c.isdigit():
+            out[b] = _DIGIT
+        elif 0x21 <= b <= 0x7E:
+            out[b] = _APOSTROPHE if c == "'" else _SIGN
+        elif c in "\t\n\v\f\r":
+            out[b] = _SPACE
+    out[0x20] = _BLANK
+    out[0xC3:0xF5] = _LEAD
+    out[[0xE1, 0xE2, 0xE3]] = _UNSURE  # these begin the white space beyond ASCII, with 0xC2
+    return out
+
+
+def _pairs() -> np.ndarray:
+    """Whether a cut is sure between a byte of one class and a byte of another."""
+    out = np.zeros((8, 8), bool)
+    for a in (_LETTER, _DIGIT, _SIGN):
+        out[a, [_LETTER, _DIGIT, _SIGN, _SPACE]] = True
+        out[a, a] = False
+    out[[_LETTER, _DIGIT], _APOSTROPHE] = True
+    out[_APOSTROPHE, _SPACE] = True
+    out[_SPACE, [_LETTER, _DIGIT, _SIGN, _APOSTROPHE]] = True
+    return out.reshape(-1)
+
+
+CLASS = _classes()
+_PAIR = _pairs()
+_VISIBLE = np.isin(np.arange(8), (_LETTER, _DIGIT, _SIGN, _APOSTROPHE, _LEAD))
+_ASCII_VISIBLE = np.isin(np.arange(8), (_LETTER, _DIGIT, _SIGN, _APOSTROPHE))
+
+
+def sure_cuts(data: np.ndarray) -> np.ndarray:
+    """A flag per byte: a unit begins here.
+
+    Holds for patterns that match contractions at an apostrophe, runs of letters,
+    of digits and of other signs, each with a blank before it, and white space of
+    which the last character before a visible one is matched apart: so a cut
+    after white space is sure only after a single character of it.
     """
-    data, at = joined(rows)
-    cut = np.flatnonzero(_TAIL[data[1:]] & _ALNUM[data[:-1]]) + 1
-    out = np.insert(data, cut, ord(" ")).tobytes()
-    at = (at + np.searchsorted(cut, at)).tolist()
-    return [out[a : b - 1] for a, b in zip(at, at[1:], strict=False)]
-
+    c = CLASS[data]
+    out = np.zeros(len(c), bool)
+    if not len(c):
+        return out
+    out[0] = True
+    out[1:] = _PAIR[c[:-1] * np.uint8(8) + c[1:]]
+    out[:-1] |= (c[:-1] == _BLANK) & _VISIBLE[c[1:]]
+    after = np.flatnonzero(out[1:] & (c[:-1] == _SPACE)) + 1
+    out[after[(after < 2) | ~_ASCII_VISIBLE[c[after - 2]]]] = False
+    out[0] = True
+    return out
+
+
+def _same(a: np.ndarray, a_at: np.ndarray, b: np.ndarray, b_at: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether a[a_at:][:size] equals b[b_at:][:size], for each entry."""
+    out = np.ones(len(size), bool)
+    if not len(size):
+        return out
+    ends = np.cumsum(size)
+    inside = np.arange(ends[-1]) - np.repeat(ends - size, size)
+    differ = np.flatnonzero(a[np.repeat(a_at, size) + inside] != b[np.repeat(b_at, size) + inside])
+    out[np.searchsorted(ends, differ, "right")] = False
+    return out
+
+
+class Known:
+    """Units, found by hash and confirmed by their bytes, with their ids."""
+
+    def __init__(self, most: int) -> None:
+        self.most = most
+        self.key, self.uses = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.at, self.size, self.pool = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint8)
+        self.id_at, self.id_n, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+
+    def find(self, key: np.ndarray, data: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Index of each unit, -1: not known."""
+        if not len(self.key):
+            return np.full(len(key), -1)
+        got = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
+        hit = np.flatnonzero((self.key[got] == key) & (self.size[got] == size))
+        hit = hit[_same(data, at[hit], self.pool, self.at[got[hit]], size[hit])]
+        out = np.full(len(key), -1)
+        out[hit] = got[hit]
+        return out
 
-class WordIds(dict):
-    """Words to their ids as little-endian unsigned 32-bit integers."""
+    def add(self, key: np.ndarray, units: list[bytes], id_n: np.ndarray, ids: np.ndarray) -> None:
+        """Adds units whose hashes are new; past the limit the more used half stays."""
+        size = np.array([len(u) for u in units], np.int64)
+        id_at = np.cumsum(id_n) - id_n + len(self.ids)
+        at = np.cumsum(size) - size + len(self.pool)
+        pool = np.concatenate((self.pool, np.frombuffer(b"".join(units), np.uint8)))
+        ids = np.concatenate((self.ids, ids))
+        cols = [np.concatenate(x) for x in ((self.key, key), (self.uses, np.ones(len(key), np.int64)), (self.at, at), (self.size, size), (self.id_at, id_at), (self.id_n, id_n))]
+        order = np.argsort(cols[0], kind="stable")
+        order = order[np.append(True, cols[0][order][1:] != cols[0][order][:-1])] if len(order) else order
+        if len(order) > self.most:
+            keep = np.sort(np.argsort(-cols[1][order], kind="stable")[: self.most // 2])
+            order = order[keep]
+            cols[1] = cols[1] // 2
+        self.key, self.uses, at, size, id_at, id_n = (c[order] for c in cols)
+        if len(order) == len(cols[0]):
+            self.at, self.size, self.id_at, self.id_n, self.pool, self.ids = at, size, id_at, id_n, pool, ids
+            return
+        self.pool, self.at, self.size = _gather(pool, at, size), np.cumsum(size) - size, size
+        self.ids, self.id_at, self.id_n = _gather(ids, id_at, id_n), np.cumsum(id_n) - id_n, id_n
+
+
+def _gather(values: np.ndarray, at: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """values[at:][:n] of each entry, one after the other."""
+    ends = np.cumsum(n)
+    return values[np.repeat(at - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)]
+
+
+class UnitIds:
+    """Ids of texts. `encode` gives the ids of each of some units."""
+
+    def __init__(self, encode: Callable[[list[bytes]], list[np.ndarray]], lower: bool = False, most: int = KNOWN_UNITS, block: int = UNIT_BYTES) -> None:
+        self.encode, self.lower, self.block = encode, lower, block
+        self.known = Known(most)
+
+    def ids_of(self, data: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(number of ids of each unit data[s:e], all ids)."""
+        h, size = span_hashes(data, s, e), e - s
+        key, first, back = np.unique(h, return_index=True, return_inverse=True)
+        odd = np.flatnonzero(size != size[first][back])
+        if not len(odd):
+            odd = np.flatnonzero(~_same(data, s, data, s[first][back], size))
+        if len(odd):  # two units of one hash: these are told apart by their bytes
+            extra: dict[bytes, int] = {}
+            raw = data.tobytes()
+            for k in odd.tolist():
+                back[k] = len(key) + extra.setdefault(raw[s[k] : e[k]], len(extra))
+            _, at = np.unique(back[odd], return_index=True)
+            first = np.append(first, odd[at])
+        at, n = s[first], size[first]
+        got = np.append(self.known.find(key, data, at[: len(key)], n[: len(key)]), np.full(len(first) - len(key), -1))
+        new = np.flatnonzero(got < 0)
+        units = [data[a : a + k].tobytes() for a, k in zip(at[new].tolist(), n[new].tolist(), strict=True)]
+        ids = self.encode(units) if units else []
+        new_n = np.array([len(x) for x in ids], np.int64)
+        new_ids = np.concatenate(ids).astype(np.uint32) if ids else np.zeros(0, np.uint32)
+        id_at, id_n = np.zeros(len(first), np.int64), np.zeros(len(first), np.int64)
+        old = np.flatnonzero(got >= 0)
+        id_at[old], id_n[old] = self.known.id_at[got[old]], self.known.id_n[got[old]]
+        id_at[new], id_n[new] = np.cumsum(new_n) - new_n + len(self.known.ids), new_n
+        out = _gather(np.concatenate((self.known.ids, new_ids)), id_at[back], id_n[back])
+        self.known.uses[got[old]] += np.bincount(back, minlength=len(first))[old]
+        keep = (new < len(key)) & (n[new] <= LONG_UNIT)
+        if keep.any():
+            at_ids = np.repeat(keep, new_n)
+            self.known.add(key[new[keep]], [u for u, k in zip(units, keep.tolist(), strict=True) if k], new_n[keep], new_ids[at_ids])
+        return id_n[back], out
+
+    def encode_all(self, rows: list[bytes]) -> list[bytes]:
+        """Ids of each text as little-endian unsigned 32-bit integers."""
+        if not rows:
+            return []
+        data, at = joined(rows, b"\n")
+        begins = np.append(sure_cuts(data), True)
+        if self.lower:  # not before a character beyond ASCII, with which the letter might be composed
+            plain = np.append(data[1:] < 128, True)
+            data = np.where(plain, LOWER[data], data)
+        begins[at] = True
+        begins[at[1:] - 1] = True
+        s = np.flatnonzero(begins)
+        s, e = s[:-1], s[1:]
+        unit = np.ones(len(data), bool)
+        unit[at[1:] - 1] = False
+        own = unit[s]
+        s, e = s[own], e[own]
+        counts, parts = [np.zeros(0, np.int64)], [np.zeros(0, np.uint32)]
+        for i, j in blocks(e - s, self.block):
+            lo, hi = int(s[i]), int(e[j - 1])
+            n, ids = self.ids_of(data[lo:hi], s[i:j] - lo, e[i:j] - lo)
+            counts.append(n)
+            parts.append(ids)
+        ends = np.append(0, np.cumsum(np.concatenate(counts)))
+        cut = (4 * ends[np.searchsorted(s, at)]).tolist()
+        packed = np.concatenate(parts).astype("<u4").tobytes()
+        return [packed[a:b] for a, b in zip(cut, cut[1:], strict=False)]
+
+
+class TokenizerIds(UnitIds):
+    """Ids as the tokenizers library gives them without special tokens of its own.
+
+    Texts that hold the name of an added token go to the library whole.
+    """
 
-    def __init__(self, path: str, words=spaced_words, entries: int = CACHE_ENTRIES) -> None:
-        super().__init__()
+    def __init__(self, path: str, lower: bool = False, most: int = KNOWN_UNITS) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.words, self.entries = words, entries
-        self.joined: dict[str, tuple[str, str]] = {}  # words of the current call that end in TAIL
-
-    def __missing__(self, word: str) -> bytes:
-        head, tail = self.joined[word]
-        return self[head] + self[tail]
-
-    def encode_all(self, texts: list[str]) -> list[bytes]:
-        rows = [self.words(t) for t in texts]
-        if len(self) >= self.entries:
-            self.clear()
-        new = set()
-        for row in rows:
-            new.update(row)
-        need, self.joined = set(), {}
-        for w in new.difference(self):
-            head = w.rstrip(TAIL)
-            if len(head) < len(w) and head and head[-1].isalpha():
-                tail = w[len(head) :]
-                self.joined[w] = head, tail
-                need.add(head)
-                need.add(tail)
-            else:
-                need.add(w)
-        need = list(need.difference(self))
-        # many words per call, each a sequence of its own: a call's fixed cost is far above a word's
-        groups = [need[i : i + 1_000] for i in range(0, len(need), 1_000)]
-        for part, got in zip(groups, self.tokenizer.encode_batch(groups, is_pretokenized=True, add_special_tokens=False), strict=True):
-            ids = np.array(got.ids, "<u4").tobytes()
-            cuts = np.searchsorted(np.array(got.word_ids, np.int64), np.arange(len(part) + 1)).tolist()
-            for w, a, b in zip(part, cuts, cuts[1:], strict=False):
-                self[w] = ids[4 * a : 4 * b]
-        out = [b"".join(map(self.__getitem__, row)) for row in rows]
-        for w in need:
-            if len(w) > 64:
-                del self[w]
+        self.names = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        super().__init__(self._library, lower, most)
+
+    def _library(self, texts: list[bytes]) -> list[np.ndarray]:
+        out: list[np.ndarray] = []
+        for i in range(0, len(texts), CALL_UNITS):
+            got = self.tokenizer.encode_batch_fast([t.decode("utf-8", "replace") for t in texts[i : i + CALL_UNITS]], add_special_tokens=False)
+            out += [np.array(x.ids, "<u4") for x in got]
         return out
 
-
-_known: dict[str, WordIds] = {}
-
-
-def word_ids(path: str, words=spaced_words) -> WordIds:
-    if path not in _known:
-        _known[path] = WordIds(path, words)
-    return _known[path]
+    def encode_all(self, rows: list[bytes]) -> list[bytes]:
+        named = [k for k, r in enumerate(rows) if any(name in r for name in self.names)]
+        if not named:
+            return super().encode_all(rows)
+        out = super().encode_all([b"" if k in set(named) else r for k, r in enumerate(rows)])
+        for k, ids in zip(named, self._library([rows[k] for k in named]), strict=True):
+            out[k] = ids.tobytes()
+        return out

@@ -25,7 +25,8 @@ def awkward():
     near = base.split(" ")
     near[150] = "changed"
     texts = [None, "", " ", "\n\t ", "one", base, base, " ".join(near), passage + " " + prose(50), prose(40) + "\n" + passage, "ab" * 3000, "x" * 5000,
-             prose(20_000), "漢字 " * 300, "a  b \n c's 12345 !!", base.upper(), "\0\0", prose(9)]
+             prose(20_000), "漢字 " * 300, "a  b \n c's 12345 !!", base.upper(), "\0\0", prose(9),
+             "x <|endoftext|>  y<|startoftext|> <|EndOfText|> J\u030c K\u0307\u00a0\n z"]
     rows = [(i, t, "en", "s", 1, "clash", "clash", "clash") for i, t in enumerate(texts)]
     return rows + [rows[5], (None, base, None, None, None, None, None, None), (-7, "negative id", "en", "s", 1, "c", "c", "c")]
 
@@ -137,7 +138,7 @@ def test_bpe(docs, none):
     own = bpe.Encoder(path)
     for _ in range(500):
         s = "".join(rng.choice("ab \n\t'sé漢1!.  ") for _ in range(rng.randrange(60)))
-        assert np.frombuffer(own.encode(s), "<u4").tolist() == enc.encode_ordinary(s)
+        assert np.frombuffer(own.encode_all([s.encode()])[0], "<u4").tolist() == enc.encode_ordinary(s)
         piece = bytes(rng.choice(b"aabbcing") for _ in range(rng.randrange(1, 40)))
         assert bpe.merge(piece, bpe.load_ranks(path)) == bpe.merge_many([piece], path)[0].tolist()
 
@@ -254,7 +255,6 @@ def test_packing(docs, none):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(P.path(packing.VOCABULARY))
-    t.encode_special_tokens = True
     ids = {r[0]: np.array([*t.encode(r[1] or "", add_special_tokens=False).ids, 0], "<u4") for r in awkward()}
     got = packing.pack_documents(docs).toPandas()
     for r in got.itertuples():
@@ -285,7 +285,6 @@ def test_token_files(docs, none):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(P.path(planes.VOCABULARY))
-    t.encode_special_tokens = True
     ids = {r[0]: np.array([*t.encode(r[1] or "", add_special_tokens=False).ids, 1], "<u4") for r in awkward()}
     at = 0
     for r in sorted(planes.round_trip(docs, partitions=3).collect(), key=lambda r: r.start):
