@@ -4,18 +4,23 @@ Texts with equal sets of word five-grams form a class. A class's set is embedded
 as SLOTS min-hash tokens (slot, value). A run sends every set down a random tree:
 at each node a few slots, picked by a hash of the path so far, split the sets by
 their tokens, and sets that agree share a child. Buckets of up to LIMIT sets are
-compared pair by pair. A larger one is split again, or ends there if its sets are
-on average like one of them, so that splitting would not lessen the pairs to
-compare. Runs are repeated until the chance to miss a pair at the threshold is
-below 1 - RECALL. Every pair found is verified on the whole sets, exactly.
+compared pair by pair. A larger one is split again, or ends there if a sample of
+its sets is alike, so that splitting would not lessen the pairs to compare; the
+sample only picks the way, either way compares all that the bucket holds. Runs
+are repeated until the chance to miss a pair at the threshold is below 1 - RECALL.
+Every pair found is verified on the whole sets, exactly.
 
 The large buckets that end are compared whole, but no pair twice: each set has
 one home, the largest such bucket that it is in, and homes that meet in a bucket
-are compared with one another, block against block. Their links are counted in
-the tasks, one number a set and block, and only a spanning forest is listed.
-
-No bucket is gathered into one task unless it is small: counts, hubs and joins
-by path are aggregates and joins that Spark can combine early and split.
+are compared with one another, block against block. Sets of homes that meet are
+stored as their difference from one of them, the hub: with r(A) hub n-grams that
+A lacks and D(A) the difference, |A & B| = |hub| - r(A) - r(B) + |D(A) & D(B)|,
+so near copies are compared by the few n-grams in which they differ. Links are
+counted, and only a spanning forest is listed.
+
+No bucket is gathered into one task unless it is small: counts and homes are
+aggregates that Spark combines early, joins by path can be split, and a block
+has a bounded number of sets and n-grams.
 """
 from __future__ import annotations
 
@@ -28,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_TABLE, blocks, byte_rows, materialise, mix, text_bytes, words
+from .common import WORD_TABLE, blocks, byte_rows, materialise, mix, quoted, row_blocks, rows_of, task, text_bytes, whole_row, words
 
 GRAM = 5
 THRESHOLD = 0.8
@@ -38,7 +43,8 @@ LIMIT = 24
 ROOT_SLOTS = 2  # slots that a run's root splits by
 DEPTH = 8  # levels of a run at most; by then sets in a bucket agree in 8 tokens, and all large ones are compared whole
 MARGIN = 0.15  # an estimate from SLOTS tokens is off by less (three standard deviations)
-BLOCK, BLOCK_SIZE = 256, 1 << 19  # sets, and n-grams of sets, that a block of a home has on average at most
+SAMPLE = 48  # sets of a large bucket that show whether it is alike, about
+BLOCK, BLOCK_SIZE = 512, 1 << 18  # sets, and n-grams of sets, that a block of a home has on average at most
 _C = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -105,11 +111,11 @@ def _sketched(gram: int):
 def sketch_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", gram: int = GRAM) -> DataFrame:
     """One row per document: doc_id, two hashes of the text, class key, set size, sketch."""
     rows = docs.select(
-        text_bytes(text_col).alias("t"), F.col(id_col).alias("doc_id"),
+        text_bytes(text_col).alias("t"), F.col(quoted(id_col)).alias("doc_id"),
         F.xxhash64(text_bytes(text_col)).alias("t1"), F.xxhash64(F.lit(1), text_bytes(text_col)).alias("t2"),
     )
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return materialise(rows.mapInArrow(_sketched(gram), f"doc_id {kind}, t1 long, t2 long, c binary, size long, sketch binary"), "sketches")
+    return materialise(rows.mapInArrow(task(_sketched(gram)), f"doc_id {kind}, t1 long, t2 long, c binary, size long, sketch binary"), "sketches")
 
 
 def runs_needed(threshold: float, recall: float, root: int = ROOT_SLOTS, depth: int = DEPTH) -> int:
@@ -144,7 +150,7 @@ def _roots(runs: int):
 
 
 def _children(threshold: float):
-    """Sets of a bucket to the bucket's children: slots by a hash of the path, 1 / threshold on average."""
+    """Sets of a bucket (path, c, sketch) to the bucket's children: slots by a hash of the path, 1 / threshold on average."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         most, salts = np.uint64(int(2**32 / (threshold * SLOTS))), np.arange(1, SLOTS + 1, dtype=np.uint64) * _C
@@ -155,7 +161,7 @@ def _children(threshold: float):
                 pick = np.flatnonzero(mix(path + salt) >> np.uint64(32) < most)
                 if len(pick):
                     child = mix(mix(path[pick] + np.uint64(slot)) + x[pick, slot])
-                    yield pa.RecordBatch.from_arrays([pa.array(child.astype(np.int64)), batch.column(1).take(pa.array(pick)), batch.column(2).take(pa.array(pick))], ["path", "c", "sketch"])
+                    yield pa.RecordBatch.from_arrays([pa.array(child.astype(np.int64)), batch.column(1).take(pa.array(pick))], ["path", "c"])
 
     return run
 
@@ -197,59 +203,89 @@ def _brute_force(least: float):
     return run
 
 
-def _with_hub(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Appends how many tokens a set shares with its bucket's hub."""
-    for batch in batches:
-        like = (_matrix(batch.column(2)) == _matrix(batch.column(4))).mean(1)
-        yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(like)], ["path", "c", "sketch", "hub", "like"])
+def _alike(least: float):
+    """Whether a bucket's sampled sets share `least` of their tokens on average; rows come sorted by path."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for path, x in runs_of(batches):
+            n = len(x)
+            if n > 1:
+                shared = sum(int((np.unique(x[:, k], return_counts=True)[1].astype(np.int64) ** 2).sum()) for k in range(x.shape[1]))
+                like = (shared / x.shape[1] - n) / (n * (n - 1))  # of the pairs of different sets
+            else:
+                like = 1.0
+            yield pa.RecordBatch.from_arrays([pa.array([path], pa.int64()), pa.array([like >= least])], ["path", "ends"])
+
+    def runs_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray]]:
+        last, held = None, []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            path, x = batch.column(0).to_numpy(), _matrix(batch.column(1))
+            first = np.flatnonzero(np.append(True, path[1:] != path[:-1]))
+            for i, j in zip(first.tolist(), [*first[1:].tolist(), len(path)], strict=True):
+                if last is not None and path[i] != last:
+                    yield last, np.concatenate(held)
+                    held = []
+                last = int(path[i])
+                held.append(x[i:j])
+        if last is not None:
+            yield last, np.concatenate(held)
+
+    return run
 
 
 def candidates(classes: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, limit: int = LIMIT) -> tuple[DataFrame, DataFrame]:
     """(pairs (a < b) of class keys that may reach the threshold, buckets to compare whole as rows of path, c, n)."""
     spark = classes.sparkSession
     least = threshold - MARGIN
-    runs = runs_needed(threshold, recall)
-    rows = classes.select("c", "sketch").mapInArrow(_roots(runs), "path long, c binary")
-    shared = materialise(rows.groupBy("path").count().filter("count > 1"), "paths")
-    rows = materialise(rows, "rows").join(shared, "path").select("path", "c", F.col("count").alias("n"))
-    level = materialise(rows.join(classes.select("c", "sketch"), "c").select("path", "c", "sketch", "n"), "level")
+    rows = materialise(classes.select("c", "sketch").mapInArrow(task(_roots(runs_needed(threshold, recall))), "path long, c binary"), "rows")
     found, whole = [], [spark.createDataFrame([], "path long, c binary, n long")]
-    hub = F.min(F.struct(F.xxhash64("path", "c").alias("o"), "c", "sketch")).alias("h")
-    small, large = level.filter(F.col("n") <= limit), level.filter(F.col("n") > limit)
-    hubs = materialise(large.groupBy("path").agg(hub).select("path", F.col("h.c").alias("hub"), F.col("h.sketch").alias("hub_sketch")), "hubs")
     for depth in range(DEPTH):
-        small = small.select("path", "c", "sketch").repartition("path").sortWithinPartitions("path")
-        found.append(materialise(small.mapInArrow(_brute_force(least), "a binary, b binary").distinct(), "pairs"))
-        if hubs.isEmpty():
-            break
-        like = large.join(hubs, "path").select("path", "c", "sketch", "hub", "hub_sketch")
-        like = materialise(like.mapInArrow(_with_hub, "path long, c binary, sketch binary, hub binary, like double"), "like")
-        ends = F.lit(True) if depth == DEPTH - 1 else F.avg("like") >= least
-        kinds = materialise(like.groupBy("path").agg(F.count("*").alias("n"), ends.alias("ends")), "kinds")
-        whole.append(like.join(kinds.filter("ends"), "path").select("path", "c", "n"))
+        shared = materialise(rows.groupBy("path").agg(F.count("*").alias("n")).filter("n > 1"), "paths")
+        level = rows.join(shared, "path").select("path", "c", "n")
+        level = materialise(level.join(classes.select("c", "sketch"), "c").select("path", "c", "sketch", "n"), "level")
+        small = level.filter(F.col("n") <= limit).select("path", "c", "sketch").repartition("path").sortWithinPartitions("path")
+        found.append(materialise(small.mapInArrow(task(_brute_force(least)), "a binary, b binary").distinct(), "pairs"))
+        large = level.filter(F.col("n") > limit)
         if depth == DEPTH - 1:
+            whole.append(large.select("path", "c", "n"))
+            break
+        few = F.pmod(F.xxhash64("path", "c"), F.greatest(F.lit(1), F.floor(F.col("n") / SAMPLE))) == 0
+        sample = large.filter(few).select("path", "sketch").repartition("path").sortWithinPartitions("path")
+        kinds = materialise(sample.mapInArrow(task(_alike(least)), "path long, ends boolean"), "kinds")
+        # one join marks all rows of the level; a large bucket without a sampled set is compared whole
+        marked = materialise(level.select("path", "c", "n").join(kinds, "path", "left").select("path", "c", "n", F.coalesce("ends", F.col("n") > limit).alias("ends"), (F.col("n") > limit).alias("large")), "marked")
+        whole.append(marked.filter("ends and large").select("path", "c", "n"))
+        rows = marked.filter("large and not ends").join(classes.select("c", "sketch"), "c").select("path", "c", "sketch")
+        rows = materialise(rows.mapInArrow(task(_children(threshold)), "path long, c binary"), "children")
+        if rows.isEmpty():
             break
-        next_rows = like.join(kinds.filter("not ends").select("path"), "path").select("path", "c", "sketch").mapInArrow(_children(threshold), "path long, c binary, sketch binary")
-        large = materialise(next_rows, "children")
-        # sizes and hubs from one aggregate, so that every set is joined with its bucket once
-        shared = large.groupBy("path").agg(F.count("*").alias("n"), hub).filter("n > 1")
-        of_large = [F.when(F.col("n") > limit, F.col(f"h.{c}")).alias(name) for c, name in (("c", "hub"), ("sketch", "hub_sketch"))]
-        shared = materialise(shared.select("path", "n", *of_large), "paths")
-        hubs = shared.filter(F.col("n") > limit).select("path", "hub", "hub_sketch")
-        small = large.join(shared.filter(F.col("n") <= limit).select("path"), "path")
     return functools.reduce(DataFrame.unionByName, found).distinct(), materialise(functools.reduce(DataFrame.unionByName, whole), "whole")
 
 
+def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The different (path, home) among the buckets of a batch's sets."""
+    for batch in batches:
+        lists = batch.column(1)
+        home = np.repeat(batch.column(0).to_numpy(), np.asarray(lists.value_lengths()))
+        got = np.unique(np.stack([lists.flatten().to_numpy(), home], 1), axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(got[:, 0]), pa.array(got[:, 1])], ["path", "home"])
+
+
 def homes(whole: DataFrame, classes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(c, home, block and number of blocks of each set in buckets to compare whole; pairs home <= other that meet)."""
-    own = whole.groupBy("c").agg(F.max(F.struct("n", "path")).alias("h")).select("c", F.col("h.path").alias("home"))
-    own = materialise(own.join(classes.select("c", "size"), "c"), "homes")
+    """(c, home, cluster of homes that meet, block of each set in buckets to compare whole; pairs home <= other that meet)."""
+    own = whole.groupBy("c").agg(F.max(F.struct("n", "path")).alias("h"), F.collect_list("path").alias("paths"))
+    own = materialise(own.select("c", F.col("h.path").alias("home"), "paths"), "own-homes")
+    at = materialise(own.select("home", "paths").mapInArrow(task(_places), "path long, home long").distinct(), "meetings")
+    meet = materialise(at.join(at.withColumnRenamed("home", "other"), "path").filter("home <= other").select("home", "other").distinct(), "met")
+    apart = meet.filter("home < other").select(F.col("home").alias("a"), F.col("other").alias("b"))
+    groups = components(apart).withColumnsRenamed({"node": "home", "label": "cluster"})
     parts = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("size") / BLOCK_SIZE)).cast("int")
-    sizes = own.groupBy("home").agg(parts.alias("blocks"))
-    dealt = materialise(own.join(sizes, "home").select("c", "home", "blocks", F.pmod(F.xxhash64("home", "c"), "blocks").cast("int").alias("block")), "blocks")
-    at = materialise(whole.join(own, "c").select("path", "home").distinct(), "meetings")
-    meet = at.join(at.withColumnRenamed("home", "other"), "path").filter("home <= other").select("home", "other").distinct()
-    return dealt, materialise(meet, "met")
+    own = own.select("c", "home").join(classes.select("c", "size"), "c")
+    sizes = own.groupBy("home").agg(parts.alias("blocks")).join(groups, "home", "left").select("home", "blocks", F.coalesce("cluster", "home").alias("cluster"))
+    dealt = own.join(sizes, "home").select("c", "home", "cluster", F.pmod(F.xxhash64("home", "c"), "blocks").cast("int").alias("block"))
+    return materialise(dealt, "dealt"), meet
 
 
 def _set_rows(gram: int):
@@ -257,9 +293,8 @@ def _set_rows(gram: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = byte_rows(batch.column(0))
-            for i, j in blocks(np.array([len(r) for r in rows])):
-                sets, first = shingle_sets(rows[i:j], gram)
+            for i, j, rows in row_blocks(batch.column(0)):
+                sets, first = shingle_sets(rows, gram)
                 got = [sets[a:b].tobytes() for a, b in zip(first[:-1], first[1:], strict=True)]
                 part = batch.slice(i, j - i)
                 yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(got, pa.binary())], [*part.schema.names[1:], "s"])
@@ -267,22 +302,55 @@ def _set_rows(gram: int):
     return run
 
 
-def linked(sets: list[np.ndarray], split: int, threshold: float) -> tuple[np.ndarray, list[tuple[int, int]]]:
-    """(links of each set, spanning forest): sets before `split` against those after, or all against all if it is 0."""
-    n = len(sets)
-    size = np.array([len(x) for x in sets])
-    first = np.append(0, np.cumsum(size))
+def _differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sets to what tells them from their hub: size, hub n-grams that are missing, and the symmetric difference."""
+    for batch in batches:
+        size, lacks, hub_size, diff = [], [], [], []
+        for s, h in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True):
+            x, y = np.frombuffer(s, np.uint64), np.frombuffer(h, np.uint64)
+            d = np.setxor1d(x, y, assume_unique=True)
+            size.append(len(x))
+            hub_size.append(len(y))
+            lacks.append((len(d) - len(x) + len(y)) // 2)
+            diff.append(d.tobytes())
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], *(pa.array(x, pa.int64()) for x in (size, lacks, hub_size)), pa.array(diff, pa.binary())], ["home", "block", "c", "size", "lacks", "hub", "d"])
+
+
+class Block:
+    """Sets of a block: keys, sizes, hub n-grams they lack, and differences from the hub."""
+
+    def __init__(self, members: list[dict]) -> None:
+        self.c = [m["c"] for m in members]
+        self.size, self.lacks = (np.array([m[k] for m in members], np.int64) for k in ("size", "lacks"))
+        self.d = [np.frombuffer(m["d"], np.uint64) for m in members]
+
+
+def linked(x: Block, y: Block | None, hub: int, threshold: float, label: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int]], np.ndarray]:
+    """(links of each set, links that join sets of different labels, each label once, new labels): x against y, or x within itself.
+
+    Sets of y are numbered after those of x, and so are their labels.
+    """
+    n = len(x.c)
+    both = [x] if y is None else [x, y]
+    size, lacks = (np.concatenate([getattr(b, k) for b in both]) for k in ("size", "lacks"))
+    sets = [d for b in both for d in b.d]
     kinds, at = np.unique(np.concatenate(sets), return_inverse=True)
-    mark, degree, label, forest = np.zeros(len(kinds), np.int32), np.zeros(n, np.int64), np.arange(n), []
-    for k in range(split or n):
-        lo = split or k + 1
-        if lo == n:
+    count = np.array([len(d) for d in sets]) + 1  # a place that is never marked leads each set: none is empty
+    first = np.append(0, np.cumsum(count))
+    places = np.full(first[-1], len(kinds))
+    lead = np.zeros(first[-1], bool)
+    lead[first[:-1]] = True
+    places[~lead] = at
+    mark, degree, label, forest = np.zeros(len(kinds) + 1, np.int32), np.zeros(len(sets), np.int64), label.copy(), []
+    for k in range(n):
+        lo = k + 1 if y is None else n
+        if lo == len(sets):
             break
-        own = at[first[k] : first[k + 1]]
+        own = places[first[k] + 1 : first[k + 1]]
         mark[own] = 1
-        both = np.add.reduceat(mark[at[first[lo] :]], first[lo:-1] - first[lo])
+        common = hub - lacks[k] - lacks[lo:] + np.add.reduceat(mark[places[first[lo] :]], first[lo:-1] - first[lo])
         mark[own] = 0
-        hits = np.flatnonzero((both > 0) & (both / (size[k] + size[lo:] - both) >= threshold)) + lo
+        hits = np.flatnonzero((common > 0) & (common / np.maximum(size[k] + size[lo:] - common, 1) >= threshold)) + lo
         degree[k] += len(hits)
         degree[hits] += 1
         new, one = np.unique(label[hits], return_index=True)
@@ -290,41 +358,86 @@ def linked(sets: list[np.ndarray], split: int, threshold: float) -> tuple[np.nda
         if apart.any():
             forest += [(k, int(hits[m])) for m in one[apart]]
             label[np.isin(label, new)] = label[k]
-    return degree, forest
+    return degree, forest, label
+
+
+_EDGES = pa.list_(pa.struct([("a", pa.binary()), ("b", pa.binary())]))
+EDGES = "array<struct<a:binary,b:binary>>"
+
 
+def _edges(forest: list[tuple[int, int]], c: list[bytes]) -> list[dict]:
+    return [dict(zip("ab", sorted((c[k], c[m])), strict=True)) for k, m in forest]
 
-def _cell(threshold: float):
-    """Links between two blocks, or within one: (a, null, number of its links) and (a, b, null) of a spanning forest."""
 
-    def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by("side")
-        side, c = table["side"].to_numpy(), table["c"].to_pylist()
-        within = table["home"][0] == table["other"][0] and table["i"][0] == table["j"][0]
-        split = 0 if within else int(np.searchsorted(side, 1))
-        out = [[], [], []]
-        if within or 0 < split < len(c):
-            degree, forest = linked([np.frombuffer(x, np.uint64) for x in table["s"].to_pylist()], split, threshold)
-            own = np.flatnonzero(degree).tolist()
-            ends = [sorted((c[k], c[m])) for k, m in forest]
-            out = [[c[k] for k in own] + [a for a, _ in ends], [None] * len(own) + [b for _, b in ends], [int(degree[k]) for k in own] + [None] * len(ends)]
-        return pa.table({"a": pa.array(out[0], pa.binary()), "b": pa.array(out[1], pa.binary()), "n": pa.array(out[2], pa.int64())})
+def _within(threshold: float):
+    """Links inside each block: degrees and labels of its sets, and a spanning forest."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                own = Block(batch.column(3)[k].as_py())
+                degree, forest, label = linked(own, None, batch.column(2)[k].as_py(), threshold, np.arange(len(own.c)))
+                out = [pa.array([degree.tobytes()], pa.binary()), pa.array([label.tobytes()], pa.binary()), pa.array([_edges(forest, own.c)], _EDGES)]
+                yield pa.RecordBatch.from_arrays([*batch.slice(k, 1).columns, *out], [*batch.schema.names, "degree", "label", "edges"])
 
     return run
 
 
-def block_links(dealt: DataFrame, meet: DataFrame, texts: DataFrame, threshold: float = THRESHOLD, gram: int = GRAM) -> DataFrame:
-    """Links of all sets of homes that meet, each found in one pair of blocks; rows as from _cell."""
-    sets = texts.join(dealt, "c").select("t", "c", "home", "block")
-    sets = materialise(sets.mapInArrow(_set_rows(gram), "c binary, home long, block int, s binary"), "sets")
-    count = dealt.select("home", "blocks").distinct()
-    cells = meet.join(count, "home").join(count.withColumnsRenamed({"home": "other", "blocks": "others"}), "other")
-    upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    cells = cells.withColumn("i", upto("blocks")).withColumn("j", upto("others")).filter("home < other or i <= j").select("home", "other", "i", "j")
-    left = cells.select("*", F.lit(0).alias("side"), F.col("home").alias("h"), F.col("i").alias("block"))
-    right = cells.filter("home < other or i < j").select("*", F.lit(1).alias("side"), F.col("other").alias("h"), F.col("j").alias("block"))
-    members = materialise(left.union(right), "members")
-    rows = sets.withColumnRenamed("home", "h").join(members, ["h", "block"]).select("home", "other", "i", "j", "side", "c", "s")
-    return materialise(rows.groupBy("home", "other", "i", "j").applyInArrow(_cell(threshold), "a binary, b binary, n long"), "block-links")
+def _across(threshold: float):
+    """Links between two blocks: a row of degrees for each, the first with links that join labels."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in range(batch.num_rows):
+                row = batch.slice(r, 1).to_pylist()[0]
+                x, y = Block(row["m"]), Block(row["om"])
+                label = np.concatenate([np.frombuffer(row["label"], np.int64), np.frombuffer(row["olabel"], np.int64) + len(x.c)])
+                degree, forest, _ = linked(x, y, row["hub"], threshold, label)
+                n = len(x.c)
+                yield pa.RecordBatch.from_arrays([
+                    pa.array([row["home"], row["other"]], pa.int64()), pa.array([row["i"], row["j"]], pa.int32()),
+                    pa.array([degree[:n].tobytes(), degree[n:].tobytes()], pa.binary()), pa.array([_edges(forest, x.c + y.c), []], _EDGES),
+                ], ["home", "block", "degree", "edges"])
+
+    return run
+
+
+def _summed(table: pa.Table) -> pa.Table:
+    """A block's degrees, added up."""
+    total = sum(np.frombuffer(x, np.int64) for x in table["degree"].to_pylist())
+    return pa.table({"home": table["home"][:1], "block": table["block"][:1], "degree": pa.array([total.tobytes()], pa.binary())})
+
+
+def _degrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for k in range(batch.num_rows):
+            n = np.frombuffer(batch.column(1)[k].as_py(), np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0)[k].values, pa.array(n)], ["c", "n"])
+
+
+def block_links(dealt: DataFrame, meet: DataFrame, texts: DataFrame, threshold: float = THRESHOLD, gram: int = GRAM) -> tuple[DataFrame, DataFrame]:
+    """(number of links n of each class c in homes that meet, links a, b of a spanning forest)."""
+    sets = texts.join(dealt, "c").select("t", "cluster", "home", "block", "c")
+    sets = materialise(sets.mapInArrow(task(_set_rows(gram)), "cluster long, home long, block int, c binary, s binary"), "sets")
+    hubs = materialise(sets.groupBy("cluster").agg(F.min(F.struct(F.xxhash64("c").alias("o"), "c", "s")).alias("h")).select("cluster", F.col("h.s").alias("h")), "hubs")
+    diffs = sets.join(hubs, "cluster").select("home", "block", "c", "s", "h")
+    diffs = diffs.mapInArrow(task(_differences), "home long, block int, c binary, size long, lacks long, hub long, d binary")
+    own = diffs.groupBy("home", "block").agg(F.first("hub").alias("hub"), F.collect_list(F.struct("c", "size", "lacks", "d")).alias("m"))
+    kind = own.schema["m"].dataType.simpleString()
+    own = materialise(own.mapInArrow(task(_within(threshold)), f"home long, block int, hub long, m {kind}, degree binary, label binary, edges {EDGES}"), "blocks")
+    at = own.select("home", "block")
+    cells = meet.join(at.withColumnRenamed("block", "i"), "home").join(at.withColumnsRenamed({"home": "other", "block": "j"}), "other")
+    cells = materialise(cells.filter("home < other or i < j").select("home", "i", "other", "j"), "cells")
+    left = own.select("home", F.col("block").alias("i"), "hub", "m", "label")
+    right = own.select(F.col("home").alias("other"), F.col("block").alias("j"), F.col("m").alias("om"), F.col("label").alias("olabel"))
+    across = cells.join(left, ["home", "i"]).join(right, ["other", "j"])
+    across = materialise(across.mapInArrow(task(_across(threshold)), f"home long, block int, degree binary, edges {EDGES}"), "across")
+    total = own.select("home", "block", "degree").unionByName(across.select("home", "block", "degree"))
+    total = total.groupBy("home", "block").applyInArrow(_summed, "home long, block int, degree binary")
+    degree = own.select("home", "block", F.transform("m", lambda x: x["c"]).alias("c")).join(total, ["home", "block"])
+    degree = materialise(degree.select("c", "degree").mapInArrow(task(_degrees), "c binary, n long"), "block-degrees")
+    links = own.select("edges").unionByName(across.select("edges")).select(F.explode("edges").alias("e")).select("e.a", "e.b")
+    return degree, links
 
 
 def _verified(threshold: float, gram: int):
@@ -354,7 +467,7 @@ def class_texts(needed: DataFrame, docs: DataFrame, table: DataFrame, id_col: st
     """c and a text t of each class of `needed`."""
     reps = table.groupBy("c").agg(F.min(F.struct("doc_id", "t1", "t2")).alias("r")).join(needed, "c")
     reps = reps.select("c", "r.doc_id", "r.t1", "r.t2")
-    rows = docs.select(F.col(id_col).alias("d"), text_bytes(text_col).alias("t"))
+    rows = docs.select(F.col(quoted(id_col)).alias("d"), text_bytes(text_col).alias("t"))
     rows = rows.select("d", "t", F.xxhash64("t").alias("x1"), F.xxhash64(F.lit(1), "t").alias("x2"))
     own = F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("x1") == F.col("t1")) & (F.col("x2") == F.col("t2"))
     return materialise(rows.join(reps, own).groupBy("c").agg(F.first("t").alias("t")), "texts")
@@ -363,7 +476,7 @@ def class_texts(needed: DataFrame, docs: DataFrame, table: DataFrame, id_col: st
 def verify(pairs: DataFrame, texts: DataFrame, threshold: float = THRESHOLD, gram: int = GRAM) -> DataFrame:
     """Pairs whose whole sets reach the threshold, with their Jaccard similarity."""
     both = pairs.join(texts.withColumnsRenamed({"c": "a", "t": "ta"}), "a").join(texts.withColumnsRenamed({"c": "b", "t": "tb"}), "b")
-    return materialise(both.select("a", "b", "ta", "tb").mapInArrow(_verified(threshold, gram), "a binary, b binary, jaccard double"), "links")
+    return materialise(both.select("a", "b", "ta", "tb").mapInArrow(task(_verified(threshold, gram)), "a binary, b binary, jaccard double"), "links")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -394,10 +507,10 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL,
     pairs = materialise(pairs.join(meet, same, "left_anti").select("a", "b"), "candidates")
     needed = pairs.select(F.col("a").alias("c")).union(pairs.select("b")).union(dealt.select("c")).distinct()
     texts = class_texts(needed, docs, table, id_col, text_col)
-    links, more = verify(pairs, texts, threshold, gram), block_links(dealt, meet, texts, threshold, gram)
-    labels = components(links.select("a", "b").union(more.filter("b is not null").select("a", "b"))).withColumnsRenamed({"node": "c", "label": "g"})
+    links, (counted, forest) = verify(pairs, texts, threshold, gram), block_links(dealt, meet, texts, threshold, gram)
+    labels = components(links.select("a", "b").union(forest)).withColumnsRenamed({"node": "c", "label": "g"})
     one = F.lit(1).cast("long").alias("n")
-    ends = links.select(F.col("a").alias("c"), one).unionAll(links.select("b", one)).unionAll(more.filter("b is null").select("a", "n"))
+    ends = links.select(F.col("a").alias("c"), one).unionAll(links.select("b", one)).unionAll(counted)
     degree = materialise(ends.groupBy("c").agg(F.sum("n").alias("n_links")), "degrees")
     rows = table.drop("sketch").join(labels, "c", "left")
     return materialise(rows.withColumn("g", F.coalesce("g", "c")), "groups"), degree
@@ -409,9 +522,11 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float
     class_id: the least id among texts of the same set of n-grams; group_id: the
     least id among all texts linked to it, directly or through others; n_links:
     links that its class has to other classes, counted without listing those of
-    large groups. Texts without words equal only the very
-    same text; repeated rows share a class; null ids are ignored in minima (a
-    group of null ids alone has null); other columns are ignored.
+    large groups. Texts of fewer than five words have one n-gram of all their
+    words; null texts count as empty; texts without words equal only the very
+    same text; very long texts enter whole; repeated rows share a class; null
+    ids are ignored in minima (a group of null ids alone has null); other columns
+    are ignored; an empty table gives no rows.
     """
     rows, degree = join(docs, threshold, recall, id_col=id_col, text_col=text_col)
     classes = materialise(rows.groupBy("c").agg(F.min("doc_id").alias("class_id")), "class-ids")
@@ -421,13 +536,17 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float
 
 
 def one_of_each(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The document of the least id of each group, all columns; of repeated rows one."""
+    """The document of the least id of each group, all columns; of repeated rows one.
+
+    Nulls and ties are treated as in near_duplicates: empty and null texts are
+    one group; of equal ids with different texts in a group one stays.
+    """
     rows, _ = join(docs, threshold, recall, id_col=id_col, text_col=text_col)
-    keep = rows.groupBy("g").agg(F.min(F.struct("doc_id", "t1", "t2")).alias("r")).select(*[F.col(f"r.{k}").alias(f"__{k}") for k in ("doc_id", "t1", "t2")])
+    keep = rows.groupBy("g").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t1", "t2")).alias("r")).select("r.doc_id", "r.t1", "r.t2")
     keep = materialise(keep, "kept")
-    own = docs.select("*", F.xxhash64(text_bytes(text_col)).alias("__x1"), F.xxhash64(F.lit(1), text_bytes(text_col)).alias("__x2"))
-    same = F.col(id_col).eqNullSafe(F.col("__doc_id")) & (F.col("__x1") == F.col("__t1")) & (F.col("__x2") == F.col("__t2"))
+    own = docs.select(whole_row(docs).alias("row"), F.col(quoted(id_col)).alias("d"), F.xxhash64(text_bytes(text_col)).alias("x1"), F.xxhash64(F.lit(1), text_bytes(text_col)).alias("x2"))
+    same = F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("x1") == F.col("t1")) & (F.col("x2") == F.col("t2"))
     out = own.join(keep, same)
     if not rows.groupBy("doc_id", "t1", "t2").count().filter("count > 1").isEmpty():
-        out = out.dropDuplicates([id_col, "__x1", "__x2"])
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+        out = out.dropDuplicates(["d", "x1", "x2"])
+    return rows_of(out, docs.columns)

@@ -13,6 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..sources.shared import scratch  # noqa: F401
 
@@ -32,7 +33,27 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def text_bytes(text: str = "text") -> Column:
     """The text column as UTF-8 bytes; null counts as empty."""
-    return F.coalesce(F.col(text), F.lit("")).cast("binary")
+    return F.coalesce(F.col(quoted(text)), F.lit("")).cast("binary")
+
+
+def whole_row(docs: DataFrame) -> Column:
+    """All columns as one, so that an operator's own columns cannot clash with any of them."""
+    return F.struct(*[F.col(quoted(c)) for c in docs.columns])
+
+
+def quoted(name: str) -> str:
+    """A column's name as an expression, whatever signs it holds."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def schema_of(df: DataFrame, name: str, other: str) -> StructType:
+    """The column of a name, and other ones as DDL."""
+    return StructType([df.schema[name], *StructType.fromDDL(other).fields])
+
+
+def rows_of(df: DataFrame, columns: list[str], row: str = "row", **other: Column) -> DataFrame:
+    """The columns that whole_row packed; those named in `other` get that value instead."""
+    return df.select(*[(other[c] if c in other else F.col(f"{row}.{quoted(c)}")).alias(c) for c in columns])
 
 
 def held_out(doc_id: str = "doc_id", modulus: int = 5, remainder: int = 0) -> Column:

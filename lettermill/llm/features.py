@@ -5,10 +5,11 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, SPACE_TABLE, WORD_TABLE, held_out, joined, prefix_hashes, span_hashes, spans, words
+from .common import LOWER, SPACE_TABLE, WORD_TABLE, held_out, joined, prefix_hashes, quoted, span_hashes, spans, text_bytes, words
 
 
 PREFIXES = (4, 5, 6, 7)  # bytes of a word that count as terms of their own
+SAMPLE_BYTES = 64 << 10  # a longer text is not learned from
 LEVELS = (1, 2, 4)  # a term that occurs that often counts as a further term
 
 
@@ -89,14 +90,16 @@ def style(rows: list[bytes]) -> np.ndarray:
     return out
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """At most `most` labelled training texts, chosen by a hash of the id: y and text.
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int, most_bytes: int = SAMPLE_BYTES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """At most `most` labelled training texts of `most_bytes` at most each, one per id, chosen by a hash of the id: i, y and t.
 
     Rows held out (crc32 of the id modulo 5 is 0) and null labels never enter.
-    Where labels repeat an id, its highest label counts.
+    Where labels repeat an id, its highest label counts; where documents do, the
+    least text. Longer texts are not learned from, so the sample is bounded in
+    bytes as well; they are scored whole.
     """
     own = labels.select(F.col("doc_id").alias("i"), F.col(label).cast("int").alias("y"))
     own = own.filter(F.col("i").isNotNull() & F.col("y").isNotNull() & ~held_out("i")).groupBy("i").agg(F.max("y").alias("y"))
-    texts = docs.select(F.col(id_col).alias("i"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
+    texts = docs.select(F.col(quoted(id_col)).alias("i"), text_bytes(text_col).alias("t")).filter(F.length("t") <= most_bytes)
     chosen = texts.select("i").join(own, "i").distinct().orderBy(F.xxhash64("i"), "i").limit(most)
-    return texts.join(F.broadcast(chosen), "i").select("i", "y", F.col("t").cast("binary").alias("t"))
+    return texts.join(F.broadcast(chosen), "i").groupBy("i", "y").agg(F.min("t").alias("t"))

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, byte_rows, held_out, row_blocks, task, text_bytes
+from .common import blocks, byte_rows, held_out, quoted, row_blocks, schema_of, task, text_bytes, whole_row
 from .features import bucketed, labelled_sample, shape_counts, style, term_counts  # noqa: F401
 
 SAMPLE_ROWS = 6_000  # labelled rows whose vectors vote, at most
@@ -46,7 +46,11 @@ class Space:
             return np.full(len(rows), self.prior)
         sim = self.project(rows) @ self.vectors.T
         k = min(k, sim.shape[1])
-        near = np.argpartition(-sim, k - 1, axis=1)[:, :k]
+        least = np.partition(sim, sim.shape[1] - k, axis=1)[:, sim.shape[1] - k, None]
+        chosen = sim > least
+        tied = sim == least  # as many of these as are still wanted, the first ones
+        chosen |= tied & (np.cumsum(tied, 1) <= k - chosen.sum(1, keepdims=True))
+        near = np.nonzero(chosen)[1].reshape(len(rows), k)
         w = np.maximum(np.take_along_axis(sim, near, 1), 0).astype(float) ** 4 + 1e-12
         return (w * self.labels[near]).sum(1) / w.sum(1)
 
@@ -99,20 +103,19 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
         rows: list[tuple] = []
         for batch in batches:
             rows += zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), byte_rows(batch.column(2)), strict=True)
-        rows.sort(key=lambda r: (r[0], r[2]))
-        rows = rows[:sample_rows]
+        rows.sort(key=lambda r: r[0])
         space = fit([r[2] for r in rows], np.array([min(max(r[1], 0), 1) for r in rows], float))
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(space)], pa.binary())], ["space"])
 
     import pickle
 
-    sample = labelled_sample(docs, labels, "quality", sample_rows).repartition(1)
+    sample = labelled_sample(docs, labels, "quality", sample_rows).repartition(1)  # bounded in rows and bytes
     got = sample.mapInArrow(task(run), "space binary").collect()
     return pickle.loads(got[0].space) if got else fit([], np.zeros(0))
 
 
-def score(docs: DataFrame, space: Space, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), name: str = "score") -> DataFrame:
-    """doc_id and score of every whole text, with the columns of `keep` unchanged; `name` is the score's column."""
+def score(docs: DataFrame, space: Space, id_col: str = "doc_id", text_col: str = "text", whole: bool = False) -> DataFrame:
+    """doc_id and score of every whole text, or, if `whole`, the documents as one column `row` and the score."""
     model = docs.sparkSession.sparkContext.broadcast(space)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,19 +124,23 @@ def score(docs: DataFrame, space: Space, id_col: str = "doc_id", text_col: str =
                 for a in range(i, j, BLOCK_ROWS):
                     b = min(j, a + BLOCK_ROWS)
                     part = batch.slice(a, b - a)
-                    yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(model.value.vote(rows[a - i : b - i]), pa.float64())], [*part.schema.names[1:], name])
+                    votes = model.value.vote(rows[a - i : b - i])
+                    yield pa.RecordBatch.from_arrays([part.column(1), pa.array(votes, pa.float64())], [part.schema.names[1], "score"])
 
-    rows = docs.select(text_bytes(text_col).alias("__bytes"), F.col(id_col).alias("doc_id"), *[c for c in keep if c != "doc_id"])
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[1:])
-    return rows.mapInArrow(task(run), f"{schema}, `{name}` double")
+    first = whole_row(docs).alias("row") if whole else F.col(quoted(id_col)).alias("doc_id")
+    rows = docs.select(text_bytes(text_col).alias("t"), first)
+    return rows.mapInArrow(task(run), schema_of(rows, rows.columns[1], "score double"))
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """doc_id, held_out, score, predicted; one row per input row.
 
-    A null or empty text votes like any other (its vector
-    is zero: every neighbour weighs the same); without usable labels
-    every score is 0.5; repeated rows score alike; other columns are ignored.
+    A null or empty text votes like any other (its vector is zero: every
+    neighbour weighs the same); very long texts are scored whole; of neighbours
+    of equal similarity the one that comes first by id votes; without usable
+    labels every score is 0.5; a null id is scored, and neither held out nor
+    learned from; repeated rows score alike, and a repeated id is learned from
+    once; other columns are ignored; an empty table gives no rows.
     """
     got = score(docs, train(docs, labels, sample_rows))
     return got.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

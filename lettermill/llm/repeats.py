@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_rows, materialise, mix, powers, task, text_bytes
+from .common import byte_rows, materialise, mix, powers, quoted, rows_of, schema_of, task, text_bytes, whole_row
 from .suffixes import repeated
 
 LENGTH = 400
@@ -209,7 +209,7 @@ def _distinct_units(units: DataFrame) -> DataFrame:
 def repeated_runs(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group: int = GROUP, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """(texts, runs): the distinct texts that may hold repeats (t1, t2, t), and the runs of
     repeated strings (t1, t2, spans: array of first string and number of strings)."""
-    rows = docs.select(text_bytes(text_col).alias("t"), F.col(id_col).alias("d"), *text_key(text_col))
+    rows = docs.select(text_bytes(text_col).alias("t"), F.col(quoted(id_col)).alias("d"), *text_key(text_col))
     kind = rows.schema["d"].dataType.simpleString()
     long_enough = rows.filter(F.length("t") >= length)
     cut = long_enough.mapInArrow(task(_cut(length, gram)), f"d {kind}, t1 long, t2 long, start long, n long, far long, ah long, sh long")
@@ -294,31 +294,35 @@ def removals(docs: DataFrame, length: int = LENGTH, group: int = GROUP, id_col:
     cut = texts.join(spans, ["t1", "t2"]).select("t1", "t2", "t", "spans")
     cut = cut.mapInArrow(task(_digest(length)), "t1 long, t2 long, n_removed long, n_spans long, kept string").dropDuplicates(["t1", "t2"])
     cut = materialise(cut, "removals")
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.length(text_bytes(text_col)).cast("long").alias("n_bytes"), F.sha2(text_bytes(text_col), 256).alias("whole"), *text_key(text_col))
+    rows = docs.select(F.col(quoted(id_col)).alias("doc_id"), F.length(text_bytes(text_col)).cast("long").alias("n_bytes"), F.sha2(text_bytes(text_col), 256).alias("whole"), *text_key(text_col))
     out = rows.join(cut, ["t1", "t2"], "left")
     return out.select("doc_id", "n_bytes", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("n_spans", F.lit(0)).cast("long").alias("n_spans"), F.coalesce("kept", "whole").alias("kept_sha256"))
 
 
-def _apply(names: list[str], length: int):
+def _apply(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at = names.index("text")
         for batch in batches:
-            texts = batch.column(at).to_pylist()
-            spans = batch.column(len(names)).to_pylist()
-            new = [t if not s else without(t.encode(), removed(len(t.encode()), s, length)).decode("utf-8", "ignore") for t, s in zip(texts, spans, strict=True)]
-            cols = list(batch.columns[: len(names)])
-            cols[at] = pa.array(new, pa.string())
-            yield pa.RecordBatch.from_arrays(cols, names)
+            new = []
+            for text, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                new.append(None if text is None else without(text, removed(len(text), spans, length)).decode("utf-8", "ignore") if spans else text.decode())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(new, pa.string())], ["row", "new"])
 
     return run
 
 
-def without_repeats(docs: DataFrame, length: int = LENGTH, group: int = GROUP, id_col: str = "doc_id") -> DataFrame:
-    """The documents with repeated strings cut out of `text`; a character cut in two goes whole."""
-    _, spans = repeated_runs(docs, length, group=group, id_col=id_col)
-    names = docs.columns
-    rows = docs.select("*", *[c.alias(f"__{k}") for k, c in enumerate(text_key())])
-    spans = spans.select(F.col("t1").alias("__0"), F.col("t2").alias("__1"), F.col("spans").alias("__spans"))
-    rows = rows.join(spans, ["__0", "__1"], "left").select(*[F.col(f"`{n}`") for n in names], "__spans")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return rows.mapInArrow(task(_apply(names, length)), schema)
+def without_repeats(docs: DataFrame, length: int = LENGTH, group: int = GROUP, id_col: str = "doc_id", text_col: str = "text", count_col: str | None = None) -> DataFrame:
+    """The documents with repeated strings cut out of their texts; one row per input row, all columns.
+
+    A character cut in two goes whole; `count_col`, if given, follows the text's
+    number of characters. Nulls stay null; empty and short texts stay as they
+    are; equal texts lose all that they share; an empty table gives no rows.
+    """
+    _, spans = repeated_runs(docs, length, group=group, id_col=id_col, text_col=text_col)
+    rows = docs.select(whole_row(docs).alias("row"), F.col(quoted(text_col)).cast("binary").alias("t"), *text_key(text_col))
+    rows = rows.join(spans, ["t1", "t2"], "left").select("row", "t", "spans")
+    got = rows.mapInArrow(task(_apply(length)), schema_of(rows, "row", "new string"))
+    other = {text_col: F.col("new")}
+    if count_col:
+        kind = docs.schema[count_col].dataType
+        other[count_col] = F.when(F.col("new").isNotNull(), F.length("new")).otherwise(F.col(f"row.{quoted(count_col)}")).cast(kind)
+    return rows_of(got, docs.columns, **other)

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, row_blocks, task, text_bytes
+from .common import held_out, quoted, row_blocks, schema_of, task, text_bytes, whole_row
 from .features import LEVELS, labelled_sample, stem_terms
 
 SAMPLE_ROWS = 6_000  # labelled rows fitted on, at most
@@ -120,8 +120,8 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, bu
     return fit(row, bucket, got.column("y").to_numpy().astype(float).clip(0, 1), len(LEVELS) * buckets)
 
 
-def score(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), name: str = "score", buckets: int = BUCKETS) -> DataFrame:
-    """doc_id and score of every whole text, with the columns of `keep` unchanged; `name` is the score's column."""
+def score(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: str = "text", whole: bool = False, buckets: int = BUCKETS) -> DataFrame:
+    """doc_id and score of every whole text, or, if `whole`, the documents as one column `row` and the score."""
     model = docs.sparkSession.sparkContext.broadcast(machine)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,19 +132,21 @@ def score(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: s
                 row, bucket = stem_terms(rows, buckets, wanted)
                 p = model.value.score(row, bucket, j - i)
                 part = batch.slice(i, j - i)
-                yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(p)], [*part.schema.names[1:], name])
+                yield pa.RecordBatch.from_arrays([part.column(1), pa.array(p)], [part.schema.names[1], "score"])
 
-    rows = docs.select(text_bytes(text_col).alias("__bytes"), F.col(id_col).alias("doc_id"), *[c for c in keep if c != "doc_id"])
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[1:])
-    return rows.mapInArrow(task(run), f"{schema}, `{name}` double")
+    first = whole_row(docs).alias("row") if whole else F.col(quoted(id_col)).alias("doc_id")
+    rows = docs.select(text_bytes(text_col).alias("t"), first)
+    return rows.mapInArrow(task(run), schema_of(rows, rows.columns[1], "score double"))
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """doc_id, held_out, score, predicted; one row per input row.
 
-    Null and empty texts get the score of a text without terms; without usable
-    labels every score is 0.5; repeated rows score alike; other columns are
-    ignored.
+    Null and empty texts get the score of a text without terms; very long texts
+    are scored whole; without usable labels every score is 0.5; a null id is
+    scored, and neither held out nor learned from; repeated rows score alike, and
+    a repeated id is learned from once; other columns are ignored; an empty table
+    gives no rows.
     """
     got = score(docs, train(docs, labels, sample_rows))
     return got.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
