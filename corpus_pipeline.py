@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lettermill.llm import chosenpath, packing, quality, repeats, toxicity
-from lettermill.llm.common import documents, materialise
+from lettermill.llm.common import documents, materialise, rows_of
 
 TOXIC_FROM = 0.5
 GOOD_FROM = 0.3
@@ -20,35 +20,51 @@ def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity score is below TOXIC_FROM."""
-    machine = toxicity.train(docs, _labels(spark, sf_dir))
-    got = toxicity.score(docs, machine, keep=tuple(docs.columns), name="__score")
-    return got.filter(F.col("__score") < TOXIC_FROM).select(*docs.columns)
+    """Documents whose toxicity score is below TOXIC_FROM, with all their columns.
+
+    Null and empty texts have the score of a text without terms; very long texts
+    are scored whole; repeated rows stay or go together; a null id is scored as
+    any other; an empty table gives no rows; without labels all scores are 0.5,
+    so nothing stays.
+    """
+    got = toxicity.score(docs, toxicity.train(docs, _labels(spark, sf_dir)), whole=True)
+    return rows_of(got.filter(F.col("score") < TOXIC_FROM), docs.columns)
 
 
 def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose quality score is GOOD_FROM or more."""
-    space = quality.train(docs, _labels(spark, sf_dir))
-    got = quality.score(docs, space, keep=tuple(docs.columns), name="__score")
-    return got.filter(F.col("__score") >= GOOD_FROM).select(*docs.columns)
+    """Documents whose quality score is GOOD_FROM or more, with all their columns.
+
+    Null, empty and very long texts, repeated rows, null ids and empty tables are
+    treated as in drop_toxic; without labels all scores are 0.5 and all stay.
+    """
+    got = quality.score(docs, quality.train(docs, _labels(spark, sf_dir)), whole=True)
+    return rows_of(got.filter(F.col("score") >= GOOD_FROM), docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies."""
+    """One document of each group of near copies, with all its columns: that of the least id.
+
+    Null and empty texts are one group, so one of them stays; of repeated rows one
+    stays; null ids come after all others; an empty table gives no rows.
+    """
     return chosenpath.one_of_each(docs)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the strings of 400 bytes that also start elsewhere; n_chars follows the text."""
-    out = repeats.without_repeats(docs)
-    if "n_chars" in docs.columns:
-        kind = docs.schema["n_chars"].dataType
-        out = out.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text")).otherwise(F.col("n_chars")).cast(kind))
-    return out
+    """Documents without the strings of 400 bytes that also start elsewhere; n_chars follows the text.
+
+    One row per document; null texts stay null, short ones as they are; a text
+    may end up empty; an empty table gives no rows.
+    """
+    return repeats.without_repeats(docs, count_col="n_chars" if "n_chars" in docs.columns else None)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the remaining documents in sequences of up to 1024 tokens."""
+    """Pieces of the remaining documents in sequences of up to 1024 tokens.
+
+    Null and empty texts are their end id alone; long texts are cut; repeated rows
+    are packed as often as they occur; an empty table gives no rows.
+    """
     return packing.pack_documents(docs)
 
 
