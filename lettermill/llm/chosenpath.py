@@ -41,7 +41,7 @@ RECALL = 0.99
 SLOTS = 64
 LIMIT = 24
 ROOT_SLOTS = 2  # slots that a run's root splits by
-DEPTH = 8  # levels of a run at most; by then sets in a bucket agree in 8 tokens, and all large ones are compared whole
+DEPTH = 4  # levels of a run; sets in a bucket of the last agree in four tokens, and its large buckets are compared whole, however mixed
 MARGIN = 0.15  # an estimate from SLOTS tokens is off by less (three standard deviations)
 SAMPLE = 48  # sets of a large bucket that show whether it is alike, about
 BLOCK, BLOCK_SIZE = 512, 1 << 18  # sets, and n-grams of sets, that a block of a home has on average at most
@@ -246,7 +246,7 @@ def candidates(classes: DataFrame, threshold: float = THRESHOLD, recall: float =
         level = rows.join(shared, "path").select("path", "c", "n")
         level = materialise(level.join(classes.select("c", "sketch"), "c").select("path", "c", "sketch", "n"), "level")
         small = level.filter(F.col("n") <= limit).select("path", "c", "sketch").repartition("path").sortWithinPartitions("path")
-        found.append(materialise(small.mapInArrow(task(_brute_force(least)), "a binary, b binary").distinct(), "pairs"))
+        found.append(small.mapInArrow(task(_brute_force(least)), "a binary, b binary"))
         large = level.filter(F.col("n") > limit)
         if depth == DEPTH - 1:
             whole.append(large.select("path", "c", "n"))
@@ -261,7 +261,7 @@ def candidates(classes: DataFrame, threshold: float = THRESHOLD, recall: float =
         rows = materialise(rows.mapInArrow(task(_children(threshold)), "path long, c binary"), "children")
         if rows.isEmpty():
             break
-    return functools.reduce(DataFrame.unionByName, found).distinct(), materialise(functools.reduce(DataFrame.unionByName, whole), "whole")
+    return materialise(functools.reduce(DataFrame.unionByName, found).distinct(), "pairs"), materialise(functools.reduce(DataFrame.unionByName, whole), "whole")
 
 
 def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -482,6 +482,8 @@ def verify(pairs: DataFrame, texts: DataFrame, threshold: float = THRESHOLD, gra
 def components(links: DataFrame) -> DataFrame:
     """node, label: the least node of each linked group, by label spreading with pointer jumping."""
     edges = materialise(links.select("a", "b").union(links.select(F.col("b"), F.col("a"))).distinct(), "edges")
+    if edges.isEmpty():
+        return edges.withColumnsRenamed({"a": "node", "b": "label"})
     labels = materialise(edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("label")), "labels")
     while True:
         near = edges.join(labels.withColumnRenamed("node", "a"), "a").groupBy(F.col("b").alias("node")).agg(F.min("label").alias("m"))

@@ -4,7 +4,6 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import functools
-import gc
 from collections.abc import Iterator
 from urllib.parse import urlparse
 
@@ -112,7 +111,6 @@ def task(run):
         try:
             yield from run(batches)
         finally:
-            gc.collect()
             pa.default_memory_pool().release_unused()
             with contextlib.suppress(OSError, AttributeError):  # where the C library has it
                 ctypes.CDLL(None).malloc_trim(0)
