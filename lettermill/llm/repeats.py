@@ -1,6 +1,6 @@
 """Removal of repeated byte strings by blockwise suffix sorting (operator 1).
 
-Every string of LENGTH bytes belongs to one anchor, its 64-byte gram of the least
+Every string of LENGTH bytes belongs to one anchor, its GRAM-byte gram of the least
 hash (the first of equals), so equal strings have equal anchors. A text is cut
 into pieces: runs of strings with the same anchor. Strings whose anchor's gram
 occurs once cannot repeat and need no sorting. All other pieces are dealt by
@@ -29,7 +29,7 @@ from .common import byte_rows, materialise, mix, powers, quoted, rows_of, schema
 from .suffixes import repeated
 
 LENGTH = 400
-GRAM = 64
+GRAM = 32  # the shorter, the fewer pieces a text has; it only has to be rare by chance
 GROUP = 500  # distinct pieces of a key that are sorted in one task, at most
 RUN = 16  # strings of a refined piece
 SORT_BYTES = 1 << 20  # piece bytes sorted together
@@ -206,9 +206,8 @@ def _distinct_units(units: DataFrame) -> DataFrame:
     return units.groupBy("key", "uh").agg(F.sum("weight").alias("weight"), F.first("body").alias("body"))
 
 
-def repeated_runs(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group: int = GROUP, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(texts, runs): the distinct texts that may hold repeats (t1, t2, t), and the runs of
-    repeated strings (t1, t2, spans: array of first string and number of strings)."""
+def repeated_runs(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group: int = GROUP, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The runs of repeated strings of each different text: t1, t2, spans (array of first string and number of strings)."""
     rows = docs.select(text_bytes(text_col).alias("t"), F.col(quoted(id_col)).alias("d"), *text_key(text_col))
     kind = rows.schema["d"].dataType.simpleString()
     long_enough = rows.filter(F.length("t") >= length)
@@ -217,15 +216,15 @@ def repeated_runs(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group
     all_pieces = materialise(cut.groupBy("t1", "t2", "start", "n", "far", "ah", "sh").agg(F.count("*").alias("c"), F.min("d").alias("d")), "pieces")
     twice = materialise(all_pieces.groupBy("ah").agg(F.sum("c").alias("w")).filter("w > 1").select("ah"), "anchors")
     own = materialise(all_pieces.join(twice, "ah"), "own-pieces")
-    stands = own.groupBy("ah", "sh").agg(F.sum("c").alias("weight"), F.min(F.struct("t1", "t2", "start", "n", "far")).alias("r"))
+    stands = own.groupBy("ah", "sh").agg(F.sum("c").alias("weight"), F.min(F.struct("t1", "t2", "start", "n", "far", "d")).alias("r"))
     stands = materialise(stands.select("ah", "sh", "weight", "r.*"), "stands")
-    sizes = materialise(stands.groupBy("ah").agg(F.count("*").alias("m")), "anchor-sizes")
+    sizes = stands.groupBy("ah").agg(F.count("*").alias("m"))
     lists = stands.join(sizes, "ah").withColumn("hot", F.col("m") > group)
-    lists = lists.groupBy("t1", "t2").agg(F.collect_list(F.struct("start", "n", "far", "ah", "sh", "weight", "hot")).alias("p"))
-    holders = own.groupBy("t1", "t2").agg(F.min("d").alias("hd")).withColumnsRenamed({"t1": "h1", "t2": "h2"})
+    lists = lists.groupBy("t1", "t2").agg(F.min("d").alias("hd"), F.collect_list(F.struct("start", "n", "far", "ah", "sh", "weight", "hot")).alias("p"))
+    # one document stands for all of its text; should it be repeated itself, all its strings are repeated anyway
+    lists = lists.withColumnsRenamed({"t1": "h1", "t2": "h2"})
     mine = (F.col("t1") == F.col("h1")) & (F.col("t2") == F.col("h2")) & F.col("d").eqNullSafe(F.col("hd"))
-    texts = materialise(long_enough.join(holders, mine).select("t1", "t2", "t"), "texts")
-    units = materialise(texts.join(lists, ["t1", "t2"]).select("t", "p").mapInArrow(task(_units(length)), UNITS), "units")
+    units = materialise(long_enough.join(lists, mine).select("t", "p").mapInArrow(task(_units(length)), UNITS), "units")
     found = _sort(units.filter("level = 0"), length, "found").select(F.col("key").alias("ah"), F.col("uh").alias("sh"), "o", "n")
     runs = units.filter("level = 1").select("key", "uh", "weight", "ah", "sh", "off", "body")
     if not runs.isEmpty():
@@ -246,7 +245,7 @@ def repeated_runs(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group
     spans = own.select("t1", "t2", "start", "ah", "sh").join(found, ["ah", "sh"])
     spans = spans.select("t1", "t2", F.transform("runs", lambda r: F.struct((F.col("start") + r["o"]).alias("a"), r["n"].alias("n"))).alias("runs"))
     spans = spans.groupBy("t1", "t2").agg(F.flatten(F.collect_list("runs")).alias("spans"))
-    return texts, materialise(spans, "spans")
+    return materialise(spans, "spans")
 
 
 def removed(size: int, spans: list[dict], length: int = LENGTH) -> list[tuple[int, int]]:
@@ -290,7 +289,8 @@ def removals(docs: DataFrame, length: int = LENGTH, group: int = GROUP, id_col:
     repeated row is a further occurrence of its text; null ids stay null; other
     columns are ignored; an empty table gives no rows.
     """
-    texts, spans = repeated_runs(docs, length, group=group, id_col=id_col, text_col=text_col)
+    spans = repeated_runs(docs, length, group=group, id_col=id_col, text_col=text_col)
+    texts = docs.select(text_bytes(text_col).alias("t"), *text_key(text_col)).filter(F.length("t") >= length)
     cut = texts.join(spans, ["t1", "t2"]).select("t1", "t2", "t", "spans")
     cut = cut.mapInArrow(task(_digest(length)), "t1 long, t2 long, n_removed long, n_spans long, kept string").dropDuplicates(["t1", "t2"])
     cut = materialise(cut, "removals")
@@ -317,7 +317,7 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, group: int = GROUP, i
     number of characters. Nulls stay null; empty and short texts stay as they
     are; equal texts lose all that they share; an empty table gives no rows.
     """
-    _, spans = repeated_runs(docs, length, group=group, id_col=id_col, text_col=text_col)
+    spans = repeated_runs(docs, length, group=group, id_col=id_col, text_col=text_col)
     rows = docs.select(whole_row(docs).alias("row"), F.col(quoted(text_col)).cast("binary").alias("t"), *text_key(text_col))
     rows = rows.join(spans, ["t1", "t2"], "left").select("row", "t", "spans")
     got = rows.mapInArrow(task(_apply(length)), schema_of(rows, "row", "new string"))

@@ -68,7 +68,8 @@ def test_repeats(spark, docs, none, length, group):
 
     got = repeats.removals(docs, length, group) if length == 400 else None
     if got is None:
-        texts, spans = repeats.repeated_runs(docs, length, gram=16, group=group)
+        spans = repeats.repeated_runs(docs, length, gram=16, group=group)
+        texts = docs.select(F.coalesce("text", F.lit("")).cast("binary").alias("t"), *repeats.text_key()).distinct()
         cut = {bytes(r.t): repeats.removed(len(r.t), [s.asDict() for s in r.spans], length) for r in texts.join(spans, ["t1", "t2"]).collect()}
         for t in rows:
             ranges = cut.get(t, [])
