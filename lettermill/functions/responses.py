@@ -1,51 +1,84 @@
 """Model responses and chat texts: tolerant JSON recovery, validation, parsers of lines and postbacks."""
 from __future__ import annotations
 
+import contextlib
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..operators.contacts import is_email
 from .names import trim
 
 RESULT = "doc_type string, subject string, body string, filename string, confidence double"
 REQUIRED = ("doc_type", "subject", "body", "filename", "confidence")
-_JSON_STRING = r'"(?:[^"\\]|\\.)*"'
+# Ends that a response cut off in the middle may have, dropped in this order.
+CUT_ENDS = (r',\s*"[^"]*"\s*:\s*"[^"]*$', r',\s*"[^"]*"\s*:\s*\[[^\]]*$', r',\s*"[^"]*"\s*:\s*$', r',\s*"[^"]*$', r',\s*$')
 
 
-def _strict(c: Column) -> Column:
-    """The text if it is one JSON object: cut down to nothing by removing its innermost parts, else null.
+def _is_object(c: Column) -> Column:
+    """Whether the text is one JSON object, nested to any depth; repeated keys in an object are no JSON here.
 
-    Spark's parser alone accepts trailing commas and trailing text.
+    As the only element of an array, so that nothing may follow it.
     """
-    t = F.regexp_replace(c, _JSON_STRING, "s")
-    t = F.regexp_replace(t, r"(?<![\w.])-?\d+(\.\d+)?([eE][+-]?\d+)?(?![\w.])|\btrue\b|\bfalse\b|\bnull\b", "v")
-    t = F.regexp_replace(t, r"\s+", "")
-    for _ in range(4):  # nesting of a response is shallow
-        t = F.regexp_replace(t, r"\[((v|s)(,(v|s))*)?\]", "v")
-        t = F.regexp_replace(t, r"(?<=.)\{(s:(v|s)(,s:(v|s))*)?\}", "v")
-    return F.when(t.rlike(r"^\{(s:(v|s)(,s:(v|s))*)?\}$"), c)
+    got = F.try_parse_json(F.concat(F.lit("["), c, F.lit("]")))
+    return F.startswith(F.ltrim(c), F.lit("{")) & got.isNotNull() & F.try_variant_get(got, "$[1]", "variant").isNull()
+
+
+def _closed(text: Column) -> Column:
+    """A text that was cut off: from its first brace, without the unfinished end, all that is open closed."""
+    t = F.substr(text, F.nullif(F.instr(text, "{"), F.lit(0)))
+    for end in CUT_ENDS:
+        t = F.regexp_replace(t, end, "")
+    short = lambda a, b: F.greatest(F.lit(0), F.regexp_count(t, F.lit(a)) - F.regexp_count(t, F.lit(b)))
+    return F.concat(t, F.repeat(F.lit("]"), short(r"\[", r"\]")), F.repeat(F.lit("}"), short(r"\{", r"\}")))
 
 
-def salvage(text: Column) -> tuple[Column, Column]:
-    """(JSON object text, strategy) by the first of five ways that gives an object; nulls where none does."""
+def salvage(text: Column) -> Column:
+    """A struct of the JSON object's text and the strategy that gave it, the first of five that does; null where none does.
+
+    Later ways are only tried on rows for which the earlier ones fail.
+    """
     whole = F.trim(text)
     fenced = F.trim(F.regexp_replace(whole, r"^```[a-zA-Z]*\s*|\s*```$", ""))
     widest = F.nullif(F.regexp_extract(whole, r"(?s)\{.*\}", 0), F.lit(""))
     commas = F.regexp_replace(F.coalesce(widest, fenced), r",\s*([}\]])", "$1")
-    head = F.nullif(F.regexp_extract(fenced, r"(?s)\{.*", 0), F.lit(""))
-    open_text = (F.length(F.regexp_replace(F.replace(head, F.lit('\\"'), F.lit("")), '[^"]', "")) % 2) == 1
-    closed = F.regexp_replace(F.concat(head, F.when(open_text, '"').otherwise("")), r",\s*$", "")
-    repaired = F.concat(closed, F.lit("}"))
-    ways = (("whole", whole), ("fence", fenced), ("braces", widest), ("commas", commas), ("truncated", repaired))
-    found = [(n, _strict(c)) for n, c in ways]
-    strategy = F.coalesce(*[F.when(c.isNotNull(), n) for n, c in found])
-    return F.coalesce(*[c for _, c in found]), strategy
+    ways = (("whole", whole), ("fence", fenced), ("braces", widest), ("commas", commas), ("truncated", _closed(whole)))
+    return F.coalesce(*[F.when(_is_object(c), F.struct(c.alias("json"), F.lit(n).alias("strategy"))) for n, c in ways])
 
 
 def recover(df: DataFrame, text: str = "text") -> DataFrame:
     """Adds `result` (a struct) and `strategy`."""
-    got, strategy = salvage(F.col(text))
-    return df.withColumns({"__json": got, "strategy": strategy}).withColumn("result", F.from_json("__json", RESULT)).drop("__json")
+    got = df.withColumn("salvaged", salvage(F.col(text)))
+    return got.withColumns({"strategy": F.col("salvaged.strategy"), "result": F.from_json("salvaged.json", RESULT)}).drop("salvaged")
+
+
+def answered(df: DataFrame, scorer: Callable[[str], str], text: str = "text", attempts: int = 2) -> DataFrame:
+    """Adds `answer`, what scorer says to each text, and `tried`, how often it was asked.
+
+    An error or an empty answer is asked for again, up to `attempts` times; then
+    the answer stays null, and `validate` gives the fallback record. Nulls are
+    asked for as empty texts.
+    """
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in parts:
+            answers, tried = [], []
+            for t in batch.column(1).to_pylist():
+                got, n = None, 0
+                while not got and n < attempts:
+                    n += 1
+                    with contextlib.suppress(Exception):  # the scorer may raise anything
+                        got = scorer(t or "")
+                answers.append(got or None)
+                tried.append(n)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(answers, pa.string()), pa.array(tried, pa.int32())], ["row", "answer", "tried"])
+
+    rows = df.select(F.struct("*").alias("row"), F.col(text).alias("asked"))
+    schema = StructType([rows.schema["row"], *StructType.fromDDL("answer string, tried int").fields])
+    return rows.mapInArrow(run, schema).select("row.*", "answer", "tried")
 
 
 def validate(df: DataFrame, as_of: str) -> DataFrame:
@@ -73,7 +106,7 @@ def contact_line(text: Column) -> dict[str, Column]:
 def _value(data: Column, key: str) -> Column:
     """The first value of a key in a=b&c=d text; null if there is none or it is blank."""
     pairs = F.filter(F.split(data, "&"), lambda p: F.startswith(p, F.lit(f"{key}=")) & (F.length(p) > len(key) + 1))
-    return F.try_url_decode(F.substring(F.get(pairs, 0), len(key) + 2, 10_000))
+    return F.try_url_decode(F.substr(F.get(pairs, 0), F.lit(len(key) + 2)))
 
 
 def postback(data: Column) -> tuple[Column, Column]:

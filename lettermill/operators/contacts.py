@@ -139,10 +139,21 @@ def recipients_of(groups: DataFrame, members: DataFrame) -> DataFrame:
 
 
 def contact_history(contacts: DataFrame, history: DataFrame, k: int = 5) -> DataFrame:
-    """Per contact the k latest sends that name it or carry its address: an equi-join on the user with the rest as a filter."""
+    """Per contact the k latest sends that name it or carry its address.
+
+    All sends to one name and address match the same contacts, so only the k
+    latest of each recipient can be among a contact's. Recipients meet contacts
+    by an equi-join on the address, and by the name within the user's own.
+    """
     h = history.select("user_id", F.col("id").alias("send_id"), "recipient_name", "recipient_email", "sent_at")
+    to = ["user_id", "recipient_name", "recipient_email"]
+    latest = h.withColumn("n", F.row_number().over(Window.partitionBy(*to).orderBy(F.desc("sent_at"), F.desc("send_id")))).filter(F.col("n") <= k)
+    sends = latest.groupBy(*to).agg(F.collect_list(F.struct("sent_at", "send_id")).alias("sends"))
     c = contacts.select("user_id", F.col("id").alias("contact_id"), "name", "email")
-    hit = h.join(c, (h["user_id"] == c["user_id"]) & (h["recipient_name"].contains(c["name"]) | (h["recipient_email"] == c["email"])))
+    by_address = sends.join(c, (sends["user_id"] == c["user_id"]) & (F.col("recipient_email") == F.col("email"))).select("contact_id", "sends")
+    named = F.coalesce(F.col("recipient_name").contains(F.col("name")), F.lit(False)) & ~F.coalesce(F.col("recipient_email") == F.col("email"), F.lit(False))
+    by_name = sends.join(c, (sends["user_id"] == c["user_id"]) & named).select("contact_id", "sends")
+    hit = by_address.unionByName(by_name).select("contact_id", F.explode("sends").alias("s")).select("contact_id", "s.*")
     w = Window.partitionBy("contact_id").orderBy(F.desc("sent_at"), F.desc("send_id"))
     return hit.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("contact_id", "rank", "send_id")
 

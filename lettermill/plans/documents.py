@@ -16,18 +16,20 @@ from .base import query
 
 def _responses(spark, d):
     i = F.col("doc_id")
-    full = F.format_string('{"doc_type": "report", "subject": "S %s", "body": "a, }b", "filename": "f%s.pdf", "confidence": 0.%s}', i, i, i % 9)
+    full = F.format_string('{"doc_type": "report", "subject": "S %s", "body": "a, b", "filename": "f%s.pdf", "more": {"a": {"b": {"c": {"d": {"e": [1, {}]}}}}}, "confidence": 0.%s}', i, i, i % 9)
+    cut = F.format_string('{"doc_type": "report", "subject": "S %s", "tags": ["x"], "body": ', i)
+    half = F.concat(cut, T.pick(('"half a va', '["x", "y', ""), i % 3))
     text = (
         F.when(i % 7 == 0, full).when(i % 7 == 1, F.concat(F.lit("```json\n"), full, F.lit("\n```"))).when(i % 7 == 2, F.concat(F.lit("Here: "), full, F.lit(" done.")))
-        .when(i % 7 == 3, F.regexp_replace(full, r"\}$", ",}")).when(i % 7 == 4, F.substring(full, F.lit(1), F.length(full) - 18))
-        .when(i % 7 == 5, F.regexp_replace(full, r'"subject": "[^"]*", ', "")).otherwise("sorry, no idea")
+        .when(i % 7 == 3, F.regexp_replace(full, r"\}$", ",}")).when(i % 7 == 4, half)
+        .when(i % 7 == 5, F.regexp_replace(full, r'"subject": "[^"]*", ', "")).otherwise(F.concat(F.lit("sorry, no idea: "), F.translate(F.coalesce("text", F.lit("")), "{}", "")))
     )
     return T.table(spark, d, "documents").select("doc_id", text.alias("text"))
 
 
-@query("g11_json_salvage", "SELECT doc_id, CASE doc_id % 7 WHEN 0 THEN 'whole' WHEN 1 THEN 'fence' WHEN 2 THEN 'braces' WHEN 3 THEN 'commas' WHEN 4 THEN 'truncated' WHEN 5 THEN 'whole' END AS strategy, CASE WHEN doc_id % 7 < 5 THEN 'S ' || doc_id END AS subject FROM documents")
+@query("g11_json_salvage", "SELECT doc_id, CASE doc_id % 7 WHEN 0 THEN 'whole' WHEN 1 THEN 'fence' WHEN 2 THEN 'braces' WHEN 3 THEN 'commas' WHEN 4 THEN 'truncated' WHEN 5 THEN 'whole' END AS strategy, CASE WHEN doc_id % 7 < 5 THEN 'S ' || doc_id END AS subject, CASE WHEN doc_id % 7 IN (0, 1, 2, 3, 5) THEN 'a, b' END AS body FROM documents")
 def _(spark, d):
-    return R.recover(_responses(spark, d)).select("doc_id", "strategy", F.col("result.subject").alias("subject"))
+    return R.recover(_responses(spark, d)).select("doc_id", "strategy", F.col("result.subject").alias("subject"), F.col("result.body").alias("body"))
 
 
 @query("g12_result_checks", "SELECT doc_id, doc_id % 7 > 3 AS fallback, CASE WHEN doc_id % 7 > 3 THEN 'document_20240131_0000.pdf' ELSE 'f' || doc_id || '.pdf' END AS filename, doc_id % 7 > 3 OR doc_id % 9 < 3 AS low_confidence FROM documents")
@@ -35,6 +37,22 @@ def _(spark, d):
     return R.validate(R.recover(_responses(spark, d)), "2024-01-31").select("doc_id", "fallback", "filename", "low_confidence")
 
 
+@query("j2_scored", "SELECT doc_id, CAST(CASE WHEN length(coalesce(text, '')) % 5 < 2 THEN 2 ELSE 1 END AS INTEGER) AS tried, length(coalesce(text, '')) % 5 = 0 AS fallback, CASE WHEN length(coalesce(text, '')) % 5 > 0 THEN length(coalesce(text, '')) || ' characters' ELSE 'Document' END AS subject FROM documents")
+def _(spark, d):
+    def scorer(text: str, asked=set()) -> str:  # noqa: B006
+        """Fails for some lengths at first, for others always."""
+        kind = len(text) % 5
+        if kind == 0 or (kind == 1 and text not in asked):
+            asked.clear()
+            asked.add(text)
+            raise TimeoutError(text)
+        asked.clear()
+        return '{"doc_type": "report", "subject": "%d characters", "body": "b", "filename": "f.pdf", "confidence": 0.9}' % len(text)
+
+    got = R.answered(T.table(spark, d, "documents").select("doc_id", "text"), scorer)
+    return R.validate(R.recover(got, "answer"), "2024-01-31").select("doc_id", "tried", "fallback", "subject")
+
+
 @query("g9_contact_lines", "SELECT id, valid, CASE WHEN id % 5 = 1 THEN NULL ELSE email END AS email, CASE WHEN id % 5 IN (2, 3) THEN 'Dept' ELSE '' END AS department FROM (SELECT id, email, id % 5 <> 1 AS valid FROM contacts)", "contacts")
 def _(spark, d):
     i, n = F.col("id") % 5, F.lit("Nm")
@@ -134,21 +152,27 @@ def _(spark, d):
 
 
 def _cued(spark, d):
+    """Whole texts with cue words and numbers after them."""
     i = F.col("doc_id")
     cue = T.pick(("題目 配分", "主旨", "金額 品項 題目", "條款", "圖表 章節", "敬啟", "勾選 主旨", "none"), i % 8)
     number = F.when(i % 11 == 0, F.concat(F.lit(" A1"), F.lpad((i % 100000000).cast("string"), 8, "0"), F.lit(" "))).otherwise("")
-    return T.table(spark, d, "documents").select("doc_id", F.concat_ws(" ", cue, number, F.lit("1234567890123"), F.col("doc_id").cast("string")).alias("text"))
+    return T.table(spark, d, "documents").select("doc_id", F.concat_ws(" ", "text", cue, number, F.lit("1234567890123"), F.col("doc_id").cast("string")).alias("text"))
 
 
-@query("k5_doc_types", "SELECT doc_id, (['exam', 'official', 'receipt', 'contract', 'report', 'letter', 'official', 'other'])[doc_id % 8 + 1] AS doc_type, round(([1.0, 1.0, 2.0 / 3, 1.0, 1.0, 1.0, 0.5, 0.0])[doc_id % 8 + 1], 6) AS confidence FROM documents")
+_CUED = "cued AS (SELECT doc_id, coalesce(text || ' ', '') || (['題目 配分', '主旨', '金額 品項 題目', '條款', '圖表 章節', '敬啟', '勾選 主旨', 'none'])[doc_id % 8 + 1] || ' ' || CASE WHEN doc_id % 11 = 0 THEN ' A1' || lpad(CAST(doc_id % 100000000 AS VARCHAR), 8, '0') || ' ' ELSE '' END || ' 1234567890123 ' || doc_id AS text FROM documents)"
+_TYPES = ", ".join("{'n': " + " + ".join(f"CAST(contains(text, '{c}') AS INTEGER)" for c in cues) + f", 'o': {-i}, 't': '{t}'}}" for i, (t, cues) in enumerate(K.CUES.items()))
+
+
+@query("k5_doc_types", f"WITH {_CUED}, hits AS (SELECT doc_id, [{_TYPES}] AS h FROM cued) SELECT doc_id, CASE WHEN list_max(h).n > 0 THEN list_max(h).t ELSE 'other' END AS doc_type, round(CASE WHEN list_max(h).n > 0 THEN list_max(h).n / list_sum(list_transform(h, lambda x: x.n)) ELSE 0.0 END, 6) AS confidence FROM hits")
 def _(spark, d):
     t, c = K.doc_type(F.col("text"))
     return _cued(spark, d).select("doc_id", t.alias("doc_type"), F.round(c, 6).alias("confidence"))
 
 
-@query("k6_masked", "SELECT doc_id, CAST(CASE WHEN doc_id % 11 = 0 THEN 2 ELSE 1 END AS INTEGER) AS hits FROM documents")
+@query("k6_masked", f"WITH {_CUED} SELECT doc_id, CAST(len(regexp_extract_all(text, '{K.MASKED}')) AS INTEGER) AS hits, md5(regexp_replace(text, '{K.MASKED}', '***', 'g')) AS masked_md5 FROM cued")
 def _(spark, d):
-    return _cued(spark, d).select("doc_id", K.masked(F.col("text"))[1].alias("hits"))
+    text, hits = K.masked(F.col("text"))
+    return _cued(spark, d).select("doc_id", hits.alias("hits"), F.md5(text).alias("masked_md5"))
 
 
 @query("f7_prefix_text", "WITH p AS (SELECT conv_id, turn, text, coalesce(sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations) SELECT conv_id, substr(trim(regexp_replace(string_agg(text, chr(10) ORDER BY turn), '\\s+', ' ', 'g')), 1, 300) AS snippet FROM p WHERE b <= 300 AND n <= 5 GROUP BY 1")
@@ -159,13 +183,16 @@ def _(spark, d):
 ALLOWED = ", ".join(f"'{a}>{b}'" for a, bs in I.TRANSITIONS.items() for b in sorted(bs))
 
 
-@query("i2_session_fold", f"""WITH RECURSIVE e AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM state_events),
+SESSION_SQL = f"""WITH RECURSIVE e AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM state_events),
 f AS (SELECT user_id, rn, event_id, 'idle>' || target_state IN ({ALLOWED}) AS accepted, CASE WHEN 'idle>' || target_state IN ({ALLOWED}) THEN target_state ELSE 'idle' END AS state,
   CASE WHEN 'idle>' || target_state IN ({ALLOWED}) THEN ts END AS upd FROM e WHERE rn = 1
 UNION ALL SELECT user_id, rn, event_id, ok, CASE WHEN ok THEN target_state ELSE cur END, CASE WHEN ok THEN ts ELSE upd END FROM (
   SELECT *, cur || '>' || target_state IN ({ALLOWED}) AS ok FROM (SELECT e.user_id, e.rn, e.event_id, e.ts, e.target_state, f.upd,
   CASE WHEN f.state <> 'idle' AND f.upd IS NOT NULL AND e.ts - f.upd > INTERVAL 30 MINUTE THEN 'idle' ELSE f.state END AS cur FROM f JOIN e ON e.user_id = f.user_id AND e.rn = f.rn + 1)))
-SELECT event_id, user_id, accepted, state FROM f""", "state_events")
+SELECT event_id, user_id, accepted, state FROM f"""
+
+
+@query("i2_session_fold", SESSION_SQL, "state_events")
 def _(spark, d):
     return I.fold(T.state_events(spark, d))
 
@@ -184,10 +211,9 @@ def _stream(spark, d, name):
     return I.source(spark, d, name, T.table(spark, d, name).schema)
 
 
-@query("i1_session_stream", "SELECT event_id FROM events")
+@query("i1_session_stream", SESSION_SQL, "state_events")
 def _(spark, d):
-    e = _stream(spark, d, "events").select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"), F.lit("awaiting_contact").alias("target_state"))
-    return I.run_to_table(I.fold_stream(e), scratch(spark, "sessions")).select("event_id")
+    return I.run_to_table(I.fold_stream(T.state_events(spark, d, _stream(spark, d, "events"))), scratch(spark, "sessions"))
 
 
 @query("i6_stream_counts", "SELECT CAST(event_type AS VARCHAR) AS event_type, count(*) AS n FROM events GROUP BY 1")
@@ -204,16 +230,16 @@ def _(spark, d):
     return out.select("id", (F.col("frequency") + F.coalesce("n", F.lit(0))).alias("frequency"))
 
 
-@query("j1_file_transform", "SELECT doc_id || '.up' AS output, CASE WHEN doc_id % 10 <> 0 THEN upper(lang) END AS content, doc_id % 10 = 0 AS failed FROM documents")
+@query("j1_file_transform", "SELECT doc_id || '.up' AS output, CASE WHEN doc_id % 10 <> 0 AND text <> '' THEN md5('FILE ' || text) END AS content_md5, NOT coalesce(doc_id % 10 <> 0 AND text <> '', false) AS failed FROM documents")
 def _(spark, d):
-    f = T.table(spark, d, "documents").select(F.concat(F.col("doc_id").cast("string"), F.lit(".txt")).alias("name"), F.when(F.col("doc_id") % 10 == 0, "").otherwise(F.col("lang")).cast("binary").alias("content"))
+    f = T.table(spark, d, "documents").select(F.concat(F.col("doc_id").cast("string"), F.lit(".txt")).alias("name"), F.when(F.col("doc_id") % 10 == 0, "").otherwise(F.coalesce("text", F.lit(""))).cast("binary").alias("content"))
 
-    def up(name: str, content: bytes) -> bytes:
+    def headed(name: str, content: bytes) -> bytes:
         if not content:
             raise ValueError("empty")
-        return content.upper()
+        return b"FILE " + content
 
-    return S.transform_files(f, up, ".up").select("output", F.col("content").cast("string").alias("content"), F.col("error").isNotNull().alias("failed"))
+    return S.transform_files(f, headed, ".up").select("output", F.md5("content").alias("content_md5"), F.col("error").isNotNull().alias("failed"))
 
 
 @query("j3_named_transforms", "SELECT doc_id, upper(lang) AS a, lang AS b FROM documents")

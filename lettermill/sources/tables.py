@@ -84,14 +84,16 @@ def users(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "nation").select(user_of("n_nationkey").alias("user_id"))
 
 
-def state_events(spark: SparkSession, d: str) -> DataFrame:
+def state_events(spark: SparkSession, d: str, events: DataFrame | None = None) -> DataFrame:
+    """`events`: the table's rows as a stream, say, instead of a read of it."""
+    events = table(spark, d, "events") if events is None else events
     kind, key = F.col("event_type"), F.col("event_id")
     target = (
         F.when(key % 29 == 0, "bogus").when(kind == "signup", "awaiting_contact").when(kind == "view", "processing")
         .when((kind == "click") & (key % 5 == 0), "editing").when(kind == "click", "awaiting_confirm")
         .when(kind == "purchase", "sending").otherwise("idle")
     )
-    return table(spark, d, "events").select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"), target.alias("target_state"))
+    return events.select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"), target.alias("target_state"))
 
 
 def usage_events(spark: SparkSession, d: str) -> DataFrame:

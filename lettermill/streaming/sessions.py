@@ -13,6 +13,8 @@ TRANSITIONS = {
     "awaiting_confirm": {"sending", "editing", "idle"}, "editing": {"awaiting_confirm", "idle"}, "sending": {"idle"},
 }
 TIMEOUT = pd.Timedelta(minutes=30)
+KEPT = pd.Timedelta(hours=1)  # how long a finished task is remembered
+FINAL = ("completed", "failed")
 OUTPUT = "event_id long, user_id long, accepted boolean, state string"
 
 
@@ -44,9 +46,15 @@ def fold(events: DataFrame) -> DataFrame:
 
 
 def fold_stream(events: DataFrame, late: str = "10 minutes") -> DataFrame:
-    """The same machine over a stream: state per user, events of a batch in order of time."""
+    """The same machine over a stream: state per user, events of a batch in order of time.
+
+    A session's state is dropped once the watermark has passed its time-out.
+    """
 
     def run(key, parts: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         name, updated = state.get if state.exists else ("idle", None)
         updated = None if updated is None or pd.isna(updated) else pd.Timestamp(updated, unit="us")
         pdf = pd.concat(list(parts)).sort_values(["ts", "event_id"])
@@ -54,10 +62,15 @@ def fold_stream(events: DataFrame, late: str = "10 minutes") -> DataFrame:
         for r in pdf.itertuples(index=False):
             name, updated, ok = advance(name, updated, r.ts, r.target_state)
             out.append((r.event_id, r.user_id, ok, name))
-        state.update((name, None if updated is None else updated.value // 1000))
+        if name == "idle":  # as good as no session
+            if state.exists:
+                state.remove()
+        else:
+            state.update((name, updated.value // 1000))
+            state.setTimeoutTimestamp(max(int((updated + TIMEOUT).timestamp() * 1000) + 1, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(out, columns=["event_id", "user_id", "accepted", "state"])
 
-    return events.withWatermark("ts", late).groupBy("user_id").applyInPandasWithState(run, OUTPUT, "name string, updated long", "append", "NoTimeout")
+    return events.withWatermark("ts", late).groupBy("user_id").applyInPandasWithState(run, OUTPUT, "name string, updated long", "append", "EventTimeTimeout")
 
 
 def activity(events: DataFrame, gap: str = "30 minutes") -> DataFrame:
@@ -89,17 +102,48 @@ def run_to_table(stream: DataFrame, folder: str) -> DataFrame:
 
 
 def merge_counts(stream: DataFrame, key: str, folder: str) -> DataFrame:
-    """Counts per key kept in versioned tables by foreachBatch; a repeated batch writes the same version."""
+    """Counts per key, kept as one small table per batch and added up when read.
+
+    A repeated batch overwrites its own table, so restarts count nothing twice; an
+    empty stream or a restart without new rows leaves the counts as they are.
+    """
     spark = stream.sparkSession
+    place = f"{folder}/counts"
+    none = stream.select(key).schema.add("n", "long")
 
     def put(batch: DataFrame, number: int) -> None:
-        new = batch.groupBy(key).agg(F.count("*").alias("n"))
-        if number:
-            old = spark.read.parquet(f"{folder}/v{number - 1}")
-            new = old.unionByName(new).groupBy(key).agg(F.sum("n").alias("n"))
-        new.write.mode("overwrite").parquet(f"{folder}/v{number}")
+        batch.groupBy(key).agg(F.count("*").alias("n")).write.mode("overwrite").parquet(f"{place}/batch={number}")
 
-    q = stream.writeStream.foreachBatch(put).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
-    q.awaitTermination()
-    last = q.lastProgress["batchId"] if q.lastProgress else 0
-    return spark.read.parquet(f"{folder}/v{last}")
+    spark.createDataFrame([], none).write.mode("overwrite").parquet(f"{place}/batch=-1")
+    stream.writeStream.foreachBatch(put).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(none).parquet(place).groupBy(key).agg(F.sum("n").alias("n"))
+
+
+def progress_stream(updates: DataFrame, late: str = "10 minutes") -> DataFrame:
+    """A task's changes of (status, progress) as they come, until its first final status (task_id, seq, progress, status, ts).
+
+    Updates of a batch go in order of seq; a finished task's later updates are
+    dropped, and its state too once the watermark has passed an hour beyond.
+    """
+    schema = "task_id long, seq long, progress int, status string"
+
+    def run(key, parts: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        last = tuple(state.get) if state.exists else (None, None)
+        pdf = pd.concat(list(parts)).sort_values("seq")
+        out = []
+        for r in pdf.itertuples(index=False):
+            if last[1] in FINAL:
+                break
+            now = (min(max(int(r.progress), 0), 100), r.status)
+            if now != last:
+                out.append((r.task_id, r.seq, *now))
+                last = now
+        state.update(last)
+        state.setTimeoutTimestamp(max(int((pdf.ts.max() + KEPT).timestamp() * 1000), state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame(out, columns=["task_id", "seq", "progress", "status"])
+
+    own = updates.select(F.col("task_id").cast("long").alias("task_id"), F.col("seq").cast("long").alias("seq"), "progress", "status", "ts")
+    return own.withWatermark("ts", late).groupBy("task_id").applyInPandasWithState(run, schema, "progress int, status string", "append", "EventTimeTimeout")
