@@ -239,7 +239,7 @@ class Encoder(UnitIds):
         for k, v in self.ranks.items():
             self.table[v] = k
 
-    def _merged(self, units: list[bytes]) -> list[np.ndarray]:
+    def _merged(self, units: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         rows = [self.split(u.decode("utf-8", "replace")) for u in units]
         index: dict[str, int] = {}
         for row in rows:
@@ -249,7 +249,8 @@ class Encoder(UnitIds):
         ids: list[np.ndarray] = []
         for i, j in blocks(np.array([len(p) for p in pieces], np.int64), MERGE_BYTES):
             ids += merge_many(pieces[i:j], self.path)
-        return [ids[index[row[0]]] if len(row) == 1 else np.concatenate([ids[index[p]] for p in row]) for row in rows]
+        got = [[ids[index[p]] for p in row] for row in rows]
+        return np.array([sum(map(len, x)) for x in got], np.int64), np.concatenate([y for x in got for y in x])
 
     def decode(self, packed: bytes) -> bytes:
         return b"".join(map(self.table.__getitem__, np.frombuffer(packed, "<u4").tolist()))

@@ -21,17 +21,17 @@ import pyarrow as pa
 import public_tokenizers
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import row_blocks, scratch, task, text_bytes
+from .common import materialise, row_blocks, scratch, task, text_bytes
 from .wordids import TokenizerIds
 
 VOCABULARY = "word_bpe_49k.json"
 MAGIC = b"LMPLANE1"
 CHUNK = 65_536  # integers of a chunk
 FILE_BYTES = 4 << 20  # text bytes of a file, at least one document
-TARGET_BYTES = 24 << 20  # text bytes of a range partition
+TARGET_BYTES = 48 << 20  # text bytes of a range partition, read in batches
 END_ID = 1
 _ENTRY = struct.Struct("<BBIQ8I")  # section, width, count, offset, plane lengths
 _TAIL = struct.Struct("<QI8s")
@@ -124,20 +124,24 @@ def write_ids(docs: DataFrame, folder: str, path: str | None = None, id_col: str
     rows.mapInArrow(_writer(path, chunk), FILES).write.option("compression", "uncompressed").parquet(folder)
 
 
-def read_ids(files: DataFrame) -> DataFrame:
-    """One row per document of the files: its place, count and checksum.
+def starts_of(files: DataFrame) -> DataFrame:
+    """Each file's part and number, and the ids of all files before it: sums by part, then within a part."""
+    sizes = files.select("part", "number", "n_ids")
+    parts = sizes.groupBy("part").agg(F.sum("n_ids").alias("ids"))
+    # one row per partition of the writer, the only rows that meet in one window
+    before = parts.withColumn("before", F.coalesce(F.sum("ids").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("part", "before")
+    within = F.coalesce(F.sum("n_ids").over(Window.partitionBy("part").orderBy("number").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return sizes.withColumn("within", within).join(before, "part").select("part", "number", (F.col("before") + F.col("within")).alias("first"))
 
-    The driver sees one line per file: its number of ids.
-    """
-    sizes = sorted((r.part, r.number, r.n_ids) for r in files.select("part", "number", "n_ids").toLocalIterator())
-    first, at = {}, 0
-    for part, number, n in sizes:
-        first[part, number] = at
-        at += n
+
+def read_ids(files: DataFrame) -> DataFrame:
+    """One row per document of the files: its place, count and checksum."""
+    rows = files.select("part", "number", "nulls", "data").join(materialise(starts_of(files), "file-starts"), ["part", "number"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for k in range(batch.num_rows):
+                row = batch.slice(k, 1).to_pylist()[0]
                 data = row["data"]
                 lengths = read_section(data, 1).astype(np.int64)
                 ids = read_section(data, 0).tobytes()
@@ -147,11 +151,11 @@ def read_ids(files: DataFrame) -> DataFrame:
                 starts = ends - lengths
                 crc = [zlib.crc32(ids[4 * a : 4 * b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys, pa.int64(), mask=nulls), pa.array(starts + first[row["part"], row["number"]], pa.int64()), pa.array(lengths, pa.int64()), pa.array(crc, pa.int64())],
+                    [pa.array(keys, pa.int64(), mask=nulls), pa.array(starts + row["first"], pa.int64()), pa.array(lengths, pa.int64()), pa.array(crc, pa.int64())],
                     ["doc_id", "start", "n_tokens", "ids_crc32"],
                 )
 
-    return files.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return rows.mapInArrow(task(run), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def round_trip(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", partitions: int | None = None) -> DataFrame:

@@ -16,10 +16,10 @@ import numpy as np
 from .common import LOWER, blocks, joined, span_hashes
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-KNOWN_UNITS = 200_000  # units that a task remembers; beyond, the more used half stays
+KNOWN_UNITS = 300_000  # units that a task remembers; beyond, the more used half stays
 LONG_UNIT = 64  # bytes; longer units are not remembered
 CALL_UNITS = 2_000  # units of a call of the tokenizer
-UNIT_BYTES = 1 << 20  # text bytes looked up together
+UNIT_BYTES = 2 << 20  # text bytes looked up together
 
 _UNSURE, _LETTER, _DIGIT, _SIGN, _APOSTROPHE, _BLANK, _SPACE, _LEAD = range(8)
 
@@ -143,9 +143,9 @@ def _gather(values: np.ndarray, at: np.ndarray, n: np.ndarray) -> np.ndarray:
 
 
 class UnitIds:
-    """Ids of texts. `encode` gives the ids of each of some units."""
+    """Ids of texts. `encode` gives the number of ids of each of some units, and all their ids."""
 
-    def __init__(self, encode: Callable[[list[bytes]], list[np.ndarray]], lower: bool = False, most: int = KNOWN_UNITS, block: int = UNIT_BYTES) -> None:
+    def __init__(self, encode: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], lower: bool = False, most: int = KNOWN_UNITS, block: int = UNIT_BYTES) -> None:
         self.encode, self.lower, self.block = encode, lower, block
         self.known = Known(most)
 
@@ -167,9 +167,7 @@ class UnitIds:
         got = np.append(self.known.find(key, data, at[: len(key)], n[: len(key)]), np.full(len(first) - len(key), -1))
         new = np.flatnonzero(got < 0)
         units = [data[a : a + k].tobytes() for a, k in zip(at[new].tolist(), n[new].tolist(), strict=True)]
-        ids = self.encode(units) if units else []
-        new_n = np.array([len(x) for x in ids], np.int64)
-        new_ids = np.concatenate(ids).astype(np.uint32) if ids else np.zeros(0, np.uint32)
+        new_n, new_ids = self.encode(units) if units else (np.zeros(0, np.int64), np.zeros(0, np.uint32))
         id_at, id_n = np.zeros(len(first), np.int64), np.zeros(len(first), np.int64)
         old = np.flatnonzero(got >= 0)
         id_at[old], id_n[old] = self.known.id_at[got[old]], self.known.id_n[got[old]]
@@ -199,6 +197,8 @@ class UnitIds:
         unit[at[1:] - 1] = False
         own = unit[s]
         s, e = s[own], e[own]
+        if self.lower:  # a tokenizer that drops white space: the blank before a word makes no difference
+            s = s + ((data[s] == 0x20) & (e - s > 1))
         counts, parts = [np.zeros(0, np.int64)], [np.zeros(0, np.uint32)]
         for i, j in blocks(e - s, self.block):
             lo, hi = int(s[i]), int(e[j - 1])
@@ -224,18 +224,23 @@ class TokenizerIds(UnitIds):
         self.names = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         super().__init__(self._library, lower, most)
 
-    def _library(self, texts: list[bytes]) -> list[np.ndarray]:
-        out: list[np.ndarray] = []
+    def _library(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        n, parts = [], []
         for i in range(0, len(texts), CALL_UNITS):
             got = self.tokenizer.encode_batch_fast([t.decode("utf-8", "replace") for t in texts[i : i + CALL_UNITS]], add_special_tokens=False)
-            out += [np.array(x.ids, "<u4") for x in got]
-        return out
+            ids: list[int] = []
+            for x in got:
+                own = x.ids
+                n.append(len(own))
+                ids += own
+            parts.append(np.array(ids, np.uint32))
+        return np.array(n, np.int64), np.concatenate(parts)
 
     def encode_all(self, rows: list[bytes]) -> list[bytes]:
         named = [k for k, r in enumerate(rows) if any(name in r for name in self.names)]
         if not named:
             return super().encode_all(rows)
         out = super().encode_all([b"" if k in set(named) else r for k, r in enumerate(rows)])
-        for k, ids in zip(named, self._library([rows[k] for k in named]), strict=True):
-            out[k] = ids.tobytes()
+        for k in named:
+            out[k] = self._library([rows[k]])[1].astype("<u4").tobytes()
         return out
