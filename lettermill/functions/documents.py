@@ -50,6 +50,8 @@ class _Walk(HTMLParser):
         if tag in ("script", "style"):
             self.skip += 1
         elif tag in BLOCKS:
+            if self.stack and self.stack[-1][0] == tag and tag in ("li", "p"):  # its end tag may be left out
+                self._emit(*self.stack.pop())
             self.stack.append([tag, []])
 
     def handle_endtag(self, tag: str) -> None:
