@@ -2,17 +2,18 @@
 
 `decode` reads any VP8L stream: prefix codes, meta prefix groups, back-references,
 colour cache, and the predictor, cross-colour, subtract-green and palette
-transforms. `encode_payloads` writes payloads as RGBA pixels under one prefix
-code for the four channels; `decode_payloads` decodes many such images in
-lockstep, one symbol of each image per step, and passes any other stream to
-`decode`.
+transforms. `encode_payloads` writes payloads as RGBA pixels with back-references,
+and a colour cache and a predictor where they save bytes; `decode_payloads` decodes
+many such images in lockstep, one symbol of each image per step, and passes any
+other stream to `decode`.
 """
 from __future__ import annotations
 
+import functools
 import hashlib
-import heapq
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +25,8 @@ ROW = 64  # payload bytes of an image row: 16 RGBA pixels
 MAX_ROWS = 256  # longer payloads become several images
 MAX_BITS = 11  # longest code that the encoder gives out
 LOCKSTEP_BYTES = 4 << 20
+LOCKSTEP = 1024  # images coded together
+CACHE_BITS = (4, 7)  # sizes of the colour cache that the encoder tries
 
 # Fixed values of the format: the order in which code-length code lengths are stored.
 LENGTH_ORDER = (17, 18, 0, 1, 2, 3, 4, 5, 16, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15)
@@ -34,7 +37,7 @@ NEIGHBOURS = sorted(
     ((x, y) for y in range(8) for x in range(-7, 9) if y or x > 0),
     key=lambda p: (p[0] ** 2 + p[1] ** 2, -p[1], p[0] < 0),
 )
-_REVERSED = [int(f"{i:0{MAX_BITS}b}"[::-1], 2) for i in range(1 << MAX_BITS)]
+_REVERSED = np.array([int(f"{i:0{MAX_BITS}b}"[::-1], 2) for i in range(1 << MAX_BITS)])
 
 
 class Bits:
@@ -60,7 +63,7 @@ class PrefixCode:
 
     __slots__ = ("longest", "table")
 
-    def __init__(self, lengths: list[int]) -> None:
+    def __init__(self, lengths: Sequence[int]) -> None:
         used = sorted((n, s) for s, n in enumerate(lengths) if n)
         if not used:
             raise ValueError("a prefix code without symbols")
@@ -86,6 +89,9 @@ class PrefixCode:
         return s
 
 
+_inner_code = functools.lru_cache(16)(PrefixCode)  # codes of code lengths: most streams share one
+
+
 def read_lengths(bits: Bits, alphabet: int) -> list[int]:
     """Code lengths of one prefix code."""
     out = [0] * alphabet
@@ -99,7 +105,7 @@ def read_lengths(bits: Bits, alphabet: int) -> list[int]:
     inner = [0] * 19
     for k in range(4 + bits.read(4)):
         inner[LENGTH_ORDER[k]] = bits.read(3)
-    code = PrefixCode(inner)
+    code = _inner_code(tuple(inner))
     left = 2 + bits.read(2 + 2 * bits.read(3)) if bits.read(1) else alphabet
     table, longest = code.table, code.longest
     mask, data, pos = (1 << longest) - 1, bits.data, bits.pos
@@ -320,36 +326,50 @@ def code_lengths(counts: dict[int, int], most: int = MAX_BITS) -> dict[int, int]
     """Huffman code lengths of at most `most` bits."""
     if len(counts) == 1:
         return dict.fromkeys(counts, 1)
-    total, floor = sum(counts.values()), 0
+    items = sorted((n, s) for s, n in counts.items())
+    total, floor, m = sum(counts.values()), 0, len(items)
     while True:
-        heap = [(n + floor, s, None, None) for s, n in counts.items()]
-        heapq.heapify(heap)
-        tie = 256
-        while len(heap) > 1:
-            a, b = heapq.heappop(heap), heapq.heappop(heap)
-            heapq.heappush(heap, (a[0] + b[0], tie, a, b))
-            tie += 1
-        out, todo = {}, [(heap[0], 0)]
-        while todo:
-            (_, s, a, b), depth = todo.pop()
-            if a is None:
-                out[s] = depth
-            else:
-                todo += [(a, depth + 1), (b, depth + 1)]
-        if max(out.values()) <= most:
-            return out
+        weight = [n + floor for n, _ in items]
+        parent, i, j = [0] * (2 * m - 1), 0, m
+        for k in range(m, 2 * m - 1):  # leaves and inner nodes both come in ascending order
+            both = 0
+            for _ in range(2):
+                if i < m and (j == k or weight[i] <= weight[j]):
+                    both += weight[i]
+                    parent[i] = k
+                    i += 1
+                else:
+                    both += weight[j]
+                    parent[j] = k
+                    j += 1
+            weight.append(both)
+        depth = [0] * (2 * m - 1)
+        for k in range(2 * m - 3, -1, -1):
+            depth[k] = depth[parent[k]] + 1
+        if max(depth[:m]) <= most:
+            return {s: d for (_, s), d in zip(items, depth[:m], strict=True)}
         floor = 2 * floor + 1 + (total >> 12)
 
 
-def canonical(lengths: dict[int, int]) -> list[tuple[int, int, int]]:
-    """(symbol, length, bit-reversed code) in canonical order."""
-    out, code, last = [], 0, 0
-    for n, s in sorted((n, s) for s, n in lengths.items()):
-        code <<= n - last
-        last = n
-        out.append((s, n, _REVERSED[code] >> (MAX_BITS - n)))
-        code += 1
-    return out
+def canonical(symbols: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Symbols in canonical order, their lengths and bit-reversed codes; symbols come in ascending order."""
+    order = np.argsort(lengths, kind="stable")
+    lengths = lengths[order]
+    span = 1 << MAX_BITS - lengths
+    return symbols[order], lengths, _REVERSED[np.cumsum(span) - span]
+
+
+def lookup(lengths: list[int]) -> np.ndarray:
+    """A code as a table over the next MAX_BITS bits: symbol << 4 | length."""
+    lengths = np.array(lengths)
+    symbols = np.flatnonzero(lengths)
+    if len(symbols) == 1:
+        return np.full(1 << MAX_BITS, symbols[0] << 4)
+    symbols, lengths, _ = canonical(symbols, lengths[symbols])
+    whole = np.repeat(symbols << 4 | lengths, 1 << MAX_BITS - lengths)
+    if len(whole) != 1 << MAX_BITS:
+        raise ValueError("a prefix code that isn't complete")
+    return whole[_REVERSED]
 
 
 #: 16 code-length symbols, each with a code of four bits.
@@ -380,15 +400,20 @@ def code_bits(lengths: dict[int, int]) -> tuple[int, int]:
             gap -= run
         tokens.append((lengths[s], 0, 0))
         before = s
-    value |= (1 | 3 << 1 | (len(tokens) - 2) << 4) << n
-    n += 12
-    for s, extra, wide in tokens:
+    wide = 3 if len(tokens) <= 257 else 4  # the number of tokens has 2 + 2 * wide bits
+    value |= (1 | wide << 1 | (len(tokens) - 2) << 4) << n
+    n += 6 + 2 * wide
+    for s, extra, more in tokens:
         value |= (_LENGTH_CODE[s] | extra << 4) << n
-        n += 4 + wide
+        n += 4 + more
     return value, n
 
 
-_STREAM = np.array([1, 0, 2, 3])  # pixels hold R, G, B, A; a stream has G, R, B, A
+_LITERALS, _GREEN = 256, 280 + (1 << max(CACHE_BITS))  # alphabets, the second with lengths and the largest cache
+_MASK = (1 << MAX_BITS) - 1
+
+# A predictor transform of one tile, mode 2 (the pixel above): the lowest bit comes first.
+_UP_FIELDS = ((1, 1), (0, 2), (7, 3), (0, 1), (0b101 | 2 << 3, 11), (1, 4), (1, 4), (1, 4), (1, 4))
 
 
 def pad(data: bytes) -> bytes:
@@ -396,41 +421,159 @@ def pad(data: bytes) -> bytes:
     return data + bytes(max(ROW, -(-len(data) // ROW) * ROW) - len(data))
 
 
+def _cost(key: np.ndarray, images: int) -> np.ndarray:
+    """Bits of each image's bytes under an ideal code; keys are image * 256 + byte."""
+    n = np.bincount(key, minlength=256 * images).reshape(-1, 256)
+    total = n.sum(1)
+    return total * np.log2(total) - (n * np.log2(np.maximum(n, 1))).sum(1)
+
+
+def _slots(argb: np.ndarray, bits: np.ndarray | int) -> np.ndarray:
+    """Colour cache slots."""
+    return ((argb.astype(np.uint64) * np.uint64(CACHE_FACTOR) & np.uint64(0xFFFFFFFF)) >> (32 - np.asarray(bits)).astype(np.uint64)).astype(np.int64)
+
+
+def _repeats(argb: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, lengths and distances of back-references: disjoint runs that stand earlier in their image."""
+    none = np.zeros(0, np.int64)
+    if len(argb) < 3:
+        return none, none, none
+    x = argb.astype(np.uint64)
+    h = (x[:-2] * np.uint64(0x9E3779B97F4A7C15) + x[1:-1]) * np.uint64(0xC2B2AE3D27D4EB4F) + x[2:]
+    h = (h + owner[:-2].astype(np.uint64)) * np.uint64(0x165667B19E3779F9)
+    order = np.argsort(h, kind="stable")
+    before, at = order[:-1], order[1:]
+    same = (h[before] == h[at]) & (owner[before] == owner[at + 2])
+    for k in range(3):
+        same &= argb[before + k] == argb[at + k]
+    far = np.zeros(len(argb), np.int64)
+    far[at[same]] = at[same] - before[same]
+    fresh = far > 0
+    fresh[1:] &= (far[1:] != far[:-1]) | (owner[1:] != owner[:-1])
+    start = np.flatnonzero(fresh)
+    if not len(start):
+        return none, none, none
+    n = np.bincount(np.cumsum(fresh)[far > 0] - 1)
+    end = np.minimum(start + n + 2, np.append(start[1:], len(argb)))
+    keep = end - start >= 3
+    return start[keep], (end - start)[keep], far[start[keep]]
+
+
+def _prefix(value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Prefix symbol, extra bits and their number, of lengths or distances."""
+    u = value - 1
+    high = np.frexp(np.maximum(u, 1).astype(np.float64))[1].astype(np.int64) - 1
+    wide = np.where(u < 4, 0, high - 1)
+    return np.where(u < 4, u, 2 * high + (u >> np.maximum(high - 1, 0) & 1)), u & ((1 << wide) - 1), wide
+
+
 def encode_images(parts: list[bytes]) -> list[bytes]:
-    """WebP files of payload parts, each whole rows."""
+    """WebP files of payload parts, each whole rows.
+
+    Each image has the predictor "above" and a colour cache if they save bits by
+    an estimate from its own bytes, and a back-reference for every run of three
+    pixels or more that stands before. An image's file depends on its bytes alone.
+    """
     if not parts:
         return []
-    sizes = np.array([len(p) for p in parts])
-    data = np.frombuffer(b"".join(parts), np.uint8).reshape(-1, 4)[:, _STREAM].reshape(-1)
-    owner = np.repeat(np.arange(len(parts)), sizes)
-    key = owner << 8 | data
-    counts = np.bincount(key, minlength=256 * len(parts)).reshape(-1, 256)
-    wide, codes = np.zeros((len(parts), 256), np.int64), np.zeros((len(parts), 256), np.uint64)
-    heads, head_bits = [], np.zeros(len(parts), np.int64)
+    images = len(parts)
+    sizes = np.array([len(p) // 4 for p in parts])
+    first = np.cumsum(sizes) - sizes
+    owner = np.repeat(np.arange(images), sizes)
+    raw = np.frombuffer(b"".join(parts), np.uint8).reshape(-1, ROW // 4, 4)
+    rest = raw.copy()
+    rest[1:] -= raw[:-1]
+    top = first // (ROW // 4)
+    rest[top, 1:] = raw[top, 1:] - raw[top, :-1]
+    rest[top, 0] = raw[top, 0] - np.array([0, 0, 0, 255], np.uint8)
+    raw, rest = raw.reshape(-1, 4), rest.reshape(-1, 4)
+    at = (owner << 8)[:, None]
+    cost = _cost((at | raw).reshape(-1), images)
+    other = _cost((at | rest).reshape(-1), images)
+    up = other + 80 < cost
+    px = np.where(up[owner][:, None], rest, raw).astype(np.int64)
+    argb = (px[:, 3] << 24 | px[:, 0] << 16 | px[:, 1] << 8 | px[:, 2]).astype(np.uint32)
+    literal_bits = np.minimum(cost, other) / sizes
+
+    start, length, far = _repeats(argb, owner)
+    depth = np.zeros(len(argb) + 1, np.int64)
+    depth[start] += 1
+    np.add.at(depth, start + length, -1)
+    free = np.cumsum(depth[:-1]) == 0  # pixels in no back-reference
+    cache, saved, hit = np.zeros(images, np.int64), np.zeros(images), np.zeros(len(argb), bool)
+    for bits in CACHE_BITS:
+        key = owner << bits | _slots(argb, bits)
+        order = np.argsort(key, kind="stable")
+        own = np.zeros(len(argb), bool)
+        own[order[1:]] = (key[order[1:]] == key[order[:-1]]) & (argb[order[1:]] == argb[order[:-1]])
+        own &= free
+        hits = np.bincount(owner[own], minlength=images)
+        gain = hits * (literal_bits - bits - 1) - 5 * np.minimum(hits, 1 << bits)
+        better = gain > saved
+        cache[better], saved[better] = bits, gain[better]
+        hit = np.where(better[owner], own, hit)
+
+    is_ref = np.zeros(len(argb), bool)
+    is_ref[start] = True
+    token = np.flatnonzero(free | is_ref)
+    who, is_ref, hit = owner[token], is_ref[token], hit[token]
+    literal = ~is_ref & ~hit
+    size, size_extra, size_wide = _prefix(length)
+    step, step_extra, step_wide = _prefix(far + 120)
+    green = px[token, 1]
+    green[hit] = 280 + _slots(argb[token[hit]], cache[who[hit]])
+    green[is_ref] = 256 + size
+    colours = px[token[literal]][:, [0, 2, 3]]
+    tables = []
+    for alphabet, key in (
+        (_GREEN, who * _GREEN + green),
+        (_LITERALS, (who[literal][:, None] * _LITERALS + colours).reshape(-1)),
+        (40, who[is_ref] * 40 + step),
+    ):
+        counts = np.bincount(key, minlength=alphabet * images).reshape(images, alphabet)
+        tables.append((counts, np.zeros(counts.shape, np.int64), np.zeros(counts.shape, np.uint64)))
+    heads, head_bits = [], np.zeros(images, np.int64)
     for k, p in enumerate(parts):
-        used = np.flatnonzero(counts[k])
-        lengths = code_lengths(dict(zip(used.tolist(), counts[k][used].tolist(), strict=True)))
-        if len(lengths) > 1:
-            for s, n, code in canonical(lengths):
+        fields = [(0x2F, 8), (ROW // 4 - 1, 14), (len(p) // ROW - 1, 14), (1, 1), (0, 3)]
+        fields += _UP_FIELDS if up[k] else ()
+        fields += [(0, 1), (1 | int(cache[k]) << 1, 5) if cache[k] else (0, 1), (0, 1)]  # no more transforms, cache, one group
+        for (counts, wide, codes), times in zip(tables, (1, 3, 1), strict=True):
+            used = np.flatnonzero(counts[k])
+            if not len(used):  # no distances: symbol 0 alone
+                fields.append((1, 4))
+                continue
+            lengths = code_lengths(dict(zip(used.tolist(), counts[k][used].tolist(), strict=True)))
+            if len(lengths) > 1:
+                s, n, code = canonical(used, np.array([lengths[s] for s in used.tolist()]))
                 wide[k, s], codes[k, s] = n, code
-        one, n = code_bits(lengths)
-        value = 0x2F | (ROW // 4 - 1) << 8 | (len(p) // ROW - 1) << 22 | 1 << 36
-        at = 40 + 3  # no transform, no colour cache, one group
-        for _ in range(4):
-            value |= one << at
-            at += n
-        value |= 1 << at  # distances: symbol 0 alone
+            fields += [code_bits(lengths)] * times
+        value = n = 0
+        for v, w in fields:
+            value |= v << n
+            n += w
         heads.append(value)
-        head_bits[k] = at + 4
-    n = wide.reshape(-1)[key]
+        head_bits[k] = n
+    n, value = np.zeros((len(token), 4), np.int64), np.zeros((len(token), 4), np.uint64)
+    (_, wide, codes), (_, wide_c, codes_c), (_, wide_d, codes_d) = tables
+    n[:, 0], value[:, 0] = wide[who, green], codes[who, green]
+    n[literal, 1:], value[literal, 1:] = (x[who[literal][:, None], colours] for x in (wide_c, codes_c))
+    n[is_ref, 1:] = np.stack([size_wide, wide_d[who[is_ref], step], step_wide], 1)
+    value[is_ref, 1:] = np.stack([size_extra.astype(np.uint64), codes_d[who[is_ref], step], step_extra.astype(np.uint64)], 1)
+    return _files(heads, head_bits, np.repeat(who, 4), n.reshape(-1), value.reshape(-1))
+
+
+def _files(heads: list[int], head_bits: np.ndarray, owner: np.ndarray, n: np.ndarray, value: np.ndarray) -> list[bytes]:
+    """Files of heads, each followed by its bit fields: widths n and values, in order of their owners."""
+    fields = np.bincount(owner, minlength=len(heads))
+    first = np.cumsum(fields) - fields
     ends = np.cumsum(n)
-    body = ends[np.cumsum(sizes) - 1] - (np.cumsum(n)[np.cumsum(sizes) - sizes] - n[np.cumsum(sizes) - sizes])
+    before = ends - n
+    body = ends[first + fields - 1] - before[first]
     words = (head_bits + body + 31) // 32 + 1
     base = np.cumsum(words) - words
-    first = np.cumsum(sizes) - sizes
-    at = ends - n - (ends[first] - n[first])[owner] + head_bits[owner]
+    at = before - before[first][owner] + head_bits[owner]
     place = base[owner] + (at >> 5)
-    value = codes.reshape(-1)[key] << (at & 31).astype(np.uint64)
+    value = value << (at & 31).astype(np.uint64)
     starts = np.flatnonzero(np.append(True, place[1:] != place[:-1]))
     summed = np.add.reduceat(value, starts)
     out = np.zeros(int(words.sum()) + 1, np.uint64)
@@ -453,74 +596,150 @@ def encode_payloads(payloads: list[bytes]) -> list[bytes]:
     """The stored form of each payload: one WebP file per 16 KiB."""
     step = ROW * MAX_ROWS
     parts = [p[i : i + step] for p in payloads for i in range(0, len(p), step)]
-    files = iter(encode_images(parts))
+    files = iter([f for i in range(0, len(parts), LOCKSTEP) for f in encode_images(parts[i : i + LOCKSTEP])])
     return [b"".join([next(files) for _ in range(0, len(p), step)]) for p in payloads]
 
 
-def _one_code(stream: bytes) -> tuple[list[int], int, int] | None:
-    """Code lengths, place of the pixels and their bytes, if all channels share a code of literals."""
+@dataclass
+class Head:
+    """What comes before the pixels of a stream that can be decoded in lockstep."""
+
+    width: int
+    height: int
+    up: bool  # predictor "above"
+    cache_bits: int
+    codes: list[list[int]]  # code lengths: green, the other channels, distances
+    pos: int
+
+
+def read_head(stream: bytes) -> Head | None:
+    """A stream's head, or None if it needs the general decoder."""
     bits = Bits(stream)
     if bits.read(8) != 0x2F:
         return None
     width, height = bits.read(14) + 1, bits.read(14) + 1
-    alpha = bits.read(1)
-    if bits.read(6) or not alpha:  # version, transform, cache, groups
+    if not bits.read(1) or bits.read(3):  # alpha, version
+        return None
+    up = bits.read(1)
+    if up:
+        if bits.read(2):
+            return None
+        tile = bits.read(3) + 2
+        if any(m >> 8 & 15 != 2 for m in _pixels(bits, _sub(width, tile), _sub(height, tile), False)) or bits.read(1):
+            return None
+    cache_bits = bits.read(4) if bits.read(1) else 0
+    if cache_bits > max(CACHE_BITS) or bits.read(1):
         return None
+    green = read_lengths(bits, 280 + (1 << cache_bits if cache_bits else 0))
     at = bits.pos
-    lengths = read_lengths(bits, 280)
+    colour = read_lengths(bits, 256)
     size = bits.pos - at
     one = Bits(stream, at).peek(size)
-    for _ in range(3):
+    for _ in range(2):
         if bits.peek(size) != one:
             return None
         bits.pos += size
-    bounded = lengths[256:] == [0] * 24 and max(lengths) <= MAX_BITS
-    if not bounded or bits.read(4) != 1:
+    codes = [green, colour, read_lengths(bits, 40)]
+    if max(map(max, codes)) > MAX_BITS:
         return None
-    return lengths[:256], bits.pos, 4 * width * height
+    return Head(width, height, bool(up), cache_bits, codes, bits.pos)
+
+
+def _lockstep(streams: list[bytes], heads: list[Head]) -> list[np.ndarray]:
+    """ARGB pixels of each image before transforms are undone: one symbol of every image per step."""
+    images = len(heads)
+    table = np.zeros((3, images, 1 << MAX_BITS), np.uint16)
+    for j, head in enumerate(heads):
+        for k, lengths in enumerate(head.codes):
+            table[k, j] = lookup(lengths)
+    green, colour, steps = table.reshape(3, -1)
+    stream_bytes = np.array([len(s) for s in streams])
+    pos = 8 * (np.cumsum(stream_bytes) - stream_bytes) + np.array([h.pos for h in heads])
+    data = np.frombuffer(b"".join(streams) + bytes(4), np.uint8).astype(np.uint32)
+    window = (data[:-2] | data[1:-1] << 8 | data[2:] << 16).astype(np.int64)
+    sizes = np.array([h.width * h.height for h in heads])
+    base = np.cumsum(sizes) - sizes
+    stop, out = base + sizes, np.zeros(int(sizes.sum()), np.uint32)
+    at, widths = base.copy(), np.array([h.width for h in heads])
+    cache_bits = np.array([h.cache_bits for h in heads])
+    most = max(CACHE_BITS)
+    cache = np.zeros(images << most, np.uint32)
+
+    def look(codes: np.ndarray, who: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        entry = codes[who << MAX_BITS | window[p >> 3] >> (p & 7) & _MASK].astype(np.int64)
+        return entry >> 4, p + (entry & 15)
+
+    def spread(symbol: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        extra = np.maximum((symbol - 2) >> 1, 0)
+        more = window[p >> 3] >> (p & 7) & ((1 << extra) - 1)
+        return np.where(symbol < 4, symbol + 1, ((2 + (symbol & 1)) << extra) + more + 1), p + extra
+
+    live = np.arange(images)
+    while len(live):
+        s, p = look(green, live, pos[live])
+        plain = s < 256
+        new = np.zeros(len(live), np.int64)
+        who, q = live[plain], p[plain]
+        red, q = look(colour, who, q)
+        blue, q = look(colour, who, q)
+        alpha, q = look(colour, who, q)
+        new[plain] = alpha << 24 | red << 16 | s[plain] << 8 | blue
+        p[plain] = q
+        cached = s >= 280
+        if cached.any():
+            new[cached] = cache[live[cached] << most | s[cached] - 280]
+        pos[live] = p
+        ref = np.flatnonzero(~plain & ~cached)
+        one = live
+        if len(ref):
+            who = live[ref]
+            n, q = spread(s[ref] - 256, p[ref])
+            d, q = look(steps, who, q)
+            d, q = spread(d, q)
+            pos[who] = q
+            near = np.flatnonzero(d <= 120)
+            for i in near.tolist():
+                x, y = NEIGHBOURS[d[i] - 1]
+                d[i] = max(1, x + y * int(widths[who[i]])) + 120
+            d -= 120
+            if (d > at[who] - base[who]).any() or (at[who] + n > stop[who]).any():
+                raise ValueError("a back-reference out of the image")
+            k = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            px = out[np.repeat(at[who] - d, n) + k % np.repeat(d, n)]
+            out[np.repeat(at[who], n) + k] = px
+            lane = np.repeat(who, n)
+            cache[lane << most | _slots(px, cache_bits[lane])] = px  # of equal slots the last stays
+            at[who] += n
+            keep = np.ones(len(live), bool)
+            keep[ref] = False
+            one, new = live[keep], new[keep]
+        px = new.astype(np.uint32)
+        out[at[one]] = px
+        cache[one << most | _slots(px, cache_bits[one])] = px
+        at[one] += 1
+        live = live[at[live] < stop[live]]
+    return np.split(out, base[1:])
 
 
 def decode_images(streams: list[bytes]) -> list[np.ndarray]:
     """RGBA bytes of each stream."""
     out: list = [None] * len(streams)
-    todo = []
+    heads = {}
     for k, s in enumerate(streams):
-        got = _one_code(s)
-        if got is None:
-            out[k] = decode(s)[2].reshape(-1)
+        if (head := read_head(s)) is not None:
+            heads[k] = head
         else:
-            todo.append((got[2], k, got[0], got[1]))
-    if not todo:
-        return out
-    todo.sort(key=lambda x: -x[0])
-    table = np.zeros((len(todo), 1 << MAX_BITS), np.uint16)
-    sizes = np.array([x[0] for x in todo])
-    pos = np.zeros(len(todo), np.int64)
-    at = 0
-    for j, (_, k, lengths, start) in enumerate(todo):
-        used = {s: n for s, n in enumerate(lengths) if n}
-        if len(used) == 1:
-            table[j] = next(iter(used)) << 4
-        else:
-            row = table[j]
-            for s, n, code in canonical(used):
-                row[code :: 1 << n] = s << 4 | n
-        pos[j] = 8 * at + start
-        at += len(streams[k])
-    data = np.frombuffer(b"".join([streams[x[1]] for x in todo]) + bytes(4), np.uint8).astype(np.uint32)
-    window = data[:-2] | data[1:-1] << 8 | data[2:] << 16
-    flat, rows = table.reshape(-1), np.arange(len(todo)) << MAX_BITS
-    first = np.cumsum(sizes) - sizes
-    got = np.zeros(int(sizes.sum()), np.uint8)
-    mask = (1 << MAX_BITS) - 1
-    active = len(todo) - np.searchsorted(sizes[::-1], np.arange(int(sizes[0])), "right")
-    for step, n in enumerate(active.tolist()):
-        p = pos[:n]
-        entry = flat[rows[:n] + ((window[p >> 3] >> (p & 7).astype(np.uint32)) & mask)]
-        got[first[:n] + step] = entry >> 4
-        p += entry & 15
-    for j, (n, k, _, _) in enumerate(todo):
-        out[k] = got[first[j] : first[j] + n].reshape(-1, 4)[:, _STREAM].reshape(-1)
+            out[k] = decode(s)[2].reshape(-1)
+    todo = sorted(heads, key=lambda k: -heads[k].width * heads[k].height)
+    for i in range(0, len(todo), LOCKSTEP):
+        own = todo[i : i + LOCKSTEP]
+        for k, argb in zip(own, _lockstep([streams[k] for k in own], [heads[k] for k in own]), strict=True):
+            px = argb.astype("<u4").view(np.uint8).reshape(heads[k].height, heads[k].width, 4)[..., [2, 1, 0, 3]]
+            if heads[k].up:  # the first row goes by the pixel to the left, all others by the one above
+                px[0, 0, 3:] += np.uint8(255)
+                px[0] = np.cumsum(px[0], 0, np.uint8)
+                px = np.cumsum(px, 0, np.uint8)
+            out[k] = px.reshape(-1)
     return out
 
 

@@ -333,6 +333,30 @@ def test_webp_round_trip(docs, none):
     assert webp.decode(stream)[2].tobytes() == payload
 
 
+def test_webp_lockstep():
+    """Files use each feature, and both decoders give the payloads back."""
+    rng = random.Random(4)
+    words = ["".join(rng.choice("etaoinshrdlu") for _ in range(rng.randrange(2, 8))) for _ in range(500)]
+    prose = lambda n: " ".join(rng.choices(words, k=n))
+    payloads = [raw(r[1]) for r in awkward()] + [prose(n).encode() for n in (3, 60, 700, 9000)]
+    payloads += [bytes(i // 3 & 255 for i in range(9000)), rng.randbytes(20_000), b"ab" * 9000, 2 * prose(200).encode()]
+    payloads = [webp.pad(p) for p in payloads]
+    media = webp.encode_payloads(payloads)
+    assert webp.encode_payloads(payloads[9:]) == media[9:]  # a file depends on its payload alone
+    assert webp.decode_payloads(media) == payloads
+    used = collections.Counter()
+    for payload, files in zip(payloads, media, strict=True):
+        at, got = 0, b""
+        while at < len(files):
+            stream, at = webp.chunk_of(files, at)
+            got += webp.decode(stream)[2].tobytes()
+            head = webp.read_head(stream)
+            used += collections.Counter({"above": head.up, "cache": head.cache_bits > 0, "references": sum(map(bool, head.codes[2])) > 1})
+        assert got == payload
+    assert min(used[k] for k in ("above", "cache", "references")) > 0
+    assert sum(map(len, media)) < sum(map(len, payloads))
+
+
 class Writer:
     """Bits for streams with every feature of the format."""
 
