@@ -27,12 +27,12 @@ def _(spark, d):
     return T.files(spark, d).select("id", N.oversize(F.col("size") * 3000).alias("message"))
 
 
-BATCH = "(SELECT id, CASE WHEN id % 3 = 0 THEN 0 ELSE id % 40 + 1 END AS batch, CASE WHEN ext = '' THEN '' ELSE name END AS name, size * 5000 AS size FROM files)"
+BATCH = "(SELECT id, CASE WHEN id % 3 = 0 THEN 0 ELSE id // 40 + 1 END AS batch, CASE WHEN ext = '' THEN '' ELSE name END AS name, size * 5000 AS size FROM files)"
 
 
 @query("b6_batch_intake", f"SELECT batch, id, CASE WHEN name = '' THEN 'image_' || (row_number() OVER (PARTITION BY batch ORDER BY id) - 1) ELSE name END AS name FROM {BATCH} b WHERE size <= 20971520 AND (SELECT count(*) FROM {BATCH} x WHERE x.batch = b.batch) <= 50", "files")
 def _(spark, d):
-    f = T.files(spark, d).select("id", F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 40 + 1).alias("batch"), F.when(F.col("ext") == "", "").otherwise(F.col("name")).alias("name"), (F.col("size") * 5000).alias("size"))
+    f = T.files(spark, d).select("id", F.when(F.col("id") % 3 == 0, 0).otherwise(F.expr("id div 40") + 1).alias("batch"), F.when(F.col("ext") == "", "").otherwise(F.col("name")).alias("name"), (F.col("size") * 5000).alias("size"))
     return N.intake(f, "batch", "id").select("batch", "id", "name")
 
 
