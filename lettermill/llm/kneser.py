@@ -221,7 +221,7 @@ def _reduce(folder: str, buckets: int, hot: np.ndarray):
             "pair": pair, "count": np.minimum(counts, 255).astype(np.uint8), "big": pair[big], "big_count": counts[big],
             "word": word[cold], "total": total[cold], **{f"n{k + 1}": n[k][cold].astype(np.int32) for k in range(3)},
         })
-        out = [(0, bucket, 0, [int((counts == k).sum()) for k in (1, 2, 3, 4)] + [len(pair)], b"")]
+        out = [(0, bucket, 0, [int((counts == k).sum()) for k in (1, 2, 3, 4)] + [len(pair), int(total[cold].sum())], b"")]
         out += [(1, bucket, int(w.astype(np.int64)), [int(total[i]), *(int(x[i]) for x in n)], b"") for i, w in zip(np.flatnonzero(is_hot), word[is_hot], strict=True)]
         seen, lefts = np.unique(right, return_counts=True)
         b = bucket_of(seen, buckets)
@@ -282,7 +282,7 @@ def train(texts: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> Model:
     blobs = texts.mapInArrow(task(_count(buckets, hot)), "bucket int, blob binary")
     rows = blobs.groupBy("bucket").applyInPandas(_reduce(folder, buckets, hot), META)
     meta = rows.groupBy("bucket").applyInPandas(_gather(folder), META).drop("blob").collect()  # a few lines per bucket
-    high = [sum(r.n[k] for r in meta if r.kind == 0) for k in range(5)]
+    high = [sum(r.n[k] for r in meta if r.kind == 0) for k in range(6)]
     low = [sum(r.n[k] for r in meta if r.kind == 2) for k in range(7)]
     stats: dict[int, list[int]] = {}
     for r in meta:
@@ -293,21 +293,27 @@ def train(texts: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> Model:
     ends = sum(stats.get(int(BEGIN.astype(np.int64)), [0])[:1])  # texts: each has one begin and one end
     # every token but an end is some bigram's left word, so the left totals without the begins, and the ends, are all tokens
     return Model(folder, buckets, hot, {"word": words_, "total": cols[:, 0], "n1": cols[:, 1], "n2": cols[:, 2], "n3": cols[:, 3]},
-                 _tokens(folder, buckets, words_, cols, ends), low[5], high[4], discounts(high[:4]), discounts(low[:4]), (low[0], low[1], low[4]))
+                 high[5] + int(cols[words_ != BEGIN, 0].sum()) + ends, low[5], high[4], discounts(high[:4]), discounts(low[:4]), (low[0], low[1], low[4]))
 
 
-def _tokens(folder: str, buckets: int, hot: np.ndarray, cols: np.ndarray, ends: int) -> int:
-    total = sum(int(_map(folder, "left", b)["total"].sum()) for b in range(buckets))
-    return total + int(cols[hot != BEGIN, 0].sum()) + ends
+class _Files(dict):
+    """A model's files of one kind by bucket."""
+
+    def __init__(self, folder: str, kind: str) -> None:
+        super().__init__()
+        self.folder, self.kind = folder, kind
+
+    def __missing__(self, bucket: int) -> dict[str, np.ndarray]:
+        self[bucket] = _map(self.folder, self.kind, bucket)
+        return self[bucket]
 
 
 class Scorer:
-    """Looks bigrams up in the mapped files."""
+    """Looks bigrams up in the files, each mapped when it is first needed."""
 
     def __init__(self, model: Model) -> None:
         self.m = model
-        self.left = [_map(model.folder, "left", b) for b in range(model.buckets)]
-        self.right = [_map(model.folder, "right", b) for b in range(model.buckets)]
+        self.left, self.right = (_Files(model.folder, kind) for kind in _KINDS)
 
     def _by_bucket(self, b: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         order = np.argsort(b, kind="stable")
