@@ -1,10 +1,12 @@
 """Interpolated modified Kneser-Ney bigram model (operator 6).
 
-Counting is two shuffles. Map tasks count the bigrams of their texts and send
-one compact blob per bucket of the left word; a bucket's task adds them up,
-writes the bucket's model file and sends how many left words each right word
-follows to that word's bucket. Left words that are very frequent are spread
-over several buckets, so no bucket outgrows the others.
+Map tasks count the bigrams of their texts and send compact blobs to the buckets
+of the left words; a bucket's task adds them up, writes the bucket's model file
+and sends how many left words each right word follows to that word's bucket.
+Left words that are very frequent are spread over several buckets, so no bucket
+outgrows the others. Every pass splits what it holds into at most FAN blobs: up
+to FAN buckets take one shuffle a side, FAN * FAN two, and so on, so the number
+of blobs grows with the text and not with its square.
 
 A model file is a set of sorted 64-bit hash arrays with parallel values. Scoring
 workers map the files into memory and look a batch's distinct bigrams up by
@@ -14,12 +16,13 @@ from __future__ import annotations
 
 import os
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,6 +32,10 @@ from .common import SPACE_TABLE, byte_rows, held_out, local_path, mix, row_block
 BUCKET_BYTES = 12 << 20  # training text of a bucket
 HOT_SHARE = 2_000  # a left word with a 2000th of the sampled words is spread
 COUNT_BYTES = 16 << 20  # text whose bigrams are counted together
+FAN = 256  # blobs that a pass makes of what it holds, at most
+SPLIT_ENTRIES = 1 << 20  # entries that are split together
+SPLIT_BYTES = 64 << 20  # training text of a splitting task
+OPEN_FILES = 128  # model files of a kind that a worker keeps mapped
 BEGIN = np.uint64(0x0B0B0B0B0B0B0B0B)
 END = np.uint64(0x0E0E0E0E0E0E0E0E)
 
@@ -103,6 +110,65 @@ def from_blob(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.repeat(np.frombuffer(a, np.uint64), _large(b, n_left)), np.frombuffer(c, np.uint64), _large(d, n)
 
 
+def to_right(word: np.ndarray, lefts: np.ndarray) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(np.array([len(word)], "<i8").tobytes() + word.tobytes() + _small(lefts))
+
+
+def from_right(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+    data = zstandard.ZstdDecompressor().decompress(blob)
+    n = int(np.frombuffer(data, "<i8", 1)[0])
+    return np.frombuffer(data, np.uint64, n, 8), _large(data[8 + 8 * n :], n)
+
+
+def merge_left(left: np.ndarray, right: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, ...]:
+    _, counts, left, right = add_up(pair_hash(left, right), counts, left, right)
+    return left, right, counts
+
+
+def runs_of(b: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Each distinct number and where it stands."""
+    order = np.argsort(b, kind="stable")
+    own, first = np.unique(b[order], return_index=True)
+    if len(own):
+        yield from zip(own.tolist(), np.split(order, first[1:]), strict=True)
+
+
+@dataclass(frozen=True)
+class Side:
+    """How blobs of bigrams, or of right words, are read, added up, dealt and written."""
+
+    unpack: Callable
+    merge: Callable
+    bucket: Callable
+    pack: Callable
+
+    def gathered(self, blobs) -> tuple[np.ndarray, ...]:
+        return self.merge(*map(np.concatenate, zip(*map(self.unpack, blobs), strict=True)))
+
+    def dealt(self, arrays: tuple[np.ndarray, ...], step: int) -> Iterator[tuple[int, bytes]]:
+        """(number, blob) of each span of `step` buckets."""
+        for k, i in runs_of(self.bucket(*arrays) // step):
+            yield k, self.pack(*(a[i] for a in arrays))
+
+
+def sides(buckets: int, hot: np.ndarray) -> tuple[Side, Side]:
+    def by_left(left, right, counts):
+        return left_bucket(left, right, hot, buckets)
+
+    def by_word(word, lefts):
+        return bucket_of(word, buckets)
+
+    return Side(from_blob, merge_left, by_left, to_blob), Side(from_right, add_up, by_word, to_right)
+
+
+def steps(buckets: int, fan: int = FAN) -> list[int]:
+    """How many buckets a blob of each pass spans; the last spans one."""
+    out = [1]
+    while out[0] * fan < buckets:
+        out.insert(0, out[0] * fan)
+    return out
+
+
 def _write(folder: str, kind: str, bucket: int, arrays: dict[str, np.ndarray]) -> None:
     """One file per bucket, put in place whole: a repeated task writes the same bytes."""
     os.makedirs(folder, exist_ok=True)
@@ -170,23 +236,25 @@ class Model:
     low_kinds: tuple[int, int, int]  # words that follow 1, 2, 3 or more left words
 
 
-META = "kind int, bucket int, word long, n array<long>, blob binary"
+#: kind 0: a bucket's counts of counts, 1: of its hot left words, 2: right words on their way, 3: counts of those
+META = "kind int, bucket int, word array<long>, n array<long>, blob binary"
+WIDTH = 7  # numbers in `n` for each entry of `word`
 
 
-def _count(buckets: int, hot: np.ndarray):
-    """Texts to blobs of bigram counts by bucket."""
+def _line(kind: int, bucket: int, word: np.ndarray, n: np.ndarray) -> tuple:
+    wide = np.zeros((len(word), WIDTH), np.int64)
+    wide[:, : n.shape[1]] = n
+    return kind, bucket, word.astype(np.int64), wide.ravel(), None
+
+
+def _count(side: Side, step: int):
+    """Texts to blobs of bigram counts by span of buckets."""
 
     def flush(parts: list) -> Iterator[pa.RecordBatch]:
         if not parts:
             return
         left, right = (np.concatenate([p[k] for p in parts]) for k in (0, 1))
-        key = pair_hash(left, right)
-        _, counts, left, right = add_up(key, np.ones(len(key), np.int64), left, right)
-        b = left_bucket(left, right, hot, buckets)
-        order = np.argsort(b, kind="stable")
-        cuts = np.searchsorted(b[order], np.arange(buckets + 1))
-        own = [k for k in range(buckets) if cuts[k] < cuts[k + 1]]
-        blobs = [to_blob(left[i], right[i], counts[i]) for k in own for i in [order[cuts[k] : cuts[k + 1]]]]
+        own, blobs = zip(*side.dealt(side.merge(left, right, np.ones(len(left), np.int64)), step), strict=True)
         yield pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "blob"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,14 +271,52 @@ def _count(buckets: int, hot: np.ndarray):
     return run
 
 
-def _reduce(folder: str, buckets: int, hot: np.ndarray):
-    """A bucket's bigrams: its model file, statistics, and right words for the second shuffle."""
+def _split(side: Side, step: int):
+    """Blobs of wide spans to blobs of narrower ones; rows without a blob pass through."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names = batch.schema.names
+            has = batch.column("blob").is_valid()
+            yield batch.filter(pc.invert(has))
+            batch = batch.filter(has)
+            for k, own in runs_of(batch.column("bucket").to_numpy()):
+                rows = batch.take(pa.array(own))
+                held, size = [], 0
+                for at, blob in enumerate(rows.column("blob")):
+                    held.append(blob.as_py())
+                    size += len(held[-1]) // 8
+                    if size < SPLIT_ENTRIES and at + 1 < len(rows):
+                        continue
+                    got = list(side.dealt(side.gathered(held), step))
+                    held, size = [], 0
+                    new = {"bucket": pa.array([b for b, _ in got], pa.int32()), "blob": pa.array([x for _, x in got], pa.binary())}
+                    if "kind" in names:
+                        new["kind"] = pa.array([2] * len(got), pa.int32())
+                    yield pa.RecordBatch.from_arrays(
+                        [new[c] if c in new else pa.nulls(len(got), batch.schema.field(c).type) for c in names], names
+                    )
+
+    return run
+
+
+def narrowed(blobs: DataFrame, side: Side, spans: list[int], bucket_bytes: int) -> DataFrame:
+    """Blobs of the first span split, pass by pass, into those of single buckets."""
+    for wide, step in zip(spans, spans[1:], strict=False):
+        parts = max(1, wide * bucket_bytes // SPLIT_BYTES)
+        salt = F.pmod(F.xxhash64("blob"), F.lit(parts))
+        dealt = blobs.repartition(F.col("bucket"), salt).sortWithinPartitions("bucket")
+        blobs = dealt.mapInArrow(task(_split(side, step)), blobs.schema)
+    return blobs
+
+
+def _reduce(folder: str, here: Side, there: Side, hot: np.ndarray, step: int):
+    """A bucket's bigrams: its model file, statistics, and right words for the next shuffle."""
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         bucket = int(key[0])
-        got = [from_blob(b) for b in pdf["blob"]]
-        left, right, counts = (np.concatenate([g[k] for g in got]) for k in range(3))
-        pair, counts, left, right = add_up(pair_hash(left, right), counts, left, right)
+        left, right, counts = here.gathered(pdf["blob"])
+        pair = pair_hash(left, right)  # merged in the order of these
         big = counts >= 255
         word, inverse = np.unique(left, return_inverse=True)
         total = np.bincount(inverse, counts, len(word)).astype(np.int64)
@@ -221,23 +327,16 @@ def _reduce(folder: str, buckets: int, hot: np.ndarray):
             "pair": pair, "count": np.minimum(counts, 255).astype(np.uint8), "big": pair[big], "big_count": counts[big],
             "word": word[cold], "total": total[cold], **{f"n{k + 1}": n[k][cold].astype(np.int32) for k in range(3)},
         })
-        out = [(0, bucket, 0, [int((counts == k).sum()) for k in (1, 2, 3, 4)] + [len(pair), int(total[cold].sum())], b"")]
-        out += [(1, bucket, int(w.astype(np.int64)), [int(total[i]), *(int(x[i]) for x in n)], b"") for i, w in zip(np.flatnonzero(is_hot), word[is_hot], strict=True)]
+        own = [int((counts == k).sum()) for k in (1, 2, 3, 4)] + [len(pair), int(total[cold].sum())]
+        out = [_line(0, bucket, np.zeros(1), np.array([own])), _line(1, bucket, word[is_hot], np.stack([total, *n], 1)[is_hot])]
         seen, lefts = np.unique(right, return_counts=True)
-        b = bucket_of(seen, buckets)
-        order = np.argsort(b, kind="stable")
-        cuts = np.searchsorted(b[order], np.arange(buckets + 1))
-        for k in range(buckets):
-            i = order[cuts[k] : cuts[k + 1]]
-            if len(i):
-                blob = zstandard.ZstdCompressor(level=1).compress(seen[i].tobytes() + _small(lefts[i]))
-                out.append((2, k, len(i), None, blob))
+        out += [(2, k, None, None, blob) for k, blob in there.dealt((seen, lefts), step)]
         return pd.DataFrame(out, columns=["kind", "bucket", "word", "n", "blob"])
 
     return run
 
 
-def _gather(folder: str):
+def _gather(folder: str, side: Side):
     """Right words of a bucket: how many left words each follows; statistics pass through."""
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
@@ -245,49 +344,47 @@ def _gather(folder: str):
         own = pdf[pdf["kind"] == 2]
         if not len(own):
             return passed
-        keys, counts = [], []
-        for n, blob in zip(own["word"], own["blob"], strict=True):
-            data = zstandard.ZstdDecompressor().decompress(blob)
-            keys.append(np.frombuffer(data, np.uint64, n))
-            counts.append(_large(data[8 * n :], n))
-        word, lefts = add_up(np.concatenate(keys), np.concatenate(counts))
+        word, lefts = side.gathered(own["blob"])
         _write(folder, "right", int(key[0]), {"word": word, "lefts": lefts.astype(np.int32)})
         n = [int((lefts == k).sum()) for k in (1, 2, 3, 4)] + [int((lefts >= 3).sum()), len(word), int(lefts.sum())]
-        line = pd.DataFrame([(2, int(key[0]), 0, n, b"")], columns=pdf.columns)
+        line = pd.DataFrame([_line(3, int(key[0]), np.zeros(1), np.array([n]))], columns=pdf.columns)
         return pd.concat([passed, line])
 
     return run
 
 
 def hot_words(texts: DataFrame) -> np.ndarray:
-    """Left words that make up a large share of a sample; any set gives the same model."""
+    """Left words with a large share of a sample, at most HOT_SHARE; any set gives the same model."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             left, _, _ = sequences(byte_rows(batch.column(0)))
             word, n = np.unique(left, return_counts=True)
             top = n * HOT_SHARE >= len(left)
-            yield pa.RecordBatch.from_arrays([pa.array(word[top].astype(np.int64))], ["word"])
+            words_ = pa.array([*word[top].astype(np.int64).tolist(), None], pa.int64())
+            yield pa.RecordBatch.from_arrays([words_, pa.array([*n[top].tolist(), len(left)], pa.int64())], ["word", "n"])
 
-    got = texts.sample(0.02, seed=7).mapInArrow(run, "word long").groupBy("word").count().orderBy(F.desc("count"), "word").limit(2 * HOT_SHARE).collect()
-    return np.sort(np.array([BEGIN, *(np.int64(r.word).astype(np.uint64) for r in got)], np.uint64)) if got else np.array([BEGIN])
+    got = texts.sample(0.02, seed=7).mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    top = got.orderBy(F.desc("n"), "word").limit(HOT_SHARE + 1).collect()  # the sample's size, without a word, is the first
+    return np.unique(np.array([BEGIN, *(np.int64(r.word).astype(np.uint64) for r in top if r.word is not None and r.n * HOT_SHARE >= top[0].n)], np.uint64))
 
 
-def train(texts: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> Model:
+def train(texts: DataFrame, bucket_bytes: int = BUCKET_BYTES, fan: int = FAN) -> Model:
     """Counts the model of the binary column `t` into files of the shared folder."""
     folder = local_path(scratch(texts.sparkSession, "kneser"))
     size = texts.agg(F.sum(F.length("t") + 1)).first()[0] or 0
     buckets = max(1, -(-size // bucket_bytes))
-    hot = np.unique(hot_words(texts))
-    blobs = texts.mapInArrow(task(_count(buckets, hot)), "bucket int, blob binary")
-    rows = blobs.groupBy("bucket").applyInPandas(_reduce(folder, buckets, hot), META)
-    meta = rows.groupBy("bucket").applyInPandas(_gather(folder), META).drop("blob").collect()  # a few lines per bucket
-    high = [sum(r.n[k] for r in meta if r.kind == 0) for k in range(6)]
-    low = [sum(r.n[k] for r in meta if r.kind == 2) for k in range(7)]
-    stats: dict[int, list[int]] = {}
-    for r in meta:
-        if r.kind == 1:
-            stats[r.word] = [a + b for a, b in zip(stats.get(r.word, [0] * 4), r.n, strict=True)]
+    hot = hot_words(texts)
+    here, there = sides(buckets, hot)
+    spans = steps(buckets, fan)
+    blobs = texts.mapInArrow(task(_count(here, spans[0])), "bucket int, blob binary")
+    rows = narrowed(blobs, here, spans, bucket_bytes).groupBy("bucket").applyInPandas(_reduce(folder, here, there, hot, spans[0]), META)
+    lines = narrowed(rows, there, spans, bucket_bytes).groupBy("bucket").applyInPandas(_gather(folder, there), META)
+    lines = lines.filter(F.col("word").isNotNull()).select("kind", "n", F.posexplode("word").alias("i", "word"))
+    sums = lines.groupBy("kind", "word").agg(*[F.sum(F.col("n")[F.col("i") * WIDTH + k]).alias(f"n{k}") for k in range(WIDTH)])
+    got = {(r.kind, r.word): list(r[2:]) for r in sums.collect()}  # at most HOT_SHARE words and two lines
+    high, low = (got.get((kind, 0), [0] * WIDTH) for kind in (0, 3))
+    stats = {w: n[:4] for (kind, w), n in got.items() if kind == 1}
     words_ = np.array(sorted(np.int64(w).astype(np.uint64) for w in stats), np.uint64)
     cols = np.array([stats[int(w.astype(np.int64))] for w in words_], np.int64).reshape(-1, 4)
     ends = sum(stats.get(int(BEGIN.astype(np.int64)), [0])[:1])  # texts: each has one begin and one end
@@ -297,13 +394,15 @@ def train(texts: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> Model:
 
 
 class _Files(dict):
-    """A model's files of one kind by bucket."""
+    """A model's files of one kind by bucket; the oldest are let go."""
 
     def __init__(self, folder: str, kind: str) -> None:
         super().__init__()
         self.folder, self.kind = folder, kind
 
     def __missing__(self, bucket: int) -> dict[str, np.ndarray]:
+        if len(self) >= OPEN_FILES:
+            del self[next(iter(self))]
         self[bucket] = _map(self.folder, self.kind, bucket)
         return self[bucket]
 
@@ -315,17 +414,10 @@ class Scorer:
         self.m = model
         self.left, self.right = (_Files(model.folder, kind) for kind in _KINDS)
 
-    def _by_bucket(self, b: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-        order = np.argsort(b, kind="stable")
-        cuts = np.searchsorted(b[order], np.arange(self.m.buckets + 1))
-        for k in range(self.m.buckets):
-            if cuts[k] < cuts[k + 1]:
-                yield k, order[cuts[k] : cuts[k + 1]]
-
     def lefts(self, word: np.ndarray) -> np.ndarray:
         """How many distinct left words each word follows."""
         out = np.zeros(len(word), np.int64)
-        for k, i in self._by_bucket(bucket_of(word, self.m.buckets)):
+        for k, i in runs_of(bucket_of(word, self.m.buckets)):
             at, ok = _find(self.right[k]["word"], word[i])
             out[i[ok]] = self.right[k]["lefts"][at[ok]]
         return out
@@ -338,7 +430,7 @@ class Scorer:
         for c, k in enumerate(names):
             out[ok, c] = self.m.hot_stats[k][at[ok]] if ok.any() else 0
         rest = np.flatnonzero(~ok)
-        for b, i in self._by_bucket(bucket_of(word[rest], self.m.buckets)):
+        for b, i in runs_of(bucket_of(word[rest], self.m.buckets)):
             at, ok = _find(self.left[b]["word"], word[rest[i]])
             for c, k in enumerate(names):
                 out[rest[i[ok]], c] = self.left[b][k][at[ok]]
@@ -346,7 +438,7 @@ class Scorer:
 
     def pairs(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         out, key = np.zeros(len(left), np.int64), pair_hash(left, right)
-        for b, i in self._by_bucket(left_bucket(left, right, self.m.hot, self.m.buckets)):
+        for b, i in runs_of(left_bucket(left, right, self.m.hot, self.m.buckets)):
             own = self.left[b]
             at, ok = _find(own["pair"], key[i])
             out[i[ok]] = own["count"][at[ok]]

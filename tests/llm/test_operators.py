@@ -275,6 +275,11 @@ def test_kneser_ney(docs, none):
         assert r.base_score == pytest.approx(sum(math.log10((c[x] + 1) / (n + v + 1)) for x in w))
         assert r.score == pytest.approx(sum(math.log10(p(a, b)) for a, b in zip(["<s>", *w], w)))
     assert sum(map(len, got.values())) == len(rows) and kneser.perplexities(none).count() == 0
+    texts = docs.select(F.coalesce("text", F.lit("")).cast("binary").alias("t"))
+    many, one = (kneser.train(texts, size, fan=4) for size in (2_000, 1 << 30))
+    assert (len(kneser.steps(many.buckets, 4)), one.buckets, many.tokens) == (4, 1, one.tokens)
+    a, b = (sorted((r.doc_id or -1, r.score) for r in kneser.score(docs, m).collect()) for m in (many, one))
+    assert [x for x, _ in a] == [x for x, _ in b] and [x for _, x in a] == pytest.approx([x for _, x in b])
 
 
 def test_packing(docs, none):
