@@ -1,22 +1,30 @@
 """Exact top-k search by inner product with ball trees (operator 8).
 
-Rows are dealt into shards by a hash of the id and every shard builds a ball
-tree. A query first searches its home shard; the kth score found there is shared
-with all shards, which skip every ball whose upper bound q.c + |q| r is below
-it. Balls are visited in order of that bound. Queries go in blocks, so a task
-holds one shard and one block, whatever the table's size.
+Rows are dealt into cells by the nearest of a bounded number of pivots, and large
+cells into shards by a hash of the id; every shard builds a ball tree. A query
+first searches its home shard; with the kth score found there it is sent only to
+cells whose own ball, around the pivot, can reach that score, and their trees
+skip every ball whose upper bound q.c + |q| r is below it. Balls are visited in
+order of that bound. Queries go in blocks, so a task holds one shard and one
+block, whatever the table's size, and rows go only where a block needs them.
 """
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import materialise, task
+
 SHARD_ROWS = 8_192
 BLOCK_QUERIES = 4_096
 LEAF_ROWS = 64
 SCALE = 256
+PIVOTS = 1_024  # cells at most, for each length of vectors
+PIVOT_BYTES = 16 << 20
+SLICE = 1 << 20  # components taken at once
 
 
 def quantised(vector: Column, scale: int = SCALE) -> Column:
@@ -143,6 +151,65 @@ def _searcher(k: int, final: bool):
     return run
 
 
+def _slices(batch: pa.RecordBatch, column: str):
+    """(row numbers, matrix) of the vectors of one length, some at a time."""
+    lists = batch.column(column)
+    flat, first = lists.flatten().to_numpy(), np.asarray(lists.offsets) - lists.offsets[0].as_py()
+    length = np.diff(first)
+    for dim in np.unique(length):
+        own = np.flatnonzero(length == dim)
+        for part in np.array_split(own, -(-len(own) * int(dim) // SLICE)):
+            yield part, flat[first[part][:, None] + np.arange(dim)].astype(np.float64)
+
+
+def _assign(pivots: dict[int, np.ndarray]):
+    """Each vector's nearest pivot and the distance; -1 where no pivot has its length."""
+
+    def run(batches):
+        for batch in batches:
+            cell, far = np.full(len(batch), -1, np.int32), np.zeros(len(batch))
+            for own, x in _slices(batch, "v"):
+                if (p := pivots.get(x.shape[1])) is not None:
+                    cell[own] = ((p**2).sum(1) - 2 * x @ p.T).argmin(1)
+                    far[own] = np.sqrt(((x - p[cell[own]]) ** 2).sum(1))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell), pa.array(far)], [*batch.schema.names, "cell", "far"])
+
+    return run
+
+
+def _route(pivots: dict[int, np.ndarray], radius: dict[int, np.ndarray]):
+    """Each query once for every cell that can hold a score at or above its floor."""
+
+    def run(batches):
+        for batch in batches:
+            floor = batch.column("floor").to_numpy()
+            for own, q in _slices(batch, "q"):
+                dim = q.shape[1]
+                if dim in pivots:
+                    p, r = pivots[dim], radius[dim]
+                    length = np.sqrt((q**2).sum(1))[:, None]
+                    reach = np.sqrt((p**2).sum(1)) + r
+                    bound = q @ p.T + length * r + 1e-6 + 1e-9 * dim * length * (reach + 1)
+                    at, cell = np.nonzero((bound >= floor[own][:, None]) & (r >= 0))
+                else:
+                    at, cell = np.arange(len(own)), np.full(len(own), -1)
+                sent = batch.take(pa.array(own[at]))
+                yield pa.RecordBatch.from_arrays([*sent.columns, pa.array(cell.astype(np.int32))], [*batch.schema.names, "cell"])
+
+    return run
+
+
+def _cells(rows: DataFrame, shard_rows: int, total: int, widest: int) -> tuple[DataFrame, dict[int, np.ndarray]]:
+    """Rows with cell and distance, written, and the pivots: vectors of least id hash, one a shard up to the bounds."""
+    n = max(1, min(-(-total // shard_rows), PIVOTS, PIVOT_BYTES // (8 * max(widest, 1))))
+    picked = rows.select("v").orderBy(F.xxhash64(F.lit(3), "vec_id"), "vec_id").limit(n).collect()
+    by_dim: dict[int, list] = {}
+    for r in picked:
+        by_dim.setdefault(len(r.v), []).append(r.v)
+    pivots = {dim: np.unique(np.array(v, np.float64), axis=0) for dim, v in by_dim.items()}
+    return materialise(rows.mapInArrow(task(_assign(pivots)), "vec_id long, v array<long>, dim int, cell int, far double"), "top-k-cells"), pivots
+
+
 def top_k(vectors: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_id", vector_col: str = "embedding", shard_rows: int = SHARD_ROWS, block_queries: int = BLOCK_QUERIES) -> DataFrame:
     """Each query's k best rows: query_id, rank, vec_id, score.
 
@@ -153,21 +220,24 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_id
     """
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("e"))
     rows = rows.filter(F.col("vec_id").isNotNull() & usable(F.col("e")) & (F.size("e") > 0)).select("vec_id", quantised(F.col("e")).alias("v"), F.size("e").alias("dim"))
-    total = rows.count()
-    shards = max(1, -(-total // shard_rows))
+    total, widest = rows.agg(F.count("*"), F.coalesce(F.max("dim"), F.lit(0))).first()
     n_blocks = max(1, -(-total // (every * block_queries)))
-    low = -(2**63)
-    rows = rows.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int"))
-    is_query = F.pmod(F.col("vec_id"), F.lit(every)) == 0
-    queries = rows.filter(is_query).select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"), "dim", "shard", F.pmod(F.xxhash64(F.lit(7), "vec_id"), F.lit(n_blocks)).cast("int").alias("block"))
-    home = (
-        queries.select("query_id", "q", "dim", "shard", F.lit(low).alias("floor")).groupBy("dim", "shard")
-        .cogroup(rows.groupBy("dim", "shard"))
-        .applyInPandas(_searcher(k, False), "query_id long, q array<long>, floor long")
-    )
-    home = home.select("query_id", "q", "floor", F.size("q").alias("dim"), F.pmod(F.xxhash64(F.lit(7), "query_id"), F.lit(n_blocks)).cast("int").alias("block"))
-    each = home.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-    held = rows.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
-    found = each.groupBy("dim", "shard", "block").cogroup(held.groupBy("dim", "shard", "block")).applyInPandas(_searcher(k, True), "query_id long, vec_id long, score long")
+    rows, pivots = _cells(rows, shard_rows, total, widest)
+    cells = materialise(rows.groupBy("dim", "cell").agg(F.max("far").alias("far"), F.ceil(F.count("*") / shard_rows).cast("int").alias("parts")), "top-k-balls")
+    radius = {dim: np.full(len(p), -1.0) for dim, p in pivots.items()}
+    for r in cells.filter("cell >= 0").collect():  # at most one a pivot
+        radius[r.dim][r.cell] = r.far
+    shard = ["dim", "cell", "part"]
+    rows = rows.join(cells.select("dim", "cell", "parts"), ["dim", "cell"]).select("vec_id", "v", "dim", "cell", F.pmod(F.xxhash64("vec_id"), "parts").cast("int").alias("part"))
+    queries = rows.filter(F.pmod(F.col("vec_id"), F.lit(every)) == 0).select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"), *[F.col(c).alias(c) for c in shard], F.lit(-(2**63)).alias("floor"))
+    home = queries.groupBy(*shard).cogroup(rows.groupBy(*shard)).applyInPandas(_searcher(k, False), "query_id long, q array<long>, floor long")
+    home = materialise(home, "top-k-floors")
+    sent = home.mapInArrow(task(_route(pivots, radius)), "query_id long, q array<long>, floor long, cell int")
+    sent = sent.withColumn("dim", F.size("q")).withColumn("block", F.pmod(F.xxhash64(F.lit(7), "query_id"), F.lit(n_blocks)).cast("int"))
+    each = sent.join(cells.select("dim", "cell", "parts"), ["dim", "cell"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    needed = sent.groupBy("dim", "cell").agg(F.collect_set("block").alias("blocks"))  # n_blocks numbers at most
+    held = rows.join(needed, ["dim", "cell"]).withColumn("block", F.explode("blocks")).drop("blocks")
+    each = each.select(*[F.col(c).alias(c) for c in each.columns])  # columns of its own, as both sides come from `cells`
+    found = each.groupBy(*shard, "block").cogroup(held.groupBy(*shard, "block")).applyInPandas(_searcher(k, True), "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
