@@ -26,6 +26,7 @@ LEAST_DOCS = 3
 TERMS_LISTED = 200
 HELD = 200_000  # terms counted in a task before they are handed on
 PIECE = 1 << 22  # bytes of a text split at once
+BEGINNING = 4  # items of a path by which trees are dealt out
 COMBINATIONS = 1 << 19  # of nodes and ancestors, worked out at once
 #: A-Z as a-z, all else that is no letter or ASCII as a space.
 LETTERS = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -185,7 +186,8 @@ def pairs(rows: DataFrame, sources: DataFrame) -> DataFrame:
     own = _entries(rows, sources)
     item = F.struct(F.col("place").cast("int").alias("place"), "p", "none")
     paths = own.groupBy("lang", "term").agg(F.array_sort(F.collect_list(item)).alias("path")).groupBy("lang", "path").agg(F.count("*").alias("times"))
-    sorted_paths = paths.repartitionByRange("lang", "path").sortWithinPartitions("lang", "path")
+    # Ranges of beginnings: what Spark samples for their limits stays small, and deeper nodes have all their terms in one task.
+    sorted_paths = paths.repartitionByRange("lang", F.slice("path", 1, BEGINNING)).sortWithinPartitions("lang", "path")
     together = sorted_paths.mapInArrow(_trees, "lang string, a int, b int, value long")
     # Terms that only one of two sources has, by the number of terms with the same share.
     alone = own.groupBy("lang", F.col("place").alias("x"), "p", F.col("none").alias("own")).agg(F.count("*").alias("m"))
