@@ -113,12 +113,17 @@ def page_lines(parts: DataFrame, key: str, page: str, text: str = "text") -> Dat
     return lines.select(key, page, "pos", "line", ((F.row_number().over(w) == 1) & (F.col(page) > 0)).alias("page_break"))
 
 
-def doc_type(text: Column) -> tuple[Column, Column]:
-    """(type, confidence): the type with most cues, the first of equals, `other` without any; its share of all cues."""
-    hits = F.array(*[F.struct(sum((F.contains(text, F.lit(c)).cast("int") for c in cues), F.lit(0)).alias("n"), F.lit(-i).alias("o"), F.lit(t).alias("t")) for i, (t, cues) in enumerate(CUES.items())])
-    best = F.array_max(hits)
-    total = F.aggregate(hits, F.lit(0), lambda a, h: a + h["n"])
-    return F.when(total > 0, best["t"]).otherwise("other"), F.when(total > 0, best["n"] / total).otherwise(0.0)
+def with_doc_type(df: DataFrame, text: str = "text") -> DataFrame:
+    """Adds doc_type, the type with most cues, the first of equals, `other` without any; and confidence, its share of all cues.
+
+    Cues are looked for once, in a projection of their own; later ones read the counts.
+    """
+    count = lambda cues: sum((F.contains(F.col(text), F.lit(c)).cast("int") for c in cues), F.lit(0))
+    counted = df.withColumn("__cues", F.array(*[F.struct(count(cues).alias("n"), F.lit(-i).alias("o"), F.lit(t).alias("t")) for i, (t, cues) in enumerate(CUES.items())]))
+    counted = counted.withColumns({"__best": F.array_max("__cues"), "__all": F.aggregate("__cues", F.lit(0), lambda a, h: a + h["n"])})
+    some = F.coalesce(F.col("__all") > 0, F.lit(False))
+    out = counted.withColumns({"doc_type": F.when(some, F.col("__best.t")).otherwise("other"), "confidence": F.when(some, F.col("__best.n") / F.col("__all")).otherwise(0.0)})
+    return out.drop("__cues", "__best", "__all")
 
 
 def masked(text: Column) -> tuple[Column, Column]:

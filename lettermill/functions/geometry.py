@@ -60,12 +60,12 @@ def _distance(a: Column, b: Column) -> Column:
 
 
 def corners(quads: DataFrame, width: int = 800, height: int = 600) -> DataFrame:
-    """Orders four points (x0..y3) into tl, tr, br, bl and adds area share, sides and side ratios."""
+    """Orders four points (x0..y3) into tl, tr, br, bl and adds area share, least rectangle, sides and side ratios."""
     pts = F.array(*[F.struct(F.col(f"x{i}").alias("x"), F.col(f"y{i}").alias("y")) for i in range(4)])
     by = lambda key, last: F.element_at(F.array_sort(F.transform(pts, lambda p: F.struct(key(p).alias("k"), p.alias("p")))), -1 if last else 1)["p"]
     total, tilt = (lambda p: p["x"] + p["y"]), (lambda p: p["y"] - p["x"])
     area = F.abs(sum((F.col(f"x{i}") * F.col(f"y{(i + 1) % 4}") - F.col(f"x{(i + 1) % 4}") * F.col(f"y{i}") for i in range(4)), F.lit(0.0))) / 2
-    q = quads.withColumns({"tl": by(total, False), "br": by(total, True), "tr": by(tilt, False), "bl": by(tilt, True), "area": area})
+    q = quads.withColumns({"tl": by(total, False), "br": by(total, True), "tr": by(tilt, False), "bl": by(tilt, True), "area": area, "box": least_rectangle()})
     tl, tr, br, bl = (F.col(c) for c in ("tl", "tr", "br", "bl"))
     q = q.withColumns({"share": F.col("area") / (width * height), "top": _distance(tr, tl), "bottom": _distance(br, bl), "left": _distance(bl, tl), "right": _distance(br, tr)})
     ratio = lambda a, b: F.when(F.greatest(a, b) > 0, F.least(a, b) / F.greatest(a, b)).otherwise(1.0)
@@ -86,15 +86,31 @@ def valid(width: int = 800, height: int = 600) -> Column:
     return F.col("share").between(0.05, 0.80) & (touching < 3) & (F.least(*sides) >= F.greatest(*sides) * 0.15) & (F.col("w_ratio") >= 0.2) & (F.col("h_ratio") >= 0.2)
 
 
+def least_rectangle() -> Column:
+    """Area of the least rectangle, turned any way, around the four points (x0..y3); 0 if they lie on one line.
+
+    One of its sides runs along a side of their hull. All six lines through two
+    of the points are tried: those inside the hull give no smaller one.
+    """
+    areas = []
+    for i in range(4):
+        for j in range(i + 1, 4):
+            dx, dy = F.col(f"x{j}") - F.col(f"x{i}"), F.col(f"y{j}") - F.col(f"y{i}")
+            along = [F.col(f"x{k}") * dx + F.col(f"y{k}") * dy for k in range(4)]
+            across = [F.col(f"y{k}") * dx - F.col(f"x{k}") * dy for k in range(4)]
+            square = dx * dx + dy * dy
+            areas.append((F.greatest(*along) - F.least(*along)) * (F.greatest(*across) - F.least(*across)) / F.when(square > 0, square))
+    return F.coalesce(F.least(*areas), F.lit(0.0))
+
+
 def score(width: int = 800, height: int = 600) -> Column:
-    """Weights area, rectangularity (against the upright box), distance from the border and paper proportions."""
+    """Weights area, rectangularity (against the least rectangle), distance from the border and paper proportions."""
     s = F.col("share")
     area = (
         F.when((s < 0.05) | (s >= 0.80), 0.0).when(s < 0.10, (s - 0.05) / 0.05 * 0.5)
         .when(s < 0.60, 0.5 + 0.5 * (1 - F.abs(s - 0.30) / 0.30)).otherwise(0.5 * (1 - (s - 0.60) / 0.20))
     )
-    xs, ys = ([F.col(f"{k}{i}") for i in range(4)] for k in "xy")
-    box = (F.greatest(*xs) - F.least(*xs)) * (F.greatest(*ys) - F.least(*ys))
+    box = F.col("box")
     rect = F.least(F.col("area") / F.when(box > 0, box).otherwise(1.0), F.lit(1.0))
     p = lambda c, k: F.col(c)[k]
     near = F.least(p("tl", "x"), p("tl", "y"), width - p("tr", "x"), p("tr", "y"), width - p("br", "x"), height - p("br", "y"), p("bl", "x"), height - p("bl", "y"))

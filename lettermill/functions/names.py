@@ -8,6 +8,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.numbering import numbered
+from ..sources.shared import written
+
 # Patterns of names that say nothing, in order.
 LOW_INFO = (
     r"^(IMG|PXL|DSC|SCAN|SCN|PHOTO|VID|VIDEO|MOV|MVI|PANA|CIMG|GOPR|GH\d{2}|DJI)[-_ ]?\d+",
@@ -51,11 +54,11 @@ def rename(df: DataFrame, order: str, name: str = "name", prefix: str = "", suff
     new = F.replace(stem, F.lit(find), F.lit(replace)) if find else stem
     new = F.concat(F.lit(prefix), new, F.lit(suffix))
     if numbering:
-        w = Window.partitionBy(batch).orderBy(order) if batch else Window.orderBy(order)
-        n = zfill(F.row_number().over(w) - 1 + start, digits)
+        df = numbered(df, [order], [batch] if batch else [], "__n")
+        n = zfill(F.col("__n") - 1 + start, digits)
         new = F.concat(n, F.lit("_"), new) if position == "prefix" else F.concat(new, F.lit("_"), n)
     out = F.concat(new, ext)
-    return df.withColumn("renamed", out).withColumn("changed", F.col("renamed") != F.col(name))
+    return df.withColumn("renamed", out).withColumn("changed", F.col("renamed") != F.col(name)).drop("__n")
 
 
 def patterns(spec: str | None) -> list[str]:
@@ -131,36 +134,97 @@ def apply_map(files: DataFrame, renames: DataFrame) -> DataFrame:
     return out.select(*[files[c] for c in files.columns], F.coalesce("new", "name").alias("renamed"))
 
 
+#: Numbers that a name can get: "stem (2)" to "stem (999)".
+MOST = 999
+_K = r"([2-9]|[1-9]\d{1,2})"
+#: A numbered name with a suffix, or one without: stem, number, suffix; stem, number.
+NUMBERED = rf"^(?:(.*[^.]) \({_K}\)(\.[^.]+)|(\.*[^.]*) \({_K}\))$"
+
+
+def _free(n: Column, taken: Column) -> Column:
+    """The n-th number from 2 that is not among the sorted taken ones."""
+    return F.aggregate(taken, n + 1, lambda s, t: F.when(t <= s, s + 1).otherwise(s))
+
+
+def _family(name: str) -> tuple[Column, Column]:
+    """(name, number) of which a name is the numbered form; null where it is none."""
+    part = lambda *groups: F.nullif(F.concat(*[F.regexp_extract(F.col(name), NUMBERED, g) for g in groups]), F.lit(""))
+    return part(1, 3, 4), part(2, 5).cast("int")
+
+
+def _settled(wanted: DataFrame) -> DataFrame:
+    """Which wanted names go to the first row that asks for them, and which numbers of a name others hold.
+
+    A name "stem (k)" is lost to a row that asked for "stem" and reached k before
+    anyone asked for it. Whether that is so follows from the times at which both
+    are asked for, and from the smaller numbers of the same stem; so all forms of
+    a stem are decided in one pass, and those of "stem (k)" itself in the next, in
+    as many rounds as names are nested. A pass sees at most 998 numbers and the
+    first 1,000 rows of a name, as there are no more numbers to give.
+    """
+    kids = wanted.filter(F.col("__of").isNotNull()).join(wanted.select(F.col("__name").alias("__of")), "__of", "left_semi")
+    deepest = kids.agg(F.max(F.length(F.regexp_extract("__name", rf"((?: \({_K}\))+)(?:\.[^.]+)?$", 1)))).first()[0]
+    none = F.array().cast("array<int>")
+    if deepest is None:
+        return wanted.select("__name", (~F.col("__there")).alias("__plain"), F.col("__taken").alias("__used"))
+    fold = wanted.join(kids.select("__name"), "__name", "left_anti").withColumn("__plain", ~F.col("__there"))
+    out = None
+    for _ in range(deepest // 4 + 1):
+        order = F.struct(F.col("__k").alias("k"), F.element_at("__times", 1).alias("first"), F.col("__name").alias("name"), F.col("__there").alias("there"))
+        under = kids.groupBy(F.col("__of").alias("__name")).agg(F.array_sort(F.collect_list(order)).alias("__kids"))
+        fold = fold.join(under, "__name", "left")
+        asked = F.slice("__times", F.when(F.col("__plain"), 2).otherwise(1), F.lit(MOST + 1))  # by those that get a number
+
+        def step(state, kid):
+            before = F.size(F.filter("__taken", lambda t: (t >= 2) & (t < kid["k"])))
+            nth = kid["k"] - 1 - before - F.size(state)  # the row that comes to this number
+            lost = kid["there"] | F.coalesce(F.try_element_at(asked, F.greatest(nth, F.lit(1))) < kid["first"], F.lit(False))  # noqa: B023
+            return F.when(lost, state).otherwise(F.array_append(state, kid["k"]))
+
+        won = F.aggregate(F.coalesce("__kids", F.array().cast(under.schema["__kids"].dataType)), none, step)
+        fold = written(fold.withColumn("__won", won), "names")
+        done = fold.select("__name", "__plain", F.array_sort(F.array_union("__taken", "__won")).alias("__used"))
+        out = done if out is None else out.unionByName(done)
+        plain = fold.select(F.explode("__kids").alias("kid"), "__won").select(F.col("kid.name").alias("__name"), F.array_contains("__won", F.col("kid.k")).alias("__plain"))
+        fold = kids.join(plain, "__name")
+    return out
+
+
 def collision_free(new: DataFrame, existing: DataFrame, order: str, name: str = "name", stamp: str = "0") -> DataFrame:
-    """Adds `target`: the name, or its first free "stem (k)" from k = 2, in order of the rows.
+    """Adds `target`: the name, or its first free "stem (k)" from k = 2, as if rows came one by one in order.
 
-    The k-th free number is found from the sorted taken numbers alone. Past 999
-    the stem gets `stamp`, and from the second such row on `stamp` and its first
-    free number from 2; names that exist or are asked for are passed over. Rows that
-    ask for a name already of the form "stem (k)" are held against existing names only.
+    A name is free while it does not exist and no earlier row holds it, be it
+    asked for or given as the numbered form of another. Past 999 the stem gets
+    `stamp`, and from the second such row on `stamp` and its first free number
+    from 2; names that exist or are asked for are passed over. No step brings
+    together all rows of a name.
     """
     stem, ext = split_path(F.col(name))
-    taken = existing.select(name).distinct()
-    k = F.regexp_extract(name, r"^.* \((\d{1,3})\)(\.[^.]*)?$", 1)
-    base = F.concat(F.regexp_replace(name, r"^(.*) \(\d{1,3}\)((\.[^.]*)?)$", "$1"), F.regexp_extract(name, r"^.* \(\d{1,3}\)((\.[^.]*)?)$", 1))
-    numbers = taken.select(base.alias("__base"), k.alias("__k")).filter("__k <> ''").groupBy("__base").agg(F.array_sort(F.collect_set(F.col("__k").cast("int"))).alias("__taken"))
-    w = Window.partitionBy(name).orderBy(order)
-    rows = new.withColumn("__n", F.row_number().over(w)).join(taken.withColumn("__there", F.lit(True)), name, "left").join(numbers, F.col(name) == F.col("__base"), "left")
-    nth = F.col("__n") - F.when(F.col("__there"), 0).otherwise(1)  # 0: the plain name is free
-    slot = F.aggregate(F.filter(F.coalesce("__taken", F.array().cast("array<int>")), lambda x: x >= 2), nth + 1, lambda s, t: F.when(t <= s, s + 1).otherwise(s))
-    numbered = F.concat(stem, F.lit(" ("), slot.cast("string"), F.lit(")"), ext)
+    taken = existing.select(F.col(name).alias("__name")).distinct()
+    of, k = _family("__name")
+    numbers = taken.select(of.alias("__name"), k.alias("__k")).filter("__name IS NOT NULL").groupBy("__name").agg(F.array_sort(F.collect_set("__k")).alias("__taken"))
+    rows = numbered(new, [order], [name], "__n")
+    times = rows.filter(F.col("__n") <= MOST + 1).groupBy(F.col(name).alias("__name")).agg(F.array_sort(F.collect_list(order)).alias("__times"))
+    wanted = times.join(taken.withColumn("__hit", F.lit(True)), "__name", "left").join(numbers, "__name", "left").select(
+        "__name", "__times", F.coalesce("__hit", F.lit(False)).alias("__there"), F.coalesce("__taken", F.array().cast("array<int>")).alias("__taken"), of.alias("__of"), k.alias("__k")
+    )
+    wanted = written(wanted, "wanted")
+    rows = rows.join(_settled(wanted), F.col(name) == F.col("__name"))
+    nth = (F.col("__n") - F.when(F.col("__plain"), 1).otherwise(0)).cast("int")  # 0: the name itself
+    slot = _free(nth, F.col("__used"))
+    numbered_name = F.concat(stem, F.lit(" ("), slot.cast("string"), F.lit(")"), ext)
     # names that look stamped, read with and without a suffix; the bare stamp counts as 1
-    known = taken.union(new.select(name)).distinct()
+    known = taken.union(wanted.select("__name")).distinct()
     parts = [rf"^(.*)\.{re.escape(stamp)}(?:-([2-9]|[1-9]\d{{1,8}}))?({suffix})$" for suffix in (r"\.[^.]+", "")]
-    stamped = [known.filter(F.col(name).rlike(p)).select(F.concat(*[F.regexp_extract(name, p, g) for g in (1, 3)]).alias("__of"), F.regexp_extract(name, p, 2).alias("__m")) for p in parts]
+    stamped = [known.filter(F.col("__name").rlike(p)).select(F.concat(*[F.regexp_extract("__name", p, g) for g in (1, 3)]).alias("__of"), F.regexp_extract("__name", p, 2).alias("__m")) for p in parts]
     number = F.when(F.col("__m") == "", 1).otherwise(F.expr("try_cast(__m AS int)"))
-    used = stamped[0].union(stamped[1]).groupBy("__of").agg(F.array_sort(F.collect_set(number)).alias("__used"))
-    rows = rows.join(used, F.col(name) == F.col("__of"), "left")
-    past = nth - 998 + F.size(F.filter(F.coalesce("__taken", F.array().cast("array<int>")), lambda x: x >= 2))
-    m = F.aggregate(F.coalesce("__used", F.array().cast("array<int>")), past, lambda s, t: F.when(t <= s, s + 1).otherwise(s))
+    stamps = stamped[0].union(stamped[1]).groupBy("__of").agg(F.array_sort(F.collect_set(number)).alias("__stamps"))
+    rows = rows.join(stamps, F.col(name) == F.col("__of"), "left")
+    past = nth - (MOST - 1) + F.size("__used")
+    m = F.aggregate(F.coalesce("__stamps", F.array().cast("array<int>")), past, lambda s, t: F.when(t <= s, s + 1).otherwise(s))
     late = F.concat(stem, F.lit("."), F.lit(stamp), F.when(m == 1, "").otherwise(F.concat(F.lit("-"), m.cast("string"))), ext)
-    target = F.when(nth == 0, F.col(name)).when(slot <= 999, numbered).otherwise(late)
-    return rows.withColumn("target", target).drop("__n", "__there", "__base", "__taken", "__of", "__used")
+    target = F.when(nth == 0, F.col(name)).when(slot <= MOST, numbered_name).otherwise(late)
+    return rows.select(*new.columns, target.alias("target"))
 
 
 def suggest(files: DataFrame, only: str = "", as_roc: bool = True) -> DataFrame:

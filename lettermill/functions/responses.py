@@ -12,8 +12,13 @@ from pyspark.sql.types import StructType
 from ..operators.contacts import is_email
 from .names import trim
 
-RESULT = "doc_type string, subject string, body string, filename string, confidence double"
-REQUIRED = ("doc_type", "subject", "body", "filename", "confidence")
+#: The whole record, each field with its kind.
+RESULT = {
+    "doc_type": "string", "doc_type_label": "string", "confidence": "double", "subject": "string", "body": "string", "filename": "string",
+    "extracted_text_summary": "string", "detected_language": "string", "suggested_recipients": "array<string>",
+}
+REQUIRED = ("doc_type", "subject", "body", "filename")
+LEAST_CONFIDENCE = 0.3
 # Ends that a response cut off in the middle may have, dropped in this order.
 CUT_ENDS = (r',\s*"[^"]*"\s*:\s*"[^"]*$', r',\s*"[^"]*"\s*:\s*\[[^\]]*$', r',\s*"[^"]*"\s*:\s*$', r',\s*"[^"]*$', r',\s*$')
 
@@ -49,10 +54,23 @@ def salvage(text: Column) -> Column:
     return F.coalesce(*[F.when(_is_object(c), F.struct(c.alias("json"), F.lit(n).alias("strategy"))) for n, c in ways])
 
 
+def record(json: Column) -> Column:
+    """All fields of a JSON object as a struct, with `missing`, the names of those that it does not have.
+
+    A field that is null is not missing. A value of another kind is cast where
+    that makes sense, else null; a single recipient is no list and so null.
+    """
+    v = F.try_parse_json(json)
+    at = lambda f, kind: F.try_variant_get(v, f"$.{f}", kind)
+    fields = [at(f, kind).alias(f) for f, kind in RESULT.items()]
+    missing = F.filter(F.array(*[F.when(at(f, "variant").isNull(), f) for f in RESULT]), lambda f: f.isNotNull())
+    return F.when(v.isNotNull(), F.struct(*fields, missing.alias("missing")))
+
+
 def recover(df: DataFrame, text: str = "text") -> DataFrame:
-    """Adds `result` (a struct) and `strategy`."""
+    """Adds `result` (a struct of all fields and the missing ones' names) and `strategy`."""
     got = df.withColumn("salvaged", salvage(F.col(text)))
-    return got.withColumns({"strategy": F.col("salvaged.strategy"), "result": F.from_json("salvaged.json", RESULT)}).drop("salvaged")
+    return got.withColumns({"strategy": F.col("salvaged.strategy"), "result": record(F.col("salvaged.json"))}).drop("salvaged")
 
 
 def answered(df: DataFrame, scorer: Callable[[str], str], text: str = "text", attempts: int = 2) -> DataFrame:
@@ -82,16 +100,24 @@ def answered(df: DataFrame, scorer: Callable[[str], str], text: str = "text", at
 
 
 def validate(df: DataFrame, as_of: str) -> DataFrame:
-    """The result, or a whole fallback record if a required field is missing; low confidence is flagged."""
-    ok = F.col("result").isNotNull()
-    for c in REQUIRED:
-        ok = ok & F.col(f"result.{c}").isNotNull()
-    ok = F.coalesce(ok, F.lit(False))
-    stamp = F.date_format(F.lit(as_of).cast("timestamp"), "yyyyMMdd_HHmm")
-    fallback = {"doc_type": F.lit("other"), "subject": F.lit("Document"), "body": F.lit("Please see the attachment."), "filename": F.concat(F.lit("document_"), stamp, F.lit(".pdf")), "confidence": F.lit(0.0)}
-    cols = {c: F.when(ok, F.col(f"result.{c}")).otherwise(v) for c, v in fallback.items()}
-    out = df.withColumns({**cols, "fallback": ~ok})
-    return out.withColumn("low_confidence", F.col("confidence") < 0.3)
+    """The fields of the result, or of a whole fallback record if a required one is missing; low confidence is flagged.
+
+    A required field may be null. A missing or null confidence is 0, and so low;
+    the fallback record is not flagged, as nobody judged it.
+    """
+    result = F.col("result")
+    ok = F.coalesce(~F.arrays_overlap(result["missing"], F.array(*map(F.lit, REQUIRED))), F.lit(False))
+    now = F.lit(as_of).cast("timestamp")
+    fallback = {
+        "doc_type": F.lit("other"), "doc_type_label": F.lit("Document"), "confidence": F.lit(0.0),
+        "subject": F.concat(F.lit("Scanned document, "), F.date_format(now, "yyyy/MM/dd")), "body": F.lit("Please see the attachment."),
+        "filename": F.concat(F.lit("document_"), F.date_format(now, "yyyyMMdd_HHmm"), F.lit(".pdf")),
+        "extracted_text_summary": F.lit("(not recognised, please check)"), "detected_language": F.lit("zh-TW"),
+        "suggested_recipients": F.array().cast("array<string>"),
+    }
+    value = lambda f: F.coalesce(result[f], F.lit(0.0)) if f == "confidence" else result[f]
+    out = df.withColumns({**{f: F.when(ok, value(f)).otherwise(v) for f, v in fallback.items()}, "fallback": ~ok})
+    return out.withColumn("low_confidence", ~F.col("fallback") & (F.col("confidence") < LEAST_CONFIDENCE))
 
 
 def contact_line(text: Column) -> dict[str, Column]:

@@ -97,6 +97,7 @@ def sender_or_default(users: DataFrame, senders: DataFrame) -> DataFrame:
     return users.join(s, "user_id", "left").select("user_id", *cols)
 
 
+# Document types and their names.
 DEFAULT_TEMPLATES = {
     "exam": "考試通知", "official": "公文", "receipt": "收據", "contract": "合約",
     "report": "報告", "letter": "信件", "form": "表單", "other": "文件",
@@ -138,24 +139,64 @@ def recipients_of(groups: DataFrame, members: DataFrame) -> DataFrame:
     return own.select("user_id", "contact_id").dropDuplicates(["user_id", "contact_id"])
 
 
+GRAM = 8  # characters of a piece in the index of names
+
+
+def _pieces(text: Column, length: Column | int) -> Column:
+    """All different substrings of a length."""
+    length = F.lit(length) if isinstance(length, int) else length
+    last = F.length(text) - length + 1
+    return F.when(last > 0, F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.substring(text, i, length)))).otherwise(F.array().cast("array<string>"))
+
+
+def looked_up(names: DataFrame, texts: DataFrame, by: str) -> DataFrame:
+    """(by, name, text) of names of GRAM characters or more: texts that have the name's rarest piece of that length.
+
+    A name with a piece that no text has is part of none and left out.
+    """
+    of_texts = texts.select(by, "text", F.explode(_pieces(F.col("text"), GRAM)).alias("piece"))
+    of_names = names.select(by, "name", F.explode(_pieces(F.col("name"), GRAM)).alias("piece"))
+    count = of_texts.groupBy(by, "piece").agg(F.count("*").alias("n"))
+    rarest = of_names.join(count, [by, "piece"], "left").groupBy(by, "name").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "piece")).alias("rarest"))
+    return rarest.filter("rarest.n > 0").select(by, "name", F.col("rarest.piece").alias("piece")).join(of_texts, [by, "piece"]).select(by, "name", "text")
+
+
+def names_within(names: DataFrame, texts: DataFrame, by: str = "user_id") -> DataFrame:
+    """(by, name, text): which names (by, name) are part of which texts (by, text); both distinct.
+
+    Long names are looked up by their rarest piece and compared in full; shorter
+    ones meet all pieces of their own length. So candidates follow the texts'
+    lengths, not the product of names and texts, whoever holds the rows.
+    """
+    names, texts = names.dropna(subset=["name"]), texts.dropna(subset=["text"])
+    found = looked_up(names.filter(F.length("name") >= GRAM), texts, by).filter(F.contains("text", "name"))
+    short = names.filter(F.length("name") < GRAM)
+    lengths = short.groupBy(by).agg(F.collect_set(F.length("name")).alias("lengths"))  # GRAM at most
+    whole = texts.join(lengths, by).select(by, "text", F.explode("lengths").alias("size"))
+    parts = whole.select(by, "text", F.explode(F.when(F.col("size") == 0, F.array(F.lit(""))).otherwise(_pieces(F.col("text"), F.col("size")))).alias("name"))
+    return found.unionByName(parts.join(short, [by, "name"], "left_semi").select(by, "name", "text"))
+
+
 def contact_history(contacts: DataFrame, history: DataFrame, k: int = 5) -> DataFrame:
-    """Per contact the k latest sends that name it or carry its address.
+    """Per contact the k latest sends whose recipient's name holds the contact's, or that went to its address.
 
-    All sends to one name and address match the same contacts, so only the k
-    latest of each recipient can be among a contact's. Recipients meet contacts
-    by an equi-join on the address, and by the name within the user's own.
+    An empty name is part of any. Names and addresses are looked up once each,
+    with the k latest sends of each, which all contacts of that name share.
     """
-    h = history.select("user_id", F.col("id").alias("send_id"), "recipient_name", "recipient_email", "sent_at")
-    to = ["user_id", "recipient_name", "recipient_email"]
-    latest = h.withColumn("n", F.row_number().over(Window.partitionBy(*to).orderBy(F.desc("sent_at"), F.desc("send_id")))).filter(F.col("n") <= k)
-    sends = latest.groupBy(*to).agg(F.collect_list(F.struct("sent_at", "send_id")).alias("sends"))
+    newest = [F.desc("sent_at"), F.desc("send_id")]
+    h = history.select("user_id", F.col("id").alias("send_id"), F.col("recipient_name").alias("text"), F.col("recipient_email").alias("email"), "sent_at")
     c = contacts.select("user_id", F.col("id").alias("contact_id"), "name", "email")
-    by_address = sends.join(c, (sends["user_id"] == c["user_id"]) & (F.col("recipient_email") == F.col("email"))).select("contact_id", "sends")
-    named = F.coalesce(F.col("recipient_name").contains(F.col("name")), F.lit(False)) & ~F.coalesce(F.col("recipient_email") == F.col("email"), F.lit(False))
-    by_name = sends.join(c, (sends["user_id"] == c["user_id"]) & named).select("contact_id", "sends")
-    hit = by_address.unionByName(by_name).select("contact_id", F.explode("sends").alias("s")).select("contact_id", "s.*")
-    w = Window.partitionBy("contact_id").orderBy(F.desc("sent_at"), F.desc("send_id"))
-    return hit.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("contact_id", "rank", "send_id")
+
+    def latest(sends: DataFrame, *key: str) -> DataFrame:
+        return sends.withColumn("n", F.row_number().over(Window.partitionBy(*key).orderBy(*newest))).filter(F.col("n") <= k).drop("n")
+
+    texts = latest(h.drop("email").dropna(subset=["text"]), "user_id", "text")
+    within = names_within(c.select("user_id", "name").distinct(), texts.select("user_id", "text").distinct())
+    named = latest(texts.join(within, ["user_id", "text"]).select("user_id", "name", "send_id", "sent_at"), "user_id", "name")
+    sent = latest(h.select("user_id", "email", "send_id", "sent_at").dropna(subset=["email"]), "user_id", "email")
+    hit = c.join(named, ["user_id", "name"]).select("contact_id", "send_id", "sent_at").union(c.join(sent, ["user_id", "email"]).select("contact_id", "send_id", "sent_at"))
+    w = Window.partitionBy("contact_id").orderBy(*newest)
+    return hit.distinct().withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("contact_id", "rank", "send_id")
 
 
 def cascade(members: DataFrame, deleted_contacts: DataFrame, deleted_groups: DataFrame) -> DataFrame:

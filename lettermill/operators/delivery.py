@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from .contacts import or_else
 
+# Words that are commands, and the handler of each state.
 COMMANDS = {"help": "help", "contacts": "contacts", "history": "history", "stats": "stats", "cancel": "cancel", "說明": "help", "聯絡人": "contacts", "統計": "stats"}
 BY_STATE = {"awaiting_contact": "contact_input", "editing": "edit_input", "idle": "hint"}
 FINAL = ("completed", "failed")
@@ -22,7 +23,7 @@ def route(text: Column, state: Column) -> Column:
     return out.otherwise("busy")
 
 
-#: Ways to deliver, in order, each with the condition under which it is tried.
+# Ways to deliver, in order, each with the condition under which it is tried.
 STRATEGIES = (
     ("starttls-587", lambda port, user: port == 587), ("ssl-465", lambda port, user: port == 465),
     ("starttls-own", lambda port, user: ~port.isin(587, 465, 25)), ("plain-25", lambda port, user: F.lit(True)),
@@ -88,13 +89,19 @@ def analysis_requests(items: DataFrame, contacts: DataFrame, senders: DataFrame)
     return out.select("id", F.col("c_name").isNull().alias("rejected"), F.when(F.col("c_name").isNotNull(), prompt).alias("prompt"))
 
 
-def progress_feed(progress: DataFrame) -> DataFrame:
-    """Rows whose progress differs from the row before, or that end the task; nothing after the end."""
+def progress(c: Column) -> Column:
+    """Never above 100; null stays null."""
+    return F.when(c > 100, 100).otherwise(c)
+
+
+def progress_feed(updates: DataFrame) -> DataFrame:
+    """Rows whose progress differs from the row before, or that end the task; nothing after the end. Null differs from any number."""
     w = Window.partitionBy("task_id").orderBy("seq")
-    final = F.col("status").isin(*FINAL)
+    final = F.coalesce(F.col("status").isin(*FINAL), F.lit(False))
     ended = F.coalesce(F.max(final).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(False))
-    before = F.lag("progress").over(w)
-    return progress.withColumns({"__e": ended, "__b": before}).filter(~F.col("__e") & (final | F.col("__b").isNull() | (F.col("__b") != F.col("progress")))).drop("__e", "__b")
+    own = updates.withColumn("progress", progress(F.col("progress")))
+    first, before = F.row_number().over(w) == 1, F.lag("progress").over(w)
+    return own.withColumns({"__e": ended, "__s": final | first | ~before.eqNullSafe(F.col("progress"))}).filter(~F.col("__e") & F.col("__s")).drop("__e", "__s")
 
 
 def latest_status(progress: DataFrame) -> DataFrame:

@@ -138,6 +138,18 @@ def _(spark, d):
     return C.contact_history(T.contacts(spark, d), T.send_history(spark, d))
 
 
+_ONE_USER = "substr(name, 1 + id % 3, CASE id % 11 WHEN 0 THEN 0 WHEN 1 THEN 4 WHEN 2 THEN 9 WHEN 3 THEN 7 ELSE 18 END)"
+
+
+@query("c9_parts_of_names", f"WITH c AS (SELECT id, email, CASE WHEN id % 13 = 0 THEN substr(name, 13) ELSE {_ONE_USER} END AS name FROM contacts), h AS (SELECT id, recipient_email, recipient_name, sent_at FROM send_history) SELECT contact_id, CAST(rank AS INTEGER) AS rank, send_id FROM (SELECT c.id AS contact_id, h.id AS send_id, row_number() OVER (PARTITION BY c.id ORDER BY sent_at DESC, h.id DESC) AS rank FROM c JOIN h ON contains(h.recipient_name, c.name) OR h.recipient_email = c.email) WHERE rank <= 5", "contacts", "send_history")
+def _(spark, d):
+    """All rows of one user, and names that are parts of others, down to none."""
+    i, name = F.col("id"), F.col("name")
+    size = F.when(i % 11 == 0, 0).when(i % 11 == 1, 4).when(i % 11 == 2, 9).when(i % 11 == 3, 7).otherwise(18)
+    c = T.contacts(spark, d).withColumns({"user_id": F.lit("u"), "name": F.when(i % 13 == 0, F.substr(name, F.lit(13))).otherwise(F.substring(name, (i % 3 + 1).cast("int"), size))})
+    return C.contact_history(c, T.send_history(spark, d).withColumn("user_id", F.lit("u")))
+
+
 @query("c10_groups_of_contact", "SELECT c.id, coalesce(string_agg(g.name, '、' ORDER BY g.name), '—') AS groups FROM contacts c LEFT JOIN group_members m ON m.contact_id = c.id LEFT JOIN contact_groups g ON g.id = m.group_id GROUP BY c.id", "group_members", "contacts")
 def _(spark, d):
     return C.groups_of_contact(T.contacts(spark, d), T.contact_groups(spark, d), T.group_members(spark, d))

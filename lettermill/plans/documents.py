@@ -15,29 +15,49 @@ from .base import query
 
 
 def _responses(spark, d):
+    """Answers by number: whole, fenced, in prose, with a comma too much, cut off, without a subject, and none at all."""
     i = F.col("doc_id")
-    full = F.format_string('{"doc_type": "report", "subject": "S %s", "body": "a, b", "filename": "f%s.pdf", "more": {"a": {"b": {"c": {"d": {"e": [1, {}]}}}}}, "confidence": 0.%s}', i, i, i % 9)
+    more = F.when(i % 5 == 0, "").when(i % 5 == 1, ', "confidence": null').otherwise(F.format_string(', "confidence": 0.%s', i % 9))
+    rest = F.when(i % 3 == 0, "").when(i % 3 == 1, ', "suggested_recipients": ["A %", "B"], "detected_language": "en", "extracted_text_summary": null, "doc_type_label": "Report"').otherwise(', "suggested_recipients": []')
+    full = F.concat(F.format_string('{"doc_type": "report", "subject": "S %s", "body": "a, b", "filename": "f%s.pdf", "more": {"a": {"b": {"c": {"d": {"e": [1, {}]}}}}}', i, i), rest, more, F.lit("}"))
     cut = F.format_string('{"doc_type": "report", "subject": "S %s", "tags": ["x"], "body": ', i)
     half = F.concat(cut, T.pick(('"half a va', '["x", "y', ""), i % 3))
     text = (
         F.when(i % 7 == 0, full).when(i % 7 == 1, F.concat(F.lit("```json\n"), full, F.lit("\n```"))).when(i % 7 == 2, F.concat(F.lit("Here: "), full, F.lit(" done.")))
         .when(i % 7 == 3, F.regexp_replace(full, r"\}$", ",}")).when(i % 7 == 4, half)
-        .when(i % 7 == 5, F.regexp_replace(full, r'"subject": "[^"]*", ', "")).otherwise(F.concat(F.lit("sorry, no idea: "), F.translate(F.coalesce("text", F.lit("")), "{}", "")))
+        .when(i % 7 == 5, F.regexp_replace(full, r'"subject": "[^"]*"', F.when(i % 2 == 0, '"subject": null').otherwise('"topic": "x"'))).otherwise(F.concat(F.lit("sorry, no idea: "), F.translate(F.coalesce("text", F.lit("")), "{}", "")))
     )
     return T.table(spark, d, "documents").select("doc_id", text.alias("text"))
 
 
-@query("g11_json_salvage", "SELECT doc_id, CASE doc_id % 7 WHEN 0 THEN 'whole' WHEN 1 THEN 'fence' WHEN 2 THEN 'braces' WHEN 3 THEN 'commas' WHEN 4 THEN 'truncated' WHEN 5 THEN 'whole' END AS strategy, CASE WHEN doc_id % 7 < 5 THEN 'S ' || doc_id END AS subject, CASE WHEN doc_id % 7 IN (0, 1, 2, 3, 5) THEN 'a, b' END AS body FROM documents")
+_WHOLE = "doc_id % 7 IN (0, 1, 2, 3, 5)"
+
+
+@query("g11_json_salvage", f"""SELECT doc_id, CASE doc_id % 7 WHEN 0 THEN 'whole' WHEN 1 THEN 'fence' WHEN 2 THEN 'braces' WHEN 3 THEN 'commas' WHEN 4 THEN 'truncated' WHEN 5 THEN 'whole' END AS strategy,
+  CASE WHEN doc_id % 7 < 5 THEN 'S ' || doc_id END AS subject, CASE WHEN {_WHOLE} THEN 'a, b' END AS body, CASE WHEN doc_id % 7 < 6 THEN 'report' END AS doc_type,
+  CASE WHEN {_WHOLE} THEN 'f' || doc_id || '.pdf' END AS filename, CASE WHEN {_WHOLE} AND doc_id % 5 > 1 THEN doc_id % 9 / 10 END AS confidence,
+  CASE WHEN {_WHOLE} AND doc_id % 3 = 1 THEN 'Report' END AS label, CASE WHEN {_WHOLE} AND doc_id % 3 = 1 THEN 'en' END AS language,
+  CASE WHEN {_WHOLE} AND doc_id % 3 = 1 THEN 'A %|B' WHEN {_WHOLE} AND doc_id % 3 = 2 THEN '' END AS recipients,
+  CASE WHEN {_WHOLE} THEN concat_ws(',', CASE WHEN doc_id % 3 <> 1 THEN 'doc_type_label' END, CASE WHEN doc_id % 5 = 0 THEN 'confidence' END, CASE WHEN doc_id % 7 = 5 AND doc_id % 2 = 1 THEN 'subject' END,
+    CASE WHEN doc_id % 3 <> 1 THEN 'extracted_text_summary,detected_language' END, CASE WHEN doc_id % 3 = 0 THEN 'suggested_recipients' END)
+  WHEN doc_id % 7 = 4 THEN 'doc_type_label,confidence,body,filename,extracted_text_summary,detected_language,suggested_recipients' END AS missing FROM documents""")
 def _(spark, d):
-    return R.recover(_responses(spark, d)).select("doc_id", "strategy", F.col("result.subject").alias("subject"), F.col("result.body").alias("body"))
+    r = R.recover(_responses(spark, d))
+    own = [F.col(f"result.{f}").alias(f) for f in ("subject", "body", "doc_type", "filename", "confidence")]
+    return r.select("doc_id", "strategy", *own, F.col("result.doc_type_label").alias("label"), F.col("result.detected_language").alias("language"), _text(F.col("result.suggested_recipients"), "|").alias("recipients"), _text(F.col("result.missing")).alias("missing"))
 
 
-@query("g12_result_checks", "SELECT doc_id, doc_id % 7 > 3 AS fallback, CASE WHEN doc_id % 7 > 3 THEN 'document_20240131_0000.pdf' ELSE 'f' || doc_id || '.pdf' END AS filename, doc_id % 7 > 3 OR doc_id % 9 < 3 AS low_confidence FROM documents")
+@query("g12_result_checks", """WITH r AS (SELECT *, doc_id % 7 IN (4, 6) OR (doc_id % 7 = 5 AND doc_id % 2 = 1) AS f FROM documents)
+SELECT doc_id, f AS fallback, CASE WHEN f THEN 'document_20240131_0000.pdf' ELSE 'f' || doc_id || '.pdf' END AS filename, NOT f AND (doc_id % 5 < 2 OR doc_id % 9 < 3) AS low_confidence,
+  CASE WHEN f OR doc_id % 5 < 2 THEN 0.0 ELSE doc_id % 9 / 10 END AS confidence, CASE WHEN f THEN 'Scanned document, 2024/01/31' WHEN doc_id % 7 < 5 THEN 'S ' || doc_id END AS subject,
+  CASE WHEN f THEN 'Document' WHEN doc_id % 3 = 1 THEN 'Report' END AS label, CASE WHEN f THEN '(not recognised, please check)' END AS summary,
+  CASE WHEN f THEN 'zh-TW' WHEN doc_id % 3 = 1 THEN 'en' END AS language, CASE WHEN f OR doc_id % 3 = 2 THEN '' WHEN doc_id % 3 = 1 THEN 'A %|B' END AS recipients FROM r""")
 def _(spark, d):
-    return R.validate(R.recover(_responses(spark, d)), "2024-01-31").select("doc_id", "fallback", "filename", "low_confidence")
+    got = R.validate(R.recover(_responses(spark, d)), "2024-01-31")
+    return got.select("doc_id", "fallback", "filename", "low_confidence", "confidence", "subject", F.col("doc_type_label").alias("label"), F.col("extracted_text_summary").alias("summary"), F.col("detected_language").alias("language"), _text(F.col("suggested_recipients"), "|").alias("recipients"))
 
 
-@query("j2_scored", "SELECT doc_id, CAST(CASE WHEN length(coalesce(text, '')) % 5 < 2 THEN 2 ELSE 1 END AS INTEGER) AS tried, length(coalesce(text, '')) % 5 = 0 AS fallback, CASE WHEN length(coalesce(text, '')) % 5 > 0 THEN length(coalesce(text, '')) || ' characters' ELSE 'Document' END AS subject FROM documents")
+@query("j2_scored", "SELECT doc_id, CAST(CASE WHEN length(coalesce(text, '')) % 5 < 2 THEN 2 ELSE 1 END AS INTEGER) AS tried, length(coalesce(text, '')) % 5 = 0 AS fallback, CASE WHEN length(coalesce(text, '')) % 5 > 0 THEN length(coalesce(text, '')) || ' characters' ELSE 'Scanned document, 2024/01/31' END AS subject FROM documents")
 def _(spark, d):
     def scorer(text: str, asked=set()) -> str:  # noqa: B006
         """Fails for some lengths at first, for others always."""
@@ -84,8 +104,8 @@ def _pages(spark, d):
 PAGES = "pg AS (SELECT id, CAST(id % 6 AS INTEGER) AS n, list_transform(range(1, id % 6 + 1), lambda x: 'p' || x) AS a FROM contacts)"
 
 
-def _text(c):
-    return F.array_join(c, ",")
+def _text(c, mark=","):
+    return F.array_join(c, mark)
 
 
 @query("h2_toggle", f"WITH {PAGES} SELECT id, array_to_string(CASE WHEN list_contains(a, 'p2') THEN list_filter(a, lambda x: x <> 'p2') ELSE list_append(a, 'p2') END, ',') AS pages FROM pg", "contacts")
@@ -129,7 +149,16 @@ def _marked(spark, d):
     return T.table(spark, d, "documents").select("doc_id", text.alias("text"))
 
 
-@query("k1_markdown_blocks")
+_MARKED = "marked AS (SELECT doc_id, array_to_string(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x, i: CASE (i - 1) % 11 WHEN 0 THEN '# ' WHEN 3 THEN '## ' WHEN 5 THEN '#### ' WHEN 7 THEN '- ' ELSE '' END || x), chr(10)) || repeat(chr(10), 2) || '```' || chr(10) || 'code # 1' || chr(10) || chr(10) || 'more' || chr(10) || '```' || chr(10) || 'end' AS text FROM documents)"
+
+
+@query("k1_markdown_blocks", rf"""WITH {_MARKED}, l AS (SELECT doc_id, unnest(range(len(parts))) AS line, unnest(parts) AS raw FROM (SELECT doc_id, string_split(text, chr(10)) AS parts FROM marked)),
+f AS (SELECT *, starts_with(raw, '```') AS fence, sum(CAST(starts_with(raw, '```') AS INTEGER)) OVER (PARTITION BY doc_id ORDER BY line) % 2 = 1 AS inside FROM l),
+k AS (SELECT *, CASE WHEN fence THEN 'fence' WHEN inside THEN 'code' WHEN starts_with(raw, '# ') THEN 'h1' WHEN starts_with(raw, '## ') THEN 'h2' WHEN regexp_matches(raw, '^#{{3,6}} ') THEN 'h3'
+  WHEN regexp_matches(raw, '^\s*([-*+]|\d+\.) ') THEN 'li' WHEN regexp_matches(raw, '^\s*$') THEN 'blank' ELSE 'p' END AS kind FROM f),
+s AS (SELECT *, CASE WHEN kind = 'code' THEN raw ELSE regexp_replace(raw, '^(#{{1,6}} |\s*([-*+]|\d+\.) )', '') END AS b, CASE WHEN lag(kind) OVER w = kind AND kind IN ('p', 'code') THEN 0 ELSE 1 END AS starts FROM k WINDOW w AS (PARTITION BY doc_id ORDER BY line)),
+g AS (SELECT *, sum(starts) OVER (PARTITION BY doc_id ORDER BY line) AS block FROM s)
+SELECT doc_id, CAST(block AS BIGINT) AS block, kind, string_agg(b, chr(10) ORDER BY line) AS body FROM g WHERE kind NOT IN ('fence', 'blank') GROUP BY 1, 2, 3""")
 def _(spark, d):
     return K.markdown_blocks(_marked(spark, d))
 
@@ -165,8 +194,7 @@ _TYPES = ", ".join("{'n': " + " + ".join(f"CAST(contains(text, '{c}') AS INTEGER
 
 @query("k5_doc_types", f"WITH {_CUED}, hits AS (SELECT doc_id, [{_TYPES}] AS h FROM cued) SELECT doc_id, CASE WHEN list_max(h).n > 0 THEN list_max(h).t ELSE 'other' END AS doc_type, round(CASE WHEN list_max(h).n > 0 THEN list_max(h).n / list_sum(list_transform(h, lambda x: x.n)) ELSE 0.0 END, 6) AS confidence FROM hits")
 def _(spark, d):
-    t, c = K.doc_type(F.col("text"))
-    return _cued(spark, d).select("doc_id", t.alias("doc_type"), F.round(c, 6).alias("confidence"))
+    return K.with_doc_type(_cued(spark, d)).select("doc_id", "doc_type", F.round("confidence", 6).alias("confidence"))
 
 
 @query("k6_masked", f"WITH {_CUED} SELECT doc_id, CAST(len(regexp_extract_all(text, '{K.MASKED}')) AS INTEGER) AS hits, md5(regexp_replace(text, '{K.MASKED}', '***', 'g')) AS masked_md5 FROM cued")
@@ -216,6 +244,68 @@ def _(spark, d):
     return I.run_to_table(I.fold_stream(T.state_events(spark, d, _stream(spark, d, "events"))), scratch(spark, "sessions"))
 
 
+def _arrivals(df, slice_of, count=4):
+    """A stream of a table's rows that come in `count` files, one after the other and each a batch of its own."""
+    spark, path = df.sparkSession, scratch(df.sparkSession, "arrivals")
+    for n in range(count):
+        df.filter(slice_of == n).coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+_SPAN = "(SELECT min(ts) AS a, max(ts) AS b FROM events)"
+_SLICE = "least(3, CAST(floor(4 * (epoch_us(ts) - epoch_us(a))::DOUBLE / (epoch_us(b) - epoch_us(a) + 1)) AS BIGINT))"
+
+
+def _sliced(events):
+    """Events with the number of the file that they come in, by time."""
+    us = F.unix_micros(F.col("ts").cast("timestamp"))
+    span = events.agg(F.min(us).alias("a"), F.max(us).alias("b"))
+    n = F.floor((us - F.col("a")) * 4.0 / (F.col("b") - F.col("a") + 1))
+    return events.join(F.broadcast(span)).withColumn("slice", F.least(F.lit(3), n.cast("long"))).drop("a", "b")
+
+
+@query("a6_event_source", f"""WITH s AS (SELECT event_id, ts, least(3, {_SLICE} + CASE WHEN event_id % 17 = 0 THEN 2 ELSE 0 END) AS n FROM events, {_SPAN}),
+m AS (SELECT x.n, max(s.ts) - INTERVAL 10 MINUTE AS mark FROM (SELECT DISTINCT n FROM s) x JOIN s ON s.n < x.n GROUP BY 1), f AS (SELECT event_id, coalesce(ts < mark, false) AS late FROM s LEFT JOIN m USING (n))
+SELECT event_id, late, count(*) FILTER (NOT late) OVER () AS on_time, count(*) FILTER (late) OVER () AS too_late FROM f""")
+def _(spark, d):
+    e = _sliced(T.table(spark, d, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts")))
+    e = e.withColumn("slice", F.least(F.lit(3), F.col("slice") + F.when(F.col("event_id") % 17 == 0, 2).otherwise(0)))
+    on_time, late, counts = I.with_late_rows(_arrivals(e, F.col("slice")), scratch(spark, "events"))
+    rows = on_time.select("event_id", F.lit(False).alias("late")).union(late.select("event_id", F.lit(True)))
+    return rows.join(F.broadcast(counts.select("on_time", F.col("late").alias("too_late"))))
+
+
+@query("i3_expired_sessions", f"""{SESSION_SQL.replace("SELECT event_id, user_id, accepted, state FROM f", "")}, moved AS (SELECT f.user_id, f.state, e.ts, lead(e.ts) OVER (PARTITION BY f.user_id ORDER BY f.rn) AS nxt FROM f JOIN e ON e.user_id = f.user_id AND e.rn = f.rn WHERE f.accepted),
+ended AS (SELECT user_id, max(ts) AS last FROM state_events GROUP BY 1)
+SELECT m.user_id, m.state AS was, 'idle' AS state, 'image/jpeg' AS image_media_type, true AS cleared, strftime(ts + INTERVAL 30 MINUTE, '%Y-%m-%d %H:%M:%S') AS reset_at
+FROM moved m JOIN ended USING (user_id), (SELECT max(ts) - INTERVAL 10 MINUTE AS mark FROM state_events)
+WHERE m.state <> 'idle' AND (nxt IS NULL OR nxt - ts > INTERVAL 30 MINUTE) AND (last - ts > INTERVAL 30 MINUTE OR ts + INTERVAL 30 MINUTE < mark)""", "state_events")
+def _(spark, d):
+    e = _sliced(T.table(spark, d, "events"))
+    stream = T.state_events(spark, d, _arrivals(e, F.col("slice")))
+    out = I.run_to_table(I.expiries(stream), scratch(spark, "expiries"), timers=True)
+    cleared = F.col("selected_contact_id").isNull() & F.col("ai_result").isNull() & F.col("edit_field").isNull()
+    return out.select("user_id", "was", "state", "image_media_type", cleared.alias("cleared"), F.date_format("reset_at", "yyyy-MM-dd HH:mm:ss").alias("reset_at"))
+
+
+@query("i3_session_sweep", """WITH s AS (SELECT user_id, arg_max(event_type, (ts, event_id)) AS state, max(ts) AS updated_at FROM events GROUP BY 1), x AS (SELECT *, state <> 'idle' AND mark - updated_at > INTERVAL 30 MINUTE AS expired FROM (SELECT user_id, CASE state WHEN 'view' THEN 'idle' ELSE state END AS state, updated_at FROM s), (SELECT max(ts) AS mark FROM events))
+SELECT user_id, expired, CASE WHEN expired THEN 'idle' ELSE state END AS state, CASE WHEN expired THEN 'image/jpeg' ELSE 'image/png' END AS image_media_type, CASE WHEN NOT expired THEN 7 END AS selected_contact_id,
+  CASE WHEN NOT expired THEN '{}' END AS ai_result, CASE WHEN NOT expired THEN 'body' END AS edit_field, strftime(CASE WHEN expired THEN mark ELSE updated_at END, '%Y-%m-%d %H:%M:%S') AS updated_at FROM x""")
+def _(spark, d):
+    e = T.table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    last = e.groupBy("user_id").agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("state"), F.max("ts").alias("updated_at"))
+    payload = {"image_media_type": F.lit("image/png"), "selected_contact_id": F.lit(7).cast("long"), "ai_result": F.lit("{}"), "edit_field": F.lit("body")}
+    sessions = last.withColumns({"state": F.when(F.col("state") == "view", "idle").otherwise(F.col("state")), **payload})
+    out = I.expire(sessions.join(F.broadcast(e.agg(F.max("ts").alias("now")))), F.col("now"))
+    return out.select("user_id", "expired", "state", "image_media_type", "selected_contact_id", "ai_result", "edit_field", F.date_format("updated_at", "yyyy-MM-dd HH:mm:ss").alias("updated_at"))
+
+
+@query("i8_progress_stream", "WITH o AS (SELECT *, lag(progress) OVER w AS before, max(CAST(status IN ('completed', 'failed') AS INTEGER)) OVER (PARTITION BY task_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS ended FROM task_progress WINDOW w AS (PARTITION BY task_id ORDER BY seq)) SELECT task_id, seq, progress, status FROM o WHERE coalesce(ended, 0) = 0 AND (status IN ('completed', 'failed') OR before IS NULL OR before <> progress)", "task_progress")
+def _(spark, d):
+    p = T.task_progress(spark, d).withColumn("ts", F.timestamp_seconds(1_704_067_200 + F.col("seq") * 60))
+    return I.push_progress(_arrivals(p, F.least(F.lit(3), F.expr("seq div 2"))), scratch(spark, "progress"))
+
+
 @query("i6_stream_counts", "SELECT CAST(event_type AS VARCHAR) AS event_type, count(*) AS n FROM events GROUP BY 1")
 def _(spark, d):
     return I.merge_counts(_stream(spark, d, "events").select("event_type"), "event_type", scratch(spark, "counts"))
@@ -248,6 +338,12 @@ def _(spark, d):
     return T.table(spark, d, "documents").select("doc_id", S.named_transform("upper", c).alias("a"), S.named_transform("no such", c).alias("b"))
 
 
+@query("a2_catalogue", "SELECT name || '.parquet' AS name, name AS stem, '.parquet' AS ext, true AS filled FROM (SELECT unnest(['region', 'nation', 'customer', 'supplier', 'part', 'orders', 'lineitem', 'events', 'documents', 'embeddings', 'pages', 'benchmark', 'labels', 'conversations']) AS name)")
+def _(spark, d):
+    """The folder of the given tables: what is there, without reading it."""
+    return S.catalogue(spark, d).filter("ext = '.parquet'").select("name", "stem", "ext", (F.col("size") > 0).alias("filled"))
+
+
 @query("a3_snippets", "SELECT doc_id, substr(trim(regexp_replace(text, '\\s+', ' ', 'g')), 1, 2000) AS snippet FROM documents")
 def _(spark, d):
     return T.table(spark, d, "documents").select("doc_id", S.snippet(F.col("text").cast("binary")).alias("snippet"))

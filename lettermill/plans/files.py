@@ -108,12 +108,39 @@ def _(spark, d):
     return N.collision_free(f.filter("id % 3 <> 0"), f.filter("id % 3 = 0").select("name").union(more), "id").select("id", "target")
 
 
+@query("f9_batch_conflicts", """WITH RECURSIVE w AS (SELECT id, CASE id % 5 WHEN 0 THEN stem || ext WHEN 1 THEN 'report' || ext WHEN 2 THEN 'report (' || (id % 13 + 2) || ')' || ext WHEN 3 THEN 'report (2) (' || (id % 7 + 2) || ')' || ext ELSE 'report (' || (id % 4 + 2) || ') (2)' || ext END AS name FROM files),
+e AS (SELECT DISTINCT 'report (' || (id % 60 + 2) || ')' || ext AS name FROM files WHERE id % 31 = 0),
+s AS (SELECT *, CASE WHEN suffix = '' THEN name ELSE left(name, length(name) - length(suffix)) END AS stem FROM (SELECT *, regexp_extract(name, '^.*[^.](\\.[^.]+)$', 1) AS suffix FROM (SELECT * FROM w UNION ALL SELECT NULL, name FROM e))),
+r AS (SELECT *, regexp_replace(stem, '( \\(([2-9]|[1-9][0-9]{1,2})\\))+$', '') || suffix AS root FROM s),
+t AS (SELECT *, row_number() OVER (PARTITION BY root ORDER BY id) AS i FROM r WHERE id IS NOT NULL),
+walk AS (SELECT root, CAST(0 AS BIGINT) AS i, CAST(NULL AS BIGINT) AS id, CAST(NULL AS VARCHAR) AS target, list(name) FILTER (id IS NULL) AS taken FROM r GROUP BY root
+UNION ALL SELECT root, i, id, target, list_append(taken, target) FROM (SELECT walk.root, t.i, t.id, coalesce(taken, []) AS taken, CASE WHEN NOT list_contains(coalesce(taken, []), name) THEN name
+  ELSE stem || ' (' || list_min(list_filter(range(2, 1000), lambda k: NOT list_contains(taken, stem || ' (' || k || ')' || suffix))) || ')' || suffix END AS target FROM walk JOIN t ON t.root = walk.root AND t.i = walk.i + 1))
+SELECT id, target FROM walk WHERE id IS NOT NULL""", "files")
+def _(spark, d):
+    i, k = F.col("id"), lambda m: (F.col("id") % m + 2).cast("string")
+    f = T.files(spark, d)
+    name = (
+        F.when(i % 5 == 0, F.concat("stem", "ext")).when(i % 5 == 1, F.concat(F.lit("report"), "ext")).when(i % 5 == 2, F.concat(F.lit("report ("), k(13), F.lit(")"), "ext"))
+        .when(i % 5 == 3, F.concat(F.lit("report (2) ("), k(7), F.lit(")"), "ext")).otherwise(F.concat(F.lit("report ("), k(4), F.lit(") (2)"), "ext"))
+    )
+    there = f.filter("id % 31 = 0").select(F.concat(F.lit("report ("), k(60), F.lit(")"), "ext").alias("name"))
+    return N.collision_free(f.select("id", name.alias("name")), there, "id").select("id", "target")
+
+
 @query("g1_rename_rules", "SELECT id, renamed, renamed <> name AS changed FROM (SELECT id, name, CASE WHEN n > 999 THEN CAST(n AS VARCHAR) ELSE lpad(CAST(n AS VARCHAR), 3, '0') END || '_P_' || replace(CASE WHEN ext = '' THEN regexp_replace(stem, '\\.tar$', '') ELSE stem END, 'report', 'rpt') || '_S' || CASE WHEN ext = '' AND ends_with(stem, '.tar') THEN '.tar' ELSE ext END AS renamed FROM (SELECT *, row_number() OVER (PARTITION BY id % 7 ORDER BY id) + 4 AS n FROM files))", "files")
 def _(spark, d):
     f = T.files(spark, d).withColumn("b", F.col("id") % 7)
     return N.rename(f, "id", prefix="P_", suffix="_S", find="report", replace="rpt", numbering=True, start=5, position="prefix", batch="b").select("id", "renamed", "changed")
 
 
+@query("g1_numbered_table", "SELECT id, stem || '_' || CASE WHEN n > 99 THEN CAST(n AS VARCHAR) ELSE lpad(CAST(n AS VARCHAR), 2, '0') END || ext AS renamed FROM (SELECT id, row_number() OVER (ORDER BY size, id) AS n, CASE WHEN ext = '' AND ends_with(stem, '.tar') THEN replace(stem, '.tar', '') ELSE stem END AS stem, CASE WHEN ext = '' AND ends_with(stem, '.tar') THEN '.tar' ELSE ext END AS ext FROM files)", "files")
+def _(spark, d):
+    """One number sequence over all files."""
+    f = T.files(spark, d).withColumn("at", F.struct("size", "id"))
+    return N.rename(f, "at", numbering=True, digits=2).select("id", "renamed")
+
+
 @query("g2_path_split", "SELECT id, CASE id % 5 WHEN 0 THEN '.bashrc' WHEN 1 THEN 'a.tar' WHEN 2 THEN 'a.' ELSE CASE WHEN ext = '' AND ends_with(stem, '.tar') THEN replace(stem, '.tar', '') ELSE stem END END AS stem, CASE id % 5 WHEN 0 THEN '' WHEN 1 THEN '.gz' WHEN 2 THEN '' ELSE CASE WHEN ext = '' AND ends_with(stem, '.tar') THEN '.tar' ELSE ext END END AS suffix FROM files", "files")
 def _(spark, d):
     i = F.col("id") % 5
@@ -171,6 +198,13 @@ def _(spark, d):
     return G.skew(T.segments(spark, d)).withColumn("angle", F.round("angle", 6))
 
 
+def _extent(i: int, j: int) -> str:
+    """SQL of the area of the rectangle around all four points that has a side along the i-th and j-th."""
+    dx, dy = f"(x{j} - x{i})", f"(y{j} - y{i})"
+    along, across = (", ".join(f(k) for k in range(4)) for f in (lambda k: f"x{k} * {dx} + y{k} * {dy}", lambda k: f"y{k} * {dx} - x{k} * {dy}"))
+    return f"(greatest({along}) - least({along})) * (greatest({across}) - least({across})) / ({dx} * {dx} + {dy} * {dy})"
+
+
 ORDERED = """q AS (SELECT *, [struct_pack(x := x0, y := y0), struct_pack(x := x1, y := y1), struct_pack(x := x2, y := y2), struct_pack(x := x3, y := y3)] AS p FROM quads),
 o AS (SELECT *, p[list_position(list_transform(p, lambda t: t.x + t.y), list_min(list_transform(p, lambda t: t.x + t.y)))] AS tl,
   p[list_position(list_transform(p, lambda t: t.x + t.y), list_max(list_transform(p, lambda t: t.x + t.y)))] AS br,
@@ -181,10 +215,10 @@ m AS (SELECT *, area / 480000 AS share, sqrt((tr.x-tl.x)**2 + (tr.y-tl.y)**2) AS
   sqrt((bl.x-tl.x)**2 + (bl.y-tl.y)**2) AS l, sqrt((br.x-tr.x)**2 + (br.y-tr.y)**2) AS r FROM o),
 k AS (SELECT *, least(t, b) / greatest(t, b) AS wr, least(l, r) / greatest(l, r) AS hr,
   (CASE WHEN share < 0.05 OR share >= 0.8 THEN 0 WHEN share < 0.1 THEN (share - 0.05) / 0.05 * 0.5 WHEN share < 0.6 THEN 0.5 + 0.5 * (1 - abs(share - 0.3) / 0.3) ELSE 0.5 * (1 - (share - 0.6) / 0.2) END) * 0.3
-  + least(area / ((greatest(x0,x1,x2,x3) - least(x0,x1,x2,x3)) * (greatest(y0,y1,y2,y3) - least(y0,y1,y2,y3))), 1) * 0.3
+  + least(area / least(RECTANGLES), 1) * 0.3
   + least(least(tl.x, tl.y, 800 - tr.x, tr.y, 800 - br.x, 600 - br.y, bl.x, 600 - bl.y) / 40, 1) * 0.25
   + greatest(0, 1 - abs(least((t+b)/2, (l+r)/2) / greatest((t+b)/2, (l+r)/2) - 0.72) * 2.5) * 0.15 AS score,
-  CAST(tl.y < 24 AND tr.y < 24 AS INT) + CAST(bl.y > 576 AND br.y > 576 AS INT) + CAST(tl.x < 24 AND bl.x < 24 AS INT) + CAST(tr.x > 776 AND br.x > 776 AS INT) AS touching FROM m)"""
+  CAST(tl.y < 24 AND tr.y < 24 AS INT) + CAST(bl.y > 576 AND br.y > 576 AS INT) + CAST(tl.x < 24 AND bl.x < 24 AS INT) + CAST(tr.x > 776 AND br.x > 776 AS INT) AS touching FROM m)""".replace("RECTANGLES", ", ".join(_extent(i, j) for i in range(4) for j in range(i + 1, 4)))
 
 
 def _scored(spark, d):

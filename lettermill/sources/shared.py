@@ -5,7 +5,7 @@ import functools
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 @functools.lru_cache(maxsize=1)
@@ -26,3 +26,26 @@ def scratch(spark: SparkSession, what: str) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = _own()
     return f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, what: str) -> DataFrame:
+    """The rows as a table in a shared folder: they are made once, and a lost executor costs no more than a read."""
+    path = scratch(df.sparkSession, what)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _place(spark: SparkSession, folder: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
+
+
+def names_in(spark: SparkSession, folder: str) -> list[str]:
+    """The names in a folder of any store that Spark reads; none if it is not there."""
+    fs, path = _place(spark, folder)
+    return sorted(s.getPath().getName() for s in fs.listStatus(path)) if fs.exists(path) else []
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    fs, path = _place(spark, folder)
+    fs.delete(path, True)

@@ -1,11 +1,17 @@
 """The session state machine, in batch and as a stream, and streaming forms of statistics and merges."""
 from __future__ import annotations
 
-from collections.abc import Iterator
+import contextlib
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import LongType, StructField, StructType
+
+from ..operators import delivery
+from .ledger import Ledger
 
 # Which states may follow each state.
 TRANSITIONS = {
@@ -94,56 +100,172 @@ def source(spark: SparkSession, sf_dir: str, table: str, schema) -> DataFrame:
     return spark.readStream.schema(schema).parquet(f"{sf_dir}/{table}.parquet*")
 
 
-def run_to_table(stream: DataFrame, folder: str) -> DataFrame:
+@contextlib.contextmanager
+def _state_store(spark: SparkSession) -> Iterator[None]:
+    """Streams that start in here keep their state in RocksDB, as processors with timers need it."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def run_to_table(stream: DataFrame, folder: str, timers: bool = False) -> DataFrame:
     """Runs an append stream over all there is and returns what it wrote; restarts go on from its checkpoint."""
-    q = stream.writeStream.format("parquet").option("checkpointLocation", f"{folder}/checkpoint").option("path", f"{folder}/rows").trigger(availableNow=True).start()
-    q.awaitTermination()
-    return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/rows")
+    spark = stream.sparkSession
+    with _state_store(spark) if timers else contextlib.nullcontext():
+        q = stream.writeStream.format("parquet").option("checkpointLocation", f"{folder}/checkpoint").option("path", f"{folder}/rows").trigger(availableNow=True).start()
+        q.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{folder}/rows")
+
+
+def run_batches(stream: DataFrame, put: Callable[[DataFrame, int], None], folder: str, mode: str = "append") -> None:
+    """Hands all there is to `put`, batch by batch; restarts go on from the folder's checkpoint."""
+    stream.writeStream.foreachBatch(put).outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
 
 
 def merge_counts(stream: DataFrame, key: str, folder: str) -> DataFrame:
-    """Counts per key, kept as one small table per batch and added up when read.
+    """Counts per key, kept as one small table per batch, folded from time to time, and added up when read.
 
-    A repeated batch overwrites its own table, so restarts count nothing twice; an
-    empty stream or a restart without new rows leaves the counts as they are.
+    A repeated batch counts once, so restarts count nothing twice; an empty stream
+    or a restart without new rows leaves the counts as they are.
+    """
+    schema = StructType([StructField(key, stream.schema[key].dataType), StructField("n", LongType())])
+    total = lambda df: df.groupBy(key).agg(F.sum("n").alias("n"))
+    ledger = Ledger(f"{folder}/counts", schema, total)
+    run_batches(stream, lambda batch, number: ledger.put(batch.groupBy(key).agg(F.count("*").alias("n")), number), folder)
+    return total(ledger.read(stream.sparkSession))
+
+
+def with_late_rows(stream: DataFrame, folder: str, ts: str = "ts", delay: str = "10 minutes") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Runs a source over all there is: (rows on time, late rows, one row of counts on_time, late and the mark).
+
+    The mark is the latest time of the batches before, less the delay, as for
+    Spark's own watermark; a row before it, or without a time, is late. It goes to
+    a table of its own and is counted, so that no row vanishes unseen. Restarts
+    go on from the mark that was reached; a repeated batch counts once.
     """
     spark = stream.sparkSession
-    place = f"{folder}/counts"
-    none = stream.select(key).schema.add("n", "long")
+    counts = lambda df: df.agg(F.max("mark").alias("mark"), F.coalesce(F.sum("on_time"), F.lit(0)).alias("on_time"), F.coalesce(F.sum("late"), F.lit(0)).alias("late"))
+    on_time, late = Ledger(f"{folder}/on-time", stream.schema), Ledger(f"{folder}/late", stream.schema)
+    marks = Ledger(f"{folder}/marks", StructType.fromDDL("mark timestamp, on_time long, late long"), counts)
 
     def put(batch: DataFrame, number: int) -> None:
-        batch.groupBy(key).agg(F.count("*").alias("n")).write.mode("overwrite").parquet(f"{place}/batch={number}")
+        if marks.holds(batch.sparkSession, number):
+            return
+        mark = marks.read(batch.sparkSession, before=number).agg(F.max("mark")).first()[0]
+        ok = F.col(ts).isNotNull() if mark is None else F.coalesce(F.col(ts) >= F.lit(mark), F.lit(False))
+        batch = batch.persist()
+        try:
+            on_time.put(batch.filter(ok), number)
+            late.put(batch.filter(~ok), number)
+            marks.put(batch.agg((F.max(ts) - F.expr(f"INTERVAL {delay}")).alias("mark"), F.count_if(ok).alias("on_time"), F.count_if(~ok).alias("late")), number)
+        finally:
+            batch.unpersist()
 
-    spark.createDataFrame([], none).write.mode("overwrite").parquet(f"{place}/batch=-1")
-    stream.writeStream.foreachBatch(put).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(none).parquet(place).groupBy(key).agg(F.sum("n").alias("n"))
+    run_batches(stream, put, folder)
+    return on_time.read(spark), late.read(spark), counts(marks.read(spark))
 
 
 def progress_stream(updates: DataFrame, late: str = "10 minutes") -> DataFrame:
-    """A task's changes of (status, progress) as they come, until its first final status (task_id, seq, progress, status, ts).
+    """A task's changes of progress as they come, up to its first final status (task_id, seq, progress, status).
 
-    Updates of a batch go in order of seq; a finished task's later updates are
-    dropped, and its state too once the watermark has passed an hour beyond.
+    As delivery.progress_feed: a row comes out if its progress differs from the
+    row before, or if it ends the task; null differs from any number. Updates of a
+    batch go in order of seq; a finished task's later updates are dropped, and
+    its state too once the watermark has passed an hour beyond.
     """
-    schema = "task_id long, seq long, progress int, status string"
+    schema = "task_id long, seq long, progress long, status string"
 
     def run(key, parts: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        last = tuple(state.get) if state.exists else (None, None)
+        any_row, last, ended = state.get if state.exists else (False, None, False)
         pdf = pd.concat(list(parts)).sort_values("seq")
         out = []
-        for r in pdf.itertuples(index=False):
-            if last[1] in FINAL:
+        for task, seq, progress, status in zip(pdf.task_id, pdf.seq, pdf.progress, pdf.status, strict=True):
+            if ended:
                 break
-            now = (min(max(int(r.progress), 0), 100), r.status)
-            if now != last:
-                out.append((r.task_id, r.seq, *now))
-                last = now
-        state.update(last)
+            now = None if pd.isna(progress) else int(progress)
+            ended = status in FINAL
+            if ended or not any_row or now != last:
+                out.append((task, seq, now, status))
+            any_row, last = True, now
+        state.update((any_row, last, ended))
         state.setTimeoutTimestamp(max(int((pdf.ts.max() + KEPT).timestamp() * 1000), state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(out, columns=["task_id", "seq", "progress", "status"])
+        yield pd.DataFrame(out, columns=["task_id", "seq", "progress", "status"]).astype({"progress": "Int64"})
+
+    own = updates.select(F.col("task_id").cast("long").alias("task_id"), F.col("seq").cast("long").alias("seq"), delivery.progress(F.col("progress").cast("long")).alias("progress"), "status", "ts")
+    return own.withWatermark("ts", late).groupBy("task_id").applyInPandasWithState(run, schema, "some boolean, progress long, ended boolean", "update", "EventTimeTimeout")
+
+
+def push_progress(updates: DataFrame, folder: str) -> DataFrame:
+    """Runs progress_stream into a sink that takes each batch's changes once, whatever is repeated; returns all so far."""
+    changes = progress_stream(updates)
+    ledger = Ledger(f"{folder}/changes", changes.schema)
+    run_batches(changes, ledger.put, folder, "update")
+    return ledger.read(updates.sparkSession)
+
+
+#: A session's payload, and what a reset makes of it.
+CLEARED = {"image_media_type": "image/jpeg", "selected_contact_id": None, "ai_result": None, "edit_field": None}
+RESET = "user_id long, was string, state string, image_media_type string, selected_contact_id long, ai_result string, edit_field string, reset_at timestamp"
+
+
+class Expiry(StatefulProcessor):
+    """A user's session, and a timer that resets it when it has been idle for too long."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.session = handle.getValueState("session", "state string, updated timestamp")
+
+    def _reset(self, key, was: str, updated) -> tuple:
+        return (key[0], was, "idle", *CLEARED.values(), updated + TIMEOUT)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        name, updated = self.session.get() if self.session.exists() else ("idle", None)
+        updated = None if updated is None else pd.Timestamp(updated)
+        out = []
+        for r in pd.concat(list(rows)).sort_values(["ts", "event_id"]).itertuples(index=False):
+            if name != "idle" and updated is not None and r.ts - updated > TIMEOUT:
+                out.append(self._reset(key, name, updated))
+            name, updated, _ = advance(name, updated, r.ts, r.target_state)
+        for at in list(self.handle.listTimers()):
+            self.handle.deleteTimer(at)
+        if name == "idle":
+            self.session.clear()
+        else:
+            self.session.update((name, updated.to_pydatetime()))
+            self.handle.registerTimer(int((updated + TIMEOUT).timestamp() * 1000))
+        yield resets_frame(out)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        name, updated = self.session.get() if self.session.exists() else ("idle", None)
+        self.session.clear()
+        yield resets_frame([] if name == "idle" else [self._reset(key, name, pd.Timestamp(updated))])
+
+    def close(self) -> None:
+        pass
+
+
+def resets_frame(rows: list[tuple]) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=[f.split(" ")[0] for f in RESET.split(", ")]).astype({"selected_contact_id": "Int64"})
+
+
+def expiries(events: DataFrame, late: str = "10 minutes") -> DataFrame:
+    """A reset record for each session that nothing moved for more than 30 minutes, once the watermark has passed that time.
+
+    It is the same whether the user's next event or the timer ends the session.
+    """
+    own = events.select(F.col("user_id").cast("long").alias("user_id"), "event_id", "ts", "target_state").withWatermark("ts", late)
+    return own.groupBy("user_id").transformWithStateInPandas(statefulProcessor=Expiry(), outputStructType=RESET, outputMode="append", timeMode="eventTime")
+
 
-    own = updates.select(F.col("task_id").cast("long").alias("task_id"), F.col("seq").cast("long").alias("seq"), "progress", "status", "ts")
-    return own.withWatermark("ts", late).groupBy("task_id").applyInPandasWithState(run, schema, "progress int, status string", "append", "EventTimeTimeout")
+def expire(sessions: DataFrame, as_of: Column) -> DataFrame:
+    """The sweep in batch: sessions (user_id, state, updated_at and payload) that are idle too long are fully reset."""
+    old = F.coalesce((F.col("state") != "idle") & (as_of - F.col("updated_at") > F.expr("INTERVAL 30 MINUTES")), F.lit(False))
+    cleared = {c: F.when(old, F.lit(v)).otherwise(F.col(c)) for c, v in CLEARED.items() if c in sessions.columns}
+    return sessions.withColumns({**cleared, "state": F.when(old, "idle").otherwise(F.col("state")), "updated_at": F.when(old, as_of).otherwise(F.col("updated_at")), "expired": old})

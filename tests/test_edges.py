@@ -110,7 +110,7 @@ def test_progress_as_a_stream(spark, tmp_path):
     df = spark.createDataFrame([(*r, pd.Timestamp("2024-01-01").to_pydatetime()) for r in rows], "task_id long, seq long, progress int, status string, ts timestamp")
     df.coalesce(1).write.parquet(f"file://{tmp_path}/in")
     stream = spark.readStream.schema(df.schema).parquet(f"file://{tmp_path}/in")
-    got = sessions.run_to_table(sessions.progress_stream(stream), f"file://{tmp_path}/out").collect()
+    got = sessions.push_progress(stream, f"file://{tmp_path}/out").collect()
     assert sorted(map(tuple, got)) == [(1, 0, 10, "running"), (1, 2, 100, "completed"), (2, 0, 0, "running")]
 
 
