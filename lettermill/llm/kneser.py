@@ -8,19 +8,22 @@ outgrows the others. Every pass splits what it holds into at most FAN blobs: up
 to FAN buckets take one shuffle a side, FAN * FAN two, and so on, so the number
 of blobs grows with the text and not with its square.
 
-A model file is a set of sorted 64-bit hash arrays with parallel values. Scoring
-workers map the files into memory and look a batch's distinct bigrams up by
-binary search; only touched pages are read.
+A model file holds the sorted 64-bit hash arrays of a span of buckets, with
+parallel values, and a directory of them at its end. So the number of files does
+not follow the buckets: up to FILES buckets have a file each, and then files hold
+more of them, SPAN at most. Scoring workers map each file once into memory and
+look a block's distinct bigrams up by binary search; only touched pages are read.
 """
 from __future__ import annotations
 
+import mmap
 import os
+import sys
 import tempfile
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
@@ -35,7 +38,9 @@ COUNT_BYTES = 16 << 20  # text whose bigrams are counted together
 FAN = 256  # blobs that a pass makes of what it holds, at most
 SPLIT_ENTRIES = 1 << 20  # entries that are split together
 SPLIT_BYTES = 64 << 20  # training text of a splitting task
-OPEN_FILES = 128  # model files of a kind that a worker keeps mapped
+FILES = 128  # model files of a kind, while they hold fewer than SPAN buckets each
+SPAN = 32  # buckets of a model file, at most
+SCORE_BYTES = 4 << 20  # text whose bigrams are looked up together
 BEGIN = np.uint64(0x0B0B0B0B0B0B0B0B)
 END = np.uint64(0x0E0E0E0E0E0E0E0E)
 
@@ -169,19 +174,36 @@ def steps(buckets: int, fan: int = FAN) -> list[int]:
     return out
 
 
-def _write(folder: str, kind: str, bucket: int, arrays: dict[str, np.ndarray]) -> None:
-    """One file per bucket, put in place whole: a repeated task writes the same bytes."""
-    os.makedirs(folder, exist_ok=True)
-    fd, temporary = tempfile.mkstemp(dir=folder, prefix=".")
-    with os.fdopen(fd, "wb") as f:
-        head = [len(arrays)]
-        for a in arrays.values():
-            head += [len(a), a.itemsize]
-        f.write(np.array(head, "<i8").tobytes())
+def span_of(buckets: int) -> int:
+    """Buckets of a model file."""
+    return min(SPAN, max(1, -(-buckets // FILES)))
+
+
+class _Writer:
+    """A model file, put in place whole when it is closed: a repeated task writes the same bytes."""
+
+    def __init__(self, folder: str, kind: str, number: int) -> None:
+        os.makedirs(folder, exist_ok=True)
+        fd, self.temporary = tempfile.mkstemp(dir=folder, prefix=".")
+        self.file, self.at, self.number = os.fdopen(fd, "wb"), [], number
+        self.path = f"{folder}/{kind}-{number}"
+
+    def add(self, bucket: int, arrays: dict[str, np.ndarray]) -> None:
+        own = [bucket]
         for a in arrays.values():
-            f.write(a.tobytes())
-            f.write(bytes(-a.nbytes % 8))
-    os.replace(temporary, f"{folder}/{kind}-{bucket}")
+            own += [self.file.tell(), len(a)]
+            self.file.write(a.tobytes())
+            self.file.write(bytes(-a.nbytes % 8))
+        self.at.append(own)
+
+    def close(self, whole: bool) -> None:
+        if whole:
+            self.file.write(np.array(self.at, "<i8").tobytes() + np.array([len(self.at)], "<i8").tobytes())
+        self.file.close()
+        if whole:
+            os.replace(self.temporary, self.path)
+        else:
+            os.unlink(self.temporary)
 
 
 _KINDS = {
@@ -190,18 +212,23 @@ _KINDS = {
 }
 
 
-def _map(folder: str, kind: str, bucket: int) -> dict[str, np.ndarray]:
-    path = f"{folder}/{kind}-{bucket}"
-    names = _KINDS[kind]
+def _nothing(kind: str) -> dict[str, np.ndarray]:
+    return {k: np.zeros(0, t) for k, t in _KINDS[kind].items()}
+
+
+def _map(folder: str, kind: str, number: int) -> dict[int, dict[str, np.ndarray]]:
+    """The arrays of a model file by bucket. The mapping holds no file descriptor where Python can do without."""
+    path = f"{folder}/{kind}-{number}"
     if not os.path.exists(path):
-        return {k: np.zeros(0, t) for k, t in names.items()}
-    data = np.memmap(path, np.uint8, "r")
-    head = np.frombuffer(data[: 8 * (1 + 2 * len(names))].tobytes(), "<i8")[1:].reshape(-1, 2)
-    out, at = {}, 8 * (1 + 2 * len(names))
-    for (n, size), (k, t) in zip(head.tolist(), names.items(), strict=True):
-        out[k] = data[at : at + n * size].view(t)
-        at += n * size + (-n * size) % 8
-    return out
+        return {}
+    with open(path, "rb") as f:
+        how = {"trackfd": False} if sys.version_info >= (3, 13) else {}
+        data = np.frombuffer(mmap.mmap(f.fileno(), 0, prot=mmap.PROT_READ, **how), np.uint8)
+    names = _KINDS[kind]
+    n, wide = int(data[-8:].view("<i8")[0]), 1 + 2 * len(names)
+    places = data[len(data) - 8 * (1 + n * wide) : -8].view("<i8").reshape(n, wide).tolist()
+    take = lambda at, size, t: data[at : at + size * np.dtype(t).itemsize].view(t)
+    return {own[0]: {k: take(own[1 + 2 * i], own[2 + 2 * i], t) for i, (k, t) in enumerate(names.items())} for own in places}
 
 
 def _find(sorted_keys: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -310,12 +337,56 @@ def narrowed(blobs: DataFrame, side: Side, spans: list[int], bucket_bytes: int)
     return blobs
 
 
-def _reduce(folder: str, here: Side, there: Side, hot: np.ndarray, step: int):
-    """A bucket's bigrams: its model file, statistics, and right words for the next shuffle."""
+def _filed(folder: str, kind: str, span: int, make: Callable):
+    """Rows sorted by bucket to model files: make(bucket, blobs) gives a bucket's arrays and lines. Rows without a blob pass through."""
+
+    def lines(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        kinds = (pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary())
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["kind", "bucket", "word", "n", "blob"])
 
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        bucket = int(key[0])
-        left, right, counts = here.gathered(pdf["blob"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        writer, bucket, held = None, None, []
+
+        def done() -> list[tuple]:
+            nonlocal writer
+            arrays, out = make(bucket, held)
+            held.clear()
+            if writer is None or writer.number != bucket // span:
+                if writer is not None:
+                    writer.close(True)
+                writer = _Writer(folder, kind, bucket // span)
+            writer.add(bucket, arrays)
+            return out
+
+        try:
+            for batch in batches:
+                if "kind" in batch.schema.names:
+                    has = batch.column("blob").is_valid()
+                    yield batch.filter(pc.invert(has))
+                    batch = batch.filter(has)
+                for own, blob in zip(batch.column("bucket").to_pylist(), batch.column("blob"), strict=True):
+                    if held and own != bucket:
+                        yield from lines(done())
+                    bucket = own
+                    held.append(blob.as_py())
+            if held:
+                yield from lines(done())
+            if writer is not None:
+                writer.close(True)
+                writer = None
+        finally:
+            if writer is not None:
+                writer.close(False)
+
+    return run
+
+
+def _reduce(here: Side, there: Side, hot: np.ndarray, step: int):
+    """A bucket's bigrams: its arrays, statistics, and right words for the next shuffle."""
+
+    def make(bucket: int, blobs: list[bytes]) -> tuple[dict[str, np.ndarray], list[tuple]]:
+        left, right, counts = here.gathered(blobs)
         pair = pair_hash(left, right)  # merged in the order of these
         big = counts >= 255
         word, inverse = np.unique(left, return_inverse=True)
@@ -323,34 +394,27 @@ def _reduce(folder: str, here: Side, there: Side, hot: np.ndarray, step: int):
         n = [np.bincount(inverse[m], minlength=len(word)).astype(np.int64) for m in (counts == 1, counts == 2, counts >= 3)]
         is_hot = np.isin(word, hot)
         cold = ~is_hot
-        _write(folder, "left", bucket, {
+        arrays = {
             "pair": pair, "count": np.minimum(counts, 255).astype(np.uint8), "big": pair[big], "big_count": counts[big],
             "word": word[cold], "total": total[cold], **{f"n{k + 1}": n[k][cold].astype(np.int32) for k in range(3)},
-        })
+        }
         own = [int((counts == k).sum()) for k in (1, 2, 3, 4)] + [len(pair), int(total[cold].sum())]
         out = [_line(0, bucket, np.zeros(1), np.array([own])), _line(1, bucket, word[is_hot], np.stack([total, *n], 1)[is_hot])]
         seen, lefts = np.unique(right, return_counts=True)
-        out += [(2, k, None, None, blob) for k, blob in there.dealt((seen, lefts), step)]
-        return pd.DataFrame(out, columns=["kind", "bucket", "word", "n", "blob"])
+        return arrays, out + [(2, k, None, None, blob) for k, blob in there.dealt((seen, lefts), step)]
 
-    return run
+    return make
 
 
-def _gather(folder: str, side: Side):
-    """Right words of a bucket: how many left words each follows; statistics pass through."""
+def _gather(side: Side):
+    """Right words of a bucket: how many left words each follows, and statistics."""
 
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        passed = pdf[pdf["kind"] < 2]
-        own = pdf[pdf["kind"] == 2]
-        if not len(own):
-            return passed
-        word, lefts = side.gathered(own["blob"])
-        _write(folder, "right", int(key[0]), {"word": word, "lefts": lefts.astype(np.int32)})
+    def make(bucket: int, blobs: list[bytes]) -> tuple[dict[str, np.ndarray], list[tuple]]:
+        word, lefts = side.gathered(blobs)
         n = [int((lefts == k).sum()) for k in (1, 2, 3, 4)] + [int((lefts >= 3).sum()), len(word), int(lefts.sum())]
-        line = pd.DataFrame([_line(3, int(key[0]), np.zeros(1), np.array([n]))], columns=pdf.columns)
-        return pd.concat([passed, line])
+        return {"word": word, "lefts": lefts.astype(np.int32)}, [_line(3, bucket, np.zeros(1), np.array([n]))]
 
-    return run
+    return make
 
 
 def hot_words(texts: DataFrame) -> np.ndarray:
@@ -378,8 +442,14 @@ def train(texts: DataFrame, bucket_bytes: int = BUCKET_BYTES, fan: int = FAN) ->
     here, there = sides(buckets, hot)
     spans = steps(buckets, fan)
     blobs = texts.mapInArrow(task(_count(here, spans[0])), "bucket int, blob binary")
-    rows = narrowed(blobs, here, spans, bucket_bytes).groupBy("bucket").applyInPandas(_reduce(folder, here, there, hot, spans[0]), META)
-    lines = narrowed(rows, there, spans, bucket_bytes).groupBy("bucket").applyInPandas(_gather(folder, there), META)
+    span = span_of(buckets)
+
+    def filed(blobs: DataFrame, kind: str, make: Callable) -> DataFrame:
+        dealt = blobs.repartition(F.floor(F.col("bucket") / span)).sortWithinPartitions("bucket")
+        return dealt.mapInArrow(task(_filed(folder, kind, span, make)), META)
+
+    rows = filed(narrowed(blobs, here, spans, bucket_bytes), "left", _reduce(here, there, hot, spans[0]))
+    lines = filed(narrowed(rows, there, spans, bucket_bytes), "right", _gather(there))
     lines = lines.filter(F.col("word").isNotNull()).select("kind", "n", F.posexplode("word").alias("i", "word"))
     sums = lines.groupBy("kind", "word").agg(*[F.sum(F.col("n")[F.col("i") * WIDTH + k]).alias(f"n{k}") for k in range(WIDTH)])
     got = {(r.kind, r.word): list(r[2:]) for r in sums.collect()}  # at most HOT_SHARE words and two lines
@@ -393,18 +463,18 @@ def train(texts: DataFrame, bucket_bytes: int = BUCKET_BYTES, fan: int = FAN) ->
                  high[5] + int(cols[words_ != BEGIN, 0].sum()) + ends, low[5], high[4], discounts(high[:4]), discounts(low[:4]), (low[0], low[1], low[4]))
 
 
-class _Files(dict):
-    """A model's files of one kind by bucket; the oldest are let go."""
+class _Files:
+    """A model's arrays of one kind by bucket; each file is mapped once."""
 
-    def __init__(self, folder: str, kind: str) -> None:
-        super().__init__()
-        self.folder, self.kind = folder, kind
+    def __init__(self, model: Model, kind: str) -> None:
+        self.folder, self.kind, self.span = model.folder, kind, span_of(model.buckets)
+        self.files: dict[int, dict[int, dict[str, np.ndarray]]] = {}
 
-    def __missing__(self, bucket: int) -> dict[str, np.ndarray]:
-        if len(self) >= OPEN_FILES:
-            del self[next(iter(self))]
-        self[bucket] = _map(self.folder, self.kind, bucket)
-        return self[bucket]
+    def __getitem__(self, bucket: int) -> dict[str, np.ndarray]:
+        number = bucket // self.span
+        if number not in self.files:
+            self.files[number] = _map(self.folder, self.kind, number)
+        return self.files[number].get(bucket) or _nothing(self.kind)
 
 
 class Scorer:
@@ -412,7 +482,7 @@ class Scorer:
 
     def __init__(self, model: Model) -> None:
         self.m = model
-        self.left, self.right = (_Files(model.folder, kind) for kind in _KINDS)
+        self.left, self.right = (_Files(model, kind) for kind in _KINDS)
 
     def lefts(self, word: np.ndarray) -> np.ndarray:
         """How many distinct left words each word follows."""
@@ -478,7 +548,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         scorer = Scorer(shared.value)
         m = shared.value
         for batch in batches:
-            for i, j, rows in row_blocks(batch.column(1)):
+            for i, j, rows in row_blocks(batch.column(1), SCORE_BYTES):
                 left, right, row = sequences(rows)
                 _, first, back = np.unique(pair_hash(left, right), return_index=True, return_inverse=True)
                 p, seen = scorer.log10(left[first], right[first])
