@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ..sources.shared import scratch  # noqa: F401
+from ..sources.shared import remove, scratch
 
 BLOCK_BYTES = 1 << 20
 _MUL = np.uint64(0x9E3779B97F4A7C15)
@@ -74,7 +74,15 @@ def materialise(df: DataFrame, what: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch(spark, what)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Takes away written tables of which all that is still needed has been written elsewhere."""
+    for table in tables:
+        remove(table.sparkSession, table.written_at)
 
 
 def blocks(lengths: np.ndarray, limit: int = BLOCK_BYTES) -> Iterator[tuple[int, int]]:

@@ -24,14 +24,16 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import byte_rows, materialise, mix, powers, quoted, rows_of, schema_of, task, text_bytes, whole_row
+from .common import byte_rows, discard, materialise, mix, powers, quoted, rows_of, schema_of, task, text_bytes, whole_row
 from .suffixes import repeated
 
 LENGTH = 400
 GRAM = 32  # the shorter, the fewer pieces a text has; it only has to be rare by chance
 GROUP = 500  # distinct pieces of a key that are sorted in one task, at most
 RUN = 16  # strings of a refined piece
+CHAIN = 3  # pieces of a text that are looked up together, on average
 SORT_BYTES = 1 << 20  # piece bytes sorted together
 SEGMENT = 1 << 20  # strings of a text that are anchored together
 _LOW = np.uint64((1 << 24) - 1)
@@ -216,8 +218,11 @@ def repeated_runs(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group
     all_pieces = materialise(cut.groupBy("t1", "t2", "start", "n", "far", "ah", "sh").agg(F.count("*").alias("c"), F.min("d").alias("d")), "pieces")
     twice = materialise(all_pieces.groupBy("ah").agg(F.sum("c").alias("w")).filter("w > 1").select("ah"), "anchors")
     own = materialise(all_pieces.join(twice, "ah"), "own-pieces")
+    discard(all_pieces, twice)
+    chains = _chains(own)
     stands = own.groupBy("ah", "sh").agg(F.sum("c").alias("weight"), F.min(F.struct("t1", "t2", "start", "n", "far", "d")).alias("r"))
     stands = materialise(stands.select("ah", "sh", "weight", "r.*"), "stands")
+    discard(own)
     sizes = stands.groupBy("ah").agg(F.count("*").alias("m"))
     lists = stands.join(sizes, "ah").withColumn("hot", F.col("m") > group)
     lists = lists.groupBy("t1", "t2").agg(F.min("d").alias("hd"), F.collect_list(F.struct("start", "n", "far", "ah", "sh", "weight", "hot")).alias("p"))
@@ -225,27 +230,53 @@ def repeated_runs(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group
     lists = lists.withColumnsRenamed({"t1": "h1", "t2": "h2"})
     mine = (F.col("t1") == F.col("h1")) & (F.col("t2") == F.col("h2")) & F.col("d").eqNullSafe(F.col("hd"))
     units = materialise(long_enough.join(lists, mine).select("t", "p").mapInArrow(task(_units(length)), UNITS), "units")
-    found = _sort(units.filter("level = 0"), length, "found").select(F.col("key").alias("ah"), F.col("uh").alias("sh"), "o", "n")
+    discard(stands)
+    plain = _sort(units.filter("level = 0"), length, "found")
+    written, found = [units, plain], plain.select(F.col("key").alias("ah"), F.col("uh").alias("sh"), "o", "n")
     runs = units.filter("level = 1").select("key", "uh", "weight", "ah", "sh", "off", "body")
     if not runs.isEmpty():
         single = materialise(_distinct_units(runs), "runs")
         sizes = materialise(single.groupBy("key").agg(F.count("*").alias("m")), "run-sizes")
         sized = materialise(single.join(sizes, "key"), "sized-runs")
-        got = _sort(sized.filter(F.col("m") <= group), length, "found-runs")
+        discard(single, sizes)
+        in_runs = _sort(sized.filter(F.col("m") <= group), length, "found-runs")
         large = sized.filter(F.col("m") > group).select("key", "uh", "weight", "body")
         strings = large.mapInArrow(task(_strings(length)), "key long, uh long, weight long, rk long, ru long, off long, body binary")
         strings = materialise(strings, "strings")
-        hit = _sort(_distinct_units(strings), length, "found-strings").select("key", "uh")
-        hit = strings.join(hit, ["key", "uh"]).select(F.col("rk").alias("key"), F.col("ru").alias("uh"), F.col("off").alias("o"), F.lit(1).cast("long").alias("n"))
-        got = materialise(got.unionByName(hit), "found-in-runs")
+        discard(sized)
+        in_strings = _sort(_distinct_units(strings), length, "found-strings")
+        hit = strings.join(in_strings.select("key", "uh"), ["key", "uh"]).select(F.col("rk").alias("key"), F.col("ru").alias("uh"), F.col("off").alias("o"), F.lit(1).cast("long").alias("n"))
+        got = materialise(in_runs.unionByName(hit), "found-in-runs")
+        discard(in_runs, in_strings, strings)
         up = runs.select("key", "uh", "ah", "sh", "off").join(got, ["key", "uh"]).select("ah", "sh", (F.col("off") + F.col("o")).alias("o"), "n")
-        found = materialise(found.unionByName(up), "found-all")
+        every = materialise(found.unionByName(up), "found-all")
+        written, found = [*written, got, every], every
     # a piece's runs travel as one row, at most as many as it has strings
-    found = materialise(found.groupBy("ah", "sh").agg(F.collect_list(F.struct("o", "n")).alias("runs")), "found-by-piece")
-    spans = own.select("t1", "t2", "start", "ah", "sh").join(found, ["ah", "sh"])
-    spans = spans.select("t1", "t2", F.transform("runs", lambda r: F.struct((F.col("start") + r["o"]).alias("a"), r["n"].alias("n"))).alias("runs"))
-    spans = spans.groupBy("t1", "t2").agg(F.flatten(F.collect_list("runs")).alias("spans"))
-    return materialise(spans, "spans")
+    by_piece = materialise(found.groupBy("ah", "sh").agg(F.collect_list(F.struct("o", "n")).alias("runs")), "found-by-piece")
+    discard(*written)
+    each = chains.groupBy("k1", "k2").agg(F.first("pieces").alias("pieces")).select("k1", "k2", F.explode("pieces").alias("p")).select("k1", "k2", "p.*")
+    each = each.join(by_piece, ["ah", "sh"]).select("k1", "k2", F.transform("runs", lambda r: F.struct((F.col("far") + r["o"]).alias("a"), r["n"].alias("n"))).alias("runs"))
+    each = each.groupBy("k1", "k2").agg(F.flatten(F.collect_list("runs")).alias("runs"))
+    spans = chains.select("t1", "t2", "start", "k1", "k2").join(each, ["k1", "k2"])
+    spans = spans.select("t1", "t2", F.transform("runs", lambda r: F.struct((F.col("start") + r["a"]).alias("a"), r["n"].alias("n"))).alias("runs"))
+    spans = materialise(spans.groupBy("t1", "t2").agg(F.flatten(F.collect_list("runs")).alias("spans")), "spans")
+    discard(by_piece, chains)
+    return spans
+
+
+def _chains(own: DataFrame) -> DataFrame:
+    """Neighbouring pieces of a text as one row: t1, t2, start, k1, k2 and the pieces (far from the start, ah, sh).
+
+    Chains begin at pieces that their own bytes choose, so texts with a passage in
+    common have its chains in common: what is found in a passage is then looked up
+    once for each of its chains, and meets the texts chain by chain.
+    """
+    w = Window.partitionBy("t1", "t2").orderBy("start")
+    number = F.sum((F.pmod("sh", F.lit(CHAIN)) == 0).cast("int")).over(w)
+    rows = own.select("t1", "t2", "start", "ah", "sh").withColumn("number", number).groupBy("t1", "t2", "number").agg(F.array_sort(F.collect_list(F.struct("start", "ah", "sh"))).alias("all"))
+    start = F.col("all")[0]["start"]
+    rows = rows.select("t1", "t2", start.alias("start"), F.transform("all", lambda p: F.struct((p["start"] - start).alias("far"), p["ah"].alias("ah"), p["sh"].alias("sh"))).alias("pieces"))
+    return materialise(rows.select("*", F.xxhash64("pieces").alias("k1"), F.xxhash64(F.lit(1), "pieces").alias("k2")), "chains")
 
 
 def removed(size: int, spans: list[dict], length: int = LENGTH) -> list[tuple[int, int]]:
