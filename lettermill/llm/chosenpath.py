@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_TABLE, blocks, byte_rows, materialise, mix, quoted, row_blocks, rows_of, task, text_bytes, whole_row, words
+from .common import WORD_TABLE, blocks, byte_rows, materialise, mix, quoted, row_blocks, rows_of, task, temporary, text_bytes, whole_row, words
 
 GRAM = 5
 THRESHOLD = 0.8
@@ -235,6 +235,7 @@ def _alike(least: float):
     return run
 
 
+@temporary
 def candidates(classes: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, limit: int = LIMIT) -> tuple[DataFrame, DataFrame]:
     """(pairs (a < b) of class keys that may reach the threshold, buckets to compare whole as rows of path, c, n)."""
     spark = classes.sparkSession
@@ -273,6 +274,7 @@ def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(got[:, 0]), pa.array(got[:, 1])], ["path", "home"])
 
 
+@temporary
 def homes(whole: DataFrame, classes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(c, home, cluster of homes that meet, block of each set in buckets to compare whole; pairs home <= other that meet)."""
     own = whole.groupBy("c").agg(F.max(F.struct("n", "path")).alias("h"), F.collect_list("path").alias("paths"))
@@ -496,6 +498,7 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+@temporary
 def join(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, gram: int = GRAM, limit: int = LIMIT, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """(table with the group key `g` of each document row; number of links n_links of each class c that has any)."""
     table = sketch_table(docs, id_col, text_col, gram)

@@ -69,6 +69,9 @@ def local_path(uri: str) -> str:
     return got.path
 
 
+_written: list[list[DataFrame]] = []  # tables of the calls of temporary() that are under way
+
+
 def materialise(df: DataFrame, what: str) -> DataFrame:
     """Cuts lineage by a written table in the shared folder."""
     spark = df.sparkSession
@@ -76,6 +79,8 @@ def materialise(df: DataFrame, what: str) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_at = path
+    if _written:
+        _written[-1].append(out)
     return out
 
 
@@ -85,6 +90,25 @@ def discard(*tables: DataFrame) -> None:
         remove(table.sparkSession, table.written_at)
 
 
+def temporary(f):
+    """A function whose results are written tables: all others that it writes go when it ends."""
+
+    @functools.wraps(f)
+    def wrapped(*args, **kwargs):
+        _written.append([])
+        try:
+            out = f(*args, **kwargs)
+        finally:
+            mine = _written.pop()
+        kept = {t.written_at for t in (out if isinstance(out, tuple) else (out,))}
+        discard(*[t for t in mine if t.written_at not in kept])
+        if _written:
+            _written[-1].extend(t for t in mine if t.written_at in kept)
+        return out
+
+    return wrapped
+
+
 def blocks(lengths: np.ndarray, limit: int = BLOCK_BYTES) -> Iterator[tuple[int, int]]:
     """Row ranges of at most `limit` bytes; a longer row is a range of its own."""
     if not len(lengths):

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import byte_rows, discard, materialise, mix, powers, quoted, rows_of, schema_of, task, text_bytes, whole_row
+from .common import byte_rows, discard, materialise, mix, powers, quoted, rows_of, schema_of, task, temporary, text_bytes, whole_row
 from .suffixes import repeated
 
 LENGTH = 400
@@ -208,6 +208,7 @@ def _distinct_units(units: DataFrame) -> DataFrame:
     return units.groupBy("key", "uh").agg(F.sum("weight").alias("weight"), F.first("body").alias("body"))
 
 
+@temporary
 def repeated_runs(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group: int = GROUP, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The runs of repeated strings of each different text: t1, t2, spans (array of first string and number of strings)."""
     rows = docs.select(text_bytes(text_col).alias("t"), F.col(quoted(id_col)).alias("d"), *text_key(text_col))
@@ -232,7 +233,7 @@ def repeated_runs(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group
     units = materialise(long_enough.join(lists, mine).select("t", "p").mapInArrow(task(_units(length)), UNITS), "units")
     discard(stands)
     plain = _sort(units.filter("level = 0"), length, "found")
-    written, found = [units, plain], plain.select(F.col("key").alias("ah"), F.col("uh").alias("sh"), "o", "n")
+    found = plain.select(F.col("key").alias("ah"), F.col("uh").alias("sh"), "o", "n")
     runs = units.filter("level = 1").select("key", "uh", "weight", "ah", "sh", "off", "body")
     if not runs.isEmpty():
         single = materialise(_distinct_units(runs), "runs")
@@ -249,19 +250,16 @@ def repeated_runs(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group
         got = materialise(in_runs.unionByName(hit), "found-in-runs")
         discard(in_runs, in_strings, strings)
         up = runs.select("key", "uh", "ah", "sh", "off").join(got, ["key", "uh"]).select("ah", "sh", (F.col("off") + F.col("o")).alias("o"), "n")
-        every = materialise(found.unionByName(up), "found-all")
-        written, found = [*written, got, every], every
+        found = materialise(found.unionByName(up), "found-all")
     # a piece's runs travel as one row, at most as many as it has strings
     by_piece = materialise(found.groupBy("ah", "sh").agg(F.collect_list(F.struct("o", "n")).alias("runs")), "found-by-piece")
-    discard(*written)
+    discard(units)
     each = chains.groupBy("k1", "k2").agg(F.first("pieces").alias("pieces")).select("k1", "k2", F.explode("pieces").alias("p")).select("k1", "k2", "p.*")
     each = each.join(by_piece, ["ah", "sh"]).select("k1", "k2", F.transform("runs", lambda r: F.struct((F.col("far") + r["o"]).alias("a"), r["n"].alias("n"))).alias("runs"))
     each = each.groupBy("k1", "k2").agg(F.flatten(F.collect_list("runs")).alias("runs"))
     spans = chains.select("t1", "t2", "start", "k1", "k2").join(each, ["k1", "k2"])
     spans = spans.select("t1", "t2", F.transform("runs", lambda r: F.struct((F.col("start") + r["a"]).alias("a"), r["n"].alias("n"))).alias("runs"))
-    spans = materialise(spans.groupBy("t1", "t2").agg(F.flatten(F.collect_list("runs")).alias("spans")), "spans")
-    discard(by_piece, chains)
-    return spans
+    return materialise(spans.groupBy("t1", "t2").agg(F.flatten(F.collect_list("runs")).alias("spans")), "spans")
 
 
 def _chains(own: DataFrame) -> DataFrame:
