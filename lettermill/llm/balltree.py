@@ -216,7 +216,8 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_id
     Queries are the rows whose id is divisible by `every`; a query's candidates
     are all rows of other ids. Unusable or empty vectors and null ids take no part;
     vectors of another length than the query's are no candidates; ties go to
-    the smaller id; rows of one id count each.
+    the smaller id; rows of one id count each. Other columns are ignored; an empty
+    table, or one without queries, gives no rows.
     """
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("e"))
     rows = rows.filter(F.col("vec_id").isNotNull() & usable(F.col("e")) & (F.size("e") > 0)).select("vec_id", quantised(F.col("e")).alias("v"), F.size("e").alias("dim"))

@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import DataFrame
 
 from .common import blocks, row_blocks, task, text_bytes
-from .wordids import KNOWN_UNITS, UnitIds
+from .wordids import KNOWN_UNITS, UnitIds, gather
 
 ENCODE_BYTES = 4 << 20  # texts encoded together
 MERGE_BYTES = 1 << 20  # bytes of new pre-tokens that share a queue; a longer one has its own
@@ -55,6 +55,15 @@ class RankQueue:
         else:
             got.append(position)
 
+    def push_all(self, ranks: list[int], at: list[int]) -> None:
+        get = self.buckets.get
+        for rank, i in zip(ranks, at, strict=True):
+            bucket = get(rank)
+            if bucket is None:
+                self.push(rank, i)
+            else:
+                bucket.append(i)
+
     def lowest(self) -> int:
         """The lowest rank with entries, or -1."""
         top = self.top
@@ -147,8 +156,8 @@ def pair_table(path: str) -> tuple[np.ndarray, np.ndarray]:
     return keys[order], out[order]
 
 
-def merge_many(pieces: list[bytes], path: str) -> list[np.ndarray]:
-    """Token ids of many pre-tokens through one rank queue.
+def merge_many(pieces: list[bytes], path: str) -> tuple[np.ndarray, np.ndarray]:
+    """(number of ids of each pre-token, all their ids) through one rank queue.
 
     Pre-tokens don't touch each other, so all positions of the lowest bucket
     are merged together. Should a merge form a pair of a lower rank, the rest
@@ -185,14 +194,15 @@ def merge_many(pieces: list[bytes], path: str) -> list[np.ndarray]:
     live = np.flatnonzero(pair[:-1] >= 0)
     order = live[np.argsort(pair[live], kind="stable")]
     cuts = np.flatnonzero(np.diff(pair[order])) + 1
-    for part in np.split(order, cuts) if len(order) else []:
-        got = part.tolist()
-        queue.push(int(pair[got[0]]), got[0])
-        queue.buckets[int(pair[got[0]])] = got
+    if len(order):
+        every, starts = order.tolist(), [0, *cuts.tolist()]
+        for a, b, r in zip(starts, [*starts[1:], len(every)], pair[order[starts]].tolist(), strict=True):
+            queue.push(r, every[a])
+            queue.buckets[r] = every[a:b]
     again: set[int] = set()
     rank = queue.lowest()
     while rank >= 0:
-        at = np.unique(np.array(queue.take(rank), np.int64))
+        at = _distinct(np.array(queue.take(rank), np.int64))
         at = at[pair[at] == rank]  # the others are stale
         if len(at) > 1:  # of a chain a-a-a take every second
             chained = np.append(False, nxt[at[:-1]] == at[1:])
@@ -208,22 +218,30 @@ def merge_many(pieces: list[bytes], path: str) -> list[np.ndarray]:
             inner = after < limit[at]
             prv[after[inner]] = at[inner]
             left = prv[at][~first[at]]
-            todo = np.unique(np.concatenate((at, left))) if len(left) else at
+            todo = _distinct(np.concatenate((at, left))) if len(left) else at
             new = pairs(todo)
             pair[todo] = new
             ok = new >= 0
-            for r, i in zip(new[ok].tolist(), todo[ok].tolist(), strict=True):
-                queue.push(r, i)
-                if r < rank:
-                    again.add(int(owner[i]))
+            new, todo = new[ok], todo[ok]
+            queue.push_all(new.tolist(), todo.tolist())
+            again.update(owner[todo[new < rank]].tolist())
         rank = queue.lowest()
     ids = tok[:-1]
     kept = ids >= 0
-    count = np.add.reduceat(kept, stop - lengths) if n else []
-    out = np.split(ids[kept].astype("<u4"), np.cumsum(count)[:-1])
-    for k in again:
-        out[k] = np.array(merge(pieces[k], ranks), "<u4")
-    return out
+    count = np.add.reduceat(kept, stop - lengths, dtype=np.int64) if n else np.zeros(0, np.int64)
+    out = ids[kept].astype("<u4")
+    if again:
+        parts = np.split(out, np.cumsum(count)[:-1])
+        for k in again:
+            parts[k] = np.array(merge(pieces[k], ranks), "<u4")
+        count, out = np.array([len(x) for x in parts], np.int64), np.concatenate(parts)
+    return count, out
+
+
+def _distinct(at: np.ndarray) -> np.ndarray:
+    """Sorted different positions."""
+    at.sort()
+    return at[np.append(True, at[1:] != at[:-1])] if len(at) else at
 
 
 class Encoder(UnitIds):
@@ -240,17 +258,16 @@ class Encoder(UnitIds):
             self.table[v] = k
 
     def _merged(self, units: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        rows = [self.split(u.decode("utf-8", "replace")) for u in units]
         index: dict[str, int] = {}
-        for row in rows:
-            for piece in row:
-                index.setdefault(piece, len(index))
-        pieces = [p.encode() for p in index]
-        ids: list[np.ndarray] = []
-        for i, j in blocks(np.array([len(p) for p in pieces], np.int64), MERGE_BYTES):
-            ids += merge_many(pieces[i:j], self.path)
-        got = [[ids[index[p]] for p in row] for row in rows]
-        return np.array([sum(map(len, x)) for x in got], np.int64), np.concatenate([y for x in got for y in x])
+        at, ends = [], [0]
+        for u in units:
+            at += [index.setdefault(piece, len(index)) for piece in self.split(u.decode("utf-8", "replace"))]
+            ends.append(len(at))
+        pieces, at = [p.encode() for p in index], np.array(at, np.int64)
+        got = [merge_many(pieces[i:j], self.path) for i, j in blocks(np.array([len(p) for p in pieces], np.int64), MERGE_BYTES)]
+        count, ids = (np.concatenate(x) for x in zip(*got, strict=True)) if got else (np.zeros(0, np.int64), np.zeros(0, np.uint32))
+        total = np.append(0, np.cumsum(count[at]))
+        return np.diff(total[ends]), gather(ids, (np.cumsum(count) - count)[at], count[at])
 
     def decode(self, packed: bytes) -> bytes:
         return b"".join(map(self.table.__getitem__, np.frombuffer(packed, "<u4").tolist()))

@@ -568,7 +568,8 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 def perplexities(docs: DataFrame, modulus: int = 7, remainder: int = 2) -> DataFrame:
     """Trains on the rows that aren't held out and scores all rows.
 
-    Null and empty texts are an end alone; a null id is never held out; repeated
+    Null and empty texts are an end alone; very long texts are counted and scored
+    whole, in a block of their own; a null id is never held out; repeated
     rows are counted and scored as often as they occur; other columns are
     ignored; an empty table gives no rows; without training rows every word has
     the probability 1 / (V + 1) of an unseen word, V being 0.

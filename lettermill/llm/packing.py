@@ -171,7 +171,8 @@ def _run(path: str, tiers: tuple[int, ...], step_tokens: int):
 def pack_documents(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", tiers: tuple[int, ...] = TIERS, step_tokens: int = STEP_TOKENS) -> DataFrame:
     """One row per piece of a document.
 
-    Null and empty texts consist of the end id alone; repeated rows and ids are
+    Null and empty texts consist of the end id alone; very long texts are encoded
+    whole and cut into as many pieces as they fill; repeated rows and ids are
     documents of their own; a null id stays null; other columns are ignored.
     Only a task's last sequence can be shorter than its tier. An empty table
     gives no rows. Sequence ids are unique, not dense.

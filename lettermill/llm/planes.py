@@ -161,7 +161,8 @@ def read_ids(files: DataFrame) -> DataFrame:
 def round_trip(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", partitions: int | None = None) -> DataFrame:
     """Writes token-id files and reads them back.
 
-    Null and empty texts hold the end id alone; rows of one id follow each
+    Null and empty texts hold the end id alone; a very long text is encoded whole,
+    in a file of its own; rows of one id follow each
     other, ordered by a hash of their texts; null ids come first; other columns
     are ignored; an empty table gives no rows.
     """

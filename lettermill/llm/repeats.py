@@ -314,8 +314,8 @@ def _digest(length: int):
 def removals(docs: DataFrame, length: int = LENGTH, group: int = GROUP, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256; one row per input row.
 
-    Null texts count as empty; texts shorter than `length` lose nothing; a
-    repeated row is a further occurrence of its text; null ids stay null; other
+    Null texts count as empty; texts shorter than `length` lose nothing; very
+    long ones are taken whole, a segment of SEGMENT strings at a time; a repeated row is a further occurrence of its text; null ids stay null; other
     columns are ignored; an empty table gives no rows.
     """
     spans = repeated_runs(docs, length, group=group, id_col=id_col, text_col=text_col)
@@ -344,7 +344,7 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, group: int = GROUP, i
 
     A character cut in two goes whole; `count_col`, if given, follows the text's
     number of characters. Nulls stay null; empty and short texts stay as they
-    are; equal texts lose all that they share; an empty table gives no rows.
+    are; very long ones are cut whole; equal texts lose all that they share; an empty table gives no rows.
     """
     spans = repeated_runs(docs, length, group=group, id_col=id_col, text_col=text_col)
     rows = docs.select(whole_row(docs).alias("row"), F.col(quoted(text_col)).cast("binary").alias("t"), *text_key(text_col))

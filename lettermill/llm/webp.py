@@ -806,8 +806,9 @@ def features(spark: SparkSession, folder: str) -> DataFrame:
 def media_round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Stores all texts as lossless WebP and reads them back; one row per input row.
 
-    Null and empty texts are 64 zero bytes; repeated rows give equal values; a
-    null id stays null; other columns are ignored.
+    Null and empty texts are 64 zero bytes; a very long text is one image, in a
+    block of its own; repeated rows give equal values; a null id stays null; other
+    columns are ignored; an empty table gives no rows.
     """
     folder = scratch(docs.sparkSession, "media")
     store(docs, folder, id_col, text_col)

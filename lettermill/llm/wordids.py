@@ -132,11 +132,11 @@ class Known:
         if len(order) == len(cols[0]):
             self.at, self.size, self.id_at, self.id_n, self.pool, self.ids = at, size, id_at, id_n, pool, ids
             return
-        self.pool, self.at, self.size = _gather(pool, at, size), np.cumsum(size) - size, size
-        self.ids, self.id_at, self.id_n = _gather(ids, id_at, id_n), np.cumsum(id_n) - id_n, id_n
+        self.pool, self.at, self.size = gather(pool, at, size), np.cumsum(size) - size, size
+        self.ids, self.id_at, self.id_n = gather(ids, id_at, id_n), np.cumsum(id_n) - id_n, id_n
 
 
-def _gather(values: np.ndarray, at: np.ndarray, n: np.ndarray) -> np.ndarray:
+def gather(values: np.ndarray, at: np.ndarray, n: np.ndarray) -> np.ndarray:
     """values[at:][:n] of each entry, one after the other."""
     ends = np.cumsum(n)
     return values[np.repeat(at - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)]
@@ -172,7 +172,7 @@ class UnitIds:
         old = np.flatnonzero(got >= 0)
         id_at[old], id_n[old] = self.known.id_at[got[old]], self.known.id_n[got[old]]
         id_at[new], id_n[new] = np.cumsum(new_n) - new_n + len(self.known.ids), new_n
-        out = _gather(np.concatenate((self.known.ids, new_ids)), id_at[back], id_n[back])
+        out = gather(np.concatenate((self.known.ids, new_ids)), id_at[back], id_n[back])
         self.known.uses[got[old]] += np.bincount(back, minlength=len(first))[old]
         keep = (new < len(key)) & (n[new] <= LONG_UNIT)
         if keep.any():
