@@ -44,8 +44,9 @@ def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies, with all its columns: that of the least id.
 
-    Null and empty texts are one group, so one of them stays; of repeated rows one
-    stays; null ids come after all others; an empty table gives no rows.
+    Null and empty texts are one group, so one of them stays; very long texts are
+    compared whole; of repeated rows, and of equal ids in a group, one stays; null
+    ids come after all others; an empty table gives no rows.
     """
     return chosenpath.one_of_each(docs)
 
@@ -53,8 +54,9 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the strings of 400 bytes that also start elsewhere; n_chars follows the text.
 
-    One row per document; null texts stay null, short ones as they are; a text
-    may end up empty; an empty table gives no rows.
+    One row per document; null texts stay null, short ones as they are, very long
+    ones are cut whole; repeated rows and equal texts all lose what they share, so
+    a text may end up empty; an empty table gives no rows.
     """
     return repeats.without_repeats(docs, count_col="n_chars" if "n_chars" in docs.columns else None)
 
