@@ -243,7 +243,7 @@ def _(spark, d):
     return H.monthly(T.send_history(spark, d), AS_OF)
 
 
-@query("e3_by_type", "SELECT user_id, doc_type, count(*) AS n FROM send_history GROUP BY 1, 2", "send_history")
+@query("e3_by_type", "SELECT *, CAST(row_number() OVER (PARTITION BY user_id ORDER BY n DESC, doc_type) AS INTEGER) AS rank FROM (SELECT user_id, doc_type, count(*) AS n FROM send_history GROUP BY 1, 2)", "send_history")
 def _(spark, d):
     return H.by_type(T.send_history(spark, d))
 
