@@ -9,10 +9,13 @@ sorts the suffixes of its pieces block by block with a difference cover
 (`suffixes`), which flags the strings that occur more than once.
 
 An anchor of more than GROUP distinct pieces, such as one in a passage that very
-many texts share, is refined: its pieces are cut into runs of 16 strings dealt
-by the bytes that all 16 share, and, where that group is too large as well, into
-single strings, of which equal ones are counted before they are dealt. So no
-task holds a group that grows with the data.
+many texts share, is refined: its pieces are cut into runs of 16 strings, dealt by
+the bytes that all 16 share, and sorted in the same way. A group that is still too
+large is cut into runs of 4 strings and of 2, which share more bytes; equal runs
+are counted before they are dealt, so that only those are left that differ within
+the few bytes around what they share. Single strings are dealt only of passages of
+just LENGTH bytes that go on differently at both ends. So no task holds a group
+that grows with the data, and hot passages come through the suffix order too.
 """
 from __future__ import annotations
 
@@ -26,13 +29,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import byte_rows, discard, materialise, mix, powers, quoted, rows_of, schema_of, task, temporary, text_bytes, whole_row
+from .common import byte_rows, discard, materialise, mix, powers, quoted, row_blocks, rows_of, schema_of, task, temporary, text_bytes, whole_row
 from .suffixes import repeated
 
 LENGTH = 400
 GRAM = 32  # the shorter, the fewer pieces a text has; it only has to be rare by chance
 GROUP = 500  # distinct pieces of a key that are sorted in one task, at most
-RUN = 16  # strings of a refined piece
+RUNS = (16, 4, 2, 1)  # strings of a refined piece, from pass to pass; those of 2 that differ at one end alone are 256 at most
 CHAIN = 3  # pieces of a text that are looked up together, on average
 SORT_BYTES = 1 << 20  # piece bytes sorted together
 SEGMENT = 1 << 20  # strings of a text that are anchored together
@@ -97,49 +100,49 @@ def _cut(length: int, gram: int):
     return run
 
 
-UNITS = "key long, uh long, weight long, level int, ah long, sh long, off long, body binary"
+UNITS = "key long, uh long, weight long, hot boolean, dist long, body binary"
+PARTS = "key long, uh long, weight long, dist long, body binary, pk long, pu long, off long"
+
+
+def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    kinds = {"long": pa.int64(), "boolean": pa.bool_(), "binary": pa.binary()}
+    names, types = zip(*(x.split() for x in schema.split(", ")), strict=True)
+    return pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], kinds[t]) for c, t in enumerate(types)], list(names))
 
 
 def _units(length: int):
-    """A text's pieces that stand for all equal ones: whole, or of hot anchors in runs."""
+    """A text's pieces that stand for all equal ones, by anchor; dist: how far the anchor is from a piece's start."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [x.split()[0] for x in UNITS.split(", ")]
-        kinds = [pa.int64()] * 3 + [pa.int32()] + [pa.int64()] * 3 + [pa.binary()]
         for batch in batches:
-            texts, lists = byte_rows(batch.column(0)), batch.column(1).to_pylist()
-            rows = []
-            for text, own in zip(texts, lists, strict=True):
-                for p in own:
-                    start, n, far, ah, sh, weight = (p[k] for k in ("start", "n", "far", "ah", "sh", "weight"))
-                    if not p["hot"]:
-                        rows.append((ah, sh, weight, 0, ah, sh, 0, text[start : start + n + length - 1]))
-                        continue
-                    anchor, off = start + far, 0
-                    while off < n:
-                        q = (far - off) // RUN  # strings whose distance to the anchor is in [q * RUN, (q + 1) * RUN)
-                        stop = min(n, far - q * RUN + 1)
-                        core = text[anchor - q * RUN : anchor - q * RUN - RUN + 1 + length]
-                        body = text[start + off : start + stop + length - 1]
-                        rows.append((_hash(core, ah + q & 0xFFFFFFFF), _hash(body, far - off), weight, 1, ah, sh, off, body))
-                        off = stop
-            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], t) for c, t in enumerate(kinds)], names)
+            for i, j, texts in row_blocks(batch.column(0)):
+                lists = batch.column(1).slice(i, j - i).to_pylist()
+                yield _batch([(p["ah"], p["sh"], p["weight"], p["hot"], p["far"], text[p["start"] : p["start"] + p["n"] + length - 1]) for text, own in zip(texts, lists, strict=True) for p in own], UNITS)
 
     return run
 
 
-def _strings(length: int):
-    """Runs to single strings: key, uh, weight, the run's key and uh, the offset in it, and the bytes."""
+def _parts(length: int, size: int):
+    """Pieces of large groups to runs of `size` strings: those whose distances to the anchor have the same quotient.
+
+    A run's key is the hash of the bytes that all strings of the full run share;
+    equal strings lie in runs of equal keys, at equal distances.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for key, uh, weight, body in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                for off in range(len(body) - length + 1):
-                    s = body[off : off + length]
-                    rows.append((_hash(s), _hash(s, 1), weight, key, uh, off, s))
-            kinds = [pa.int64()] * 6 + [pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], t) for c, t in enumerate(kinds)], ["key", "uh", "weight", "rk", "ru", "off", "body"])
+            for i, j, bodies in row_blocks(batch.column(4)):
+                rows, others = [], (c.slice(i, j - i).to_pylist() for c in batch.columns[:4])
+                for key, uh, weight, dist, body in zip(*others, bodies, strict=True):
+                    n, off = len(body) - length + 1, 0
+                    while off < n:
+                        q = (dist - off) // size  # strings whose distance to the anchor is in [q * size, (q + 1) * size)
+                        stop = min(n, dist - q * size + 1)
+                        shared = body[dist - q * size : dist - q * size - size + 1 + length]
+                        own = body[off : stop + length - 1]
+                        rows.append((_hash(shared, key + q & 0xFFFFFFFF), _hash(own, dist - off), weight, dist - off, own, key, uh, off))
+                        off = stop
+                yield _batch(rows, PARTS)
 
     return run
 
@@ -204,8 +207,23 @@ def _sort(units: DataFrame, length: int, what: str) -> DataFrame:
     return materialise(own.mapInArrow(task(_sorted(length)), "key long, uh long, o long, n long"), what)
 
 
-def _distinct_units(units: DataFrame) -> DataFrame:
-    return units.groupBy("key", "uh").agg(F.sum("weight").alias("weight"), F.first("body").alias("body"))
+def _refined(pieces: DataFrame, length: int, group: int, sizes: tuple[int, ...] = RUNS) -> DataFrame:
+    """Repeated strings (key, uh, o, n) of the pieces (key, uh, weight, dist, body) of large groups, pass by pass."""
+    parts = materialise(pieces.mapInArrow(task(_parts(length, sizes[0])), PARTS), "runs")
+    distinct = parts.groupBy("key", "uh").agg(F.sum("weight").alias("weight"), F.first("dist").alias("dist"), F.first("body").alias("body"))
+    distinct = materialise(distinct, "distinct-runs")
+    counts = distinct.groupBy("key").agg(F.count("*").alias("m"))
+    sized = materialise(distinct.join(counts, "key"), "sized-runs")
+    discard(distinct)
+    last = len(sizes) == 1  # single strings: those of a key are equal, and so one
+    found = _sort(sized if last else sized.filter(F.col("m") <= group), length, "found-runs")
+    large = sized.filter(F.col("m") > group).select("key", "uh", "weight", "dist", "body")
+    if not last and not large.isEmpty():
+        found = found.unionByName(_refined(large, length, group, sizes[1:]))
+    up = parts.select("key", "uh", "pk", "pu", "off").join(found, ["key", "uh"]).select(F.col("pk").alias("key"), F.col("pu").alias("uh"), (F.col("off") + F.col("o")).alias("o"), "n")
+    up = materialise(up, "found-in-runs")
+    discard(parts, sized)
+    return up
 
 
 @temporary
@@ -232,25 +250,11 @@ def repeated_runs(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group
     mine = (F.col("t1") == F.col("h1")) & (F.col("t2") == F.col("h2")) & F.col("d").eqNullSafe(F.col("hd"))
     units = materialise(long_enough.join(lists, mine).select("t", "p").mapInArrow(task(_units(length)), UNITS), "units")
     discard(stands)
-    plain = _sort(units.filter("level = 0"), length, "found")
-    found = plain.select(F.col("key").alias("ah"), F.col("uh").alias("sh"), "o", "n")
-    runs = units.filter("level = 1").select("key", "uh", "weight", "ah", "sh", "off", "body")
-    if not runs.isEmpty():
-        single = materialise(_distinct_units(runs), "runs")
-        sizes = materialise(single.groupBy("key").agg(F.count("*").alias("m")), "run-sizes")
-        sized = materialise(single.join(sizes, "key"), "sized-runs")
-        discard(single, sizes)
-        in_runs = _sort(sized.filter(F.col("m") <= group), length, "found-runs")
-        large = sized.filter(F.col("m") > group).select("key", "uh", "weight", "body")
-        strings = large.mapInArrow(task(_strings(length)), "key long, uh long, weight long, rk long, ru long, off long, body binary")
-        strings = materialise(strings, "strings")
-        discard(sized)
-        in_strings = _sort(_distinct_units(strings), length, "found-strings")
-        hit = strings.join(in_strings.select("key", "uh"), ["key", "uh"]).select(F.col("rk").alias("key"), F.col("ru").alias("uh"), F.col("off").alias("o"), F.lit(1).cast("long").alias("n"))
-        got = materialise(in_runs.unionByName(hit), "found-in-runs")
-        discard(in_runs, in_strings, strings)
-        up = runs.select("key", "uh", "ah", "sh", "off").join(got, ["key", "uh"]).select("ah", "sh", (F.col("off") + F.col("o")).alias("o"), "n")
-        found = materialise(found.unionByName(up), "found-all")
+    found = _sort(units.filter("not hot"), length, "found")
+    hot = units.filter("hot").select("key", "uh", "weight", "dist", "body")
+    if not hot.isEmpty():
+        found = found.unionByName(_refined(hot, length, group))
+    found = found.select(F.col("key").alias("ah"), F.col("uh").alias("sh"), "o", "n")
     # a piece's runs travel as one row, at most as many as it has strings
     by_piece = materialise(found.groupBy("ah", "sh").agg(F.collect_list(F.struct("o", "n")).alias("runs")), "found-by-piece")
     discard(units)

@@ -1,5 +1,7 @@
-"""Texts longer than the blocks in which operators 1, 4, 7, 9 and 10 work."""
+"""Texts longer than the blocks in which operators 1, 4, 7, 9 and 10 work, and a passage that very many share."""
+import collections
 import hashlib
+import random
 import zlib
 
 import numpy as np
@@ -16,7 +18,7 @@ LONG = " ".join(f"word{(i * 7919) % 4001} été {'x' * (i % 13)}!" for i in rang
 
 @pytest.fixture(scope="module")
 def docs(spark):
-    assert len(LONG.encode()) > 5 << 20
+    assert len(LONG.encode()) > 5_000_000
     return spark.createDataFrame([(1, "short"), (2, LONG), (3, None), (4, "end")], "doc_id long, text string").repartition(2).cache()
 
 
@@ -51,6 +53,27 @@ def test_media(docs):
     assert got[2].payload_sha256 == hashlib.sha256(data).hexdigest() and got[2].payload_bytes == len(data)
 
 
+@pytest.mark.parametrize("words,sizes", [(90, {16, 4, 2}), (57, {16, 4, 2, 1})])
+def test_hot_passage(spark, monkeypatch, words, sizes):
+    """Many texts hold one passage and differ all around it: its pieces are sorted in runs, single strings only next to its ends."""
+    rng, used, parts = random.Random(6), set(), repeats._parts
+    monkeypatch.setattr(repeats, "_parts", lambda length, size: (used.add(size), parts(length, size))[1])
+    noise = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz      ") for _ in range(n))
+    passage = " ".join(f"hot{i:03d}" for i in range(words))
+    texts = [noise(500) + passage + noise(500) for _ in range(900)]
+    seen = collections.Counter(t[i : i + 400] for t in texts for i in range(len(t) - 399))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    got = {r.doc_id: (r.n_removed, r.n_spans, r.kept_sha256) for r in repeats.removals(docs, group=300).collect()}
+    for i, t in enumerate(texts):
+        cover = np.zeros(len(t), bool)
+        for k in range(len(t) - 399):
+            if seen[t[k : k + 400]] > 1:
+                cover[k : k + 400] = True
+        kept = np.frombuffer(t.encode(), np.uint8)[~cover].tobytes()
+        assert got[i] == (int(cover.sum()), int((np.diff(np.append(0, cover.astype(int))) == 1).sum()), hashlib.sha256(kept).hexdigest())
+    assert used <= sizes and 16 in used
+
+
 def test_repeats(spark):
     """A passage at the end of one long text and the beginning of another."""
     passage = " ".join(f"passage{i}" for i in range(60))
