@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import byte_rows, discard, materialise, mix, powers, quoted, row_blocks, rows_of, schema_of, task, temporary, text_bytes, whole_row
+from .common import discard, materialise, mix, powers, quoted, row_blocks, rows_of, schema_of, task, temporary, text_bytes, whole_row
 from .suffixes import repeated
 
 LENGTH = 400
@@ -87,15 +87,15 @@ def text_key(text: str = "text") -> list[Column]:
 def _cut(length: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            owner, cols = [], [[] for _ in range(5)]
-            for k, text in enumerate(byte_rows(batch.column(0))):
-                for start, n, far, h in pieces(text, length, gram):
-                    owner.append(k)
-                    for col, v in zip(cols, (start, n, far, h, _hash(text[start : start + n + length - 1])), strict=True):
-                        col.append(v)
-            at = pa.array(owner, pa.int64())
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([*(c.take(at) for c in batch.columns[1:]), *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True))], ["d", "t1", "t2", "start", "n", "far", "ah", "sh"])
+            for i, j, rows in row_blocks(batch.column(0)):
+                owner, cols = [], [[] for _ in range(5)]
+                for k, text in enumerate(rows, i):
+                    for start, n, far, h in pieces(text, length, gram):
+                        owner.append(k)
+                        for col, v in zip(cols, (start, n, far, h, _hash(text[start : start + n + length - 1])), strict=True):
+                            col.append(v)
+                at = pa.array(owner, pa.int64())
+                yield pa.RecordBatch.from_arrays([*(c.take(at) for c in batch.columns[1:]), *(pa.array(c, pa.int64()) for c in cols)], ["d", "t1", "t2", "start", "n", "far", "ah", "sh"])
 
     return run
 
@@ -304,13 +304,15 @@ def without(text: bytes, ranges: list[tuple[int, int]]) -> bytes:
 def _digest(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cols: list[list] = [[], [], []]
-            for text, spans in zip(byte_rows(batch.column(2)), batch.column(3).to_pylist(), strict=True):
-                ranges = removed(len(text), spans, length)
-                cols[0].append(sum(b - a for a, b in ranges))
-                cols[1].append(len(ranges))
-                cols[2].append(hashlib.sha256(without(text, ranges)).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.string())], ["t1", "t2", "n_removed", "n_spans", "kept"])
+            for i, j, texts in row_blocks(batch.column(2)):
+                cols: list[list] = [[], [], []]
+                for text, spans in zip(texts, batch.column(3).slice(i, j - i).to_pylist(), strict=True):
+                    ranges = removed(len(text), spans, length)
+                    cols[0].append(sum(b - a for a, b in ranges))
+                    cols[1].append(len(ranges))
+                    cols[2].append(hashlib.sha256(without(text, ranges)).hexdigest())
+                keys = [batch.column(k).slice(i, j - i) for k in (0, 1)]
+                yield pa.RecordBatch.from_arrays([*keys, pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.string())], ["t1", "t2", "n_removed", "n_spans", "kept"])
 
     return run
 
@@ -335,10 +337,11 @@ def removals(docs: DataFrame, length: int = LENGTH, group: int = GROUP, id_col:
 def _apply(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            new = []
-            for text, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                new.append(None if text is None else without(text, removed(len(text), spans, length)).decode("utf-8", "ignore") if spans else text.decode())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(new, pa.string())], ["row", "new"])
+            for i, j, texts in row_blocks(batch.column(1)):
+                there, new = batch.column(1).slice(i, j - i).is_valid().to_pylist(), []
+                for text, ok, spans in zip(texts, there, batch.column(2).slice(i, j - i).to_pylist(), strict=True):
+                    new.append(None if not ok else without(text, removed(len(text), spans, length)).decode("utf-8", "ignore") if spans else text.decode())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(new, pa.string())], ["row", "new"])
 
     return run
 
