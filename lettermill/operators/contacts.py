@@ -195,8 +195,9 @@ def contact_history(contacts: DataFrame, history: DataFrame, k: int = 5) -> Data
     named = latest(texts.join(within, ["user_id", "text"]).select("user_id", "name", "send_id", "sent_at"), "user_id", "name")
     sent = latest(h.select("user_id", "email", "send_id", "sent_at").dropna(subset=["email"]), "user_id", "email")
     hit = c.join(named, ["user_id", "name"]).select("contact_id", "send_id", "sent_at").union(c.join(sent, ["user_id", "email"]).select("contact_id", "send_id", "sent_at"))
-    w = Window.partitionBy("contact_id").orderBy(*newest)
-    return hit.distinct().withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("contact_id", "rank", "send_id")
+    # 2 k sends of a contact at most, some of them twice
+    own = hit.groupBy("contact_id").agg(F.slice(F.reverse(F.array_sort(F.collect_set(F.struct("sent_at", "send_id")))), 1, k).alias("sends"))
+    return own.select("contact_id", F.posexplode("sends").alias("pos", "s")).select("contact_id", (F.col("pos") + 1).alias("rank"), "s.send_id")
 
 
 def cascade(members: DataFrame, deleted_contacts: DataFrame, deleted_groups: DataFrame) -> DataFrame:

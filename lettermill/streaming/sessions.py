@@ -226,24 +226,30 @@ class Expiry(StatefulProcessor):
         return (key[0], was, "idle", *CLEARED.values(), updated + TIMEOUT)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        name, updated = self.session.get() if self.session.exists() else ("idle", None)
+        name, updated = self.session.get() or ("idle", None)
         updated = None if updated is None else pd.Timestamp(updated)
-        out = []
+        before, out = (name, updated), []
         for r in pd.concat(list(rows)).sort_values(["ts", "event_id"]).itertuples(index=False):
             if name != "idle" and updated is not None and r.ts - updated > TIMEOUT:
                 out.append(self._reset(key, name, updated))
             name, updated, _ = advance(name, updated, r.ts, r.target_state)
-        for at in list(self.handle.listTimers()):
-            self.handle.deleteTimer(at)
-        if name == "idle":
-            self.session.clear()
-        else:
-            self.session.update((name, updated.to_pydatetime()))
-            self.handle.registerTimer(int((updated + TIMEOUT).timestamp() * 1000))
+        if (name, updated) != before:  # state and timers are calls to the store: only what changes
+            if before[0] != "idle":
+                self.handle.deleteTimer(self._due(before[1]))
+            if name != "idle":
+                self.session.update((name, updated.to_pydatetime()))
+                self.handle.registerTimer(self._due(updated))
+            elif before[0] != "idle":
+                self.session.clear()
         yield resets_frame(out)
 
+    @staticmethod
+    def _due(updated) -> int:
+        """A timer's time in milliseconds: one open session has one timer."""
+        return int((updated + TIMEOUT).timestamp() * 1000)
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        name, updated = self.session.get() if self.session.exists() else ("idle", None)
+        name, updated = self.session.get() or ("idle", None)
         self.session.clear()
         yield resets_frame([] if name == "idle" else [self._reset(key, name, pd.Timestamp(updated))])
 
