@@ -259,7 +259,7 @@ def repeated_runs(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group
     by_piece = materialise(found.groupBy("ah", "sh").agg(F.collect_list(F.struct("o", "n")).alias("runs")), "found-by-piece")
     discard(units)
     each = chains.groupBy("k1", "k2").agg(F.first("pieces").alias("pieces")).select("k1", "k2", F.explode("pieces").alias("p")).select("k1", "k2", "p.*")
-    each = each.join(by_piece, ["ah", "sh"]).select("k1", "k2", F.transform("runs", lambda r: F.struct((F.col("far") + r["o"]).alias("a"), r["n"].alias("n"))).alias("runs"))
+    each = each.join(by_piece, ["ah", "sh"]).select("k1", "k2", F.flatten(F.transform("far", lambda f: F.transform("runs", lambda r: F.struct((f + r["o"]).alias("a"), r["n"].alias("n"))))).alias("runs"))
     each = each.groupBy("k1", "k2").agg(F.flatten(F.collect_list("runs")).alias("runs"))
     spans = chains.select("t1", "t2", "start", "k1", "k2").join(each, ["k1", "k2"])
     spans = spans.select("t1", "t2", F.transform("runs", lambda r: F.struct((F.col("start") + r["a"]).alias("a"), r["n"].alias("n"))).alias("runs"))
@@ -267,17 +267,20 @@ def repeated_runs(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group
 
 
 def _chains(own: DataFrame) -> DataFrame:
-    """Neighbouring pieces of a text as one row: t1, t2, start, k1, k2 and the pieces (far from the start, ah, sh).
+    """Neighbouring pieces of a text as one row: t1, t2, start, k1, k2 and the pieces (how far from the start, ah, sh).
 
-    Chains begin at pieces that their own bytes choose, so texts with a passage in
-    common have its chains in common: what is found in a passage is then looked up
-    once for each of its chains, and meets the texts chain by chain.
+    A piece that a text holds many times, such as a line that it repeats, is one
+    piece with many places. Chains begin at pieces that their own bytes choose, so
+    texts with a passage in common have its chains in common: what is found in a
+    passage is then looked up once for each of its chains, and meets the texts
+    chain by chain.
     """
-    w = Window.partitionBy("t1", "t2").orderBy("start")
+    once = own.select("t1", "t2", "start", "ah", "sh").repartition("t1", "t2").groupBy("t1", "t2", "ah", "sh").agg(F.array_sort(F.collect_list("start")).alias("starts"))
+    w = Window.partitionBy("t1", "t2").orderBy(F.col("starts")[0])
     number = F.sum((F.pmod("sh", F.lit(CHAIN)) == 0).cast("int")).over(w)
-    rows = own.select("t1", "t2", "start", "ah", "sh").withColumn("number", number).groupBy("t1", "t2", "number").agg(F.array_sort(F.collect_list(F.struct("start", "ah", "sh"))).alias("all"))
-    start = F.col("all")[0]["start"]
-    rows = rows.select("t1", "t2", start.alias("start"), F.transform("all", lambda p: F.struct((p["start"] - start).alias("far"), p["ah"].alias("ah"), p["sh"].alias("sh"))).alias("pieces"))
+    rows = once.withColumn("number", number).groupBy("t1", "t2", "number").agg(F.array_sort(F.collect_list(F.struct("starts", "ah", "sh"))).alias("all"))
+    start = F.col("all")[0]["starts"][0]
+    rows = rows.select("t1", "t2", start.alias("start"), F.transform("all", lambda p: F.struct(F.transform(p["starts"], lambda x: x - start).alias("far"), p["ah"].alias("ah"), p["sh"].alias("sh"))).alias("pieces"))
     return materialise(rows.select("*", F.xxhash64("pieces").alias("k1"), F.xxhash64(F.lit(1), "pieces").alias("k2")), "chains")
 
 
