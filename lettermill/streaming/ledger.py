@@ -17,7 +17,8 @@ class Ledger:
     A batch that is written again replaces its table, or is passed over if a
     snapshot has it. To fold, the snapshot is written, then its pointer, and only
     then go the tables that it replaces; a crash at any point leaves a state that
-    reads the same, and that the next fold clears up.
+    reads the same, and that the next fold clears up. Tables count once Spark has
+    marked them as a success, so that mark must not be turned off.
     """
 
     def __init__(self, folder: str, schema: StructType, fold: Callable[[DataFrame], DataFrame] = lambda df: df, most: int = MOST) -> None:
