@@ -19,6 +19,7 @@ RESULT = {
 }
 REQUIRED = ("doc_type", "subject", "body", "filename")
 LEAST_CONFIDENCE = 0.3
+DEEPEST = 1000  # nesting that the JSON reader takes
 # Ends that a response cut off in the middle may have, dropped in this order.
 CUT_ENDS = (r',\s*"[^"]*"\s*:\s*"[^"]*$', r',\s*"[^"]*"\s*:\s*\[[^\]]*$', r',\s*"[^"]*"\s*:\s*$', r',\s*"[^"]*$', r',\s*$')
 
@@ -32,13 +33,27 @@ def _is_object(c: Column) -> Column:
     return F.startswith(F.ltrim(c), F.lit("{")) & got.isNotNull() & F.try_variant_get(got, "$[1]", "variant").isNull()
 
 
+def _closers(text: Column) -> Column:
+    """What closes all that is open at the end, innermost first; null where a bracket is closed that isn't open.
+
+    Brackets inside strings don't count. Null too where more is open than `DEEPEST`, which no text that parses has.
+    """
+    outside = F.regexp_replace(text, r'(?s)"(?:\\.|[^"\\])*+(?:"|\\?\z)', "")
+    marks = F.split(F.regexp_replace(outside, r"[^\[\]{}]+", ""), "")
+
+    def step(todo: Column, mark: Column) -> Column:
+        opened = F.when(F.length(todo) < DEEPEST, F.concat(F.translate(mark, "{[", "}]"), todo))
+        return F.when(mark == "", todo).when(mark.isin("{", "["), opened).when(F.startswith(todo, mark), F.substr(todo, F.lit(2)))
+
+    return F.aggregate(marks, F.lit(""), step)
+
+
 def _closed(text: Column) -> Column:
     """A text that was cut off: from its first brace, without the unfinished end, all that is open closed."""
     t = F.substr(text, F.nullif(F.instr(text, "{"), F.lit(0)))
     for end in CUT_ENDS:
         t = F.regexp_replace(t, end, "")
-    short = lambda a, b: F.greatest(F.lit(0), F.regexp_count(t, F.lit(a)) - F.regexp_count(t, F.lit(b)))
-    return F.concat(t, F.repeat(F.lit("]"), short(r"\[", r"\]")), F.repeat(F.lit("}"), short(r"\{", r"\}")))
+    return F.concat(t, _closers(t))
 
 
 def salvage(text: Column) -> Column:
@@ -47,8 +62,9 @@ def salvage(text: Column) -> Column:
     Later ways are only tried on rows for which the earlier ones fail.
     """
     whole = F.trim(text)
-    fenced = F.trim(F.regexp_replace(whole, r"^```[a-zA-Z]*\s*|\s*```$", ""))
-    widest = F.nullif(F.regexp_extract(whole, r"(?s)\{.*\}", 0), F.lit(""))
+    fenced = F.trim(F.regexp_replace(whole, r"^```[a-zA-Z]*\s*|(?<!\s)\s*```$", ""))
+    first, after = F.instr(whole, "{"), F.instr(F.reverse(whole), "}")
+    widest = F.when((first > 0) & (after > 0) & (first + after <= F.length(whole)), F.substr(whole, first, F.length(whole) - first - after + 2))
     commas = F.regexp_replace(F.coalesce(widest, fenced), r",\s*([}\]])", "$1")
     ways = (("whole", whole), ("fence", fenced), ("braces", widest), ("commas", commas), ("truncated", _closed(whole)))
     return F.coalesce(*[F.when(_is_object(c), F.struct(c.alias("json"), F.lit(n).alias("strategy"))) for n, c in ways])

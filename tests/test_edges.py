@@ -78,6 +78,18 @@ def test_json_salvage(spark):
     assert {t: x[0] for t, x in got.items()} == cases and got['{"subject": "a", "tags": ["x"], "body": "b'][1] is None
 
 
+def test_brackets_of_cut_json(spark):
+    """Closed innermost first, those in strings left alone, wrong or endless nesting not mended."""
+    long = '{"subject": "' + "x\\\\[{" * 50_000 + '", "more": {"a": [1'
+    cases = {
+        '{"subject": "a", "more": [{"b": 1': "a", '{"subject": "a [x {", "more": {"b": {"c": 1': "a [x {", r'{"subject": "\"]", "more": [[1': '"]', '{"subject": [1}': None,
+        '{"more": ' + "[" * 100_000: None, long: "x\\[{" * 50_000,
+    }
+    df = spark.createDataFrame([(t,) for t in cases], "text string")
+    got = {r.text: (r.result and r.result.subject, r.strategy) for r in responses.recover(df).collect()}
+    assert got == {t: (want, want and "truncated") for t, want in cases.items()}
+
+
 def test_answers_are_asked_for_twice(spark):
     def scorer(text):
         if text == "never":
