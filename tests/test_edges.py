@@ -164,3 +164,16 @@ def test_catalogue(spark, tmp_path):
     got = {r.name: (r.stem, r.ext, r["size"]) for r in catalog.catalogue(spark, f"file://{tmp_path}").collect()}
     assert got["a.tar.gz"] == ("a.tar", ".gz", 5)
     assert {r.path.split("/")[-1]: r.snippet for r in catalog.text_files(spark, f"file://{tmp_path}").collect()}["t.txt"] == "b c"
+
+
+def test_catalogue_of_tables_in_folders(spark, tmp_path):
+    """A table of several part files is one entry, as a table of one file is; plain folders are none."""
+    root = f"file://{tmp_path}/in"
+    spark.range(90).repartition(3).write.parquet(f"{root}/many.parquet")
+    spark.range(9).select("id", (F.col("id") % 2).alias("k")).write.partitionBy("k").parquet(f"{root}/by key.parquet")
+    (tmp_path / "in" / "plain").mkdir()
+    (tmp_path / "in" / "plain" / "x.txt").write_bytes(b"x")
+    (tmp_path / "in" / "one.parquet").write_bytes(b"x" * 7)
+    got = {r.name: (r.stem, r.ext, r["size"]) for r in catalog.catalogue(spark, root).collect()}
+    size = lambda p: sum(f.stat().st_size for f in (tmp_path / "in" / p).rglob("part-*"))
+    assert got == {"many.parquet": ("many", ".parquet", size("many.parquet")), "by key.parquet": ("by key", ".parquet", size("by key.parquet")), "one.parquet": ("one", ".parquet", 7)}
