@@ -4,10 +4,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
+from .batches import pieces, tidy
 from .names import trim
 
 # Cue words of each document type.
@@ -83,17 +85,23 @@ class _Walk(HTMLParser):
 def html_blocks(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
     """One row per innermost block element of a page: its place, tag, and XML-escaped text."""
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in parts:
-            rows = []
-            for k, text in zip(pdf[key], pdf[html], strict=True):
+    schema = StructType([pages.schema[key], *StructType.fromDDL("pos int, tag string, body string").fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece in (p for batch in batches for p in pieces(batch, 1)):
+            at, pos, tags, bodies = [], [], [], []
+            for row, text in enumerate(piece.column(1).to_pylist()):
                 walk = _Walk()
                 walk.feed(text or "")
-                rows += [(k, i, tag, t) for i, (tag, t) in enumerate(walk.done())]
-            yield pd.DataFrame(rows, columns=[key, "pos", "tag", "body"])
-
-    kind = pages.schema[key].dataType.simpleString()
-    out = pages.select(key, html).mapInPandas(run, f"{key} {kind}, pos int, tag string, body string")
+                out = walk.done()
+                at += [row] * len(out)
+                pos += range(len(out))
+                tags += [tag for tag, _ in out]
+                bodies += [body for _, body in out]
+            keys = piece.column(0).take(pa.array(at, pa.int32()))
+            yield pa.RecordBatch.from_arrays([keys, pa.array(pos, pa.int32()), pa.array(tags, pa.string()), pa.array(bodies, pa.string())], names=schema.names)
+
+    out = pages.select(key, html).mapInArrow(tidy(run), schema)
     for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
         out = out.withColumn("body", F.replace("body", F.lit(a), F.lit(b)))
     return out

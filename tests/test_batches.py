@@ -1,9 +1,12 @@
 """Names of one batch, numbering, names within names, streams in several batches, whole answers."""
+import contextlib
 import datetime
 import random
 from html.parser import HTMLParser
 from pathlib import PurePosixPath
+from unittest import mock
 
+import pyarrow as pa
 import pytest
 from oracle import SMALL
 from pyspark.sql import functions as F
@@ -221,3 +224,20 @@ def test_pages_against_a_plain_reading(spark):
     pages = tables.table(spark, SMALL, "pages")
     want = [(r.page_id, i, *b) for r in pages.collect() for i, b in enumerate(blocks(r.html or ""))]
     assert sorted(map(tuple, documents.html_blocks(pages).collect())) == sorted(want)
+
+
+def given_batches(df, make, batch):
+    """What a task of make(df) gives for one batch."""
+    with mock.patch.object(type(df), "mapInArrow", autospec=True, return_value=df) as put, contextlib.suppress(Exception):
+        make(df)
+    return list(put.call_args.args[1](iter([batch])))
+
+
+def test_blocks_leave_in_pieces(spark):
+    """A batch of ten thousand pages isn't held as blocks all at once."""
+    page = "<body>" + "<p>some words</p>" * 500 + "</body>"
+    df = spark.createDataFrame([(1, page)], "page_id int, html string")
+    batch = pa.RecordBatch.from_arrays([pa.array(range(2000), pa.int32()), pa.array([None, *[page] * 1998, "<p>" + "x" * 3_000_000])], names=["page_id", "html"])
+    got = given_batches(df, documents.html_blocks, batch)
+    assert len(got) >= 17 and sum(b.num_rows for b in got) == 1998 * 500 + 1 and max(b.num_rows for b in got) <= 70_000
+    assert [r["pos"] for b in got for r in b.to_pylist() if r["page_id"] == 1998] == list(range(500))
