@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from lettermill.functions import documents, geometry, names, responses
 from lettermill.operators import contacts, delivery
 from lettermill.operators.numbering import numbered
-from lettermill.sources import tables
+from lettermill.sources import catalog, tables
 from lettermill.streaming import sessions
 from lettermill.streaming.ledger import Ledger
 
@@ -241,3 +241,14 @@ def test_blocks_leave_in_pieces(spark):
     got = given_batches(df, documents.html_blocks, batch)
     assert len(got) >= 17 and sum(b.num_rows for b in got) == 1998 * 500 + 1 and max(b.num_rows for b in got) <= 70_000
     assert [r["pos"] for b in got for r in b.to_pylist() if r["page_id"] == 1998] == list(range(500))
+
+
+def test_files_leave_in_pieces(spark):
+    """A batch of large files isn't held whole, nor is what a function makes of it; failures stay in their rows."""
+    df = spark.createDataFrame([("a", b"x")], "name string, content binary")
+    batch = pa.RecordBatch.from_arrays([pa.array([f"f{i}" for i in range(40)]), pa.array([b"x" * 200_000 if i % 4 else None for i in range(40)])], names=["name", "content"])
+    got = given_batches(df, lambda df: catalog.transform_files(df, lambda _, content: content * 3, ".up"), batch)
+    assert max(b.nbytes for b in got) < 2_000_000
+    rows = [r for b in got for r in b.to_pylist()]
+    assert [r["name"] for r in rows] == [f"f{i}" for i in range(40)]
+    assert all((r["content"] == b"x" * 600_000) == (r["error"] is None) == bool(i % 4) for i, r in enumerate(rows))
