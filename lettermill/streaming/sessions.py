@@ -4,10 +4,10 @@ from __future__ import annotations
 import contextlib
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import LongType, StructField, StructType
 
 from ..operators import delivery
@@ -19,14 +19,15 @@ TRANSITIONS = {
     "awaiting_confirm": {"sending", "editing", "idle"}, "editing": {"awaiting_confirm", "idle"}, "sending": {"idle"},
 }
 TIMEOUT = pd.Timedelta(minutes=30)
+TIMEOUT_US = 30 * 60 * 1_000_000
 KEPT = pd.Timedelta(hours=1)  # how long a finished task is remembered
 FINAL = ("completed", "failed")
 OUTPUT = "event_id long, user_id long, accepted boolean, state string"
 
 
-def advance(state: str, updated, ts, target: str) -> tuple[str, object, bool]:
+def advance(state: str, updated, ts, target: str, timeout=TIMEOUT) -> tuple[str, object, bool]:
     """One event: a session idle for more than 30 minutes starts anew; then the transition, if it is allowed."""
-    if state != "idle" and updated is not None and ts - updated > TIMEOUT:
+    if state != "idle" and updated is not None and ts - updated > timeout:
         state = "idle"
     if target in TRANSITIONS[state]:
         return target, ts, True
@@ -102,7 +103,7 @@ def source(spark: SparkSession, sf_dir: str, table: str, schema) -> DataFrame:
 
 @contextlib.contextmanager
 def _state_store(spark: SparkSession) -> Iterator[None]:
-    """Streams that start in here keep their state in RocksDB, as processors with timers need it."""
+    """Streams that start in here keep their state in RocksDB, outside the JVM's heap."""
     key = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(key)
     spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
@@ -210,64 +211,73 @@ def push_progress(updates: DataFrame, folder: str) -> DataFrame:
     return ledger.read(updates.sparkSession)
 
 
-#: A session's payload, and what a reset makes of it.
+#: A session's payload, what a reset makes of it, and its types.
 CLEARED = {"image_media_type": "image/jpeg", "selected_contact_id": None, "ai_result": None, "edit_field": None}
-RESET = "user_id long, was string, state string, image_media_type string, selected_contact_id long, ai_result string, edit_field string, reset_at timestamp"
+RESET = {"image_media_type": "string", "selected_contact_id": "long", "ai_result": "string", "edit_field": "string"}
 
 
-class Expiry(StatefulProcessor):
-    """A user's session, and a timer that resets it when it has been idle for too long."""
+NAMES = tuple(TRANSITIONS)
+NEVER = np.iinfo(np.int64).min  # of a session without a time
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.session = handle.getValueState("session", "state string, updated timestamp")
 
-    def _reset(self, key, was: str, updated) -> tuple:
-        return (key[0], was, "idle", *CLEARED.values(), updated + TIMEOUT)
+def _packed(sessions: dict) -> tuple[bytes, bytes, bytes]:
+    """Open sessions (user: (state, time)) as state of a group."""
+    names, times = zip(*sessions.values(), strict=True)
+    return np.array(list(sessions), np.int64).tobytes(), bytes(map(NAMES.index, names)), np.array(times, np.int64).tobytes()
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        name, updated = self.session.get() or ("idle", None)
-        updated = None if updated is None else pd.Timestamp(updated)
-        before, out = (name, updated), []
-        for r in pd.concat(list(rows)).sort_values(["ts", "event_id"]).itertuples(index=False):
-            if name != "idle" and updated is not None and r.ts - updated > TIMEOUT:
-                out.append(self._reset(key, name, updated))
-            name, updated, _ = advance(name, updated, r.ts, r.target_state)
-        if (name, updated) != before:  # state and timers are calls to the store: only what changes
-            if before[0] != "idle":
-                self.handle.deleteTimer(self._due(before[1]))
-            if name != "idle":
-                self.session.update((name, updated.to_pydatetime()))
-                self.handle.registerTimer(self._due(updated))
-            elif before[0] != "idle":
-                self.session.clear()
-        yield resets_frame(out)
 
-    @staticmethod
-    def _due(updated) -> int:
-        """A timer's time in milliseconds: one open session has one timer."""
-        return int((updated + TIMEOUT).timestamp() * 1000)
+def _unpacked(users: bytes, names: bytes, times: bytes) -> dict:
+    rows = zip(np.frombuffer(users, np.int64).tolist(), names, np.frombuffer(times, np.int64).tolist(), strict=True)
+    return {user: (NAMES[name], updated) for user, name, updated in rows}
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        name, updated = self.session.get() or ("idle", None)
-        self.session.clear()
-        yield resets_frame([] if name == "idle" else [self._reset(key, name, pd.Timestamp(updated))])
 
-    def close(self) -> None:
-        pass
-
-
-def resets_frame(rows: list[tuple]) -> pd.DataFrame:
-    return pd.DataFrame(rows, columns=[f.split(" ")[0] for f in RESET.split(", ")]).astype({"selected_contact_id": "Int64"})
-
-
-def expiries(events: DataFrame, late: str = "10 minutes") -> DataFrame:
+def expiries(events: DataFrame, late: str = "10 minutes", groups: int = 1024) -> DataFrame:
     """A reset record for each session that nothing moved for more than 30 minutes, once the watermark has passed that time.
 
-    It is the same whether the user's next event or the timer ends the session.
+    It is the same whether the user's next event or the time-out ends the session.
+    Users are dealt into `groups`, so that a batch costs calls for groups, not for
+    users; a group's state is its open sessions, its time-out the first of theirs.
+    Times are in microseconds. An event without a time starts no time-out.
     """
-    own = events.select(F.col("user_id").cast("long").alias("user_id"), "event_id", "ts", "target_state").withWatermark("ts", late)
-    return own.groupBy("user_id").transformWithStateInPandas(statefulProcessor=Expiry(), outputStructType=RESET, outputMode="append", timeMode="eventTime")
+
+    def run(key, parts: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        sessions = _unpacked(*state.get) if state.exists else {}
+        out, mark = [], state.getCurrentWatermarkMs()
+        parts = [] if state.hasTimedOut else list(parts)
+        if parts:
+            pdf = pd.concat(parts)
+            order = np.lexsort((pdf["event_id"].to_numpy(), pdf["us"].to_numpy()))
+            for user, ts, target in zip(*(pdf[c].to_numpy()[order].tolist() for c in ("user", "us", "target_state")), strict=True):
+                before, since = sessions.get(user, ("idle", None))
+                since = None if since == NEVER else since
+                if before != "idle" and since is not None and ts - since > TIMEOUT_US:
+                    out.append((user, before, since + TIMEOUT_US))
+                name, updated, _ = advance(before, since, ts, target, TIMEOUT_US)
+                if name == "idle":
+                    sessions.pop(user, None)
+                else:
+                    sessions[user] = (name, int(updated) if updated is not None and updated == updated else NEVER)
+        due = lambda updated: (updated + TIMEOUT_US) // 1000
+        for user in [u for u, (_, updated) in sessions.items() if updated != NEVER and due(updated) < mark]:
+            name, updated = sessions.pop(user)
+            out.append((user, name, updated + TIMEOUT_US))
+        if sessions:
+            state.update(_packed(sessions))
+            timed = [updated for _, updated in sessions.values() if updated != NEVER]
+            if timed:
+                state.setTimeoutTimestamp(due(min(timed)))
+        elif state.exists:
+            state.remove()
+        if out:
+            yield pd.DataFrame(out, columns=["user", "was", "us"]).assign(known=key[0] >= 0)
+
+    user = F.col("user_id").cast("long")
+    group = F.when(user.isNull(), -1).otherwise(F.pmod(F.xxhash64(user), F.lit(groups))).cast("long")  # rows without a user: a group of their own
+    own = events.select(group.alias("group"), F.coalesce(user, F.lit(0)).alias("user"), "event_id", "ts", F.unix_micros("ts").alias("us"), "target_state")
+    kept = "users binary, names binary, times binary"
+    out = own.withWatermark("ts", late).groupBy("group").applyInPandasWithState(run, "user long, was string, us long, known boolean", kept, "append", "EventTimeTimeout")
+    cleared = [F.lit(v).cast(RESET[c]).alias(c) for c, v in CLEARED.items()]
+    return out.select(F.when(F.col("known"), F.col("user")).alias("user_id"), "was", F.lit("idle").alias("state"), *cleared, F.timestamp_micros("us").alias("reset_at"))
 
 
 def expire(sessions: DataFrame, as_of: Column) -> DataFrame:

@@ -252,3 +252,23 @@ def test_files_leave_in_pieces(spark):
     rows = [r for b in got for r in b.to_pylist()]
     assert [r["name"] for r in rows] == [f"f{i}" for i in range(40)]
     assert all((r["content"] == b"x" * 600_000) == (r["error"] is None) == bool(i % 4) for i, r in enumerate(rows))
+
+
+def test_expiries_of_many_users(spark, tmp_path):
+    """State is kept for groups of users, not for each; a row without a user is a user of its own; each reset comes once."""
+    rng, at = random.Random(3), lambda m: START + datetime.timedelta(minutes=m)
+    schema, users = "event_id long, user_id long, ts timestamp, target_state string", [None, 0, -7, *range(1 << 60, (1 << 60) + 300)]
+    rows = [(i, rng.choice(users), at(i * 0.05), rng.choice(sorted(sessions.TRANSITIONS))) for i in range(4000)] + [(4000, 5, at(600), "idle")]
+    for n in range(0, 4001, 1000):
+        arriving(spark, f"file://{tmp_path}/in", rows[n : n + 1000], schema)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"file://{tmp_path}/in")
+    got = sessions.run_to_table(sessions.expiries(stream, groups=4), f"file://{tmp_path}/out", timers=True)
+    want, last = [], {}
+    for _, user, ts, target in [*rows, *((0, u, at(9999), "bogus") for u in users)]:
+        state, since = last.get(user, ("idle", None))
+        if state != "idle" and ts - since > sessions.TIMEOUT:
+            want.append((user, state, since + datetime.timedelta(minutes=30)))
+        last[user] = sessions.advance(state, since, ts, target)[:2]
+    assert sorted(((r.user_id, r.was, r.reset_at) for r in got.collect()), key=repr) == sorted(want, key=repr) and len(want) > 100
+    keys = spark.read.format("statestore").load(f"file://{tmp_path}/out/checkpoint", batchId=1).count()
+    assert 0 < keys <= 5
